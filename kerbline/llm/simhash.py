@@ -1,11 +1,16 @@
-"""Near duplicates by SimHash: 64-bit fingerprints of word shingles, matched on pigeonhole blocks.
+"""Near duplicates by SimHash: fingerprints of word shingles, matched on pigeonhole blocks.
 
-Fingerprints within ``DISTANCE`` bits agree on at least ``BLOCKS - DISTANCE`` of ``BLOCKS`` blocks.
+64-bit fingerprints within ``DISTANCE`` bits agree on at least ``BLOCKS - DISTANCE`` of ``BLOCKS`` blocks.
 Each distinct fingerprint gets one key for each choice of so many blocks; fingerprints with a key in
 common are compared. A key's fingerprints yield a star for each linked set, never all pairs. A key
 with over ``BUCKET`` distinct fingerprints goes an exact linear way instead: two fingerprints are within
 4 bits just if some number is within 2 bits of both, so each is linked with the least fingerprint
 near each such number.
+
+At a shingle similarity of 0.8, texts differ in about 15 of 100 bits, which is too many for blocks that are sure
+to be shared. ``similar`` therefore takes 256 bits and splits them into ``WIDE_BLOCKS`` blocks in each of
+``ORDERS`` orders: pairs share a block with high probability (README has the recall), and the Hamming
+distance over all 256 bits decides.
 """
 
 from __future__ import annotations
@@ -25,51 +30,60 @@ DISTANCE = 4
 #: Any number over DISTANCE gives the same links. More blocks mean more, rarer keys: 8 suits over 10**8 distinct texts.
 BLOCKS = 6
 BUCKET = 4096
+#: Of the wide fingerprints. 39 of 256 bits is what a shingle similarity of 0.8 leaves on average.
+WIDE, WIDE_DISTANCE, ORDERS, WIDE_BLOCKS = 256, 39, 4, 14
+#: Keys up to so many members are compared all at once.
+SMALL = 48
+
 
+def fingerprint(text: str | None, shingle: int = 4, bits: int = 64) -> bytes:
+    """Big-endian fingerprint: a bit is 1 where over half the shingles' hashes have it; no word gives 0.
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Unsigned fingerprint: a bit is 1 where over half the shingles' XXH64 (seed 42) have it; no word gives 0."""
+    The first 64 bits of a shingle's hash are its XXH64 with seed 42; further ones are drawn from that.
+    """
     words = (text or "").encode(errors="replace").lower().split()
     n = len(words)
     if not n:
-        return 0
+        return bytes(bits // 8)
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    votes, count = np.zeros(64, np.int64), max(1, n - shingle + 1)
-    if n <= shingle:
-        hashes = [h(joined, 42)]
-        votes += np.unpackbits(np.array(hashes, ">u8").view(np.uint8))
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])[:count].tolist()
-        ends = ends[shingle - 1 :].tolist()
-        for at in range(0, count, 65536):
-            hashes = [h(joined[a:b], 42) for a, b in zip(starts[at : at + 65536], ends[at : at + 65536], strict=True)]
-            votes += np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > count).tobytes(), "big")
+    count = max(1, n - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[:count].tolist()
+    ends = ends[shingle - 1 :].tolist() if n >= shingle else [len(joined)]
+    votes = np.zeros(bits, np.int64)
+    for at in range(0, count, 16384):
+        hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts[at : at + 16384], ends[at : at + 16384], strict=True)], np.uint64)
+        for k in range(bits // 64):
+            part = hashes if k == 0 else _mixed(hashes, k)
+            votes[64 * k : 64 * k + 64] += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(votes * 2 > count).tobytes()
+
 
+def _mixed(x: np.ndarray, k: int) -> np.ndarray:
+    """Other 64 bits for each number: two rounds of xor-shift and odd multiplication."""
+    x = x + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and its whole text's fingerprint as a signed long ``fp``."""
+
+def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64) -> DataFrame:
+    """doc_id and its whole text's fingerprint ``fp``: a signed long, or, of over 64 bits, binary."""
+    kind = "long" if bits == 64 else "binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = [fingerprint(t.as_py(), shingle, bits) for t in batch.column(1)]
+            column = pa.array([int.from_bytes(x, "big", signed=True) for x in fp], pa.int64()) if bits == 64 else pa.array(fp, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, fp {kind}")
 
 
-def _star(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """(fingerprint, least fingerprint of its linked set) for a key's sorted fingerprints, but for the least ones."""
-    n, pairs = len(fps), []
-    for at in range(0, n, 512):
-        near = np.bitwise_count(fps[at : at + 512, None] ^ fps[None, :]) <= distance
-        i, j = np.nonzero(near)
-        keep = i + at < j
-        pairs.append(np.stack([i[keep] + at, j[keep]]))
-    i, j = np.concatenate(pairs, axis=1)
+def _settled(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Least index that each of ``n`` is linked with through the pairs (i, j)."""
     label = np.arange(n)
-    while True:
+    while len(i):
         least = np.minimum(label[i], label[j])
         before = label.copy()
         np.minimum.at(label, i, least)
@@ -77,9 +91,99 @@ def _star(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
         label = label[label]
         if (label == before).all():
             break
-    moved = np.flatnonzero(label != np.arange(n))
-    signed = fps.view(np.int64)
-    return list(zip(signed[moved].tolist(), signed[label[moved]].tolist(), strict=True))
+    return label
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def _stars(fps: np.ndarray, first: np.ndarray, last: np.ndarray, distance: int) -> np.ndarray:
+    """For rows whose keys are the runs first..last (exclusive): the least row each is linked with inside its key."""
+    n, i, j = len(fps), [], []
+    end = np.repeat(last, last - first)
+    small = np.repeat(last - first <= SMALL, last - first)
+    row = np.arange(n)
+    for gap in range(1, min(SMALL, int((last - first).max(initial=0)))):
+        a = row[small & (row + gap < end)]
+        a = a[_distance(fps[a], fps[a + gap]) <= distance]
+        i.append(a)
+        j.append(a + gap)
+    label = _settled(np.concatenate(i), np.concatenate(j), n) if i else row
+    for a, b in zip(first[last - first > SMALL].tolist(), last[last - first > SMALL].tolist(), strict=True):
+        label[a:b] = a + _walk(fps[a:b], distance)
+    return label
+
+
+def _walk(fps: np.ndarray, distance: int) -> np.ndarray:
+    """Labels of one large key: from each start, rows are compared only with those not reached yet, so a dense set costs little more than its size."""
+    label, left = np.full(len(fps), -1), np.arange(len(fps))
+    while len(left):
+        start, left = left[0], left[1:]
+        label[start], front = start, np.array([start])
+        while len(front) and len(left):
+            near = np.zeros(len(left), bool)
+            step = max(1, (1 << 21) // (len(left) * fps.shape[1]))
+            taken, front = front[:step], front[step:]
+            for at in range(0, len(left), 1 << 20):
+                near[at : at + (1 << 20)] = (_distance(fps[taken][:, None], fps[left[at : at + (1 << 20)]][None]) <= distance).any(0)
+            found = left[near]
+            label[found], left, front = start, left[~near], np.concatenate([front, found])
+    return label
+
+
+def _linked(keyed: DataFrame, distance: int, bucket: int | None) -> DataFrame:
+    """Pairs (a, b) of ``rep`` that span the linked sets of each key of (rep, fp, choice, bits); b is null for members of keys over ``bucket``.
+
+    Keys are dealt out and sorted by Spark; a task holds one batch and one key at a time.
+    """
+    keyed = keyed.select("rep", "choice", "bits", "fp").repartition("choice", "bits").sortWithinPartitions("choice", "bits", "rep")
+
+    def words(column: pa.Array) -> np.ndarray:
+        if pa.types.is_int64(column.type):
+            return column.to_numpy().view(np.uint64).reshape(-1, 1)
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+    def pairs(rep: np.ndarray, fps: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(rep)]])
+        over = np.zeros(len(rep), bool)
+        if bucket is not None:
+            big = last - first > bucket
+            over = np.repeat(big, last - first)
+            first, last = first[~big], last[~big]
+        kept = np.flatnonzero(~over)
+        size = last - first
+        ends = np.cumsum(size)
+        label = kept[_stars(fps[kept], ends - size, ends, distance)] if len(kept) else kept
+        moved = kept[label != kept]
+        a = np.concatenate([rep[moved], rep[over]])
+        b = pa.concat_arrays([pa.array(rep[label[label != kept]], pa.int64()), pa.nulls(int(over.sum()), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b], ["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows of the last key so far
+        for batch in batches:
+            if not len(batch):
+                continue
+            rep, fps = batch.column(0).to_numpy(), words(batch.column(3))
+            key = np.stack([batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()], axis=1)
+            same = (key == key[-1]).all(1)
+            tail = len(key) - (np.flatnonzero(~same)[-1] + 1 if not same.all() else 0)
+            split = len(key) - tail
+            if split or held and (held[-1][2][0] != key[0]).any():
+                parts = [*held, (rep[:split], fps[:split], key[:split])]
+                held = []
+                yield pairs(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
+            held.append((rep[split:], fps[split:], key[split:]))
+        if held:
+            yield pairs(*(np.concatenate([p[k] for p in held]) for k in range(3)))
+
+    return keyed.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
@@ -88,46 +192,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, b
     keys = []
     for number, chosen in enumerate(combinations(range(blocks), blocks - distance)):
         mask = sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in chosen)
-        keys.append(F.struct(F.lit(number).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bits")))
-    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.choice", "key.bits")
-    keyed = keyed.repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(pairs: list[tuple[int, int | None]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
-
-        def settle(fps: np.ndarray) -> list[tuple[int, int | None]]:
-            if len(fps) > bucket:
-                return [(x, None) for x in fps.tolist()]
-            return _star(fps.view(np.uint64), distance) if len(fps) > 1 else []
-
-        last, held, size, over = None, [], 0, False  # a key that goes on in the next batch
-        for batch in batches:
-            fp, choice, bits = (batch.column(i).to_numpy() for i in range(3))
-            if not len(fp):
-                continue
-            edges = np.flatnonzero((np.diff(choice) != 0) | (np.diff(bits) != 0)) + 1
-            firsts, ends, out = np.concatenate([[0], edges]), np.concatenate([edges, [len(fp)]]), []
-            for k in np.flatnonzero((ends - firsts > 1) | (firsts == 0) | (ends == len(fp))).tolist():
-                a, b = firsts[k], ends[k]
-                key, mine = (choice[a], bits[a]), fp[a:b]
-                if key != last:
-                    if last is not None and not over:
-                        out += settle(np.concatenate(held))
-                    last, held, size, over = key, [], 0, False
-                size += len(mine)
-                if over:
-                    out += [(x, None) for x in mine.tolist()]
-                else:
-                    held.append(mine)
-                    if size > bucket:
-                        out += settle(np.concatenate(held))
-                        held, over = [], True
-            yield batch_of(out)
-        if last is not None and not over:
-            yield batch_of(settle(np.concatenate(held)))
-
-    found = staged(keyed.mapInArrow(compare, "a long, b long").distinct())
+        keys.append(F.struct(F.lit(number).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("bits")))
+    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select(F.col("fp").alias("rep"), "fp", "key.choice", "key.bits")
+    found = staged(_linked(keyed, distance, bucket))
     crowded = found.where("b is null").select("a").distinct()
     return found.where("b is not null").unionByName(_through_middles(crowded, distance)).distinct()
 
@@ -135,7 +202,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, b
 def _through_middles(fps: DataFrame, distance: int) -> DataFrame:
     """Links among ``fps`` (column a) through every number within half of ``distance`` (rounded up) bits of them; exact, linear in rows."""
     masks = [sum(1 << b for b in bits) for k in range(-(-distance // 2) + 1) for bits in combinations(range(64), k)]
-    spread = fps.select("a", F.explode(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])).alias("m"))
+    spread = fps.select("a", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("m"))
     spread = spread.select("a", F.col("a").bitwiseXOR(F.col("m")).alias("middle"))
     least = spread.groupBy("middle").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("middle", "b")
     return spread.join(least, "middle").where("a != b").select("a", "b").distinct()
@@ -180,7 +247,38 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **how: int) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's id; rows with a null doc_id stay."""
-    first = near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
+def similar(docs: DataFrame, shingle: int = 5, distance: int = WIDE_DISTANCE, orders: int = ORDERS, blocks: int = WIDE_BLOCKS) -> DataFrame:
+    """doc_id, component_id for each row with an id: texts whose ``shingle``-word shingles have a similarity of about 0.8 or more are linked.
+
+    Null and empty texts are equal to each other and linked. Rows with a null doc_id are left out.
+    """
+    marked = staged(fingerprints(docs.where("doc_id is not null"), shingle, WIDE))
+    classes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    draw = np.random.default_rng(64)
+    order = [np.arange(WIDE)] + [draw.permutation(WIDE) for _ in range(orders - 1)]
+    cuts = [WIDE * i // blocks for i in range(blocks + 1)]
+    weight = 1 << np.arange(max(b - a for a, b in zip(cuts, cuts[1:], strict=False)), dtype=np.int64)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                batch = whole.slice(at, 1024)
+                bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(len(batch), -1), axis=1)
+                for o, columns in enumerate(order):
+                    for b in range(blocks):
+                        value = bits[:, columns[cuts[b] : cuts[b + 1]]] @ weight[: cuts[b + 1] - cuts[b]]
+                        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(np.full(len(batch), o * blocks + b, np.int32)), pa.array(value, pa.int64())], ["rep", "fp", "choice", "bits"])
+
+    keyed = classes.select("fp", "rep").mapInArrow(keys, "rep long, fp binary, choice int, bits long")
+    roots = components(_linked(keyed, distance, None).select("a", "b")).withColumnRenamed("fp", "rep")
+    named = classes.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return marked.join(named, "fp").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is its component's id among ``similar`` ones; rows with a null doc_id stay.
+
+    Rows that share the kept doc_id stay together: ids tell documents apart.
+    """
+    first = similar(docs, shingle).where("doc_id = component_id").select("doc_id").distinct()
     return docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -1,6 +1,8 @@
-"""Every registered query with its SQL."""
+"""Every registered query of the library with its SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import core
+
+QUERIES: dict = {**core.QUERIES}
+ORACLES: dict = {**core.ORACLES}

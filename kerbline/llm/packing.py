@@ -9,15 +9,17 @@ padding.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import short_batches, staged
 
 LENGTH = 4096
 CLOSING = 2
@@ -25,11 +27,30 @@ CLOSING = 2
 GROUP = 4096
 #: One remainder in so many is sand.
 SAND = 8
-CACHE = 400_000
+CACHE = 300_000
+
+
+# The steps before the merges that the quick way below stands in for.
+NORMAL = ["NFC", "Replace", "Lowercase"]
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin-1 characters that these steps treat alike whatever stands around: no white space, no controls, nothing to compose.
+_LETTERS, _NUMBERS = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+_PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xa1-\xff]*")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}\x09-\x0d\x20]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies show a byte as itself where it is printable, else as the next letter from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
 
 
 class Ids(dict):
-    """White-space-free chunk of UTF-8 to its ids as little-endian 32-bit bytes; forgets all when full."""
+    """Chunk of UTF-8 without white space to its ids as little-endian 32-bit bytes; forgets all when full.
+
+    A text of plain Latin-1 characters is lower-cased and parted here, and only its parts, which recur, go to the
+    tokenizer's merges. Any other text goes through the tokenizer by its chunks, which ASCII white space always parts.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -37,37 +58,42 @@ class Ids(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self) + len(chunks) > CACHE:
+        plan = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (plan["normalizer"] or {}).get("normalizers", [])]
+        parts = [x.get("pattern", {}).get("Regex") for x in (plan["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.quick = steps == NORMAL and parts == [PARTS, None] and plan["model"]["type"] == "BPE"
+        self.parts = Parts(self.tokenizer.model)
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= CACHE:
             self.clear()
-        new = [c for c in chunks if c not in self]
-        for c, e in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self[c] = np.array(e.ids, "<u4").tobytes()
+        out = self[chunk] = array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+        return out
 
+    def of(self, text: str | None) -> bytes:
+        """The ids of a whole text and the closing id."""
+        text = text or ""
+        if self.quick and _PLAIN.fullmatch(text):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower()))) + _CLOSING
+        return b"".join(map(self.__getitem__, text.encode(errors="replace").split())) + _CLOSING
 
-def _encoded(texts: list[str | None], ids: Ids, most: int = 2_000_000) -> Iterator[bytes]:
-    """The ids of each text with the closing id. ASCII white space always parts tokens here, so chunks are encoded once each."""
-    closing, at = np.array([CLOSING], "<u4").tobytes(), 0
-    while at < len(texts):
-        chunks, n = [], 0
-        while at < len(texts) and (not chunks or n < most):
-            text = (texts[at] or "").encode(errors="replace")
-            chunks.append(text.split())
-            n, at = n + len(text), at + 1
-        ids.learn({c for words in chunks for c in words})
-        for words in chunks:
-            yield b"".join(map(ids.__getitem__, words)) + closing
 
+class Parts(dict):
+    """Part of a plain text to its ids; forgets all when full."""
 
-_IDS: dict[str, Ids] = {}
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        shown = part.encode().decode("latin-1").translate(self.letters)
+        out = self[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return out
 
 
-def _ids(path: str) -> Ids:
-    """The Python worker's ids, which outlive a task."""
-    if path not in _IDS:
-        _IDS[path] = Ids(path)
-    return _IDS[path]
+_CLOSING = array("I", [CLOSING]).tobytes()
 
 
 def tokenised(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
@@ -76,12 +102,12 @@ def tokenised(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, row = _ids(path), 0
+        ids, row = Ids(path), 0
         task = TaskContext.get().partitionId()
         for batch in batches:
             out: list[tuple] = []
-            doc_ids = batch.column(0).to_pylist()
-            for doc_id, data in zip(doc_ids, _encoded(batch.column(1).to_pylist(), ids), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = ids.of(text.as_py())
                 n = len(data) // 4
                 for start in range(0, n, length):
                     piece = data[4 * start : 4 * (start + length)]
@@ -92,7 +118,7 @@ def tokenised(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(columns)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "slot", "sand"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slot long, sand binary")
+    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slot long, sand binary")
 
 
 class Tournament:

@@ -34,6 +34,13 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with its session's batches to Python held to ``rows`` rows: texts are long, and a worker holds a batch whole."""
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's decimal text modulo 4; a null id is in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(0))
@@ -52,4 +59,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, per_class: i
         part = usable.where(F.col(grade) == value).select("doc_id", F.col(grade).cast("int").alias("grade"))
         part = part.dropDuplicates(["doc_id"]).orderBy(*order).limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return short_batches(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 UNIT, RATE = 64, 8000
 FRAME, BANDS, FAN = 256, 4, 3
 STEP = 4096  # frames transformed at a time
@@ -112,4 +114,4 @@ def media(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     schema += f", media binary, {ARRAYS}" * keep_media
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

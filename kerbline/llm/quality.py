@@ -16,12 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, short_batches
 
 DIM = 1 << 14
 #: Labelled rows that the fit reads, for each grade.
 PER_GRADE = 3000
-CACHE = 300_000
+CACHE = 150_000
 _RUN = re.compile(r"(.)\1+")
 
 
@@ -117,7 +117,7 @@ def graded(docs: DataFrame, fitted: tuple[np.ndarray, np.ndarray], keep: list[st
             yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(keep))), pa.array(over.sum(1)), pa.array(over[:, 0])], [*names, "expected_grade", "tail_prob"])
 
     schema = ", ".join([f"{n} {kinds[k]}" for n, k in zip(names, keep, strict=True)] + ["expected_grade double", "tail_prob double"])
-    return docs.select("text", *keep).mapInArrow(run, schema).select(*[F.col(n).alias(k) for n, k in zip(names, keep, strict=True)], "expected_grade", "tail_prob")
+    return short_batches(docs).select("text", *keep).mapInArrow(run, schema).select(*[F.col(n).alias(k) for n, k in zip(names, keep, strict=True)], "expected_grade", "tail_prob")
 
 
 def quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, per_grade: int = PER_GRADE) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 GRAM, BINS = 4, 1 << 16
 #: Labelled rows that the target multinomial counts.
 TRUSTED = 20_000
@@ -49,7 +51,7 @@ def ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.nda
         seen = np.flatnonzero(n[0])
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[0, seen]), pa.array(n[1, seen])], ["bin", "raw", "target"])
 
-    marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", "good")
+    marked = short_batches(docs).select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", "good")
     rows = marked.mapInArrow(count, "bin int, raw long, target long").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.ones(BINS), np.ones(BINS)
     for r in rows.collect():  # at most BINS rows
@@ -105,6 +107,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
             columns = [pa.array([b[i] for b in base], pa.int64()) for i in range(5)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(llr, pa.float64())], ["doc_id", *names, "llr"])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", llr double")
+    out = short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", llr double")
     out = out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))

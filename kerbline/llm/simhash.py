@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import short_batches, staged
 
 DISTANCE = 4
 #: Any number over DISTANCE gives the same links. More blocks mean more, rarer keys: 8 suits over 10**8 distinct texts.
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64) -> DataFrame
             column = pa.array([int.from_bytes(x, "big", signed=True) for x in fp], pa.int64()) if bits == 64 else pa.array(fp, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, fp {kind}")
+    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, fp {kind}")
 
 
 def _settled(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:

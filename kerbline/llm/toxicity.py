@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, staged
+from .common import fold, labelled_sample, short_batches, staged
 
 K = 32  # character classes
 #: Labelled rows that the fit reads, for each label.
@@ -31,7 +31,7 @@ PER_CLASS = 6000
 #: Features kept of the contrast.
 LEXICON = 50_000
 THRESHOLD = 0.3
-CACHE = 300_000
+CACHE = 150_000
 # What a symbol may stand for.
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "*": "aeiou", "#": "aeiou"}
 SEPARATORS = ".-_*~'|/"
@@ -67,7 +67,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["gram", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most K**3 rows
+    rows = short_batches(docs).select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most K**3 rows
     n = np.zeros(K**3)
     for r in rows:
         n[r.gram] = r.n
@@ -208,7 +208,7 @@ def evidence(docs: DataFrame, weights: dict[int, float], model: np.ndarray, keep
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in both], pa.float64()), pa.array([x for _, x in both], pa.float64())], [*names, "first", "second"])
 
     schema = ", ".join([f"{n} {kinds[k]}" for n, k in zip(names, keep, strict=True)] + ["first double", "second double"])
-    out = docs.select("text", *keep).mapInArrow(score, schema)
+    out = short_batches(docs).select("text", *keep).mapInArrow(score, schema)
     return out.select(*[F.col(n).alias(k) for n, k in zip(names, keep, strict=True)], "first", "second")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import core
+from .plans import core, more
 
-QUERIES: dict = {**core.QUERIES}
-ORACLES: dict = {**core.ORACLES}
+QUERIES: dict = dict(core.QUERIES)
+ORACLES: dict = dict(core.ORACLES)
+for _name, _of in more.QUERIES_ALIAS.items():
+    QUERIES[_name], ORACLES[_name] = QUERIES[_of], ORACLES[_of]

@@ -51,12 +51,13 @@ def path(url: Column) -> Column:
 def buckets(text: Column, mark: str) -> Column:
     """Hash buckets of the character n-grams of ``text`` between two blanks; ``mark`` keeps host and path apart."""
     padded = F.concat(F.lit(" "), text, F.lit(" "))
-    parts = []
-    for n in GRAMS:
+
+    def grams(n: int) -> Column:
         last = F.greatest(F.length(padded) - n + 1, F.lit(0))
-        grams = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i, n=n: F.pmod(F.xxhash64(F.lit(mark), F.substring(padded, i, F.lit(n))), F.lit(DIM)).cast("int")))
-        parts.append(F.coalesce(grams, F.array().cast("array<int>")))
-    return F.concat(*parts)
+        at = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(padded, i, F.lit(n))), F.lit(DIM)).cast("int"))
+        return F.coalesce(F.when(last > 0, at), F.array().cast("array<int>"))
+
+    return F.concat(*map(grams, GRAMS))
 
 
 def _all_buckets(url: Column) -> Column:

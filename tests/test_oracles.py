@@ -57,7 +57,7 @@ def test_grid_join_is_brute_force(spark):
     a = spark.range(60).select(F.col("id").alias("a"), (F.col("id") * 37 % 61 / 10).alias("ax"), (F.col("id") * 17 % 53 / 10).alias("ay"))
     b = spark.range(80).select(F.col("id").alias("b"), (F.col("id") * 29 % 67 / 10).alias("bx"), (F.col("id") * 13 % 59 / 10).alias("by"))
     got = {(r.a, r.b) for r in geo.grid_join(a, b, ("ax", "ay"), ("bx", "by"), 1.0).select("a", "b").collect()}
-    brute = {(r.a, r.b) for r in a.crossJoin(b).where("(ax-bx)*(ax-bx)+(ay-by)*(ay-by) <= 1.0").select("a", "b").collect()}
+    brute = {(r.a, r.b) for r in a.crossJoin(b).where("sqrt(pow(ax - bx, 2) + pow(ay - by, 2)) <= 1.0").select("a", "b").collect()}
     assert got == brute
 
 

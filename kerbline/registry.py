@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import core, more
+from .plans import core, live, more
 
-QUERIES: dict = dict(core.QUERIES)
-ORACLES: dict = dict(core.ORACLES)
+QUERIES: dict = {**core.QUERIES, **live.QUERIES}
+ORACLES: dict = {**core.ORACLES, **live.ORACLES}
 for _name, _of in more.QUERIES_ALIAS.items():
     QUERIES[_name], ORACLES[_name] = QUERIES[_of], ORACLES[_of]

@@ -47,3 +47,42 @@ def band_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     after = new.select(*keys, F.col("eps").alias("new_eps"), F.col("priority_band").alias("new_band"))
     rows = after.join(before, keys).where("old_band != new_band")
     return rows.withColumn("direction", F.when(F.col("new_eps") > F.col("old_eps"), "escalated").otherwise("deescalated"))
+
+
+def weather_table(rows: DataFrame, order: str) -> DataFrame:
+    """target_hour, rainfall_mm, is_raining from a table that calls them time or target_hour, and rain, precipitation or rainfall_mm; the last row (by ``order``) of an hour counts."""
+    first = lambda names: F.coalesce(*[F.col(c) for c in names if c in rows.columns])
+    mm = first(("rainfall_mm", "rain", "precipitation")).try_cast("double")
+    flag = first(("is_raining",)).cast("int") if "is_raining" in rows.columns else None
+    read = rows.select(F.date_trunc("hour", first(("target_hour", "time")).cast("timestamp_ntz")).cast("timestamp_ntz").alias("target_hour"), F.coalesce(mm, F.lit(0.0)).alias("rainfall_mm"), F.coalesce(flag, F.lit(None)).alias("flag") if flag is not None else F.lit(None).cast("int").alias("flag"), F.col(order).alias("_o"))
+    read = read.groupBy("target_hour").agg(F.max_by(F.struct("rainfall_mm", "flag"), "_o").alias("r")).select("target_hour", "r.*")
+    return read.select("target_hour", "rainfall_mm", F.when(F.col("flag").isNotNull(), F.least(F.lit(1), F.abs("flag"))).otherwise((F.col("rainfall_mm") > 0).cast("int")).alias("is_raining"))
+
+
+def rain_shelter(raining: Column, structure: Column) -> Column:
+    return raining * structure
+
+
+def live_weather(rows: DataFrame, live: DataFrame | None) -> DataFrame:
+    """``rows`` with the live row's rainfall_mm and is_raining where one is given (one row); shelter is recomputed only while it rains."""
+    if live is None:
+        return rows
+    one = live.select(F.col("rainfall_mm").alias("_mm"), F.col("is_raining").alias("_r")).limit(1)
+    rows = rows.join(F.broadcast(one), how="left")
+    shelter = F.when(F.col("_r") == 1, F.col("_r") * F.col("is_structure")).otherwise(F.col("rain_shelter"))
+    return rows.withColumns({"rain_shelter": F.coalesce(shelter, F.col("rain_shelter")), "rainfall_mm": F.coalesce("_mm", "rainfall_mm"), "is_raining": F.coalesce("_r", "is_raining")}).drop("_mm", "_r")
+
+
+def structure_flags(rows: DataFrame, dimension: DataFrame, own: Column) -> DataFrame:
+    """is_structure of the segment's dimension row, else of the row itself, else 0."""
+    return rows.join(dimension.select("segment_id", F.col("is_structure").alias("_s")), "segment_id", "left").withColumn("is_structure", F.coalesce("_s", own, F.lit(0))).drop("_s")
+
+
+VOLUMES = ("historical_volume", "volume", "event_count", "count_total", "segment_total_events", "violations")
+
+
+def attach_volume(segments: DataFrame, volumes: DataFrame) -> DataFrame:
+    """``segments`` with volume: the first of ``VOLUMES`` that ``volumes`` has, summed per segment, negative sums as 0, none as 0."""
+    name = next(c for c in VOLUMES if c in volumes.columns)
+    sums = volumes.groupBy("segment_id").agg(F.greatest(F.lit(0.0), F.sum(F.col(name).cast("double"))).alias("volume"))
+    return segments.join(sums, "segment_id", "left").fillna(0.0, ["volume"])

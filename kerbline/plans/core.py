@@ -182,10 +182,15 @@ _columns("D2_class_counts", hours, "hours", ["segment_id", "target_hour", *R.COU
 _columns("D3_severity_sum", hours, "hours", ["segment_id", "target_hour", "severity_weighted_count"], ("severity_weighted_count",))
 _columns("D4_weight_sum", hours, "hours", ["segment_id", "target_hour", "sample_weight"], ("sample_weight",))
 _columns("B24_hotspot", hours, "hours", ["segment_id", "target_hour", "is_hotspot"])
-_DIM = ["lat_mean", "lon_mean", "lat_center", "lon_center", "severity_mean", "footprint_mean", "road_width_m"]
+_DIM = ["lat_center", "lon_center", "severity_mean", "footprint_mean", "road_width_m"]
 _columns("D5_segment_dimension", dimension, "dim", ["segment_id", "event_count", *_DIM, "lat_bin", "lon_bin", "police_station", "junction_name", "road_class"], tuple(_DIM))
 
 
+@register("D5_segment_means", "SELECT segment_id, round(lat_mean, 9) AS lat_mean, round(lon_mean, 9) AS lon_mean FROM dim")
+def d5_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(dimension(spark, sf_dir).select("segment_id", "lat_mean", "lon_mean"), 9)
+
+
 @register("D6_approval_rate", "SELECT police_station, round(coalesce(count(*) FILTER (lower(trim(validation_status)) = 'approved')::DOUBLE / nullif(count(*) FILTER (lower(trim(validation_status)) IN ('approved', 'rejected')), 0), 0.5), 6) AS approval_rate FROM violations GROUP BY 1")
 def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(facts.approval_rates(view(spark, sf_dir, "violations")))

@@ -21,3 +21,38 @@ def roads(elements: DataFrame) -> DataFrame:
     out = ways.drop("nodes").join(lines, "id").withColumn("road_class", road_class_of_highway(F.col("osm_highway")))
     points = F.transform("p", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
     return out.select(F.concat(F.lit("osm_way_"), F.col("id").cast("string")).alias("segment_id"), F.col("id").alias("osm_way_id"), "osm_highway", "road_class", R.lookup(F.col("road_class"), R.ROAD_WIDTH, 6.0).alias("road_width_m"), F.coalesce("road_name", F.lit("")).alias("road_name"), points.alias("points"))
+
+
+def points(elements: DataFrame) -> DataFrame:
+    """poi_id, poi_type, name, lat, lon from rows (type, id, lat, lon, center, tags): the own place, else the centre; rows without a place or a known type go."""
+    from ..operators.tags import poi_type_of_tags
+
+    lat, lon = F.coalesce("lat", F.col("center.lat")), F.coalesce("lon", F.col("center.lon"))
+    rows = elements.select(F.concat_ws(":", F.lit("osm"), "type", F.col("id").cast("string")).alias("poi_id"), poi_type_of_tags(F.col("tags")).alias("poi_type"), F.try_element_at("tags", F.lit("name")).alias("name"), lat.alias("lat"), lon.alias("lon"))
+    return rows.where("poi_type is not null and lat is not null and lon is not null")
+
+
+def point_features(text: DataFrame) -> DataFrame:
+    """name, poi_type, lat, lon from JSON text in column value: a FeatureCollection, {"pois": [...]} or a bare list; only points with two coordinates. Unreadable text gives no row."""
+    feature = "struct<geometry: struct<type: string, coordinates: array<double>>, properties: struct<name: string, poi_type: string>>"
+    poi = "struct<name: string, poi_type: string, lat: double, lon: double>"
+    f = text.select(F.explode(F.from_json("value", f"features array<{feature}>")["features"]).alias("f")).where("f.geometry.type = 'Point' and size(f.geometry.coordinates) >= 2")
+    f = f.select("f.properties.name", "f.properties.poi_type", F.col("f.geometry.coordinates")[1].alias("lat"), F.col("f.geometry.coordinates")[0].alias("lon"))
+    bare = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{poi}>"))
+    p = text.select(F.explode(F.coalesce(bare, F.from_json("value", f"pois array<{poi}>")["pois"])).alias("p")).select("p.name", "p.poi_type", "p.lat", "p.lon")
+    return f.unionByName(p).where("lat is not null and lon is not null")
+
+
+def parking(elements: DataFrame) -> DataFrame:
+    """parking_id, kind (polygon, line or point), capacity_tag from rows (type, id, lat, lon, geometry, tags): a closed ring of four points or more is a polygon, two points a line, else the own place. An id counts once."""
+    g = F.col("geometry")
+    closed = (F.size(g) >= 4) & (F.element_at(g, 1) == F.element_at(g, -1))
+    kind = F.when(closed, "polygon").when(F.size(g) >= 2, "line").when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), "point")
+    tag = F.coalesce(*[F.nullif(F.trim(F.try_element_at("tags", F.lit(k))), F.lit("")) for k in ("capacity", "capacity:car", "capacity:cars", "capacity:motorcar", "capacity:motor_vehicle")])
+    rows = elements.select(F.concat_ws(":", F.lit("osm"), "type", F.col("id").cast("string")).alias("parking_id"), kind.alias("kind"), tag.alias("capacity_tag"))
+    return rows.where("kind is not null").dropDuplicates(["parking_id"])
+
+
+def write_cache(rows: DataFrame, path: str, kind: str, version: str) -> None:
+    """A versioned Parquet cache, partitioned by ``kind``."""
+    rows.withColumn("cache_version", F.lit(version)).write.mode("overwrite").partitionBy(kind).parquet(path)

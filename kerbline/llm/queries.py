@@ -61,4 +61,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_simhash, op5_rules, op6_mixing, op7_warc, op8_urls, op9_html, op10_media)}
-ORACLES = {"op6_mixing": mixing.SQL}
+ORACLES = {"op6_mixing": mixing.SQL, "op7_warc": warc.SQL}

@@ -259,7 +259,7 @@ def archive(pages: DataFrame, folder: str, least: int = 0) -> None:
 
     Of the pages with equal payloads of at least ``least`` bytes, that with the smallest page_id is a response, the
     others are revisits of it; shorter ones and rows without an id are responses. Null html is empty.
-    Repeated rows of a response's page_id are responses too. Only ids and digests are grouped: the one
+    Repeated rows of a response are responses too; a page_id with several payloads gives a record for each. Only ids and digests are grouped: the one
     shuffle that carries html is dealt by page_id.
     """
     register(pages.sparkSession)
@@ -270,8 +270,8 @@ def archive(pages: DataFrame, folder: str, least: int = 0) -> None:
     again = ids.join(firsts, "sha").where(F.col("page_id") != F.col("first")).where(F.col("payload_bytes") >= least)
     sha = F.to_binary("sha", F.lit("hex"))
     again = again.select(F.lit("revisit").alias("record_type"), _name("page_id"), F.col("url").alias("target_uri"), _name("first").alias("refers_to"), _base32(sha).alias("payload_digest"), "payload_bytes", F.lit(None).cast("binary").alias("payload"))
-    keys = firsts.select(F.col("first").alias("page_id"))
-    whole = pages.join(keys, "page_id", "left_semi").unionByName(pages.where(F.col("page_id").isNull() | (F.length("payload") < least)))
+    keys = firsts.select(F.col("first").alias("page_id"), "sha")
+    whole = pages.withColumn("sha", F.sha1("payload")).join(keys, ["page_id", "sha"], "left_semi").drop("sha").unionByName(pages.where(F.col("page_id").isNull() | (F.length("payload") < least)))
     none = F.lit(None).cast("string")
     whole = whole.select(F.lit("response").alias("record_type"), _name("page_id"), F.col("url").alias("target_uri"), none.alias("refers_to"), none.alias("payload_digest"), F.lit(None).cast("long").alias("payload_bytes"), "payload")
     order = SCHEMA_NAMES
@@ -298,3 +298,14 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
     got = spark.read.format("warc").option("verify", "true").option("payload", "false").load(folder)
     number = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(-?\d*)$", 1), F.lit("")).cast("long")
     return got.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+#: DuckDB's own computation of what ``archive`` and ``read_back`` give.
+SQL = """
+WITH h AS (SELECT CAST(page_id AS BIGINT) AS page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS sha FROM pages),
+f AS (SELECT sha, min(page_id) AS first FROM h GROUP BY sha)
+SELECT page_id, payload_bytes,
+ list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(sha, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS BIGINT), 1) FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h JOIN f USING (sha)
+"""

@@ -45,11 +45,14 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, cycle: tup
 
 
 def queue(docs: DataFrame, seed: int = 0, share: float = SHARE, most: int = MOST, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default doc_id) with ticket (the row's number), size, source_size, target and ``before``: the words queued ahead of the document in its source's shuffle."""
-    keep = keep or ["doc_id"]
+    """doc_id, ticket (the row's number), size, source_size, target and ``before``: the words queued ahead of the document in its source's shuffle.
+
+    The columns ``keep`` travel in one struct, kept, so that no name of theirs clashes.
+    """
+    kept = [F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("ticket"), *[c for c in keep if c not in ("doc_id", "source")])
+    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("ticket"), *kept)
     rows = staged(rows).withColumn("bucket", F.substring("key", 1, DIGITS))
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -59,7 +62,7 @@ def queue(docs: DataFrame, seed: int = 0, share: float = SHARE, most: int = MOST
     totals = totals.join(goals, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "ahead", "source_size", "target")
     rows = rows.join(totals, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))).select(*keep, "ticket", "size", "source_size", "target", "before")
+    return rows.withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))).select("doc_id", *(["kept"] if keep else []), "ticket", "size", "source_size", "target", "before")
 
 
 def _served(start: Column) -> Column:
@@ -70,7 +73,7 @@ def _served(start: Column) -> Column:
 def mix(docs: DataFrame, seed: int = 0, share: float = SHARE, most: int = MOST, keep: list[str] | None = None) -> DataFrame:
     """Copies in the mix, range-sorted by virtual finish time and cut at the budget.
 
-    ``keep`` with ticket (the row's number), size, source_size, target, copy (0, 1, ...), finish, taken (the copy's words in the mix). Copies that
+    doc_id, with ``keep`` the struct kept, ticket (the row's number), size, source_size, target, copy (0, 1, ...), finish, taken (the copy's words in the mix). Copies that
     the budget doesn't reach are left out, but copy 0 of a document stays with taken 0, so that every row of
     ``docs`` is told. Null texts have size 0. Rows with the same doc_id are queued one after the other.
     """
@@ -83,12 +86,14 @@ def mix(docs: DataFrame, seed: int = 0, share: float = SHARE, most: int = MOST,
 
 def mixed_documents(docs: DataFrame, seed: int = 0, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mix as rows of ``docs``' columns: a document comes once per copy taken; a cut copy keeps its first words, and n_chars follows."""
-    plain = [c for c in docs.columns if c != "n_chars"]
     m = mix(docs, seed, share, most, docs.columns).where("taken > 0 or size = 0")
-    cut = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "), 1, F.col("taken").cast("int")), " ")
-    m = m.withColumn("text", F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("text")))
-    chars = F.when(F.col("taken") < F.col("size"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return m.select(*plain, *([chars.alias("n_chars")] if chars is not None else [])).select(*docs.columns)
+    kept = {c: F.col("kept").getField(c) for c in docs.columns}
+    is_cut = F.col("taken") < F.col("size")
+    words = F.split(F.trim(F.regexp_replace(kept["text"], r"[\x20\x09-\x0D]+", " ")), " ")
+    kept["text"] = F.when(is_cut, F.array_join(F.slice(words, 1, F.col("taken").cast("int")), " ")).otherwise(kept["text"])
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(is_cut, F.length(kept["text"]).cast(dict(docs.dtypes)["n_chars"])).otherwise(kept["n_chars"])
+    return m.select(*[v.alias(c) for c, v in kept.items()])
 
 
 def mixing(docs: DataFrame, seed: int = 0) -> DataFrame:

@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE, seed: in
 
 
 def graded(docs: DataFrame, fitted: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """``keep`` with expected_grade and tail_prob = P(grade >= 1) of each whole text."""
+    """k0, k1, ... (the columns ``keep``, so that no name of theirs clashes) with expected_grade and tail_prob = P(grade >= 1) of each whole text."""
     w, theta = fitted
     kinds, names = dict(docs.dtypes), [f"k{i}" for i in range(len(keep))]
 
@@ -117,14 +117,14 @@ def graded(docs: DataFrame, fitted: tuple[np.ndarray, np.ndarray], keep: list[st
             yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(keep))), pa.array(over.sum(1)), pa.array(over[:, 0])], [*names, "expected_grade", "tail_prob"])
 
     schema = ", ".join([f"{n} {kinds[k]}" for n, k in zip(names, keep, strict=True)] + ["expected_grade double", "tail_prob double"])
-    return short_batches(docs).select("text", *keep).mapInArrow(run, schema).select(*[F.col(n).alias(k) for n, k in zip(names, keep, strict=True)], "expected_grade", "tail_prob")
+    return short_batches(docs).select("text", *keep).mapInArrow(run, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, per_grade: int = PER_GRADE) -> DataFrame:
     """doc_id, expected_grade (0..2), tail_prob, kept (tail_prob >= ``least``) for each row. Null and empty texts have no features: their score is zero."""
-    return graded(docs, fit(docs, labels, per_grade), ["doc_id"]).withColumn("kept", F.col("tail_prob") >= least)
+    return graded(docs, fit(docs, labels, per_grade), ["doc_id"]).withColumnRenamed("k0", "doc_id").withColumn("kept", F.col("tail_prob") >= least)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose tail probability is at least ``least``, with all their columns."""
-    return graded(docs, fit(docs, labels), docs.columns).where(F.col("tail_prob") >= least).select(*docs.columns)
+    """The rows of ``docs`` whose tail probability is at least ``least``, with all their columns, whatever these are called."""
+    return graded(docs, fit(docs, labels), docs.columns).where(F.col("tail_prob") >= least).drop("expected_grade", "tail_prob").toDF(*docs.columns)

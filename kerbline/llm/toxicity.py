@@ -196,7 +196,7 @@ class Evidence(dict):
 
 
 def evidence(docs: DataFrame, weights: dict[int, float], model: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` and the two strongest hits of each text (null: empty)."""
+    """k0, k1, ... (the columns ``keep``, so that no name of theirs clashes) and the two strongest hits of each text (null: empty)."""
     kinds = dict(docs.dtypes)
     names = [f"k{i}" for i in range(len(keep))]
 
@@ -208,8 +208,7 @@ def evidence(docs: DataFrame, weights: dict[int, float], model: np.ndarray, keep
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in both], pa.float64()), pa.array([x for _, x in both], pa.float64())], [*names, "first", "second"])
 
     schema = ", ".join([f"{n} {kinds[k]}" for n, k in zip(names, keep, strict=True)] + ["first double", "second double"])
-    out = short_batches(docs).select("text", *keep).mapInArrow(score, schema)
-    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keep, strict=True)], "first", "second")
+    return short_batches(docs).select("text", *keep).mapInArrow(score, schema)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -232,22 +231,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
     whole, half = lexicon(sample, model, sizes)
     rows = evidence(sample.where("half = 1"), half, model, ["grade"]).collect()  # at most two per_class rows of three numbers
     x = np.array([[r["first"], r["second"]] for r in rows]).reshape(-1, 2)
-    return {"model": model, "weights": whole, "logit": calibrate(x, np.array([float(r.grade) for r in rows]))}
+    return {"model": model, "weights": whole, "logit": calibrate(x, np.array([float(r.k0) for r in rows]))}
 
 
 def score(docs: DataFrame, fitted: dict, keep: list[str]) -> DataFrame:
-    """``keep`` with ``score`` in 0..1 for each text. Null and empty texts have no evidence and get the lowest score."""
+    """k0, k1, ... (the columns ``keep``) with ``score`` in 0..1 for each text. Null and empty texts have no evidence and get the lowest score."""
     b, first, second = map(float, fitted["logit"])
     z = F.lit(b) + first * F.col("first") + second * F.col("second")
-    return evidence(docs, fitted["weights"], fitted["model"], keep).select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
+    return evidence(docs, fitted["weights"], fitted["model"], keep).select(*[f"k{i}" for i in range(len(keep))], (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``; repeated rows give repeated results, null ids stay null."""
-    scored = score(docs, fit(docs, labels, per_class), ["doc_id"])
+    scored = score(docs, fit(docs, labels, per_class), ["doc_id"]).withColumnRenamed("k0", "doc_id")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    return score(docs, fit(docs, labels), docs.columns).where(F.col("score") < threshold).select(*docs.columns)
+    """The rows of ``docs`` that score below ``threshold``, with all their columns, whatever these are called."""
+    return score(docs, fit(docs, labels), docs.columns).where(F.col("score") < threshold).drop("score").toDF(*docs.columns)

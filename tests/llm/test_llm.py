@@ -243,6 +243,16 @@ def test_mixing(spark, docs, empty):
 
 
 # --- op7
+def test_warc_oracle(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF}/pages.parquet')")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({warc.SQL})").fetchall()
+    assert sorted(map(tuple, queries.op7_warc(spark, SF).select(names).collect())) == sorted(want)
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a/", "<p>x</p>"), (1, None, "<p>x</p>"), (2, "http://b/%\r\n", ""), (4, "u", None), (9, "u", "WARC/1.1\r\n\r\n" * 5), (7, "u", "é" * 100000)]
     p = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -257,6 +267,9 @@ def test_warc_round_trip(spark):
     raw = spark.read.format("warc").load(folder)
     assert {r.payload.decode() for r in raw.where("record_type = 'response'").collect()} == {t or "" for _, _, t in rows}
     assert raw.where("record_id = 'urn:page:2'").first().target_uri == "http://b/%\r\n"
+    again = spark.createDataFrame([(1, "u", "a"), (2, "u", "b"), (2, "u", "a"), (None, None, "a")], "page_id long, url string, html string")
+    warc.archive(again, folder + "-again")
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.read_back(spark, folder + "-again").collect()) == [(0, "response", None), (1, "response", None), (2, "response", None), (2, "revisit", 1)]
     warc.archive(p.limit(0), folder + "-none")
     assert warc.read_back(spark, folder + "-none").count() == 0
 
@@ -326,6 +339,18 @@ def test_media_peaks_of_a_tone():
     assert (media.peaks(tone)[:, 0] == 20).all()
 
 
+# --- names that the operators use themselves
+CLASHING = ["size", "key", "ticket", "kept", "bucket", "copy", "taken", "target", "first", "second", "k0", "expected_grade", "tail_prob", "component_id", "fp", "grade"]
+
+
+def test_clashing_names(docs, labels):
+    many = docs.withColumns({n: F.lit("x") for n in CLASHING})
+    for plain, wide in ((mixing.mixed_documents(docs), mixing.mixed_documents(many)), (toxicity.keep_clean(docs, labels), toxicity.keep_clean(many, labels)), (quality.keep_good(docs, labels), quality.keep_good(many, labels)), (simhash.keep_one(docs), simhash.keep_one(many))):
+        assert wide.columns == many.columns
+        assert sorted(map(str, wide.select(docs.columns).collect())) == sorted(map(str, plain.collect()))
+        assert wide.where(" or ".join(f"{n} != 'x'" for n in CLASHING)).isEmpty()
+
+
 # --- pipeline
 def test_pipeline(spark):
     import corpus_pipeline as cp

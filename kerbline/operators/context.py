@@ -86,3 +86,11 @@ def attach_volume(segments: DataFrame, volumes: DataFrame) -> DataFrame:
     name = next(c for c in VOLUMES if c in volumes.columns)
     sums = volumes.groupBy("segment_id").agg(F.greatest(F.lit(0.0), F.sum(F.col(name).cast("double"))).alias("volume"))
     return segments.join(sums, "segment_id", "left").fillna(0.0, ["volume"])
+
+
+def merge_features(segments: DataFrame, spatial: DataFrame, parking: DataFrame) -> DataFrame:
+    """``segments`` with spatial and parking columns; where a segment has none, distances to places are 5000 m and all else is 0."""
+    far = {c: 5000.0 for c in spatial.columns if c.startswith("dist_to_")}
+    none = {c: 0 for c in spatial.columns if c.startswith(("poi_count_", "poi_gravity_"))}
+    rows = segments.join(spatial, "segment_id", "left").fillna(far | none)
+    return rows.join(parking, "segment_id", "left").fillna({c: 0.0 for c in parking.columns if c != "segment_id"})

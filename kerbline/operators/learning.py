@@ -54,14 +54,29 @@ def rank_and_calibrate(train: DataFrame, rows: DataFrame, cutoff_days: int = 14,
     return platt.transform(one.transform(scored)).withColumn("priority", vector_to_array("_p")[1]).drop("_s", "_p", "_r", "_c")
 
 
-def contributions(rows: DataFrame, coefficients: dict[str, float], key: list[str], positive: int = 5, negative: int = 3) -> DataFrame:
-    """The strongest coefficient * (value - mean) of each row: ``positive`` upward and ``negative`` downward."""
+def impacts(rows: DataFrame, coefficients: dict[str, float], key: list[str]) -> DataFrame:
+    """key, feature, impact: coefficient * (value - mean) of each feature that moves the row's forecast."""
     names = list(coefficients)
     means = rows.agg(*[F.avg(c).alias(f"_m_{c}") for c in names])
     wide = rows.join(F.broadcast(means)).withColumns({f"_c_{c}": coefficients[c] * (F.col(c) - F.col(f"_m_{c}")) for c in names})
-    tall = wide.select(*key, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(f"_c_{c}", 9).alias("impact")) for c in names])).alias("f")).select(*key, "f.*").where("impact != 0")
+    return wide.select(*key, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(f"_c_{c}", 9).alias("impact")) for c in names])).alias("f")).select(*key, "f.*").where("impact != 0")
+
+
+def contributions(rows: DataFrame, coefficients: dict[str, float], key: list[str], positive: int = 5, negative: int = 3) -> DataFrame:
+    """The strongest impacts of each row: ``positive`` upward and ``negative`` downward."""
     n = F.row_number().over(W.partitionBy(*key, F.col("impact") > 0).orderBy(F.desc(F.abs("impact")), "feature"))
-    return tall.withColumn("n", n).where(F.when(F.col("impact") > 0, F.col("n") <= positive).otherwise(F.col("n") <= negative))
+    return impacts(rows, coefficients, key).withColumn("n", n).where(F.when(F.col("impact") > 0, F.col("n") <= positive).otherwise(F.col("n") <= negative))
+
+
+def explanation_cuts(tall: DataFrame, key: list[str], served: tuple[int, int] = (5, 3), told: tuple[int, int] = (3, 1), largest: int = 15, shown: int = 3, least: float = 0.05) -> DataFrame:
+    """``tall`` impacts with flags: served and told (so many upward and downward), largest (by size), shown (the first of those served that are over ``least``)."""
+    upward, order = F.col("impact") > 0, [F.desc(F.abs("impact")), "feature"]
+    by_sign, by_size = (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) for keys in ([*key, upward], key))
+    rows = tall.withColumns({"_s": by_sign, "_n": by_size})
+    within = lambda cut: F.when(upward, F.col("_s") <= cut[0]).otherwise(F.col("_s") <= cut[1])
+    seen = upward & (F.col("impact") > least) & (F.col("_s") <= min(shown, served[0]))  # upward ones over the bar come first by size
+    flags = {"served": within(served), "told": within(told), "largest": F.col("_n") <= largest, "shown": seen}
+    return rows.select(*tall.columns, *[v.cast("int").alias(k) for k, v in flags.items()])
 
 
 def ablations(rows: DataFrame, baselines: dict[str, float], key: list[str], predict) -> DataFrame:

@@ -62,6 +62,11 @@ def match_roads(points: DataFrame, roads: DataFrame, reach: float = 0.002, penal
     return met.withColumn("cost", cost).groupBy("id").agg(F.min_by(F.struct("segment_id", "osm_highway", "distance_deg"), F.struct("cost", "segment_id")).alias("m")).select("id", "m.*")
 
 
+def attach_geometry(events: DataFrame, matched: DataFrame, roads: DataFrame) -> DataFrame:
+    """``events`` with their road (matched: id, segment_id) and its points; events without a road keep null."""
+    return events.join(matched.select("id", "segment_id"), "id", "left").join(roads.select("segment_id", "points"), "segment_id", "left")
+
+
 def active_events(segments: DataFrame, hours: DataFrame, calendar: DataFrame) -> DataFrame:
     """For each segment and hour: events under way, and the nearest one's distance, decayed impact, venue and label.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import core, live, more, rest
+from .plans import core, last, live, more, rest
 
-QUERIES: dict = {**core.QUERIES, **live.QUERIES, **rest.QUERIES}
-ORACLES: dict = {**core.ORACLES, **live.ORACLES, **rest.ORACLES}
+QUERIES: dict = {**core.QUERIES, **live.QUERIES, **rest.QUERIES, **last.QUERIES}
+ORACLES: dict = {**core.ORACLES, **live.ORACLES, **rest.ORACLES, **last.ORACLES}
 for _name, _of in more.QUERIES_ALIAS.items():
     QUERIES[_name], ORACLES[_name] = QUERIES[_of], ORACLES[_of]

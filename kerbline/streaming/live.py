@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import refdata as R
+from ..operators import spatial
 
 
 def segment_hours(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -68,6 +69,33 @@ def upsert(table: str, key: str, order: str):
     return run
 
 
+def rescore(table: str, live, score):
+    """A foreachBatch function that joins each batch with ``live()``, read anew, and keeps ``score`` of it in ``table``; a batch that runs again replaces its own rows.
+
+    ``live()`` gives segment_id, target_hour and congestion; rows that it lacks have a congestion of 1.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = batch.join(live(), ["segment_id", "target_hour"], "left").fillna(1.0, ["congestion"])
+        score(rows).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return run
+
+
+def refresh_ripples(table: str, **reach):
+    """A foreachBatch function that keeps the ripples of each batch, which holds whole hours, in ``table``."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spatial.ripples(batch, **reach).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return run
+
+
+def run_batches(stream: DataFrame, function, checkpoint: str, mode: str = "append") -> None:
+    """Runs ``function`` over what is there."""
+    stream.writeStream.foreachBatch(function).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs ``stream`` over what is there, into Parquet under ``folder``, and reads the result."""
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()

@@ -11,7 +11,7 @@ from kerbline.functions import geo
 from kerbline.operators import clean, scoring, tags
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["B5_violation_severity", "D2_class_counts", "C7_lags_with_fallback", "C12_radius_counts", "C9_active_events", "I13_action", "D17_binary_quality", "G3_negative_samples", "F3_publication", "C1_map_matching"]
+NAMES = ["B5_violation_severity", "D2_class_counts", "C7_lags_with_fallback", "C12_radius_counts", "C9_active_events", "I13_action", "D17_binary_quality", "G3_negative_samples", "F3_publication", "C1_map_matching", "A9_stations", "A10_top_csv", "C3_attach_geometry", "F5_explanation_cuts", "J2_live_rescoring", "J6_feedback_accuracy"]
 
 
 def plain(v):

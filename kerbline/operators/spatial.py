@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import refdata as R
+from ..llm.common import staged
 
 
 def ring_nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, size: float, keep: list[str], group: str | None = None) -> DataFrame:
@@ -47,19 +48,50 @@ def radius_counts(points: DataFrame, pois: DataFrame, key: str) -> DataFrame:
 
 
 def match_roads(points: DataFrame, roads: DataFrame, reach: float = 0.002, penalties: dict[str, float] | None = None) -> DataFrame:
-    """Each point's road: of those whose envelope meets the point's box, the one of least distance plus class penalty.
+    """Each point's road: of those whose envelope meets the point's box, the one of least distance plus class penalty; where none does, the plain nearest.
 
-    points: id, lon, lat. roads: segment_id, osm_highway, points (lon, lat). A road is placed in each grid cell of its envelope
-    grown by ``reach``; a point looks into its own cell. Points without a candidate are left for ``ring_nearest``.
+    points: id, lon, lat. roads: segment_id, osm_highway, points (lon, lat). Without penalties (an empty dict) it is the nearest
+    road everywhere: a best distance over ``reach`` isn't final, as a road outside the box may be nearer. What is left
+    retries in boxes four times as wide, until each best distance lies within its box. Points without finite coordinates have no road.
+    """
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))  # noqa: E731 - NaN is over infinity
+    todo = points.select("id", "lon", "lat").where(finite("lon") & finite("lat"))
+    roads = roads.where(F.size("points") > 1)
+    cost = F.round(F.col("distance_deg") + R.lookup(F.col("osm_highway"), R.SNAP_PENALTY if penalties is None else penalties, 0.0), 12) if penalties != {} else F.col("distance_deg")
+    tried = staged(_best_in_box(todo, roads, reach, cost))
+    final = F.col("m").isNotNull()
+    if penalties == {}:
+        final = final & _within(reach)
+    found = tried.where(final)
+    todo = tried.where(~final)
+    if not roads.isEmpty():
+        while not todo.isEmpty():
+            reach *= 4
+            tried = staged(_best_in_box(todo.select("id", "lon", "lat"), roads, reach, F.col("distance_deg")))
+            final = F.col("m").isNotNull() & _within(reach)
+            found, todo = found.unionByName(tried.where(final)), tried.where(~final)
+    return found.select("id", "m.*")
+
+
+def _within(reach: float) -> Column:
+    """Whether no road outside the box can be as near: its distance is over ``reach``, and distances are rounded to 12 digits."""
+    return F.coalesce(F.col("m.distance_deg") < reach - 1e-11, F.lit(False))
+
+
+def _best_in_box(points: DataFrame, roads: DataFrame, reach: float, cost: Column) -> DataFrame:
+    """id, lon, lat and the road ``m`` of least ``cost`` whose envelope meets the point's box, or null.
+
+    A road is placed in each grid cell of its envelope grown by ``reach``; a point looks into its own cell.
     """
     lons, lats = F.transform("points", lambda p: p["lon"]), F.transform("points", lambda p: p["lat"])
     box = roads.withColumns({"x1": F.array_min(lons) - reach, "x2": F.array_max(lons) + reach, "y1": F.array_min(lats) - reach, "y2": F.array_max(lats) + reach})
     cell = lambda c: F.floor(c / reach)
     placed = box.withColumn("cx", F.explode(F.sequence(cell(F.col("x1")), cell(F.col("x2"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("y1")), cell(F.col("y2")))))
-    met = points.withColumns({"cx": cell(F.col("lon")), "cy": cell(F.col("lat"))}).join(placed, ["cx", "cy"]).where("lon between x1 and x2 and lat between y1 and y2")
-    met = met.withColumn("distance_deg", F.round(geo.polyline_distance(F.col("lon"), F.col("lat"), F.col("points")), 12))
-    cost = F.round(F.col("distance_deg") + R.lookup(F.col("osm_highway"), R.SNAP_PENALTY if penalties is None else penalties, 0.0), 12) if penalties != {} else F.col("distance_deg")
-    return met.withColumn("cost", cost).groupBy("id").agg(F.min_by(F.struct("segment_id", "osm_highway", "distance_deg"), F.struct("cost", "segment_id")).alias("m")).select("id", "m.*")
+    at = points.withColumns({"px": cell(F.col("lon")), "py": cell(F.col("lat"))})
+    met = at.join(placed, F.expr("px = cx and py = cy and lon between x1 and x2 and lat between y1 and y2"), "left")
+    met = met.withColumn("distance_deg", F.round(geo.polyline_distance(F.col("lon"), F.col("lat"), F.col("points")), 12)).withColumn("cost", cost)
+    best = F.min_by(F.struct("segment_id", "osm_highway", "distance_deg"), F.when(F.col("distance_deg").isNotNull(), F.struct("cost", "segment_id")))
+    return met.groupBy("id").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"), best.alias("m"))
 
 
 def attach_geometry(events: DataFrame, matched: DataFrame, roads: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from kerbline import registry
 from kerbline.functions import geo
-from kerbline.operators import clean, scoring, tags
+from kerbline.functions import refdata as R
+from kerbline.operators import clean, scoring, spatial, tags
+from kerbline.plans import more
+from kerbline.plans.sql import case, oracle
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["B5_violation_severity", "D2_class_counts", "C7_lags_with_fallback", "C12_radius_counts", "C9_active_events", "I13_action", "D17_binary_quality", "G3_negative_samples", "F3_publication", "C1_map_matching", "A9_stations", "A10_top_csv", "C3_attach_geometry", "F5_explanation_cuts", "J2_live_rescoring", "J6_feedback_accuracy"]
@@ -34,6 +37,35 @@ def test_matches_oracle(spark, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str) == wanted
 
 
+@pytest.mark.parametrize("name", ["C1_map_matching", "C2_nearest_edge", "C3_attach_geometry"])
+def test_every_event_has_its_road(spark, name):
+    """Over all pairs, by the reference's rule: the box holds the candidates of C1; where it has none, and in C2 always, the plain nearest."""
+    import duckdb
+
+    con = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
+    cost = "d" if name == "C2_nearest_edge" else f"CASE WHEN inside THEN round(d + {case('osm_highway', R.SNAP_PENALTY, 0.0)}, 12) ELSE d END"
+    first = "" if name == "C2_nearest_edge" else "inside DESC, "
+    pairs = f"SELECT e.id, ln.road, ln.osm_highway, lon1, lat2, {more._DIST} AS d, {more._BOX} AS inside FROM cleaned1 e, (SELECT segment_id AS road, osm_highway, lon1, lat1, lon2, lat2 FROM roads) ln"
+    shown = "round(lon1, 9), round(lat2, 9)" if name == "C3_attach_geometry" else "round(d, 9)"
+    wanted = con.execute(oracle(f"SELECT id, road, {shown} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {first}{cost}, road) AS n FROM ({pairs})) WHERE n = 1")).fetchall()
+    columns = ["id", "segment_id", "lon1", "lat2"] if name == "C3_attach_geometry" else ["id", "segment_id", "distance_deg"]
+    got = registry.QUERIES[name](spark, SF).select(*columns).collect()
+    assert sorted((tuple(map(plain, r)) for r in got), key=str) == sorted((tuple(map(plain, r)) for r in wanted), key=str)
+    assert len({r.id for r in got}) == con.execute(oracle("SELECT count(*) FROM cleaned1")).fetchone()[0]
+
+
+def test_nearest_road_is_not_the_diagonal_one_of_the_box(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 50.0), (3, None, 0.0), (4, float("nan"), 0.0)], "id long, lon double, lat double")
+    line = lambda x1, y1, x2, y2: [(x1, y1), (x2, y2)]
+    roads = spark.createDataFrame([("far", "primary", line(0.0019, 0.0019, 0.0019, 0.01)), ("near", "primary", line(0.0021, -1.0, 0.0021, 1.0)), ("dot", "primary", [(0.0, 0.0)])], "segment_id string, osm_highway string, points array<struct<lon double, lat double>>")
+    named = lambda p: {r.id: r.segment_id for r in spatial.match_roads(points, roads, penalties=p).collect()}
+    assert named({}) == {1: "near", 2: "near"}
+    assert named(None) == {1: "far", 2: "near"}
+    assert spatial.match_roads(points, roads.limit(0)).count() == 0
+
+
 def one(spark, **columns):
     return lambda *out: spark.range(1).select(*[v.alias(k) for k, v in columns.items()]).select(*out).first()
 

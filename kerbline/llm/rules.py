@@ -1,7 +1,7 @@
 """Quality rules: base counts of a text, and the likelihood ratio of its hashed n-grams under target and raw multinomials.
 
-The raw multinomial counts every document; the target one counts trusted documents (labelled good and
-not toxic, at most ``TRUSTED`` of them). A text's ratio is the mean over its byte n-grams of
+The raw multinomial counts every document; the target one counts every trusted document (labelled good and
+not toxic). A text's ratio is the mean over its byte n-grams of
 log p_target - log p_raw; texts under ``THRESHOLD`` are rejected.
 """
 
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from .common import short_batches
 
 GRAM, BINS = 4, 1 << 16
-#: Labelled rows that the target multinomial counts.
-TRUSTED = 20_000
 THRESHOLD = -0.6
 SYMBOLS = "#*$%&|<>"
 STEP = 1 << 20
@@ -34,10 +32,12 @@ def _hashed(text: str) -> Iterator[np.ndarray]:
         yield h >> np.uint32(16)
 
 
-def ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.ndarray:
-    """log p_target - log p_raw of each bin; all zero where nothing is trusted. Add-one smoothing."""
-    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64(F.lit(5), F.col("doc_id")), "doc_id").limit(trusted).withColumn("good", F.lit(True))
+def ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """log p_target - log p_raw of each bin; all zero where nothing is trusted. Add-one smoothing.
+
+    Trusted ids have no bound, so texts are dealt out by id and meet only their share of them; each text passes once, unsorted.
+    """
+    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, BINS), np.int64)
@@ -51,7 +51,8 @@ def ratios(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.nda
         seen = np.flatnonzero(n[0])
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[0, seen]), pa.array(n[1, seen])], ["bin", "raw", "target"])
 
-    marked = short_batches(docs).select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", "good")
+    known = F.col("doc_id").isNotNull() & (F.coalesce("doc_id", F.xxhash64("text")) == F.col("trusted_id"))  # null ids are spread and match none
+    marked = short_batches(docs).select("doc_id", "text").join(good.hint("shuffle_hash"), known, "left").select("text", F.col("trusted_id").isNotNull().alias("good"))
     rows = marked.mapInArrow(count, "bin int, raw long, target long").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.ones(BINS), np.ones(BINS)
     for r in rows.collect():  # at most BINS rows
@@ -88,12 +89,12 @@ def _base(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - spaces, sum(map(text.count, SYMBOLS)), sum(lines.values()) - len(lines), _repeats(words)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept.
 
     Null and empty texts count nothing, fail the base rules and have ratio 0.
     """
-    table = ratios(docs, labels, trusted).astype(np.float32)
+    table = ratios(docs, labels).astype(np.float32)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,6 +143,20 @@ def test_rules_base(spark, docs, labels, empty):
     assert rules.quality_rules(empty, labels.limit(0)).count() == 0
 
 
+def test_rules_count_every_trusted_document(spark):
+    rows = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"))
+    good = rows.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert not rules.ratios(rows, good).any()  # the target is the whole corpus
+    other = rows.unionByName(spark.createDataFrame([(None, "wxyz")] * 3 + [(-1, "wxyz"), (-2, "abcd")], "doc_id long, text string"))
+    more = good.unionByName(good.where("doc_id < 3")).unionByName(spark.createDataFrame([(None, 1, 0), (-2, 1, 1)], "doc_id long, quality int, toxic int"))
+    raw, target = np.ones(rules.BINS), np.ones(rules.BINS)
+    (a,), (b,) = (next(rules._hashed(t)) for t in ("abcd", "wxyz"))
+    raw[a] += 20_501
+    raw[b] += 4
+    target[a] += 20_500
+    assert np.allclose(rules.ratios(other, more), np.log(target / target.sum()) - np.log(raw / raw.sum()), rtol=0, atol=1e-12)
+
+
 # --- op4
 def _fingerprint(text):
     w = (text or "").encode().lower().split()

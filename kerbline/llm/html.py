@@ -4,8 +4,8 @@ Each page's elements are named by their path of tags (with class or id). Pages o
 each path Spark counts the distinct contents and the distinct presentations (tags of the children),
 over the host's different pages. The importance of either is its entropy over the largest entropy that so
 many pages allow; a path with content has the composite importance of its own content and, by a tenth, of
-its parent's presentation. Paths below ``LEAST`` on at least ``PAGES`` different pages are removed from that
-host's pages, so a branch goes where all its content is unimportant.
+its parent's presentation. Text directly in a path below ``LEAST`` on at least ``PAGES`` different pages is removed from
+that host's pages, but not what deeper elements hold; a branch goes where all its content is unimportant.
 
 Entropy alone cannot tell a menu with other links on every page from an article, nor a passage that
 many articles quote from a notice. So elements that state their purpose (nav, footer, aside, form, an advert's or
@@ -24,11 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import short_batches, staged
 
 LEAST, PAGES, BLEND = 0.3, 8, 0.1
-#: Tasks at most that a host's pages are spread over.
-SALTS = 256
 # HTML's elements by their parts in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -168,28 +166,28 @@ def parse(html: str) -> tuple[list[tuple[str, bool, bool, bool, str]], list[tupl
     return blocks, styles
 
 
-def main_text(html: str | None, removed: frozenset[str] | set[str] = frozenset()) -> str:
-    """The blocks that no removed branch holds, by one newline each: after the tree's decision, those that the page itself hides or, where it marks an article, has outside go too."""
-    blocks, _ = parse(html or "")
+def _shown(blocks: list[tuple[str, bool, bool, bool, str]]) -> list[tuple[str, str]]:
+    """(path, text) of the blocks that the page neither hides nor, where it marks an article, has outside."""
     marked = any(a and not d for _, a, d, _, _ in blocks)
-    return "\n".join(t for path, inside, dropped, _, t in blocks if not dropped and (inside or not marked) and not _under(path, removed))
+    return [(path, t) for path, inside, dropped, _, t in blocks if not dropped and (inside or not marked)]
+
+
+def main_text(html: str | None, removed: frozenset[str] | set[str] = frozenset()) -> str:
+    """The page's shown blocks whose path isn't removed, by one newline each."""
+    return "\n".join(t for path, t in _shown(parse(html or "")[0]) if path not in removed)
 
 
-def _under(path: str, removed: frozenset[str] | set[str]) -> bool:
-    """Whether ``path`` or a branch above it is removed."""
-    while path:
-        if path in removed:
-            return True
-        path = path.rpartition("/")[0]
-    return False
+def _key(blocks: list[tuple[str, bool, bool, bool, str]]) -> int:
+    """A page's blocks with their paths as a number. Where two pages share one, they share the removed paths of both, which changes neither."""
+    return xxhash.xxh64_intdigest("\n".join(f"{path}\t{t}" for path, *_, t in blocks).encode(errors="replace")) - 2**63
 
 
 def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, purposed, importance) of the merged trees. Pages with the same blocks count once, so copies don't make their article look like a notice."""
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """(host, page, key, path, kind, node) of each page's paths: ``page`` and ``node`` are hashes of the page's and the path's content."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh64_intdigest
@@ -197,42 +195,65 @@ def style_tree(pages: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 blocks, styles = parse(html.as_py() or "")
-                page = h("\n".join(t for *_, t in blocks).encode(errors="replace")) - 2**63
+                page, key = h("\n".join(t for *_, t in blocks).encode(errors="replace")) - 2**63, _key(blocks)
                 nodes: dict[tuple[str, str], list[str]] = {}
                 for path, inside, _, named, t in blocks:
                     nodes.setdefault((path, "purpose" if named else "article" if inside else "content"), []).append(t)
                 for path, tags in styles:
                     nodes.setdefault((path, "style"), []).append(tags)
-                out += [(host, page, path, kind, h("\n".join(v).encode(errors="replace")) - 2**63) for (path, kind), v in nodes.items()]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["host", "page", "path", "kind", "node"])
+                out += [(host, page, key, path, kind, h("\n".join(v).encode(errors="replace")) - 2**63) for (path, kind), v in nodes.items()]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["host", "page", "key", "path", "kind", "node"])
+
+    return short_batches(pages).select(_host(F.col("url")).alias("host"), "html").mapInArrow(walk, "host string, page long, key long, path string, kind string, node long")
+
 
-    nodes = short_batches(pages).select(_host(F.col("url")).alias("host"), "html").mapInArrow(walk, "host string, page long, path string, kind string, node long")
-    counts = nodes.distinct().groupBy("host", "path", "kind", "node").agg(F.count("*").alias("n"))
+def style_tree(nodes: DataFrame) -> DataFrame:
+    """(host, path, pages, importance) of the content in the merged trees, without elements of another purpose. Pages with the same blocks count once, so copies don't make their article look like a notice."""
+    counts = nodes.where("kind != 'purpose'").select("host", "page", "path", "kind", "node").distinct().groupBy("host", "path", "kind", "node").agg(F.count("*").alias("n"))
     merged = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.log("pages") - F.col("s") / F.col("pages")
     merged = merged.select("host", "path", "kind", "pages", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("own"))
     parents = merged.where("kind = 'style'").select("host", F.col("path").alias("parent"), F.col("own").alias("style"))
     content = merged.where("kind != 'style'").withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
     composite = (1 - BLEND) * F.col("own") + BLEND * F.coalesce("style", F.lit(0.0))
-    importance = F.when(F.col("kind") == "purpose", 0.0).when(F.col("kind") == "article", F.greatest(composite, F.lit(1.0))).otherwise(composite)
-    return content.join(parents, ["host", "parent"], "left").select("host", "path", "pages", (F.col("kind") == "purpose").alias("purposed"), importance.alias("importance"))
+    importance = F.when(F.col("kind") == "article", F.greatest(composite, F.lit(1.0))).otherwise(composite)
+    rows = content.join(parents, ["host", "parent"], "left").select("host", "path", "pages", importance.alias("importance"))
+    return rows.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max("importance").alias("importance"))
+
+
+def weak_paths(tree: DataFrame, least: float = LEAST, least_pages: int = PAGES) -> DataFrame:
+    """(host, path) whose own content is unimportant, or that lie in a branch where all content is: a branch is as important as the most important path in it."""
+    weak = (F.col("importance") < least) & (F.col("pages") >= least_pages)
+    tree = tree.where("path != ''")
+    above = F.expr("transform(sequence(2, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
+    placed = tree.select("host", "path", "pages", "importance", F.explode(above).alias("branch"))
+    branches = placed.groupBy("host", "branch").agg(F.max("pages").alias("pages"), F.max("importance").alias("importance")).where(weak).select("host", "branch")
+    return tree.where(weak).select("host", "path").unionByName(placed.select("host", "path", "branch").join(branches, ["host", "branch"]).select("host", "path")).distinct()
 
 
 def extract(pages: DataFrame, least: float = LEAST, least_pages: int = PAGES) -> DataFrame:
     """page_id, url, text, n_chars for each row. Null html is empty; a null url belongs to the host without a name; repeated rows give repeated results.
 
-    The removed paths of a host travel to its pages ``SALTS`` times, so that a hot host's pages go to as many tasks.
+    A page meets just those removed paths that it has itself, however many its host has.
     """
-    weak = style_tree(pages).where((F.col("importance") < least) & (F.col("purposed") | (F.col("pages") >= least_pages)))
-    weak = weak.groupBy("host").agg(F.collect_set("path").alias("removed")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    nodes = staged(page_nodes(pages))
+    own = nodes.where("kind in ('content', 'article')").select("host", "key", "path").distinct()
+    removed = own.join(weak_paths(style_tree(nodes), least, least_pages), ["host", "path"]).groupBy("host", "key").agg(F.collect_set("path").alias("removed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py(), frozenset(r.as_py() or ())) for h, r in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    joined = short_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), _host(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt")).join(weak, ["host", "salt"], "left")
-    return joined.select("page_id", "url", "html", "removed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
-
-
+            keys, paths, texts = [], [], []
+            for html in batch.column(3):
+                blocks, _ = parse(html.as_py() or "")
+                shown = _shown(blocks)
+                keys.append(_key(blocks))
+                paths.append([p for p, _ in shown])
+                texts.append([t for _, t in shown])
+            kinds = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(keys, pa.int64()), pa.array(paths, kinds), pa.array(texts, kinds)], ["page_id", "url", "host", "key", "paths", "texts"])
+
+    shown = short_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), _host(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, host string, key long, paths array<string>, texts array<string>")
+    kept = F.expr("if(removed is null, texts, filter(texts, (t, i) -> not array_contains(removed, paths[i])))")
+    text = shown.join(removed, ["host", "key"], "left").select("page_id", "url", F.concat_ws("\n", kept).alias("text"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))

@@ -337,6 +337,24 @@ def test_html_style_tree(spark):
     assert got[3] == "Own text number 3" and got[99] == ""
 
 
+def test_html_keeps_what_lies_below_a_repeated_text(spark):
+    pages = [
+        "<body><a href=#>Top</a><article><p>Story {0} of many</p></article></body>",
+        "<body><div class=post>Filed under news<p>Words {0} of an unmarked story</p></div><div class=end><p>Write to us</p><p>Bye</p></div></body>",
+        "<body><div class=notice>All rights</div><div id=n{0}><p>Own {0}</p></div></body>",
+    ]
+    rows = [(100 * k + i, f"http://h{k}.test/{i}", p.format(i)) for k, p in enumerate(pages) for i in range(20)]
+    got = {r.page_id: (r.text, r.n_chars) for r in html.extract(spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        for k, want in enumerate((f"Story {i} of many", f"Words {i} of an unmarked story", f"Own {i}")):
+            assert got[100 * k + i] == (want, len(want))
+
+
+def test_html_branch_goes_as_a_whole(spark):
+    tree = spark.createDataFrame([("h", "/a", 9, 0.1), ("h", "/a/b", 3, 0.0), ("h", "/c", 9, 0.1), ("h", "/c/d", 2, 1.0), ("h", "/e", 5, 0.0), ("g", "/a", 9, 0.9), ("h", "/ab", 9, 0.9)], "host string, path string, pages long, importance double")
+    assert {tuple(r) for r in html.weak_paths(tree).collect()} == {("h", "/a"), ("h", "/a/b"), ("h", "/c")}
+
+
 # --- op10
 def test_media(docs, empty):
     for r in media.media(docs).collect():

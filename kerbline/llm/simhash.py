@@ -10,7 +10,9 @@ near each such number.
 At a shingle similarity of 0.8, texts differ in about 15 of 100 bits, which is too many for blocks that are sure
 to be shared. ``similar`` therefore takes 256 bits and splits them into ``WIDE_BLOCKS`` blocks in each of
 ``ORDERS`` orders: pairs share a block with high probability (README has the recall), and the Hamming
-distance over all 256 bits decides.
+distance over all 256 bits decides. There, a key with over ``SLICE`` members is cut into slices, and each two slices
+are compared in a task of their own, so that all pairs meet and none needs the whole key in memory. Spark counts
+the keys beforehand.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ DISTANCE = 4
 #: Any number over DISTANCE gives the same links. More blocks mean more, rarer keys: 8 suits over 10**8 distinct texts.
 BLOCKS = 6
 BUCKET = 4096
+#: Members of a key that are compared at once are at most about twice as many.
+SLICE = 16384
 #: Of the wide fingerprints. 39 of 256 bits is what a shingle similarity of 0.8 leaves on average.
 WIDE, WIDE_DISTANCE, ORDERS, WIDE_BLOCKS = 256, 39, 4, 14
 #: Keys up to so many members are compared all at once.
@@ -132,12 +136,26 @@ def _walk(fps: np.ndarray, distance: int) -> np.ndarray:
     return label
 
 
-def _linked(keyed: DataFrame, distance: int, bucket: int | None) -> DataFrame:
-    """Pairs (a, b) of ``rep`` that span the linked sets of each key of (rep, fp, choice, bits); b is null for members of keys over ``bucket``.
+def _over(keyed: DataFrame, most: int) -> DataFrame:
+    """(choice, bits, n) of the keys with over ``most`` members, written out: Spark broadcasts it only where its real size allows."""
+    return staged(keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > most))
 
-    Keys are dealt out and sorted by Spark; a task holds one batch and one key at a time.
+
+def _sliced(keyed: DataFrame, most: int) -> DataFrame:
+    """``keyed`` with a column slot: one for a key of up to ``most`` members; larger ones have one for each two of their slices, with the members of both."""
+    slices = F.ceil(F.coalesce("n", F.lit(1)) / most)
+    mine = F.pmod(F.xxhash64("rep"), F.col("slices"))
+    rows = keyed.join(_over(keyed, most), ["choice", "bits"], "left").withColumn("slices", slices).withColumn("mine", mine)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).where("slices = 1 or mine != other")
+    return rows.select("rep", "fp", "choice", "bits", (F.least("mine", "other") * F.col("slices") + F.greatest("mine", "other")).alias("slot"))
+
+
+def _linked(keyed: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of ``rep`` that span the linked sets of each key of (rep, fp, choice, bits, slot).
+
+    Keys are dealt out and sorted by Spark; a task holds one batch and one key at a time, so keys must be bounded.
     """
-    keyed = keyed.select("rep", "choice", "bits", "fp").repartition("choice", "bits").sortWithinPartitions("choice", "bits", "rep")
+    keyed = keyed.select("rep", "choice", "bits", "fp", "slot").repartition("choice", "bits", "slot").sortWithinPartitions("choice", "bits", "slot", "rep")
 
     def words(column: pa.Array) -> np.ndarray:
         if pa.types.is_int64(column.type):
@@ -147,19 +165,9 @@ def _linked(keyed: DataFrame, distance: int, bucket: int | None) -> DataFrame:
     def pairs(rep: np.ndarray, fps: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(rep)]])
-        over = np.zeros(len(rep), bool)
-        if bucket is not None:
-            big = last - first > bucket
-            over = np.repeat(big, last - first)
-            first, last = first[~big], last[~big]
-        kept = np.flatnonzero(~over)
-        size = last - first
-        ends = np.cumsum(size)
-        label = kept[_stars(fps[kept], ends - size, ends, distance)] if len(kept) else kept
-        moved = kept[label != kept]
-        a = np.concatenate([rep[moved], rep[over]])
-        b = pa.concat_arrays([pa.array(rep[label[label != kept]], pa.int64()), pa.nulls(int(over.sum()), pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b], ["a", "b"])
+        label = _stars(fps, first, last, distance)
+        moved = np.flatnonzero(label != np.arange(len(rep)))
+        return pa.RecordBatch.from_arrays([pa.array(rep[moved], pa.int64()), pa.array(rep[label[moved]], pa.int64())], ["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows of the last key so far
@@ -167,7 +175,7 @@ def _linked(keyed: DataFrame, distance: int, bucket: int | None) -> DataFrame:
             if not len(batch):
                 continue
             rep, fps = batch.column(0).to_numpy(), words(batch.column(3))
-            key = np.stack([batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()], axis=1)
+            key = np.stack([batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy(), batch.column(4).to_numpy()], axis=1)
             same = (key == key[-1]).all(1)
             tail = len(key) - (np.flatnonzero(~same)[-1] + 1 if not same.all() else 0)
             split = len(key) - tail
@@ -194,9 +202,10 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, b
         mask = sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in chosen)
         keys.append(F.struct(F.lit(number).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("bits")))
     keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select(F.col("fp").alias("rep"), "fp", "key.choice", "key.bits")
-    found = staged(_linked(keyed, distance, bucket))
-    crowded = found.where("b is null").select("a").distinct()
-    return found.where("b is not null").unionByName(_through_middles(crowded, distance)).distinct()
+    over = _over(keyed, bucket)
+    crowded = staged(keyed.join(over, ["choice", "bits"], "left_semi").select(F.col("rep").alias("a")).distinct())
+    rest = keyed.join(over, ["choice", "bits"], "left_anti").withColumn("slot", F.lit(0).cast("long"))
+    return _linked(rest, distance).unionByName(_through_middles(crowded, distance)).distinct()
 
 
 def _through_middles(fps: DataFrame, distance: int) -> DataFrame:
@@ -247,7 +256,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, shingle: int = 5, distance: int = WIDE_DISTANCE, orders: int = ORDERS, blocks: int = WIDE_BLOCKS) -> DataFrame:
+def similar(docs: DataFrame, shingle: int = 5, distance: int = WIDE_DISTANCE, orders: int = ORDERS, blocks: int = WIDE_BLOCKS, most: int = SLICE) -> DataFrame:
     """doc_id, component_id for each row with an id: texts whose ``shingle``-word shingles have a similarity of about 0.8 or more are linked.
 
     Null and empty texts are equal to each other and linked. Rows with a null doc_id are left out.
@@ -270,7 +279,7 @@ def similar(docs: DataFrame, shingle: int = 5, distance: int = WIDE_DISTANCE, or
                         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(np.full(len(batch), o * blocks + b, np.int32)), pa.array(value, pa.int64())], ["rep", "fp", "choice", "bits"])
 
     keyed = classes.select("fp", "rep").mapInArrow(keys, "rep long, fp binary, choice int, bits long")
-    roots = components(_linked(keyed, distance, None).select("a", "b")).withColumnRenamed("fp", "rep")
+    roots = components(_linked(_sliced(keyed, most), distance)).withColumnRenamed("fp", "rep")
     named = classes.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "component_id")
 

@@ -238,6 +238,23 @@ def test_similar_and_keep_one(spark, docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_large_keys_are_cut_into_bounded_ones(spark):
+    draw = random.Random(3)
+    fps = [draw.getrandbits(64) for _ in range(6)]
+    while len(fps) < 150:
+        fps.append(fps[draw.randrange(len(fps))] ^ 1 << draw.randrange(64))
+    fps = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
+    keyed = spark.createDataFrame([(f, f, 0, 0) for f in fps] + [(f, f, 1, 7) for f in fps[:20]], "rep long, fp long, choice int, bits long")
+    cut = simhash._sliced(keyed, 20).cache()
+    assert {tuple(r) for r in cut.where("choice = 1").groupBy("slot").count().collect()} == {(0, 20)}
+    assert cut.groupBy("choice", "bits", "slot").count().agg(F.max("count")).first()[0] <= 70
+    whole = keyed.withColumn("slot", F.lit(0).cast("long"))
+    assert set(simhash.components(simhash._linked(cut, 4)).collect()) == set(simhash.components(simhash._linked(whole, 4)).collect())
+    text = [f"w{i}" for i in range(200)]
+    d = spark.createDataFrame([(k, " ".join([*text[:k], "x", *text[k + 1 :]])) for k in range(60)], "doc_id long, text string")
+    assert sorted(simhash.similar(d, most=4).collect()) == sorted(simhash.similar(d).collect())
+
+
 # --- op6
 def test_mixing(spark, docs, empty):
     d = spark.read.parquet(f"{SF}/documents.parquet")

@@ -1,7 +1,7 @@
 """Media columns: a payload stored as WAV, and spectral-peak pair fingerprints of what is read back.
 
 The payload becomes the 8-bit samples of a mono WAV. Frames of ``FRAME`` samples, half overlapping, go
-through a short-time Fourier transform; in each frame the strongest bin of each of ``BANDS`` bands is a
+through a short-time Fourier transform, the samples padded with silence to whole steps so that the last frame covers the end; in each frame the strongest bin of each of ``BANDS`` bands is a
 peak where it stands out of the frame's mean. Each peak is paired with the peaks of the next ``FAN``
 frames that have the same band or its neighbour; pairs are hashes of (bin, bin, time between) with the time of the first.
 """
@@ -52,9 +52,9 @@ def from_wav(media: bytes) -> bytes:
 def peaks(samples: bytes) -> np.ndarray:
     """Bin of each frame's peak in each band, 0 where nothing stands out; frames x BANDS."""
     x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[:: FRAME // 2]
+    step = FRAME // 2
+    x = np.pad(x, (0, max(FRAME, -(-len(x) // step) * step) - len(x)))
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::step]
     out = np.zeros((len(frames), BANDS), np.int64)
     for at in range(0, len(frames), STEP):
         power = np.abs(np.fft.rfft(frames[at : at + STEP] * WINDOW, axis=1))

@@ -382,6 +382,16 @@ def test_media(docs, empty):
     assert media.media(empty).count() == 0
 
 
+def test_media_frames_cover_the_end():
+    silence = bytes([128]) * 256
+    t = np.arange(64)
+    tone = (128 + 100 * np.sin(2 * np.pi * 40 * t / media.FRAME)).astype(np.uint8).tobytes()
+    assert len(media.peaks(silence + tone)) == 2 and media.peaks(silence + tone)[-1].any()
+    other = (128 + 100 * np.sin(2 * np.pi * 90 * t / media.FRAME)).astype(np.uint8).tobytes()
+    assert (media.peaks(silence + tone) != media.peaks(silence + other)).any()
+    assert [len(media.peaks(bytes(n))) for n in (64, 256, 320, 384, 448)] == [1, 1, 2, 2, 3]
+
+
 def test_media_peaks_of_a_tone():
     t = np.arange(4096)
     tone = (127 + 100 * np.sin(2 * np.pi * 20 * t / media.FRAME)).astype(np.uint8).tobytes()

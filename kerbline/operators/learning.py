@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..llm.common import staged
+
 FEATURES = ("hour_sin", "hour_cos", "dow_sin", "dow_cos", "lag_1h_total", "lag_24h_total", "lag_168h_total", "segment_hour_mean")
 
 
@@ -30,6 +32,7 @@ def poisson_chain(train: DataFrame, rows: DataFrame, targets: list[str], feature
         train = parts[0]
         for p in parts[1:]:
             train = train.unionByName(p)
+        train = staged(train)  # each target would repeat the plan ``folds`` times otherwise
         seen.append(f"pred_{t}")
     return rows
 

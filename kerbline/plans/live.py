@@ -40,8 +40,8 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def h1_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = feature_rows(spark, sf_dir)
-    out = learning.poisson_chain(train, test, list(R.COUNTS[:3]))
-    return out.select("segment_id", "target_hour", *[f"pred_{c}" for c in R.COUNTS[:3]])
+    out = learning.poisson_chain(train, test, list(R.COUNTS), folds=5)
+    return out.select("segment_id", "target_hour", *[f"pred_{c}" for c in R.COUNTS])
 
 
 def h2_priority(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,13 @@ def test_nearest_road_is_not_the_diagonal_one_of_the_box(spark):
     assert spatial.match_roads(points, roads.limit(0)).count() == 0
 
 
+def test_every_count_is_forecast(spark):
+    rows = registry.QUERIES["H1_poisson_chain"](spark, SF)
+    names = [f"pred_{c}" for c in R.COUNTS]
+    assert rows.columns == ["segment_id", "target_hour", *names] and len(names) == 6
+    assert all(r[n] is not None and 0 <= r[n] < float("inf") for r in rows.collect() for n in names)
+
+
 def one(spark, **columns):
     return lambda *out: spark.range(1).select(*[v.alias(k) for k, v in columns.items()]).select(*out).first()
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import refdata as R
+from ..functions import shared
 from ..operators import calendar, facts, history, learning, metrics
 from ..streaming import live
 from . import core
@@ -19,9 +17,8 @@ ORACLES: dict = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share, or a local one where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/live-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return shared.folder(spark, "live")
 
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import folder, running_sum, shared_dir, spread_join, staged  # noqa: F401
+
 #: Words are runs of anything but these six bytes; ``bytes.split()`` cuts at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,24 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: later steps restart from it when an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, with its session's batches to Python held to ``rows`` rows: texts are long, and a worker holds a batch whole."""
     if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

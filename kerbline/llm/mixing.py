@@ -1,12 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing, with built-in functions only.
 
-Each source gets a target share of the budget. Its documents, shuffled by a hash, queue up as often as
-the target may need; a copy's virtual start and finish are the words of its source up to it, divided by
-the source's target. Sorted by finish, the queues interleave in proportion to the targets, and at
-virtual time 1 every source has been served its target, so that is where the budget ends. Only the
-copies being served at that moment are cut.
+Each source gets a target share of the budget. Its documents, shuffled by a hash, queue up as often as the target may
+need. A word's virtual finish time is the words of its source up to and with it, divided by the source's target. In the order of
+finish over all sources, the mix ends where the budget is spent, so each source is served its target.
 
-Running sums go through a table of (source, hash bucket) totals, so no task holds a whole source.
+As in fair queueing of a network, what is sorted are packets, of ``PACKET`` words at most (most documents are one or a few): they
+are range-sorted by finish and their words summed up. Only the packets at the end of the budget, a few of each source, are
+cut into words, which are sorted and summed up the same way.
+
+All running sums, of a source's words, of packets and of the last words, go over range partitions, so no task holds a source or the table.
 """
 
 from __future__ import annotations
@@ -15,12 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, running_sum, staged
 
 SHARE, MOST = 1.5, 2
 CYCLE = (3, 1, 2)
-#: Hexadecimal digits of the shuffling hash that name a bucket.
-DIGITS = 3
+#: Words of a packet at most.
+PACKET = 256
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
@@ -44,67 +46,83 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, cycle: tup
     return t.select("source", "source_size", target.alias("target"))
 
 
-def queue(docs: DataFrame, seed: int = 0, share: float = SHARE, most: int = MOST, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, ticket (the row's number), size, source_size, target and ``before``: the words queued ahead of the document in its source's shuffle.
-
-    The columns ``keep`` travel in one struct, kept, so that no name of theirs clashes.
-    """
+def queue(docs: DataFrame, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
+    """Each row's ticket (its number), doc_id, source, size and shuffling key, staged; the columns ``keep`` come in one struct, kept, so that no name of theirs clashes."""
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    named = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), named).cast("binary")), 1, 15), 16, 10).cast("long")
     kept = [F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("ticket"), *kept)
-    rows = staged(rows).withColumn("bucket", F.substring("key", 1, DIGITS))
-    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
-    goals = targets(rows, share, most)
-    goals = goals.select(F.col("source").alias("s"), "source_size", "target")
-    totals = totals.join(goals, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "ahead", "source_size", "target")
-    rows = rows.join(totals, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))).select("doc_id", *(["kept"] if keep else []), "ticket", "size", "source_size", "target", "before")
-
-
-def _served(start: Column) -> Column:
-    """Words of a copy that the budget reaches: its part up to virtual time 1."""
-    return F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - start))
-
-
-def mix(docs: DataFrame, seed: int = 0, share: float = SHARE, most: int = MOST, keep: list[str] | None = None) -> DataFrame:
-    """Copies in the mix, range-sorted by virtual finish time and cut at the budget.
-
-    doc_id, with ``keep`` the struct kept, ticket (the row's number), size, source_size, target, copy (0, 1, ...), finish, taken (the copy's words in the mix). Copies that
-    the budget doesn't reach are left out, but copy 0 of a document stays with taken 0, so that every row of
-    ``docs`` is told. Null texts have size 0. Rows with the same doc_id are queued one after the other.
-    """
-    q = queue(docs, seed, share, most, keep)
-    q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("copy"))
-    start = F.col("copy") * F.col("source_size") + F.col("before")
-    q = q.withColumn("finish", F.try_divide(start + F.col("size"), F.col("target"))).withColumn("taken", _served(start))
-    return q.drop("before").where("taken > 0 or copy = 0").orderBy(F.col("finish").asc_nulls_first(), "doc_id", "copy")
+    rows = docs.select(F.monotonically_increasing_id().alias("ticket"), F.col("doc_id"), F.col("source"), words.alias("size"), key.alias("key"), *kept)
+    return staged(rows)
+
+
+def packets(line: DataFrame, goals: DataFrame, most: int = MOST, packet: int = PACKET) -> DataFrame:
+    """The packets of ``most`` copies of each document of ``line``: ticket, key, doc_id, copy, begin (words queued ahead of it in its source), words, target, finish."""
+    rows = line.where("size > 0").join(goals, F.col("source").eqNullSafe(F.col("s"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(packet).cast("long")))
+    rows = rows.withColumn("at", at).withColumn("words", F.least(F.lit(packet).cast("long"), F.col("size") - F.col("at")))
+    rows = rows.withColumn("begin", F.col("copy") * F.col("source_size") + F.col("before") + F.col("at"))
+    return rows.select("ticket", "key", "doc_id", "copy", "begin", "words", "target", ((F.col("begin") + F.col("words")) / F.col("target")).alias("finish"))
+
+
+def served(queued: DataFrame, budget: DataFrame, packet: int = PACKET) -> DataFrame:
+    """(ticket, taken) of the documents that the budget reaches, from all ``packets``; ``budget`` has one row: budget, sources."""
+    order = ["finish", "key", "doc_id", "copy", "begin", "ticket"]
+    line = staged(running_sum(queued, order, "words", "ahead"))
+    # before ``sure`` no word is left out: what the packets being served there can hold is still within the budget; nothing is taken from packets after ``end``
+    whole = F.col("ahead") + F.col("words") <= F.col("budget") - F.col("sources") * packet
+    marks = line.join(F.broadcast(budget), F.lit(True)).groupBy("budget").agg(F.coalesce(F.max(F.when(whole, F.col("finish"))), F.lit(-1.0)).alias("sure"), F.max(F.when(F.col("ahead") < F.col("budget"), F.col("finish"))).alias("end"))
+    marks = staged(marks)  # one row
+    line = line.join(F.broadcast(marks), F.lit(True))
+    sure = line.where("finish <= sure").select("ticket", "words")
+    spent = marks.join(F.broadcast(sure.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("spent"))), F.lit(True)).select((F.col("budget") - F.col("spent")).alias("rest"))
+    last = line.where("finish > sure and begin / target < end").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("words"))))
+    last = last.select("ticket", "key", "doc_id", "copy", (F.col("begin") + F.col("i")).alias("begin"), ((F.col("begin") + F.col("i")) / F.col("target")).alias("finish"), F.lit(1).cast("long").alias("words"))
+    last = running_sum(last, order, "words", "ahead").join(F.broadcast(spent), F.col("ahead") < F.col("rest")).select("ticket", "words")
+    return sure.unionByName(last).groupBy("ticket").agg(F.sum("words").alias("taken"))
+
+
+def mix(queued: DataFrame, share: float = SHARE, most: int = MOST, packet: int = PACKET) -> DataFrame:
+    """doc_id, ticket, size, source_size, target for each row of ``queue``, and taken: the words of its copies that the budget reaches in the order of finish."""
+    line = staged(running_sum(queued.select("ticket", "doc_id", "source", "size", "key"), ["key", "doc_id", "size", "ticket"], "size", "before", group="source"))
+    goals = targets(line, share, most).select(F.col("source").alias("s"), "source_size", "target")
+    budget = line.agg(F.floor(F.coalesce(F.sum("size"), F.lit(0)) * F.lit(min(share, float(most)))).alias("budget")).join(F.broadcast(goals.agg(F.count("*").alias("sources"))), F.lit(True))
+    taken = served(packets(line, goals, most, packet), budget, packet)
+    rows = line.join(goals, F.col("source").eqNullSafe(F.col("s"))).join(taken, "ticket", "left")
+    return rows.select("doc_id", "ticket", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """The mix as rows of ``docs``' columns: a document comes once per copy taken; a cut copy keeps its first words, and n_chars follows."""
-    m = mix(docs, seed, share, most, docs.columns).where("taken > 0 or size = 0")
+    """The mix as rows of ``docs``' columns: a document comes once per copy taken; a cut copy keeps its first words, and n_chars follows.
+
+    Documents without words are in it once. The texts are shuffled once, to meet their taken words.
+    """
+    queued = queue(docs, seed, docs.columns)
+    m = mix(queued, share, most).where("taken > 0 or size = 0").select("ticket", "size", "taken")
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
+    m = queued.select("ticket", "kept").join(m, "ticket").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    m = m.withColumn("left", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
     kept = {c: F.col("kept").getField(c) for c in docs.columns}
-    is_cut = F.col("taken") < F.col("size")
+    is_cut = F.col("left") < F.col("size")
     words = F.split(F.trim(F.regexp_replace(kept["text"], r"[\x20\x09-\x0D]+", " ")), " ")
-    kept["text"] = F.when(is_cut, F.array_join(F.slice(words, 1, F.col("taken").cast("int")), " ")).otherwise(kept["text"])
+    kept["text"] = F.when(is_cut, F.array_join(F.slice(words, 1, F.col("left").cast("int")), " ")).otherwise(kept["text"])
     if "n_chars" in kept:
         kept["n_chars"] = F.when(is_cut, F.length(kept["text"]).cast(dict(docs.dtypes)["n_chars"])).otherwise(kept["n_chars"])
     return m.select(*[v.alias(c) for c, v in kept.items()])
 
 
 def mixing(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per row of ``docs``, copies' words added up, from the mix."""
-    m = mix(docs, seed).groupBy("ticket").agg(*[F.min(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum("taken").alias("taken"))
-    return m.drop("ticket")
+    """doc_id, size, source_size, target, taken: one row per row of ``docs``, its copies' words added up.
+
+    Null and empty texts have size 0 and take nothing; an empty table gives no rows. The shuffle goes by doc_id, and where that is
+    null by the text; repeated rows queue one after the other. A null source is a source of its own. Other columns don't matter.
+    """
+    return mix(queue(docs, seed)).drop("ticket")
 
 
 #: DuckDB's own computation of ``mixing``.
 SQL = """
-WITH d AS (SELECT doc_id, source, md5(concat('0:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k,
+WITH d AS (SELECT doc_id, source, CAST('0x' || substr(md5(concat('0:', coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))))), 1, 15) AS BIGINT) AS k,
     CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS weight FROM d GROUP BY source),
 r AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS r, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s),
@@ -112,7 +130,11 @@ l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY r, source NULLS LAST
     / sum(weight) OVER (ORDER BY r, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 f AS (SELECT level FROM l WHERE level <= r ORDER BY r, source NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, least(coalesce((SELECT level FROM f) * weight, cap), cap) AS target FROM l),
-q AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - before)) + greatest(0, least(size, CAST(round(target) AS BIGINT) - source_size - before)) AS BIGINT) AS taken FROM q
+q AS (SELECT d.*, row_number() OVER () AS ticket, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, unnest([0, 1]) AS copy FROM q WHERE size > 0),
+w AS (SELECT *, copy * source_size + before + unnest(range(1, size + 1)) AS pos FROM c),
+o AS (SELECT ticket, row_number() OVER (ORDER BY CAST(pos AS DOUBLE) / target, k, doc_id NULLS FIRST, copy, pos, ticket) AS place FROM w),
+n AS (SELECT ticket, count(*) AS taken FROM o WHERE place <= (SELECT floor(1.5::DOUBLE * sum(size)) FROM d) GROUP BY ticket)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN n USING (ticket)
 """

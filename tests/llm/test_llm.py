@@ -264,8 +264,8 @@ def test_mixing(spark, docs, empty):
         assert 0 <= r.taken <= 2 * r.size
         by.setdefault((r.source_size, r.target), []).append(r.taken)
     assert all(abs(sum(v) - t) <= 1 for (_, t), v in by.items())
-    m = mixing.mix(d).where("taken > 0").select("finish").collect()
-    assert [r.finish for r in m] == sorted(r.finish for r in m)
+    small = mixing.mix(mixing.queue(d), packet=7)
+    assert sorted((r.doc_id, r.taken) for r in small.collect()) == sorted((r.doc_id, r.taken) for r in rows)  # packets only group words
     assert mixing.mixing(docs).count() == len(AWKWARD) and mixing.mixing(empty).count() == 0
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and mixing.mixed_documents(empty).count() == 0
@@ -273,6 +273,25 @@ def test_mixing(spark, docs, empty):
     assert words == sum(r.taken for r in mixing.mixing(docs).collect())
 
 
+def test_mixing_cuts_the_sorted_words_at_the_budget(spark, docs):
+    """Every word of every copy in one list, sorted by virtual finish time and cut at the budget."""
+    d = docs.unionByName(docs.where("doc_id = 3")).unionByName(spark.createDataFrame([(i, "w " * (i % 40), "abc"[i % 3], "en", 1, "x") for i in range(100, 400)], docs.schema))
+    rows = mixing.mixing(d).collect()
+    words = []
+    for q in mixing.mix(mixing.queue(d)).join(_queued(d), ["ticket"]).collect():
+        words += [((c * q.source_size + q.before + i) / q.target, q.key, q.doc_id or 0, c, i, q.ticket) for c in range(2) for i in range(1, q.size + 1)]
+    budget = int(1.5 * sum(r.size for r in rows))
+    taken = {}
+    for w in sorted(words)[:budget]:
+        taken[w[-1]] = taken.get(w[-1], 0) + 1
+    want = sorted((r.doc_id or 0, r.size, taken.get(r.ticket, 0)) for r in mixing.mix(mixing.queue(d)).collect())
+    assert sorted((r.doc_id or 0, r.size, r.taken) for r in rows) == want and sum(r.taken for r in rows) == budget
+
+
+def _queued(d):
+    return mixing.running_sum(mixing.queue(d), ["key", "doc_id", "size", "ticket"], "size", "before", group="source").select("ticket", "key", "before")
+
+
 # --- op7
 def test_warc_oracle(spark):
     import duckdb

@@ -114,6 +114,24 @@ def test_quality_held_out(spark):
     assert right > 0.9
 
 
+def test_cumulative_likelihood_and_its_gradient():
+    draw = np.random.default_rng(3)
+    s, y, theta = draw.normal(size=60), draw.integers(0, 3, 60), np.array([-0.4, 0.9])
+    value, by_s, by_theta = quality.likelihood(s, y, theta)
+    over = 1 / (1 + np.exp(-(s[:, None] - theta)))
+    assert np.allclose(np.exp(value), np.choose(y, [1 - over[:, 0], over[:, 0] - over[:, 1], over[:, 1]]))
+    e = 1e-6
+    assert np.allclose(by_s, (quality.likelihood(s + e, y, theta)[0] - value) / e, atol=1e-4)
+    for k in range(2):
+        assert np.allclose(by_theta[:, k], (quality.likelihood(s, y, theta + e * (np.arange(2) == k))[0] - value) / e, atol=1e-4)
+
+
+def test_thresholds_without_features_are_the_shares():
+    y = np.repeat([0, 1, 2], 50)
+    _, theta = quality._train([(np.zeros(0, np.int64), np.zeros(0))] * 150, y)
+    assert np.allclose(1 / (1 + np.exp(theta)), [2 / 3, 1 / 3], atol=0.01)  # P(grade > 0), P(grade > 1)
+
+
 def test_quality_awkward(docs, labels, empty):
     assert quality.quality(docs, labels).count() == len(AWKWARD)
     assert quality.quality(empty, labels.limit(0)).count() == 0

@@ -24,6 +24,7 @@ from .common import short_batches
 UNIT, RATE = 64, 8000
 FRAME, BANDS, FAN = 256, 4, 3
 STEP = 4096  # frames transformed at a time
+ROWS = 64  # of a batch of media
 STOP = np.linspace(1, FRAME // 2 + 1, BANDS + 1).astype(int)
 WINDOW = np.hanning(FRAME).astype(np.float32)
 
@@ -83,35 +84,51 @@ def fingerprints(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h[order], t[order]
 
 
-ARRAYS = "fp_hashes array<int>, fp_times array<int>"
+def stored(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media: each whole text's payload as a WAV file in a binary column. Null and empty texts have ``UNIT`` zero bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                ids, texts = batch.column(0)[at : at + ROWS], batch.column(1)[at : at + ROWS]
+                made = [payload(t.as_py()) for t in texts]
+                yield pa.RecordBatch.from_arrays([ids, pa.array([n for _, n in made], pa.int64()), pa.array([to_wav(data) for data, _ in made], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-def media(docs: DataFrame, keep_media: bool = True) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, media (WAV), fp_hashes, fp_times, feature.
+    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, fp_hashes array<int>, fp_times array<int>"
+
+
+def features(table: DataFrame, keep_media: bool = True) -> DataFrame:
+    """``table`` (doc_id, n_bytes, media) with what is read back from its WAV files; every sample is in a frame. ``keep_media=False`` leaves the files out.
 
-    ``feature`` is "pairs:sha256" over the time-coded arrays, so equal texts have equal values. Null and empty texts
-    have ``UNIT`` zero bytes. ``keep_media=False`` leaves out the WAV and the arrays. Each text is handled on its own and
-    its spectra a stretch at a time.
+    ``feature`` is "pairs:sha256" over the time-coded arrays fp_hashes and fp_times.
     """
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    names = ["doc_id", "n_bytes", *(x.split()[0] for x in FEATURES.split(", ")), *(["media"] if keep_media else [])]
+
+    def read(wav: bytes) -> tuple:
+        back = from_wav(wav)
+        h, times = fingerprints(back)
+        code = hashlib.sha256(np.stack([h, times]).astype("<i4").tobytes()).hexdigest()
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), f"{len(h)}:{code}", h.astype(np.int32), times.astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 256):  # the WAV bytes of few texts at a time
-                rows = []
-                for doc_id, t in zip(ids[at : at + 256], batch.column(1)[at : at + 256], strict=True):
-                    data, n = payload(t.as_py())
-                    wav = to_wav(data)
-                    back = from_wav(wav)
-                    h, times = fingerprints(back)
-                    code = hashlib.sha256(np.stack([h, times]).astype("<i4").tobytes()).hexdigest()
-                    row = (doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(wav), hashlib.sha256(wav).hexdigest(), f"{len(h)}:{code}")
-                    rows.append((*row, wav, h.astype(np.int32), times.astype(np.int32)) if keep_media else row)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-                columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    schema += f", media binary, {ARRAYS}" * keep_media
-    names = [x.split()[0] for x in schema.split(", ")]
-    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+            for at in range(0, len(batch), ROWS):  # the arrays of few texts at a time
+                part = batch.slice(at, ROWS)
+                columns = list(zip(*(read(m.as_py()) for m in part.column(2)), strict=True)) or [()] * len(kinds)
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays, *([part.column(2)] if keep_media else [])], names)
+
+    return table.mapInArrow(run, "doc_id long, n_bytes long, " + FEATURES + ", media binary" * keep_media)
+
+
+def media(docs: DataFrame, keep_media: bool = True) -> DataFrame:
+    """doc_id, n_bytes and ``features`` of each row's ``stored`` text, equal for equal texts.
+
+    Null ids stay, repeated rows give repeated results, an empty table gives no rows; other columns don't matter. A very long
+    text is a long file, its spectra are made a stretch at a time.
+    """
+    return features(stored(docs), keep_media)

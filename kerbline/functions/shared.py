@@ -40,12 +40,12 @@ def staged(df: DataFrame) -> DataFrame:
 def spread_join(rows: DataFrame, single: DataFrame, keys: list[str], counts: DataFrame, salt: Column, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``single`` (one row for each value of ``keys``) by null-free ``keys``, with hot keys dealt to many tasks.
 
-    ``counts`` has the keys' row counts n, ``salt`` a number that differs among a key's rows. A key with over one in ``HOT`` rows
+    ``counts``, a staged table, has the keys' row counts n, ``salt`` is a number that differs among a key's rows. A key with over one in ``HOT`` rows
     is cut into as many parts as it holds such shares, so the broadcast table of them has fewer than ``HOT`` rows.
     """
     n = F.col("n") * HOT
     total = counts.agg(F.sum("n").alias("total_rows"))
-    hot = staged(counts.join(F.broadcast(total), n > F.col("total_rows")).select(*keys, F.ceil(n / F.col("total_rows")).alias("parts")))
+    hot = counts.join(F.broadcast(total), n > F.col("total_rows")).select(*keys, F.ceil(n / F.col("total_rows")).alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
     left = rows.withColumn("salted", salt).join(F.broadcast(hot), keys, "left").withColumn("part", F.pmod("salted", parts)).drop("parts", "salted")
     right = single.join(F.broadcast(hot), keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")

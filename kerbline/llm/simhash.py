@@ -1,9 +1,10 @@
 """Near duplicates by SimHash: fingerprints of word shingles, matched on pigeonhole blocks.
 
-64-bit fingerprints within ``DISTANCE`` bits agree on at least ``BLOCKS - DISTANCE`` of ``BLOCKS`` blocks.
+64-bit fingerprints within ``DISTANCE`` bits agree on at least ``blocks - DISTANCE`` of any number of blocks.
 Each distinct fingerprint gets one key for each choice of so many blocks; fingerprints with a key in
-common are compared. A key's fingerprints yield a star for each linked set, never all pairs. A key
-with over ``BUCKET`` distinct fingerprints goes an exact linear way instead: two fingerprints are within
+common are compared. A key's fingerprints yield a star for each linked set, never all pairs. More blocks mean more and rarer
+keys, so their number follows from that of the distinct fingerprints; it doesn't change the links. A key
+with over ``BUCKET`` distinct fingerprints, which Spark counts beforehand, goes an exact linear way instead: two fingerprints are within
 4 bits just if some number is within 2 bits of both, so each is linked with the least fingerprint
 near each such number.
 
@@ -26,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, staged
+from .common import short_batches, spread_join, staged
 
 DISTANCE = 4
-#: Any number over DISTANCE gives the same links. More blocks mean more, rarer keys: 8 suits over 10**8 distinct texts.
-BLOCKS = 6
+#: A key's fingerprints that are compared at once; larger keys go the other way, with the same links.
 BUCKET = 4096
+#: Fingerprints of a key, on average, that the number of blocks is chosen for. Any number over DISTANCE gives the same links.
+SHARE = 64
 #: Members of a key that are compared at once are at most about twice as many.
 SLICE = 16384
 #: Of the wide fingerprints. 39 of 256 bits is what a shingle similarity of 0.8 leaves on average.
@@ -71,17 +73,17 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64) -> DataFrame:
-    """doc_id and its whole text's fingerprint ``fp``: a signed long, or, of over 64 bits, binary."""
+def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The numbers ``ids`` of each row and its whole text's fingerprint ``fp``: a signed long, or, of over 64 bits, binary."""
     kind = "long" if bits == 64 else "binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(t.as_py(), shingle, bits) for t in batch.column(1)]
+            fp = [fingerprint(t.as_py(), shingle, bits) for t in batch.column(0)]
             column = pa.array([int.from_bytes(x, "big", signed=True) for x in fp], pa.int64()) if bits == 64 else pa.array(fp, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], column], [*ids, "fp"])
 
-    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, fp {kind}")
+    return short_batches(docs).select("text", *[F.col(c).cast("long") for c in ids]).mapInArrow(run, "".join(f"{c} long, " for c in ids) + f"fp {kind}")
 
 
 def _settled(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -194,8 +196,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
+def blocks_for(n: int, distance: int = DISTANCE) -> int:
+    """The fewest blocks whose keys hold ``SHARE`` of ``n`` random fingerprints or fewer, of up to twice ``distance`` and six."""
+    most = 2 * distance + 6
+    return next((b for b in range(distance + 2, most) if n <= SHARE << 64 * (b - distance) // b), most)
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """Pairs (a, b) of fingerprints that span each set linked at ``distance`` bits or fewer; ``distinct`` has one column fp."""
+    blocks = blocks or blocks_for(distinct.count(), distance)
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     keys = []
     for number, chosen in enumerate(combinations(range(blocks), blocks - distance)):
@@ -209,28 +218,37 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, b
 
 
 def _through_middles(fps: DataFrame, distance: int) -> DataFrame:
-    """Links among ``fps`` (column a) through every number within half of ``distance`` (rounded up) bits of them; exact, linear in rows."""
-    masks = [sum(1 << b for b in bits) for k in range(-(-distance // 2) + 1) for bits in combinations(range(64), k)]
-    spread = fps.select("a", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("m"))
-    spread = spread.select("a", F.col("a").bitwiseXOR(F.col("m")).alias("middle"))
-    least = spread.groupBy("middle").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("middle", "b")
+    """Links among ``fps`` (column a) through numbers between them; exact, linear in rows.
+
+    Two are within ``distance`` bits just if some number is within half of that, rounded down, of one and half, rounded up, of the
+    other. So all within the larger reach of a number are linked with the least one within the smaller reach.
+    """
+    low, high = distance // 2, -(-distance // 2)
+    level = fps.select("a", F.col("a").alias("middle"), F.lit(-1).alias("bit"))
+    spread = level.select("a", "middle", F.lit(True).alias("near"))
+    for k in range(1, high + 1):  # numbers k bits away, by one more bit, in rising order
+        level = level.where("bit < 63").withColumn("bit", F.explode(F.sequence(F.col("bit") + 1, F.lit(63)))).withColumn("middle", F.expr("middle ^ shiftleft(1L, bit)"))
+        spread = spread.unionByName(level.select("a", "middle", F.lit(k <= low).alias("near")))
+    least = spread.groupBy("middle").agg(F.min(F.when(F.col("near"), F.col("a"))).alias("b"), F.max("a").alias("most"), F.min("a").alias("first")).where("b is not null and first < most").select("middle", "b")
     return spread.join(least, "middle").where("a != b").select("a", "b").distinct()
 
 
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """(fp, root): each linked number's least reachable number, by alternating large-star and small-star steps."""
-    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """(fp, root): each linked number's least reachable number, by alternating large-star and small-star steps.
+
+    Edges (a, b) have a > b. A hub, the centre of a large star, holds many edges; joins are dealt so that no task gets a hub whole.
+    """
     edges, before = staged(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     for _ in range(rounds):
         # large star: larger neighbours of a node go to its least neighbour (or itself)
-        near = both(edges)
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # small star: smaller neighbours and the node itself go to the least one
-        large = large.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = staged(small.where("a != b").distinct())
+        ends = edges.select(F.col("b").alias("node"), F.col("b").alias("m"), F.lit(1).alias("n")).unionByName(edges.select(F.col("a").alias("node"), F.col("b").alias("m"), F.lit(0).alias("n")))
+        least = staged(ends.groupBy("node").agg(F.min("m").alias("m"), F.sum("n").cast("long").alias("n")).where("n > 0"))
+        large = spread_join(edges.withColumnRenamed("b", "node"), least.select("node", "m"), ["node"], least.select("node", "n"), F.xxhash64("a")).select("a", F.col("m").alias("b"))
+        # small star: smaller neighbours and the node itself go to the least one; few larger nodes have many smaller ones, and each of those is a hub's edge
+        large = staged(large.distinct())
+        low = staged(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, low.select("a", "m"), ["a"], low.select("a", "n"), F.xxhash64("b")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = staged(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct())
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             break
@@ -240,29 +258,28 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, shingle: int = 4, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int | None = None, shingle: int = 4, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable, itself included) for each row.
 
     Null and empty texts have fingerprint zero and are linked like any other. A null doc_id is never
     a component's id unless all its members are null. Equal texts share a fingerprint, so groups of copies
-    are one class before any comparison.
+    are one class before any comparison; repeated rows give repeated results, an empty table gives no rows, other columns don't matter.
     """
     marked = staged(fingerprints(docs, shingle))
-    classes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links(classes.select("fp"), distance, blocks, bucket))
-    rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def similar(docs: DataFrame, shingle: int = 5, distance: int = WIDE_DISTANCE, orders: int = ORDERS, blocks: int = WIDE_BLOCKS, most: int = SLICE) -> DataFrame:
-    """doc_id, component_id for each row with an id: texts whose ``shingle``-word shingles have a similarity of about 0.8 or more are linked.
-
-    Null and empty texts are equal to each other and linked. Rows with a null doc_id are left out.
-    """
-    marked = staged(fingerprints(docs.where("doc_id is not null"), shingle, WIDE))
-    classes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    rooted = staged(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    ids = staged(ids)
+    named = spread_join(rooted, ids.select("root", "component_id"), ["root"], ids.select("root", "n"), F.xxhash64("fp")).select("fp", "component_id")
+    out = spread_join(marked, named, ["fp"], classes.select("fp", "n"), F.xxhash64("doc_id"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _families(docs: DataFrame, shingle: int, distance: int, orders: int, blocks: int, most: int) -> DataFrame:
+    """ticket, doc_id, root for each row of ``docs`` (with a number of its own, ticket): rows of the same root are linked."""
+    marked = staged(fingerprints(docs, shingle, WIDE, ("ticket", "doc_id")))
+    classes = staged(marked.groupBy("fp").agg(F.min("ticket").alias("rep"), F.count("*").alias("n")))
     draw = np.random.default_rng(64)
     order = [np.arange(WIDE)] + [draw.permutation(WIDE) for _ in range(orders - 1)]
     cuts = [WIDE * i // blocks for i in range(blocks + 1)]
@@ -280,14 +297,28 @@ def similar(docs: DataFrame, shingle: int = 5, distance: int = WIDE_DISTANCE, or
 
     keyed = classes.select("fp", "rep").mapInArrow(keys, "rep long, fp binary, choice int, bits long")
     roots = components(_linked(_sliced(keyed, most), distance)).withColumnRenamed("fp", "rep")
-    named = classes.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "component_id")
+    named = classes.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"))
+    return spread_join(marked, named, ["fp"], classes.select("fp", "n"), F.col("ticket")).select("ticket", "doc_id", "root")
+
+
+def similar(docs: DataFrame, shingle: int = 5, distance: int = WIDE_DISTANCE, orders: int = ORDERS, blocks: int = WIDE_BLOCKS, most: int = SLICE) -> DataFrame:
+    """doc_id, component_id (least doc_id reachable) for each row: texts whose ``shingle``-word shingles have a similarity of about 0.8 or more are linked.
+
+    Null and empty texts are equal to each other and linked. A null doc_id is no component's id unless all its members are null.
+    """
+    rows = staged(_families(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("ticket")), shingle, distance, orders, blocks, most))
+    ids = staged(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
+    return spread_join(rows, ids.select("root", "component_id"), ["root"], ids.select("root", "n"), F.col("ticket")).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's id among ``similar`` ones; rows with a null doc_id stay.
+    """One row of ``docs`` for each group of ``similar`` ones, with all its columns, whatever these are called: that of the least doc_id (null: last).
 
-    Rows that share the kept doc_id stay together: ids tell documents apart.
+    Of repeated rows, and of rows without an id, one stays likewise.
     """
-    first = similar(docs, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("kept")
+    rows = staged(docs.select("doc_id", "text", row, F.monotonically_increasing_id().alias("ticket")))
+    families = _families(rows.select("doc_id", "text", "ticket"), shingle, WIDE_DISTANCE, ORDERS, WIDE_BLOCKS, SLICE)
+    first = families.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "ticket")).getField("ticket").alias("ticket"))
+    kept = rows.select("ticket", "kept").join(first.select("ticket"), "ticket", "left_semi")
+    return kept.select(*[F.col("kept").getField(c).alias(c) for c in docs.columns])

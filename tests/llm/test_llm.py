@@ -214,8 +214,8 @@ def test_simhash_is_brute_force(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [3, 4096])
-def test_links_of_crowded_keys(spark, bucket):
+@pytest.mark.parametrize(("bucket", "distance"), [(3, 4), (4096, 4), (1, 3)])
+def test_links_of_crowded_keys(spark, bucket, distance):
     draw = random.Random(5)
     fps = {draw.getrandbits(64) for _ in range(40)}
     for base in list(fps)[:4]:
@@ -226,15 +226,39 @@ def test_links_of_crowded_keys(spark, bucket):
             fps.add(x)
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    found = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), bucket=bucket))
+    found = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance, bucket=bucket))
     root = {r.fp: r.root for r in found.collect()}
-    want = _roots(fps)
+    want = _roots(fps, distance)
     low = {}
     for f, w in zip(signed, want, strict=True):
         low[w] = min(low.get(w, f), f)
     assert [root.get(f, f) for f in signed] == [low[w] for w in want]
 
 
+def test_no_link_over_an_odd_distance(spark):
+    two = spark.createDataFrame([(0,), (15,)], "fp long")
+    assert simhash.links(two, 3, bucket=1).count() == simhash.links(two, 3).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [5, 8])
+def test_the_number_of_blocks_does_not_change_links(spark, blocks):
+    assert simhash.blocks_for(10**7) == 6 and simhash.blocks_for(10**9) == 7 and simhash.blocks_for(10**12) > 8
+    d = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 150")
+    assert set(simhash.near_duplicates(d, blocks=blocks).collect()) == set(simhash.near_duplicates(d).collect())
+
+
+def test_components_of_hubs_and_chains(spark):
+    star = [(i, 1) for i in range(2, 3000)] + [(5000 + i, 5001 + i) for i in range(9)] + [(i, 4000) for i in range(4001, 4100)]
+    got = {r.fp: r.root for r in simhash.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(2, 3000)} | {5001 + i: 5000 for i in range(9)} | {i: 4000 for i in range(4001, 4100)}
+
+
+def test_keep_one_of_repeated_rows(spark):
+    rows = [(6, "a b c d e f"), (6, "a b c d e f"), (6, "x y z u v w"), (None, "p q r s t u"), (None, "p q r s t u"), (9, "a b c d e f"), (None, None), (None, "")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in got) == [(0, ""), (0, "p"), (6, "a"), (6, "x")]
+
+
 def test_walk_is_exact():
     draw = np.random.default_rng(2)
     base = draw.integers(0, 2**63, (5, 4), dtype=np.uint64)

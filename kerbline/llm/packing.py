@@ -1,14 +1,16 @@
 """Packing into fixed-length sequences: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
 Documents become token ids and one closing id. Whole sequences are cut off first; the remainders are
-dealt to groups by hash and packed by first-fit decreasing. One remainder in eight is *sand*: it
-carries its ids, so it can be cut anywhere, and fills what the others leave free. What is left of a
-group's sand becomes full sequences and then sequences whose lengths are powers of two, which need no
-padding.
+dealt to groups by hash and packed by first-fit decreasing. One remainder in eight is *loose*: it
+carries its ids, so it can be cut anywhere. Loose pieces go through the same tree after the others, largest first; one that
+fits nowhere is cut to the largest room, and what is left of it waits for its turn by size. Before them the group opens sequences for as
+many ids as the others leave no room for: full ones, and then ones whose lengths are powers of two, which need no padding. So loose
+pieces fill every sequence to its end, as long as there are enough of them.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import zlib
@@ -25,8 +27,8 @@ LENGTH = 4096
 CLOSING = 2
 #: Pieces of a group, on average: its memory bound.
 GROUP = 4096
-#: One remainder in so many is sand.
-SAND = 8
+#: One remainder in so many is loose.
+LOOSE = 8
 CACHE = 300_000
 
 
@@ -97,7 +99,7 @@ _CLOSING = array("I", [CLOSING]).tobytes()
 
 
 def tokenised(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
-    """Pieces of each document: doc_id, start, length, ids_crc32, doc_tokens, slot (random, for dealing), sand (ids or null)."""
+    """Pieces of each document: doc_id, start, length, ids_crc32, doc_tokens, slot (random, for dealing), ids (of a loose piece, else null)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -112,24 +114,26 @@ def tokenised(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                 for start in range(0, n, length):
                     piece = data[4 * start : 4 * (start + length)]
                     slot = zlib.crc32(f"{doc_id} {start} {task} {row}".encode())
-                    loose = len(piece) < 4 * length and zlib.crc32(f"sand {doc_id}".encode()) % SAND == 0
+                    loose = len(piece) < 4 * length and zlib.crc32(f"loose {doc_id} {task} {row}".encode()) % LOOSE == 0
                     out.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n, slot, piece if loose else None))
                 row += 1
             columns = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(columns)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "slot", "sand"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(columns)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "slot", "ids"])
 
-    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slot long, sand binary")
+    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, slot long, ids binary")
 
 
 class Tournament:
-    """Leftmost bin with room: a tree whose nodes hold the larger capacity of their two children."""
+    """Leftmost bin with room: a tree whose nodes hold the larger capacity of their two children; at the root, that of all bins."""
 
-    def __init__(self, bins: int, capacity: int):
-        self.leaves = 1 << max(0, bins - 1).bit_length()
-        self.room = [capacity] * (2 * self.leaves)
+    def __init__(self, rooms: list[int]):
+        self.leaves = 1 << max(0, len(rooms) - 1).bit_length()
+        self.room = [0] * self.leaves + rooms + [0] * (self.leaves - len(rooms))
+        for at in reversed(range(1, self.leaves)):
+            self.room[at] = max(self.room[2 * at], self.room[2 * at + 1])
 
     def place(self, size: int) -> int:
-        """Puts ``size`` into the first bin that has room, and returns the bin."""
+        """Puts ``size``, not over the root's room, into the first bin that has room, and returns the bin."""
         room, at = self.room, 1
         while at < self.leaves:
             at *= 2
@@ -144,45 +148,47 @@ class Tournament:
 
 
 def pack_group(pieces: list[tuple], length: int = LENGTH) -> list[tuple]:
-    """Packs one group's pieces (as ``tokenised`` has them, without slot): gives (doc_id, start, length, crc, doc_tokens, bin, offset)."""
+    """Packs one group's pieces (as ``tokenised`` has them, without slot): gives (doc_id, start, length, crc, doc_tokens, bin, offset). Ties go by doc_id (null last) and start."""
     firm = sorted((p for p in pieces if p[5] is None), key=lambda p: (-p[2], p[0] is None, p[0] or 0, p[1]))
-    sand = sorted((p for p in pieces if p[5] is not None), key=lambda p: (p[0] is None, p[0] or 0, p[1]))
-    tree, used, out = Tournament(len(firm), length), [], []
+    loose = [(-p[2], p[0] is None, p[0] or 0, p[1], number, p) for number, p in enumerate(pieces) if p[5] is not None]
+    tree, used, out = Tournament([length] * len(firm)), [], []
+
+    def put(doc_id, start, n, crc, tokens, b):
+        out.append((doc_id, start, n, crc, tokens, b, used[b]))
+        used[b] += n
+
     for doc_id, start, n, crc, tokens, _ in firm:
         b = tree.place(n)
         if b == len(used):
             used.append(0)
-        out.append((doc_id, start, n, crc, tokens, b, used[b]))
-        used[b] += n
-    holes = [(b, length - u) for b, u in sorted(enumerate(used), key=lambda x: (length - x[1], x[0])) if 0 < length - u]
-    rest = max(0, sum(p[2] for p in sand) - sum(room for _, room in holes))
-    sizes = [length] * (rest // length) + [1 << k for k in reversed(range(length.bit_length())) if (rest % length) >> k & 1]
-    holes += [(len(used) + i, room) for i, room in enumerate(sizes)]
-    used += [0] * len(sizes)
-    holes.reverse()
-    for doc_id, start, n, _, tokens, data in sand:
-        at = 0
-        while at < n:
-            b, room = holes.pop()
-            take = min(room, n - at)
-            out.append((doc_id, start + at, take, zlib.crc32(data[4 * at : 4 * (at + take)]), tokens, b, used[b]))
-            used[b], at = used[b] + take, at + take
-            if room > take:
-                holes.append((b, room - take))
+        put(doc_id, start, n, crc, tokens, b)
+    rooms = [length - u for u in used]
+    rest = max(0, -sum(p[0] for p in loose) - sum(rooms))
+    rooms += [length] * (rest // length) + [1 << k for k in reversed(range(length.bit_length())) if (rest % length) >> k & 1]
+    used += [0] * (len(rooms) - len(used))
+    tree = Tournament(rooms)
+    heapq.heapify(loose)
+    while loose:
+        size, *order, start, number, piece = heapq.heappop(loose)
+        doc_id, first, _, _, tokens, data = piece
+        n = min(-size, tree.room[1])
+        put(doc_id, start, n, zlib.crc32(data[4 * (start - first) : 4 * (start - first + n)]), tokens, tree.place(n))
+        if n < -size:
+            heapq.heappush(loose, (size + n, *order, start + n, number, piece))
     return out
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """One row per piece of each document of ``docs``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are the closing id alone. Repeated rows are packed once each; an empty table
-    gives no rows. A group gets about ``group`` pieces whatever the table's size, so a task's memory is bounded.
+    Null and empty texts are the closing id alone, very long ones many pieces. Repeated rows are packed once each, null ids too; an empty table
+    gives no rows; other columns don't matter. A group gets about ``group`` pieces whatever the table's size, so a task's memory is bounded.
     """
     pieces = staged(tokenised(docs, path, length))
     groups = -(-pieces.count() // group) or 1
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sand")), strict=True))
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")), strict=True))
         columns = list(zip(*pack_group(rows, length), strict=True))
         columns[5] = [(key[0].as_py() << 32) + b for b in columns[5]]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])

@@ -99,13 +99,35 @@ def test_packing(spark, docs, empty):
 def test_tournament_is_first_fit():
     draw = random.Random(1)
     sizes = [draw.randint(1, 100) for _ in range(300)]
-    tree, room = packing.Tournament(300, 100), [100] * 300
+    tree, room = packing.Tournament([100] * 300), [100] * 300
     for s in sizes:
         want = next(i for i, r in enumerate(room) if r >= s)
         room[want] -= s
         assert tree.place(s) == want
 
 
+def test_loose_pieces_fill_the_bins():
+    draw = random.Random(4)
+    pieces, ids = [], {}
+    for doc in range(500):
+        n = draw.randint(1, 4096)
+        ids[doc] = draw.randbytes(4 * n)
+        pieces.append((doc, 4096, n, zlib.crc32(ids[doc]), 4096 + n, ids[doc] if doc % 8 == 0 else None))
+    bins, parts = {}, {}
+    for doc, start, n, crc, _, b, offset in packing.pack_group(pieces):
+        assert bins.get(b, 0) == offset and n > 0 and zlib.crc32(ids[doc][4 * (start - 4096) : 4 * (start - 4096 + n)]) == crc
+        bins[b] = offset + n
+        parts.setdefault(doc, []).append((start, n))
+    assert all(n == 4096 or n & (n - 1) == 0 for n in bins.values())
+    for doc, got in parts.items():
+        at = 4096
+        for start, n in sorted(got):
+            assert start == at
+            at += n
+        assert at == 4096 + len(ids[doc]) // 4
+    assert len(parts) == 500 and packing.pack_group([(None, 0, 1, 7, 1, b"abcd"), (None, 0, 1, 7, 1, b"abcd")])[1][5:] == (0, 1)
+
+
 # --- op3, op5
 def test_quality_held_out(spark):
     d, lb = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")

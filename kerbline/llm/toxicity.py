@@ -2,11 +2,13 @@
 
 1. ``character_model`` counts character-class trigrams over every document.
 2. ``restore`` decodes the lattice of a token: look-alike symbols stand for letters or for
-   themselves, runs of three or more of a letter for one, two or all of them, and separators between
-   letters for nothing or themselves. Plain tokens have a single path. Spelled-out words
-   ("w o r d") become one more token.
-3. ``lexicon`` contrasts words and word beginnings of toxic and clean labelled documents. It counts
-   distinct (previous word, next word) surroundings, so a passage that many copies share counts once.
+   themselves, runs of three or more of a letter (of two, where a token has three such) and of look-alikes for one, two or all of them,
+   and separators between letters for nothing or themselves. Plain tokens have a single path. Three or more single
+   characters in a row ("w o r d!") are one lattice, ``respaced``, in which each blank stands for nothing or itself; its words, and all its
+   letters as one word, are further tokens.
+3. ``lexicon`` contrasts words, and the first four and five letters of longer ones, of toxic and clean labelled documents. It counts
+   distinct (previous word, next word) surroundings, so a passage that many copies share counts once. It keeps all features with
+   enough surroundings and odds.
 4. A document's evidence is its two strongest hits; a two-weight logistic fit, on rows that the
    contrast used for it had not seen, turns it into a score.
 """
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, labelled_sample, short_batches, staged
@@ -28,8 +30,8 @@ from .common import fold, labelled_sample, short_batches, staged
 K = 32  # character classes
 #: Labelled rows that the fit reads, for each label.
 PER_CLASS = 6000
-#: Features kept of the contrast.
-LEXICON = 50_000
+#: A feature needs so many distinct surroundings in toxic documents, and so large a log odds ratio. The labelled rows bound the number of such features.
+LEAST, ODDS = 3, 2.0
 THRESHOLD = 0.3
 CACHE = 150_000
 # What a symbol may stand for.
@@ -49,9 +51,11 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
-_SUSPECT = re.compile(r"(\w)\1\1|[^\W\d_][^\w\s]+[^\W\d_]|[0-9@$!|+€*#]")
+_SUSPECT = re.compile(r"(\w)\1\1|(?:(\w)\2.*){3}|[^\W\d_][^\w\s]+[^\W\d_]|[0-9@$!|+€*#]")
+_DOUBLED = re.compile(r"(\w)\1")
 _LETTER = re.compile(r"[^\W\d_]")
-_SPELLED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
+_SINGLE = r"""[\w@$!|+€*#][.,;:!?"']?"""
+_SPACED = re.compile(rf"(?<!\S){_SINGLE}(?:\s+{_SINGLE}){{2,}}(?!\S)")
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
@@ -79,18 +83,20 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 def _candidates(token: str) -> list[list[tuple[str, float]]]:
     """The lattice: for each run of a character, what it may stand for, with the channel's log probability."""
-    out, i = [], 0
+    out, i, doubled = [], 0, len(_DOUBLED.findall(token)) >= 3
     while i < len(token):
         ch, j = token[i], i
         while j < len(token) and token[j] == ch:
             j += 1
         run = j - i
         if _LETTER.match(ch):
-            out.append([(ch * run, 0.0)] if run < 3 else [(ch * run, -1.0 * run), (ch, -0.5), (ch * 2, -1.0)])
+            out.append([(ch, 0.0)] if run == 1 else [(ch * 2, 0.0), (ch, -0.5)][: 1 + doubled] if run == 2 else [(ch * run, -1.0 * run), (ch, -0.5), (ch * 2, -1.0)])
         else:
             inside = 0 < i and j < len(token)
             one = [(ch * run, -2.0 if inside else -0.5)]
-            one += [(x * (run if ch in "$!" else 1), -1.5 - (1.5 if ch in "*#" else 0)) for x in LOOKALIKE.get(ch, "")]
+            for x in LOOKALIKE.get(ch, ""):
+                cost = -1.5 - (1.5 if ch in "*#" else 0)
+                one += [(x * n, cost - 0.5 * (n != run)) for n in sorted({1, min(run, 2), run})]
             if inside and ch in SEPARATORS:
                 one.append(("", -1.0))
             out.append(one)
@@ -98,12 +104,10 @@ def _candidates(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a lower-case token: exact Viterbi search over the last two character classes."""
-    if not _SUSPECT.search(token) or not _LETTER.search(token):
-        return token
+def _decode(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """The likeliest path of a lattice between two blanks: exact Viterbi search over the last two character classes."""
     states = {(0, 0): (0.0, None)}
-    for options in [*_candidates(token), [(" ", 0.0)]]:
+    for options in [*lattice, [(" ", 0.0)]]:
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         coded = [(s, CLASS[np.frombuffer(s.encode(errors="replace"), np.uint8)].tolist(), p) for s, p in options]
         for (a, b), (score, back) in states.items():
@@ -122,11 +126,32 @@ def restore(token: str, model: np.ndarray) -> str:
     return "".join(reversed(parts)).strip()
 
 
+def restore(token: str, model: np.ndarray) -> str:
+    """The likeliest reading of a lower-case token."""
+    if not _SUSPECT.search(token) or not _LETTER.search(token):
+        return token
+    return _decode(_candidates(token), model)
+
+
+#: A blank between single characters stands for nothing or for itself.
+BLANK = [("", -0.5), (" ", -1.0)]
+
+
+def respaced(window: str, model: np.ndarray) -> list[str]:
+    """The words of the likeliest reading of single characters in a row, and all of them as one word."""
+    pieces = window.split()
+    if len(set(pieces)) < 2 or sum(map(bool, map(_LETTER.match, pieces))) < 2:
+        return []
+    lattice = _candidates(pieces[0])
+    for piece in pieces[1:]:
+        lattice += [BLANK, *_candidates(piece)]
+    return list(dict.fromkeys([*_decode(lattice, model).split(), restore("".join(pieces), model)]))
+
+
 def restored_words(text: str, model: np.ndarray) -> list[str]:
-    """The words of the restored text, lower case; spelled-out words are added at the end."""
+    """The words of the restored text, lower case; those of respaced single characters are added at the end."""
     text = text.lower()
-    spelled = [m.group().replace(" ", "") for m in _SPELLED.finditer(text)]
-    return [restore(w, model) for w in [*text.split(), *(s for s in spelled if len(set(s)) > 1)]]
+    return [restore(w, model) for w in text.split()] + [w for m in _SPACED.finditer(text) for w in respaced(m.group(), model)]
 
 
 def _features(word: str) -> list[int]:
@@ -141,8 +166,8 @@ def _features(word: str) -> list[int]:
 def lexicon(sample: DataFrame, model: np.ndarray, sizes: dict[tuple[int, int], int]) -> tuple[dict[int, float], dict[int, float]]:
     """Weights of telling features from all of the sample, and from its even half only.
 
-    ``sizes``: documents of each (label, half). A feature needs three distinct surroundings in toxic
-    documents and odds of e^2 at least.
+    ``sizes``: documents of each (label, half). Spark keeps what has ``LEAST`` distinct surroundings in toxic documents and a log
+    odds ratio of ``ODDS``, which the bounded sample bounds.
     """
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,22 +180,16 @@ def lexicon(sample: DataFrame, model: np.ndarray, sizes: dict[tuple[int, int], i
                 n = len(f)
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(c, pa.int64()), pa.array([2 * grade + half] * n, pa.int32())], ["feature", "around", "cell"])
 
-    cells = (
-        sample.select("text", "grade", "half").mapInArrow(occurrences, "feature long, around long, cell int").groupBy("feature", "around").agg(F.max("cell").alias("cell"))
-        .groupBy("feature").agg(*[F.count_if(F.col("cell") == i).alias(f"c{i}") for i in range(4)])
-        .where("c2 + c3 >= 3").orderBy(F.desc(F.expr("(c2 + c3) / (1.0 + c0 + c1)")), F.desc(F.expr("c2 + c3")), "feature").limit(LEXICON)
-    )
+    cells = sample.select("text", "grade", "half").mapInArrow(occurrences, "feature long, around long, cell int").groupBy("feature", "around").agg(F.max("cell").alias("cell"))
+    cells = cells.groupBy("feature").agg(*[F.count_if(F.col("cell") == i).alias(f"c{i}") for i in range(4)])
 
-    def weigh(t: int, c: int, nt: int, nc: int) -> float:
-        return math.log((t + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1))
+    def weigh(t: str, c: str, nt: int, nc: int) -> Column:
+        odds = F.log((F.expr(t) + 0.5) / (nt + 1)) - F.log((F.expr(c) + 0.5) / (nc + 1))
+        return F.when((F.expr(t) >= LEAST) & (odds >= ODDS), odds)
 
-    whole, half = {}, {}
-    for r in cells.collect():  # at most LEXICON rows
-        if (w := weigh(r.c2 + r.c3, r.c0 + r.c1, sizes[1, 0] + sizes[1, 1], sizes[0, 0] + sizes[0, 1])) >= 2:
-            whole[r.feature] = w
-        if r.c2 >= 3 and (w := weigh(r.c2, r.c0, sizes[1, 0], sizes[0, 0])) >= 2:
-            half[r.feature] = w
-    return whole, half
+    whole = weigh("c2 + c3", "c0 + c1", sizes[1, 0] + sizes[1, 1], sizes[0, 0] + sizes[0, 1])
+    rows = cells.select("feature", whole.alias("whole"), weigh("c2", "c0", sizes[1, 0], sizes[0, 0]).alias("half")).where("whole is not null or half is not null").collect()
+    return {r.feature: r.whole for r in rows if r.whole is not None}, {r.feature: r.half for r in rows if r.half is not None}
 
 
 class Evidence(dict):
@@ -180,17 +199,19 @@ class Evidence(dict):
         super().__init__()
         self.weights, self.model = weights, model
 
+    def weight(self, readings: set[str] | list[str]) -> float:
+        return max((self.weights.get(f, 0.0) for r in readings for f in _features(r)), default=0.0)
+
     def __missing__(self, token: str) -> float:
         if len(self) >= CACHE:
             self.clear()
-        readings = {token, restore(token, self.model)}
-        out = self[token] = max((self.weights.get(f, 0.0) for r in readings for f in _features(r)), default=0.0)
+        out = self[token] = self.weight({token, restore(token, self.model)})
         return out
 
     def top_two(self, text: str) -> tuple[float, float]:
         text = text.lower()
         hits = [w for w in map(self.__getitem__, text.split()) if w]
-        hits += [w for m in _SPELLED.finditer(text) if (w := self[m.group().replace(" ", "")])]
+        hits += [w for m in _SPACED.finditer(text) if (w := self.weight(respaced(m.group(), self.model)))]
         hits.sort(reverse=True)
         return (hits[0] if hits else 0.0), (hits[1] if len(hits) > 1 else 0.0)
 
@@ -242,7 +263,11 @@ def score(docs: DataFrame, fitted: dict, keep: list[str]) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs``; repeated rows give repeated results, null ids stay null."""
+    """doc_id, held_out, score, predicted (score at the threshold: 1) for each row of ``docs``.
+
+    Null and empty texts get the lowest score, very long ones are read whole; repeated rows give repeated results, null ids stay null
+    and aren't held out, an empty table gives no rows; without labels nothing is predicted. Other columns don't matter.
+    """
     scored = score(docs, fit(docs, labels, per_class), ["doc_id"]).withColumnRenamed("k0", "doc_id")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

@@ -41,6 +41,27 @@ def test_restores_disguised_words(spark):
     assert "idiot" in toxicity.restored_words("an i d i o t here", model)
 
 
+def test_restores_spacing_and_doubling(spark):
+    text = "the stupid idiot and the fool, scum and a scumbag with an ass " * 50
+    model = toxicity.character_model(spark.createDataFrame([(text,)], "text string"))
+    for said, word in (("s t u p i d.", "stupid."), ("f o o l!", "fool!"), ("s  c  u  m", "scum"), ("$ c u m b a g", "scumbag"), ("a s c u m", "scum"), ("i d 1 o t", "idiot")):
+        assert word in toxicity.restored_words(f"they were {said} there", model), said
+    assert [toxicity.restore(w, model) for w in ("f00l", "a55", "iiddiioott", "letter", "balloon")] == ["fool", "ass", "idiot", "letter", "balloon"]
+    assert toxicity.respaced("x x x", model) == toxicity.respaced("1 2 3", model) == []
+
+
+def test_scores_are_brute_force(spark, docs, labels):
+    d = docs.unionByName(spark.createDataFrame([(50 + i, t, "a", "en", 1, "x") for i, t in enumerate(["you stup1d man", "s t u p i d", "a kind man", "stupid idiot stupid"])], docs.schema))
+    fitted = {"model": toxicity.character_model(d), "logit": np.array([-4.0, 1.0, 0.5])}
+    fitted["weights"] = {toxicity._features(w)[0]: v for w, v in (("stupid", 3.0), ("idiot", 5.0))}
+    texts = [r.text for r in d.collect()]
+    for r, text in zip(toxicity.score(d, fitted, ["text"]).collect(), texts, strict=True):
+        words = (text or "").lower().split() + [w for w in toxicity.restored_words(text or "", fitted["model"])[len((text or "").split()) :]]
+        hits = sorted(({"stupid": 3.0, "idiot": 5.0}.get(toxicity.restore(w, fitted["model"]), 0.0) for w in words), reverse=True)
+        first, second = (hits + [0.0, 0.0])[:2]
+        assert r.k0 == text and abs(r.score - 1 / (1 + np.exp(4 - first - 0.5 * second))) < 1e-12
+
+
 def test_viterbi_is_the_best_path(spark):
     model = toxicity.character_model(spark.createDataFrame([("some words to count letters of, stupid and clown",)], "text string"))
     from itertools import product

@@ -1,16 +1,21 @@
 """Main text of pages by a site style tree.
 
-Each page's elements are named by their path of tags (with class or id). Pages of a host are merged: for
+Each page's elements are named by their path of tags (with class or id). Pages of a host are merged into a tree: for
 each path Spark counts the distinct contents and the distinct presentations (tags of the children),
-over the host's different pages. The importance of either is its entropy over the largest entropy that so
-many pages allow; a path with content has the composite importance of its own content and, by a tenth, of
-its parent's presentation. Text directly in a path below ``LEAST`` on at least ``PAGES`` different pages is removed from
-that host's pages, but not what deeper elements hold; a branch goes where all its content is unimportant.
-
-Entropy alone cannot tell a menu with other links on every page from an article, nor a passage that
-many articles quote from a notice. So elements that state their purpose (nav, footer, aside, form, an advert's or
-comment's class and the like) have no importance anywhere, and what is inside the main article has full
-importance: it is not removed for being repeated.
+over the host's different pages. The entropy of either, over the largest that so many pages allow, tells how much differs from page to page.
+A path's information is the entropy of its content times its words; a branch holds that of all paths in it.
+
+1. A branch's importance is its information relative to the largest branch beside it, and, by a tenth, the entropy of its
+   presentation. Containers below ``LIGHT`` on at least ``PAGES`` different pages go: menus, adverts and footers say little beside an article.
+2. A path with content has the composite importance of its content's entropy and, by a tenth, of its parent's
+   presentation. Text directly in a path below ``LEAST`` on as many pages goes, but not what deeper elements hold; a branch where
+   all content is so goes too.
+3. Where neither holds, since a host has few pages or a branch is large beside the article, what the page itself says breaks the tie:
+   elements that state another purpose (nav, footer, aside, form, an advert's or comment's class and the like) go, and so does what lies outside
+   a marked article; but not an element with over ``MOST`` of its host's information.
+
+The inside of a marked article, without elements of another purpose, and branches with a first-level heading stay. Without its tree no page loses anything
+that it shows.
 """
 
 from __future__ import annotations
@@ -24,13 +29,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, staged
+from .common import short_batches, spread_join, staged
 
-LEAST, PAGES, BLEND = 0.3, 8, 0.1
+LEAST, LIGHT, MOST, PAGES, BLEND = 0.3, 0.15, 0.9, 8, 0.1
+#: Elements deeper than this share their ancestor's path.
+DEPTH = 64
 # HTML's elements by their parts in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-DROPPED = frozenset("head script style noscript template svg math canvas object nav footer aside form button select option datalist input textarea iframe dialog menu audio video map title noembed noframes".split())
+NEVER = frozenset("head script style noscript template svg math canvas object button select option datalist input textarea iframe audio video map title noembed noframes".split())
+APART = frozenset("nav footer aside form dialog menu".split())
+CONTAINERS = frozenset("div section header footer nav aside form article main ul ol dl table td center address details fieldset dialog menu".split())
 BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside form fieldset address details summary hr hgroup center".split())
 CLOSED_BY_BLOCK = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article main section div body html td th blockquote nav aside footer header form".split())
@@ -49,9 +58,9 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _named(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """Whether the element's tag, class or id, all parts of its path, state a purpose other than content."""
-    if tag in DROPPED or tag == "header" and not in_article:
+def _apart(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether the element's tag, role, class or id state a purpose other than content."""
+    if tag in APART or tag == "header" and not in_article or attributes.get("role") in ROLES:
         return True
     if tag in ("body", "html", "article", "main") and not in_article:
         return False
@@ -62,23 +71,26 @@ def _named(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     return bool(words & PURPOSES) or "header" in words and not in_article
 
 
-def _hidden(attributes: dict[str, str]) -> bool:
-    """Whether other attributes hide the element or give it a role other than content."""
+def _hidden(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether the element is never shown as text."""
     style = attributes.get("style", "").lower().replace(" ", "")
-    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in ROLES or "display:none" in style or "visibility:hidden" in style
+    return tag in NEVER or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
 
 
 class Element:
-    __slots__ = ("article", "children", "dropped", "named", "path", "tag")
+    __slots__ = ("apart", "article", "children", "hidden", "path", "tag")
 
-    def __init__(self, tag: str, path: str, article: bool, dropped: bool, named: bool):
-        self.tag, self.path, self.article, self.dropped, self.named, self.children = tag, path, article, dropped, named, []
+    def __init__(self, tag: str, path: str, article: bool, hidden: bool, apart: str):
+        self.tag, self.path, self.article, self.hidden, self.apart, self.children = tag, path, article, hidden, apart, []
 
 
-def parse(html: str) -> tuple[list[tuple[str, bool, bool, bool, str]], list[tuple[str, str]]]:
-    """Blocks (path, in article, of another purpose, so by its path, text) in page order; and (path, tags of the children) of the elements with any."""
-    stack = [Element("", "", False, False, False)]
-    blocks: list[tuple[str, bool, bool, bool, str]] = []
+Block = tuple[str, bool, str, str]
+
+
+def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
+    """Shown blocks (path, in article, path of the outermost element of another purpose, text) in page order; and (path, tags of the children) of the elements with any."""
+    stack = [Element("", "", False, False, "")]
+    blocks: list[Block] = []
     styles: list[tuple[str, str]] = []
     text: list[str] = []
     owner = stack[0]  # the element that the gathered text is in
@@ -87,23 +99,23 @@ def parse(html: str) -> tuple[list[tuple[str, bool, bool, bool, str]], list[tupl
         if text:
             joined = " ".join("".join(text).split())
             text.clear()
-            if joined:
-                blocks.append((owner.path, owner.article, owner.dropped, owner.named, joined))
+            if joined and not owner.hidden:
+                blocks.append((owner.path, owner.article, owner.apart, joined))
 
     def close(depth: int) -> None:
         nonlocal owner
         while len(stack) > depth:
             e = stack.pop()
-            if e.tag in BLOCKS or e.dropped:
+            if e.tag in BLOCKS or e.hidden or e.apart:
                 flush()
-            if e.children:
+            if e.children and not e.hidden:
                 styles.append((e.path, " ".join(e.children)))
 
     def say(part: str) -> None:
         nonlocal owner
         if part:
             if not text:
-                owner = next(e for e in reversed(stack) if e.tag in BLOCKS or e.dropped or e.tag == "")
+                owner = next(e for e in reversed(stack) if e.tag in BLOCKS or e.hidden or e.apart or e.tag == "")
             text.append(entities.unescape(part))
 
     at, n = 0, len(html)
@@ -143,16 +155,18 @@ def parse(html: str) -> tuple[list[tuple[str, bool, bool, bool, str]], list[tupl
         if tag in VOID:
             continue
         attributes = _attributes(m[4]) if m[4] and "=" in m[4] or "hidden" in m[4] else {}
-        named = top.named or _named(tag, attributes, top.article)
-        dropped = top.dropped or named or _hidden(attributes)
-        if dropped and not top.dropped:
-            flush()
         mark = "." + "-".join(sorted(attributes["class"].split())) if attributes.get("class") else "#" + attributes["id"] if attributes.get("id") else ""
+        mark = mark.replace("/", "|")
+        path = f"{top.path}/{tag}{mark}" if len(stack) <= DEPTH else top.path
+        hidden = top.hidden or _hidden(tag, attributes)
+        apart = top.apart or (path if _apart(tag, attributes, top.article) else "")
+        if (hidden, apart) != (top.hidden, top.apart):
+            flush()
         top.children.append(tag + mark)
-        e = Element(tag, f"{top.path}/{tag}{mark}", top.article or tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody", dropped, named)
+        e = Element(tag, path, top.article or tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody", hidden, apart)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            if not dropped:
+            if not hidden:
                 stack.append(e)
                 say(html[at : end.start() if end else n])
                 close(len(stack) - 1)
@@ -166,94 +180,157 @@ def parse(html: str) -> tuple[list[tuple[str, bool, bool, bool, str]], list[tupl
     return blocks, styles
 
 
-def _shown(blocks: list[tuple[str, bool, bool, bool, str]]) -> list[tuple[str, str]]:
-    """(path, text) of the blocks that the page neither hides nor, where it marks an article, has outside."""
-    marked = any(a and not d for _, a, d, _, _ in blocks)
-    return [(path, t) for path, inside, dropped, _, t in blocks if not dropped and (inside or not marked)]
+def _judged(html: str | None) -> tuple[list[tuple[str, str, str]], list[tuple[str, str]], list[bool]]:
+    """The shown blocks as (path, apart, text), the styles, and whether each block is article. ``apart`` is the element that breaks a tie against the block, or empty."""
+    blocks, styles = parse(html or "")
+    article = [inside and not apart for _, inside, apart, _ in blocks]
+    marked = any(article)
+    return [(path, apart or (path or "/" if marked and not inside else ""), t) for path, inside, apart, t in blocks], styles, article
 
 
 def main_text(html: str | None, removed: frozenset[str] | set[str] = frozenset()) -> str:
-    """The page's shown blocks whose path isn't removed, by one newline each."""
-    return "\n".join(t for path, t in _shown(parse(html or "")[0]) if path not in removed)
+    """The text of a page on its own, of whose host nothing else is known: all ties are broken by the page itself, and paths in ``removed`` go."""
+    return "\n".join(t for path, apart, t in _judged(html)[0] if not apart and path not in removed)
 
 
-def _key(blocks: list[tuple[str, bool, bool, bool, str]]) -> int:
-    """A page's blocks with their paths as a number. Where two pages share one, they share the removed paths of both, which changes neither."""
-    return xxhash.xxh64_intdigest("\n".join(f"{path}\t{t}" for path, *_, t in blocks).encode(errors="replace")) - 2**63
+def _hash(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\t".join(parts).encode(errors="replace"), 42) - 2**63
+
+
+def _key(blocks: list[tuple[str, str, str]]) -> int:
+    """A page's blocks with all that decides on them as a number. Where two pages share one, they share what is removed of both, which changes neither."""
+    return _hash(*("\t".join(b) for b in blocks))
 
 
 def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
+NODES = "host string, page long, key long, path string, kind string, apart string, node long, words long"
+
+
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """(host, page, key, path, kind, node) of each page's paths: ``page`` and ``node`` are hashes of the page's and the path's content."""
+    """(host, page, key, path, kind, apart, node, words) of each page's paths: ``page`` and ``node`` are hashes of the page's and the path's content."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = xxhash.xxh64_intdigest
         for batch in batches:
             out: list[tuple] = []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                blocks, styles = parse(html.as_py() or "")
-                page, key = h("\n".join(t for *_, t in blocks).encode(errors="replace")) - 2**63, _key(blocks)
-                nodes: dict[tuple[str, str], list[str]] = {}
-                for path, inside, _, named, t in blocks:
-                    nodes.setdefault((path, "purpose" if named else "article" if inside else "content"), []).append(t)
+                blocks, styles, article = _judged(html.as_py())
+                page, key = _hash(*(t for *_, t in blocks)), _key(blocks)
+                nodes: dict[tuple[str, str, str], list[str]] = {}
+                for (path, apart, t), inside in zip(blocks, article, strict=True):
+                    nodes.setdefault((path, "article" if inside else "content", apart), []).append(t)
                 for path, tags in styles:
-                    nodes.setdefault((path, "style"), []).append(tags)
-                out += [(host, page, key, path, kind, h("\n".join(v).encode(errors="replace")) - 2**63) for (path, kind), v in nodes.items()]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["host", "page", "key", "path", "kind", "node"])
+                    nodes.setdefault((path, "style", ""), []).append(tags)
+                out += [(host, page, key, *where, _hash(*v), sum(len(t.split()) for t in v)) for where, v in nodes.items()]
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in NODES.split(", ")])
 
-    return short_batches(pages).select(_host(F.col("url")).alias("host"), "html").mapInArrow(walk, "host string, page long, key long, path string, kind string, node long")
+    return short_batches(pages).select(_host(F.col("url")).alias("host"), "html").mapInArrow(walk, NODES)
 
 
-def style_tree(nodes: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the content in the merged trees, without elements of another purpose. Pages with the same blocks count once, so copies don't make their article look like a notice."""
-    counts = nodes.where("kind != 'purpose'").select("host", "page", "path", "kind", "node").distinct().groupBy("host", "path", "kind", "node").agg(F.count("*").alias("n"))
-    merged = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
+def merged(nodes: DataFrame) -> DataFrame:
+    """(host, path, kind, pages, own, words) of the merged trees: own is the relative entropy over the host's different pages, words those of all of them.
+
+    Pages with the same text count once, so copies don't make their article look like a notice.
+    """
+    counts = nodes.select("host", "page", "path", "kind", "node", "words").distinct().groupBy("host", "path", "kind", "node").agg(F.count("*").alias("n"), F.max("words").alias("words"))
+    sums = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"), F.sum(F.col("n") * F.col("words")).alias("words"))
     entropy = F.log("pages") - F.col("s") / F.col("pages")
-    merged = merged.select("host", "path", "kind", "pages", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("own"))
-    parents = merged.where("kind = 'style'").select("host", F.col("path").alias("parent"), F.col("own").alias("style"))
-    content = merged.where("kind != 'style'").withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
+    return sums.select("host", "path", "kind", "pages", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("own"), "words")
+
+
+def style_tree(tree: DataFrame) -> DataFrame:
+    """(host, path, pages, importance, information, article) of the paths with content, from ``merged``."""
+    parents = tree.where("kind = 'style'").select("host", F.col("path").alias("parent"), F.col("own").alias("style"))
+    content = tree.where("kind != 'style'").withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
     composite = (1 - BLEND) * F.col("own") + BLEND * F.coalesce("style", F.lit(0.0))
     importance = F.when(F.col("kind") == "article", F.greatest(composite, F.lit(1.0))).otherwise(composite)
-    rows = content.join(parents, ["host", "parent"], "left").select("host", "path", "pages", importance.alias("importance"))
-    return rows.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max("importance").alias("importance"))
+    rows = content.join(parents, ["host", "parent"], "left").select("host", "path", "kind", "pages", importance.alias("importance"), (F.col("own") * F.col("words")).alias("information"))
+    stays = (F.col("kind") == "article") | F.col("path").rlike(r"/h1([.#/]|$)")
+    return rows.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max("importance").alias("importance"), F.sum("information").alias("information"), F.max(stays).alias("article"))
+
+
+#: A path's branches: itself and all that it lies in.
+_ABOVE = "transform(sequence(2, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))"
 
 
 def weak_paths(tree: DataFrame, least: float = LEAST, least_pages: int = PAGES) -> DataFrame:
     """(host, path) whose own content is unimportant, or that lie in a branch where all content is: a branch is as important as the most important path in it."""
     weak = (F.col("importance") < least) & (F.col("pages") >= least_pages)
     tree = tree.where("path != ''")
-    above = F.expr("transform(sequence(2, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
-    placed = tree.select("host", "path", "pages", "importance", F.explode(above).alias("branch"))
+    placed = tree.select("host", "path", "pages", "importance", F.explode(F.expr(_ABOVE)).alias("branch"))
     branches = placed.groupBy("host", "branch").agg(F.max("pages").alias("pages"), F.max("importance").alias("importance")).where(weak).select("host", "branch")
     return tree.where(weak).select("host", "path").unionByName(placed.select("host", "path", "branch").join(branches, ["host", "branch"]).select("host", "path")).distinct()
 
 
-def extract(pages: DataFrame, least: float = LEAST, least_pages: int = PAGES) -> DataFrame:
-    """page_id, url, text, n_chars for each row. Null html is empty; a null url belongs to the host without a name; repeated rows give repeated results.
-
-    A page meets just those removed paths that it has itself, however many its host has.
+def branches(tree: DataFrame, styles: DataFrame) -> DataFrame:
+    """(host, branch, pages, importance, share, article): importance by information beside the largest sibling and by presentation; share of the host's information."""
+    placed = tree.where("path != ''").select("host", "pages", "information", "article", F.explode(F.expr(_ABOVE)).alias("branch"))
+    rows = placed.groupBy("host", "branch").agg(F.max("pages").alias("pages"), F.sum("information").alias("information"), F.max("article").alias("article"))
+    rows = rows.withColumn("parent", F.regexp_replace("branch", "/[^/]*$", ""))
+    largest = rows.groupBy("host", "parent").agg(F.max("information").alias("largest"))
+    whole = tree.groupBy("host").agg(F.sum("information").alias("whole"))
+    styles = styles.where("kind = 'style'").select("host", F.col("path").alias("branch"), F.col("own").alias("style"))
+    rows = rows.join(largest, ["host", "parent"]).join(whole, "host").join(styles, ["host", "branch"], "left")
+    importance = (1 - BLEND) * F.coalesce(F.try_divide("information", "largest"), F.lit(1.0)) + BLEND * F.coalesce("style", F.lit(0.0))
+    return rows.select("host", "branch", "pages", importance.alias("importance"), F.coalesce(F.try_divide("information", "whole"), F.lit(0.0)).alias("share"), "article")
+
+
+def decisions(nodes: DataFrame, least: float = LEAST, light: float = LIGHT, most: float = MOST, least_pages: int = PAGES) -> DataFrame:
+    """(host, path, apart) of what is removed on all pages of the host that have it: by the tree, and, where the tree leaves it open, by a stated purpose."""
+    tree_nodes = staged(merged(nodes))
+    tree = staged(style_tree(tree_nodes))
+    known = staged(branches(tree, tree_nodes))
+    is_box = F.regexp_extract("branch", r"/([^/.#]*)[^/]*$", 1).isin(*sorted(CONTAINERS))
+    weak = known.where(is_box & ~F.col("article") & (F.col("importance") < light) & (F.col("pages") >= least_pages)).select("host", "branch")
+    placed = tree.where("path != ''").select("host", "path", F.explode(F.expr(_ABOVE)).alias("branch"))
+    low = weak_paths(tree, least, least_pages).unionByName(placed.join(weak, ["host", "branch"]).select("host", "path")).distinct().withColumn("low", F.lit(True))
+    great = known.where((F.col("share") >= most) & (F.col("pages") >= least_pages)).select("host", F.col("branch").alias("apart"), F.lit(True).alias("great"))
+    kept = nodes.where("kind != 'style'").select("host", "path", "apart").distinct()
+    kept = kept.join(low, ["host", "path"], "left").join(great, ["host", "apart"], "left")
+    return kept.where("low or apart != '' and great is null").select("host", "path", "apart")
+
+
+def extract(pages: DataFrame, least: float = LEAST, light: float = LIGHT, most: float = MOST, least_pages: int = PAGES, purposes: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars for each row; ``purposes=False`` leaves all to the tree.
+
+    Null and empty html give an empty text; a null url belongs to the host without a name; repeated rows give repeated results; an empty
+    table gives no rows; other columns don't matter. Very long pages are read whole.
+    A page meets just those removed paths that it has itself, however many its host has. Pages are parsed twice: once for their nodes,
+    which are written, and once for their texts, which are not.
     """
     nodes = staged(page_nodes(pages))
-    own = nodes.where("kind in ('content', 'article')").select("host", "key", "path").distinct()
-    removed = own.join(weak_paths(style_tree(nodes), least, least_pages), ["host", "path"]).groupBy("host", "key").agg(F.collect_set("path").alias("removed"))
+    if not purposes:
+        nodes = nodes.withColumn("apart", F.lit(""))
+    gone = decisions(nodes, least, light, most, least_pages)
+    own = nodes.where("kind != 'style'").select("host", "key", "path", "apart").distinct()
+    counts = staged(own.groupBy("host", "path", "apart").agg(F.count("*").alias("n")))
+    own = spread_join(own, gone, ["host", "path", "apart"], counts, F.col("key"))
+    removed = own.groupBy("host", "key").agg(F.collect_set(F.xxhash64("path", "apart")).alias("removed"))
+    counts = staged(nodes.groupBy("host", "key").agg(F.count("*").alias("n")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, paths, texts = [], [], []
+            keys, places, texts = [], [], []
             for html in batch.column(3):
-                blocks, _ = parse(html.as_py() or "")
-                shown = _shown(blocks)
+                blocks, _, _ = _judged(html.as_py())
+                parts: list[tuple[tuple[str, str], list[str]]] = []  # neighbours of one path together
+                for path, apart, t in blocks:
+                    if not parts or parts[-1][0] != (path, apart):
+                        parts.append(((path, apart), []))
+                    parts[-1][1].append(t)
                 keys.append(_key(blocks))
-                paths.append([p for p, _ in shown])
-                texts.append([t for _, t in shown])
-            kinds = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(keys, pa.int64()), pa.array(paths, kinds), pa.array(texts, kinds)], ["page_id", "url", "host", "key", "paths", "texts"])
-
-    shown = short_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), _host(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, host string, key long, paths array<string>, texts array<string>")
-    kept = F.expr("if(removed is null, texts, filter(texts, (t, i) -> not array_contains(removed, paths[i])))")
-    text = shown.join(removed, ["host", "key"], "left").select("page_id", "url", F.concat_ws("\n", kept).alias("text"))
+                places.append([{"path": path, "apart": apart if purposes else ""} for (path, apart), _ in parts])
+                texts.append(["\n".join(v) for _, v in parts])
+            where = pa.list_(pa.struct([("path", pa.string()), ("apart", pa.string())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(keys, pa.int64()), pa.array(places, where), pa.array(texts, pa.list_(pa.string()))], ["page_id", "url", "host", "key", "places", "texts"])
+
+    shown = short_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), _host(F.col("url")).alias("host"), F.col("html").cast("string"))
+    shown = shown.mapInArrow(run, "page_id long, url string, host string, key long, places array<struct<path: string, apart: string>>, texts array<string>")
+    shown = shown.withColumn("places", F.transform("places", lambda p: F.xxhash64(p["path"], p["apart"])))
+    kept = F.expr("if(removed is null, texts, filter(texts, (t, i) -> not array_contains(removed, places[i])))")
+    text = spread_join(shown, removed, ["host", "key"], counts, F.xxhash64("page_id", "url"), "left").select("page_id", "url", F.concat_ws("\n", kept).alias("text"))
     return text.withColumn("n_chars", F.length("text").cast("long"))

@@ -476,6 +476,93 @@ def test_html_branch_goes_as_a_whole(spark):
     assert {tuple(r) for r in html.weak_paths(tree).collect()} == {("h", "/a"), ("h", "/a/b"), ("h", "/c")}
 
 
+def _brute_removed(pages):
+    """(host, path) that the tree alone removes, from all pages (host, html) of small hosts at once."""
+    from math import log
+
+    hosts, gone = {}, set()
+    for host, page in pages:
+        blocks, styles, article = html._judged(page)
+        hosts.setdefault(host, {})[tuple(t for *_, t in blocks)] = (blocks, styles, article)
+    for host, seen in hosts.items():
+        contents, presented, words, stays, is_article = {}, {}, {}, set(), set()
+        for blocks, styles, article in seen.values():
+            mine = {}
+            for (path, _, t), inside in zip(blocks, article, strict=True):
+                mine.setdefault(path, []).append(t)
+                is_article |= {path} if inside else set()
+                stays |= {path} if inside or path.rsplit("/", 1)[-1].startswith("h1") else set()
+            for path, texts in mine.items():
+                contents.setdefault(path, []).append(tuple(texts))
+                words[path] = words.get(path, 0) + sum(len(t.split()) for t in texts)
+            many = {}
+            for path, tags in styles:
+                many.setdefault(path, []).append(tags)
+            for path, tags in many.items():
+                presented.setdefault(path, []).append(tuple(tags))
+
+        def entropy(values):
+            n = len(values)
+            return 1.0 if n == 1 else -sum(values.count(v) / n * log(values.count(v) / n) for v in set(values)) / log(n)
+
+        own = {p: entropy(v) for p, v in contents.items()}
+        style = {p: entropy(v) for p, v in presented.items()}
+        told = {p: own[p] * words[p] for p in own}
+        all_branches = {"/".join(p.split("/")[:k]) for p in own for k in range(2, p.count("/") + 2)}
+        inside = {b: [p for p in own if p == b or p.startswith(b + "/")] for b in all_branches}
+        importance = {p: max(0.9 * own[p] + 0.1 * style.get(p.rsplit("/", 1)[0], 0.0), 1.0 if p in is_article else 0.0) for p in own}
+        for b, paths in inside.items():
+            often = max(len(contents[p]) for p in paths) >= html.PAGES
+            beside = max(sum(told[p] for p in inside[x]) for x in all_branches if x.rsplit("/", 1)[0] == b.rsplit("/", 1)[0])
+            mass = sum(told[p] for p in paths)
+            light = 0.9 * (mass / beside if beside else 1.0) + 0.1 * style.get(b, 0.0) < html.LIGHT
+            tag = b.rsplit("/", 1)[-1].split(".")[0].split("#")[0]
+            if often and (light and tag in html.CONTAINERS and not stays & set(paths) or max(importance[p] for p in paths) < html.LEAST):
+                gone |= {(host, p) for p in paths}
+        gone |= {(host, p) for p in own if importance[p] < html.LEAST and len(contents[p]) >= html.PAGES and p}
+    return gone
+
+
+def test_html_tree_is_brute_force(spark):
+    draw = random.Random(8)
+    word = lambda k: " ".join(draw.choice("abcdefghij") * draw.randint(1, 3) for _ in range(k))
+    rows = []
+    for i in range(60):
+        host = f"h{i % 3}"
+        menu = "".join(f"<li>{word(1)}</li>" for _ in range(draw.randint(2, 5)))
+        story = "".join(f"<p>{word(draw.randint(5, 40))}</p>" for _ in range(draw.randint(1, 6)))
+        side = f"<div class=side><div class=in>{word(3 if i % 3 else 30)}</div><div>Same</div></div>" if i % 2 else ""
+        rows.append((i, f"http://{host}/x", f"<body>All rights<div id=m><ul>{menu}</ul></div><div class=story>{story}</div>{side}<div class=top><h1>{word(1)}</h1></div><div class=end><p>Bye</p></div></body>"))
+    rows += [(100 + i, "http://few/x", f"<body><div>{word(5)}</div></body>") for i in range(3)] + [(200, None, None), (201, "http://h1/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = _brute_removed([((u or "").split("://")[-1].split("/")[0], h) for _, u, h in rows])
+    gone = html.decisions(html.staged(html.page_nodes(pages)))
+    assert {(r.host, r.path) for r in gone.collect() if not r.apart} == want and len(want) >= 9
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    for i, u, h in rows:
+        host = (u or "").split("://")[-1].split("/")[0]
+        assert got[i] == "\n".join(t for path, apart, t in html._judged(h)[0] if (host, path) not in want and not apart)
+
+
+def test_html_tree_alone_finds_the_articles_of_a_large_host(spark):
+    p = spark.read.parquet(f"{SF}/pages.parquet")
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    large = [r[0] for r in p.groupBy(host).count().where("count >= 9").collect()]
+    p = p.where(host.isin(large))
+    got = html.extract(p, purposes=False).collect()
+    want = {r.page_id: html.main_text(r.html) for r in p.collect()}
+    assert len(got) == len(want) > 50 and sum(r.text == want[r.page_id] for r in got) > 0.9 * len(got)
+
+
+def test_html_awkward(spark):
+    long = "<div>" * 3000 + "word " * 50000
+    rows = [(1, None, long), (1, None, long), (None, "u", "<p>x"), (2, "http://a/b", '<div class="w-1/2">y</div>'), (3, "", "")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({n: F.lit("x") for n in ("host", "key", "path", "removed", "text", "n", "part", "salted")})
+    got = sorted(((r.page_id or 0), r.n_chars) for r in html.extract(d).collect())
+    assert got == [(0, 1), (1, 249999), (1, 249999), (2, 1), (3, 0)]
+    assert html.extract(d.limit(0)).count() == 0
+
+
 # --- op10
 def test_media(docs, empty):
     for r in media.media(docs).collect():

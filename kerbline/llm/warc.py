@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
+from .common import spread_join, staged
+
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 ROLL = 64 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -266,8 +268,10 @@ def archive(pages: DataFrame, folder: str, least: int = 0) -> None:
     html = F.coalesce("html", F.lit(""))
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.cast("binary").alias("payload"))
     ids = pages.select("page_id", "url", F.sha1("payload").alias("sha"), F.length("payload").cast("long").alias("payload_bytes"))
-    firsts = ids.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first"))
-    again = ids.join(firsts, "sha").where(F.col("page_id") != F.col("first")).where(F.col("payload_bytes") >= least)
+    firsts = ids.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    firsts = staged(firsts)
+    again = spread_join(ids.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least)), firsts.select("sha", "first"), ["sha"], firsts.select("sha", "n"), F.col("page_id"))
+    again = again.where(F.col("page_id") != F.col("first"))
     sha = F.to_binary("sha", F.lit("hex"))
     again = again.select(F.lit("revisit").alias("record_type"), _name("page_id"), F.col("url").alias("target_uri"), _name("first").alias("refers_to"), _base32(sha).alias("payload_digest"), "payload_bytes", F.lit(None).cast("binary").alias("payload"))
     keys = firsts.select(F.col("first").alias("page_id"), "sha")

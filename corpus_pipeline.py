@@ -1,6 +1,7 @@
 """A training corpus from ``documents``: toxic, poor and copied documents go, sources are mixed, the mix is packed.
 
-Each stage takes what the one before kept, written as Parquet and read again.
+Each stage takes what the one before kept, written as Parquet and read again. Null and empty texts, repeated rows, null ids and empty
+tables are as the operators' docstrings say; columns of any name pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -15,22 +16,27 @@ from kerbline.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose restored text scores as toxic go. The score is learnt from ``labels`` and all of ``docs``."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are unlikely to be graded over 0 go. The grades are learnt from ``labels``."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, five-word shingles with a similarity of about 0.8 or more, one document stays."""
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as their source's target weight asks for; the last ones of a source are cut."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 4096 tokens."""
     return packing.pack(docs, tokenizer_path())
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from . import html, media, mixing, packing, quality, rules, simhash, toxicity, urls, warc
-from .common import shared_dir, table
+from .common import folder, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -19,44 +17,54 @@ def tokenizer_path() -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of every document's tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and likelihood-ratio verdict of every document."""
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in the mix."""
     return mixing.mixing(table(spark, sf_dir, "documents"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    warc.archive(table(spark, sf_dir, "pages"), folder)
-    return warc.read_back(spark, folder)
+    """Every page written to WARC archives and read back."""
+    path = folder(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_back(spark, path)
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or model verdict on every page's url."""
     return urls.url_filter(table(spark, sf_dir, "pages"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as WAV, and its fingerprint as read back; the WAV column itself is not returned."""
     return media.media(table(spark, sf_dir, "documents"), keep_media=False)
 
 

@@ -92,7 +92,8 @@ def _base(text: str) -> tuple[int, int, int, int, int]:
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept.
 
-    Null and empty texts count nothing, fail the base rules and have ratio 0.
+    Null and empty texts count nothing, fail the base rules and have ratio 0; a ratio at the threshold is kept. Very long texts are read
+    whole, null ids stay, repeated rows give repeated results, an empty table gives no rows; other columns don't matter.
     """
     table = ratios(docs, labels).astype(np.float32)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -87,7 +87,11 @@ def risk(url: Column, weights: list[float], bias: float) -> Column:
 
 
 def url_filter(pages: DataFrame, table: DataFrame | None = None, rules: tuple = RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """page_id, host, path, rule, risk, verdict for each row; a null url has empty parts, fits no rule and is judged by the model."""
+    """page_id, host, path, rule, risk, verdict for each row; a null or empty url has empty parts, fits no rule and is judged by the model.
+
+    A risk at the threshold blocks. Very long urls are read whole, null ids stay, repeated rows give repeated results, an empty table gives no
+    rows; other columns don't matter.
+    """
     weights, bias = fit(table if table is not None else labelled(pages.sparkSession))
     h, p = host(F.col("url")), path(F.col("url"))
     rows = pages.select("page_id", "url", h.alias("host"), p.alias("path"))

@@ -114,6 +114,8 @@ def test_packing(spark, docs, empty):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     total, pad = _check_pieces(packing.pack(d, queries.tokenizer_path()).collect(), [tuple(r) for r in d.collect()])
     assert pad < 0.01 * total
+    rows, ids = packing.pack(docs, queries.tokenizer_path()).collect(), packing.Ids(queries.tokenizer_path())
+    assert sum(r.length for r in rows) == sum(len(ids.of(t)) // 4 for _, t, _ in AWKWARD)  # repeated rows and null ids, too
     assert packing.pack(empty, queries.tokenizer_path()).count() == 0
 
 
@@ -602,19 +604,33 @@ def test_clashing_names(docs, labels):
 
 
 # --- pipeline
+def _words(docs):
+    return docs.select(F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)))).first()[0]
+
+
 def test_pipeline(spark):
+    """Each stage on what the one before kept: the operators' own tests hold their verdicts against brute force."""
     import corpus_pipeline as cp
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = docs.columns
+    names, lb = docs.columns, spark.read.parquet(f"{SF}/labels.parquet")
     for name, stage in cp.STAGES:
-        before = docs.count()
-        docs = stage(spark, docs, SF)
-        if name != "packing":
-            assert docs.columns == names
-        assert docs.count() > 0
-        if name in ("toxicity", "quality classifier", "SimHash near-dedup"):
-            assert docs.count() < before
+        before, docs = docs, stage(spark, docs, SF)
         path = f"{shared_dir(spark)}/test-{name.replace(' ', '-')}"
         docs.write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
+        if name != "packing":
+            assert docs.columns == names
+        if name in ("toxicity", "quality classifier", "SimHash near-dedup"):
+            assert docs.exceptAll(before).isEmpty() and 0 < docs.count() < before.count()
+        if name == "toxicity":  # labelled clean documents stay, nearly all toxic ones go
+            kept = docs.join(lb, "doc_id").groupBy("toxic").count().rdd.collectAsMap()
+            assert kept[0] > 0.97 * lb.where("toxic = 0").count() and kept.get(1, 0) < 0.2 * lb.where("toxic = 1").count()
+        if name == "SimHash near-dedup":
+            assert docs.select("text").distinct().count() == docs.count()
+            assert set(docs.collect()) == set(simhash.keep_one(before.orderBy(F.desc("doc_id"))).collect())
+        if name == "mixing":
+            assert _words(docs) == int(1.5 * _words(before))
+        if name == "packing":
+            ids = packing.Ids(queries.tokenizer_path())
+            assert sum(r.length for r in docs.collect()) == sum(len(ids.of(r.text)) // 4 for r in before.select("text").collect())

@@ -78,7 +78,8 @@ def structure_flags(rows: DataFrame, dimension: DataFrame, own: Column) -> DataF
     return rows.join(dimension.select("segment_id", F.col("is_structure").alias("_s")), "segment_id", "left").withColumn("is_structure", F.coalesce("_s", own, F.lit(0))).drop("_s")
 
 
-VOLUMES = ("historical_volume", "volume", "event_count", "count_total", "segment_total_events", "violations")
+# Where a table has several of these columns, the first is its volume.
+VOLUMES = ("historical_volume", "segment_total_events", "event_count", "count_total", "predicted_total", "volume")
 
 
 def attach_volume(segments: DataFrame, volumes: DataFrame) -> DataFrame:

@@ -73,9 +73,9 @@ def b35(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.live_weather(rows, live).drop("is_structure")
 
 
-@register("C14_volume", "SELECT d.segment_id, coalesce(v, 0.0)::DOUBLE AS volume FROM dim d LEFT JOIN (SELECT segment_id, CAST(sum(count_total) AS DOUBLE) AS v FROM hours WHERE hour < 12 GROUP BY 1) USING (segment_id)")
+@register("C14_volume", "SELECT d.segment_id, coalesce(v, 0.0)::DOUBLE AS volume FROM dim d LEFT JOIN (SELECT segment_id, CAST(greatest(0, sum(count_total * hour - 20)) AS DOUBLE) AS v FROM hours WHERE hour < 12 GROUP BY 1) USING (segment_id)")
 def c14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.attach_volume(core.dimension(spark, sf_dir).select("segment_id"), core.hours(spark, sf_dir).where("hour < 12").select("segment_id", "count_total"))
+    return context.attach_volume(core.dimension(spark, sf_dir).select("segment_id"), core.hours(spark, sf_dir).where("hour < 12").selectExpr("segment_id", "hour AS volume", "count_total", "count_total * hour - 20 AS event_count"))  # several columns that could be it, and sums below 0
 
 
 @register("C20_structure_flags", "SELECT h.segment_id, h.target_hour, CASE WHEN d.police_station < 'PS_5' THEN CAST(d.event_count % 2 AS INT) ELSE CAST(h.hour = 8 AS INT) END AS is_structure FROM hours h JOIN dim d USING (segment_id)")

@@ -69,3 +69,8 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str, group: s
     inside = W.partitionBy(*by, "range").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, -1)
     summed = ranged.withColumn("inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return summed.join(totals, same).select(*columns, (F.col("ahead") + F.col("inside")).alias(name))
+
+
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of ``df`` by the columns ``order``, which tell rows apart: for an ``n`` that grows with the data."""
+    return running_sum(df.withColumn("one", F.lit(1).cast("long")), order, "one", "ahead").where(F.col("ahead") < n).drop("one", "ahead")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import refdata as R
+from ..functions.shared import first_rows, running_sum, spread_join, staged
 
 HOTSPOT = 2.0
 
@@ -48,14 +49,17 @@ def approval_rates(raw: DataFrame) -> DataFrame:
     return raw.groupBy("police_station").agg(F.coalesce(F.try_divide(yes, yes + no), F.lit(0.5)).alias("approval_rate"))
 
 
-def average_rank(value: str) -> Column:
-    """Rank over all rows as a share, ties averaged, for a dimension-sized table."""
-    return (F.rank().over(W.orderBy(value)) + (F.count("*").over(W.partitionBy(value)) - 1) / 2) / F.count("*").over(W.partitionBy())
+def average_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the rank by ``value`` over all rows as a share, ties averaged. Running sums go over the distinct values."""
+    n = staged(rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("n")))
+    ranks = running_sum(n, ["_v"], "n", "_below").join(F.broadcast(n.agg(F.sum("n").alias("_all"))))
+    ranks = ranks.select(F.col("_v").alias(value), ((F.col("_below") + 1 + (F.col("n") - 1) / 2) / F.col("_all")).alias(name))
+    return spread_join(rows, ranks, [value], n.withColumnRenamed("_v", value), F.xxhash64(*rows.columns))
 
 
 def segment_totals(hours: DataFrame, train_hours: int) -> DataFrame:
     totals = hours.groupBy("segment_id").agg(F.sum("count_total").alias("segment_total_events"))
-    return totals.withColumns({"segment_event_rate": F.col("segment_total_events") / train_hours, "segment_rank_pct": average_rank("segment_total_events")})
+    return average_rank(totals.withColumn("segment_event_rate", F.col("segment_total_events") / train_hours), "segment_total_events", "segment_rank_pct")
 
 
 def climatology(hours: DataFrame, keys: list[str], periods: float, name: str) -> DataFrame:
@@ -78,7 +82,7 @@ def absent_pairs(segments: DataFrame, spine: DataFrame, positives: DataFrame, wa
     text = F.concat_ws(":", F.lit(str(seed)), F.lit(salt), "segment_id", F.date_format("target_hour", "yyyyMMddHH"))
     u = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
     key = F.round(-F.log(u) / F.log1p("event_count"), 9)
-    return grid.withColumn("key", key).orderBy("key", "segment_id", "target_hour").limit(wanted).select("segment_id", "target_hour")
+    return first_rows(grid.withColumn("key", key).select("key", "segment_id", "target_hour"), ["key", "segment_id", "target_hour"], wanted).select("segment_id", "target_hour")
 
 
 def with_zeros(hours: DataFrame, zeros: DataFrame, weight: float = 0.3) -> DataFrame:

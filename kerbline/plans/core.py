@@ -203,7 +203,7 @@ def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("E1_average_rank", "SELECT segment_id, round((rank() OVER (ORDER BY event_count) + (count(*) OVER (PARTITION BY event_count) - 1) / 2.0::DOUBLE) / count(*) OVER (), 6) AS rank_pct FROM seg")
 def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(dimension(spark, sf_dir).select("segment_id", facts.average_rank("event_count").alias("rank_pct")))
+    return rounded(facts.average_rank(dimension(spark, sf_dir).select("segment_id", "event_count"), "event_count", "rank_pct").select("segment_id", "rank_pct"))
 
 
 def _climate(name: str, keys: list[str], column: str, period: str, city: bool) -> None:

@@ -96,7 +96,7 @@ def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- joins ------------------------------------------------------------------------------------------
-@register("C3_attach_geometry", f"SELECT e.id, m.segment_id, round(r.lon1, 9) AS lon1, round(r.lat2, 9) AS lat2 FROM cleaned1 e LEFT JOIN ({more._match_sql(case('osm_highway', R.SNAP_PENALTY, 0.0))}) m ON m.id = e.id LEFT JOIN roads r ON r.segment_id = m.segment_id")
+@register("C3_attach_geometry", f"SELECT e.id, m.segment_id, round(r.lon1, 9) AS lon1, round(r.lat2, 9) AS lat2 FROM cleaned1 e LEFT JOIN ({more.match_sql(case('osm_highway', R.SNAP_PENALTY, 0.0))}) m ON m.id = e.id LEFT JOIN roads r ON r.segment_id = m.segment_id")
 def c3(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = lambda i: F.struct(F.col(f"lon{i}").alias("lon"), F.col(f"lat{i}").alias("lat"))
     roads = view(spark, sf_dir, "roads").select("segment_id", F.array(point(1), point(2)).alias("points"))
@@ -136,11 +136,12 @@ def e5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- explanations -----------------------------------------------------------------------------------
 _WEIGHTS = {c: (i % 5 - 2) / 4 or 0.5 for i, c in enumerate(R.COUNTS)} | {"count_total": 0.125, "severity_weighted_count": 0.25, "sample_weight": -0.5, "hour": 0.0625, "day_of_week": -0.125, "month": 0.5, "day_of_month": -0.0625, "day_of_year": 0.03125, "is_late": 0.25, "is_hotspot": -0.25}
-_IMPACT = " UNION ALL ".join(f"SELECT segment_id, target_hour, '{c}' AS feature, round({w}::DOUBLE * ({c} - (SELECT avg({c}) FROM fr)), 9) AS impact FROM fr" for c, w in _WEIGHTS.items())
+_FEATURES, _IMPACTS = ", ".join(f"'{c}'" for c in _WEIGHTS), ", ".join(f"round({w}::DOUBLE * (fr.{c} - m.{c}), 9)" for c, w in _WEIGHTS.items())
 
 
-@register("F5_explanation_cuts", f"""SELECT * FROM (WITH fr AS (SELECT *, month(target_hour) AS month, day(target_hour) AS day_of_month, dayofyear(target_hour) AS day_of_year, CAST(hour >= 12 AS INT) AS is_late FROM hours),
- tall AS (SELECT * FROM ({_IMPACT}) WHERE impact <> 0), rk AS (SELECT *, row_number() OVER (PARTITION BY segment_id, target_hour, impact > 0 ORDER BY abs(impact) DESC, feature) AS s, row_number() OVER (PARTITION BY segment_id, target_hour ORDER BY abs(impact) DESC, feature) AS n FROM tall),
+@register("F5_explanation_cuts", f"""SELECT * FROM (WITH fr AS MATERIALIZED (SELECT *, month(target_hour) AS month, day(target_hour) AS day_of_month, dayofyear(target_hour) AS day_of_year, CAST(hour >= 12 AS INT) AS is_late FROM hours),
+ m AS MATERIALIZED (SELECT {', '.join(f'avg({c}) AS {c}' for c in _WEIGHTS)} FROM fr),
+ tall AS MATERIALIZED (SELECT * FROM (SELECT segment_id, target_hour, unnest([{_FEATURES}]) AS feature, unnest([{_IMPACTS}]) AS impact FROM fr, m) WHERE impact <> 0), rk AS (SELECT *, row_number() OVER (PARTITION BY segment_id, target_hour, impact > 0 ORDER BY abs(impact) DESC, feature) AS s, row_number() OVER (PARTITION BY segment_id, target_hour ORDER BY abs(impact) DESC, feature) AS n FROM tall),
  cut AS (SELECT segment_id, target_hour, feature, row_number() OVER (PARTITION BY segment_id, target_hour ORDER BY abs(impact) DESC, feature) AS u FROM rk WHERE s <= CASE WHEN impact > 0 THEN 5 ELSE 3 END AND impact > 0.05)
  SELECT segment_id, target_hour, feature, round(impact, 6) AS impact, CAST(s <= CASE WHEN impact > 0 THEN 5 ELSE 3 END AS INT) AS served, CAST(s <= CASE WHEN impact > 0 THEN 3 ELSE 1 END AS INT) AS told, CAST(n <= 15 AS INT) AS largest, CAST(coalesce(u <= 3, false) AS INT) AS shown FROM rk LEFT JOIN cut USING (segment_id, target_hour, feature))""")
 def f5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import refdata as R
+from ..functions.shared import running_sum
 from ..operators import clean, metrics, spatial, tags
 from . import core
 from .core import register, rounded
@@ -187,8 +188,11 @@ _DIST = f"round(sqrt((e.longitude - (lon1 + {_ALONG} * (lon2 - lon1))) ** 2 + (e
 _BOX = "e.longitude BETWEEN least(lon1, lon2) - 0.002::DOUBLE AND greatest(lon1, lon2) + 0.002::DOUBLE AND e.latitude BETWEEN least(lat1, lat2) - 0.002::DOUBLE AND greatest(lat1, lat2) + 0.002::DOUBLE"
 
 
-def _match_sql(cost: str) -> str:
-    return f"SELECT id, road AS segment_id, round(d, 9) AS distance_deg FROM (WITH {_LINES} SELECT id, road, d, row_number() OVER (PARTITION BY id ORDER BY round(d + {cost}, 12), road) AS n FROM (SELECT e.id, ln.road, ln.osm_highway, {_DIST} AS d FROM cleaned1 e JOIN ln ON {_BOX})) WHERE n = 1"
+def match_sql(cost: str | None, shown: str = "id, road AS segment_id, round(d, 9) AS distance_deg") -> str:
+    """Over all pairs: the road of least distance plus ``cost`` among those of the point's box, and where it has none, or without a ``cost`` always, the plain nearest."""
+    order = f"inside DESC, CASE WHEN inside THEN round(d + {cost}, 12) ELSE d END" if cost else "d"
+    pairs = f"SELECT e.id, ln.*, {_DIST} AS d, {_BOX} AS inside FROM cleaned1 e, ln"
+    return f"SELECT {shown} FROM (WITH {_LINES} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {order}, road) AS n FROM ({pairs})) WHERE n = 1)"
 
 
 def _match(spark: SparkSession, sf_dir: str, penalties: dict | None) -> DataFrame:
@@ -198,12 +202,12 @@ def _match(spark: SparkSession, sf_dir: str, penalties: dict | None) -> DataFram
     return rounded(spatial.match_roads(e, r, penalties=penalties).select("id", "segment_id", "distance_deg"), 9)
 
 
-@register("C1_map_matching", _match_sql(case("osm_highway", R.SNAP_PENALTY, 0.0)))
+@register("C1_map_matching", match_sql(case("osm_highway", R.SNAP_PENALTY, 0.0)))
 def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match(spark, sf_dir, None)
 
 
-@register("C2_nearest_edge", _match_sql("0"))
+@register("C2_nearest_edge", match_sql(None))
 def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match(spark, sf_dir, {})
 
@@ -393,8 +397,9 @@ def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("F3_publication", "SELECT segment_id, target_hour, eps, CAST(n AS INT) AS n, CAST(n <= 15 AS INT) AS queued FROM (SELECT *, row_number() OVER (ORDER BY eps DESC, segment_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY eps DESC, target_hour) AS k FROM scored) WHERE k = 1) WHERE eps >= 50 OR n <= 40")
 def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = core.scored(spark, sf_dir).groupBy("segment_id").agg(F.min_by(F.struct("target_hour", "eps"), F.struct(-F.col("eps"), "target_hour")).alias("b")).select("segment_id", "b.*")  # one row a road
-    n = F.row_number().over(W.orderBy(F.desc("eps"), "segment_id"))
-    return rows.withColumn("n", n).where("eps >= 50 or n <= 40").withColumn("queued", (F.col("n") <= 15).cast("int"))
+    rows = rows.withColumns({"falling": -F.col("eps"), "one": F.lit(1).cast("long")})
+    n = running_sum(rows, ["falling", "segment_id"], "one", "ahead").withColumn("n", (F.col("ahead") + 1).cast("int")).drop("falling", "one", "ahead")
+    return n.where("eps >= 50 or n <= 40").withColumn("queued", (F.col("n") <= 15).cast("int"))
 
 
 _PAIR = "(SELECT a.segment_id, a.target_hour, a.eps AS old_eps, b.eps AS new_eps, a.priority_band AS old_band, b.priority_band AS new_band FROM scored a JOIN scored b ON a.segment_id = b.segment_id AND b.target_hour = a.target_hour + INTERVAL 1 HOUR WHERE a.priority_band <> b.priority_band)"

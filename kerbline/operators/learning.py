@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..llm.common import staged
+from ..functions.shared import staged
 
 FEATURES = ("hour_sin", "hour_cos", "dow_sin", "dow_cos", "lag_1h_total", "lag_24h_total", "lag_168h_total", "segment_hour_mean")
 

@@ -2,41 +2,76 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import refdata as R
-from ..llm.common import staged
+from ..functions.shared import staged
+
+
+def _finite(*columns: str) -> Column:
+    """Whether the columns are numbers: no nulls, and NaN counts as over infinity."""
+    return reduce(and_, [F.col(c).isNotNull() & (F.abs(c) < float("inf")) for c in columns])
 
 
 def ring_nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, size: float, keep: list[str], group: str | None = None) -> DataFrame:
     """``left``'s key with the nearest right row (planar x, y columns lx, ly and rx, ry), per ``group`` of the right side where given.
 
-    Candidates come from the 3x3 cells around; a best distance within one cell size is final. What is left
-    retries with cells four times as wide, and after three rounds against all of the right side, which must be a
-    dimension: Spark broadcasts it only if its size allows.
+    Candidates come from the 3x3 cells around and within one cell size, so the best is final. What is left, and only that,
+    retries with cells four times as wide, until none is. Rows without coordinates have no answer.
     """
     groups = [group] if group else []
-    todo = left.select(key, "lx", "ly")
+    right = right.where(_finite("rx", "ry"))
+    todo, found = left.select(key, "lx", "ly").where(_finite("lx", "ly")), None
     if group:
-        todo = todo.join(F.broadcast(right.select(group).distinct()))  # a handful of kinds
-    found = None
+        todo = todo.join(right.select(group).distinct())  # each kind is asked for
+    elif right.isEmpty():
+        todo = todo.limit(0)
+    todo = staged(todo)
     best = F.min_by(F.struct("distance", right_key, *keep), F.struct("distance", right_key)).alias("best")
-    for _ in range(3):
-        near = geo.grid_join(todo, right, ("lx", "ly"), ("rx", "ry"), size, groups).groupBy(key, *groups).agg(best)
+    while found is None or not todo.isEmpty():
+        near = staged(geo.grid_join(todo, right, ("lx", "ly"), ("rx", "ry"), size, groups).groupBy(key, *groups).agg(best))
         found = near if found is None else found.unionByName(near)
-        todo = todo.join(near.select(key, *groups), [key, *groups], "left_anti")
+        todo = staged(todo.join(near.select(key, *groups), [key, *groups], "left_anti"))
         size *= 4
-    far = todo.join(right, groups) if groups else todo.join(right)
-    far = far.withColumn("distance", F.sqrt(F.pow(F.col("lx") - F.col("rx"), 2) + F.pow(F.col("ly") - F.col("ry"), 2))).groupBy(key, *groups).agg(best)
-    return found.unionByName(far).select(key, *groups, "best.*")
+    return found.select(key, *groups, "best.*")
 
 
-def haversine_nearest(left: DataFrame, right: DataFrame, key: str, keep: list[str], first: list[str]) -> DataFrame:
-    """Nearest row of a small dimension by great-circle distance; ties by ``first``. Columns lat, lon and rlat, rlon."""
-    pairs = left.join(F.broadcast(right)).withColumn("distance_km", F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")), 9))
-    return pairs.groupBy(key).agg(F.min_by(F.struct("distance_km", *keep), F.struct("distance_km", *first)).alias("best")).select(key, "best.*")
+def haversine_nearest(left: DataFrame, right: DataFrame, key: str, keep: list[str], first: list[str], group: str | None = None, size: float = 0.125) -> DataFrame:
+    """Nearest row of ``right`` by great-circle distance, among those of the same ``group`` where one is given; ties by ``first``. Columns lat, lon and rlat, rlon.
+
+    A row looks into its own grid cell of ``size`` degrees, in which the other side is placed with all cells around. A best distance is final where
+    nothing outside these cells can be as near; what is left retries in cells eight times as wide, and at last in one that holds everything.
+    Rows without coordinates have none. The groups that ``right`` lacks have none either.
+    """
+    by = [group] if group else []
+    right = right.where(_finite("rlat", "rlon"))
+    todo, found = left.where(_finite("lat", "lon")), None
+    if group:
+        todo = todo.join(right.select(group).distinct(), group, "left_semi")
+    elif right.isEmpty():
+        todo = todo.limit(0)
+    columns = todo.columns
+    while found is None or not todo.isEmpty():
+        cell = lambda c: F.floor(c / size)  # noqa: E731, B023
+        round_trip = F.explode(F.filter(F.transform(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)), lambda s: F.col("rlon") + s), lambda x: F.abs(x) <= 180 + 2 * size))  # noqa: B023 - near the date line both sides
+        around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+        placed = right.withColumn("at", round_trip).withColumn("cx", F.explode(F.transform(around, lambda i: cell(F.col("at")) + i))).withColumn("cy", F.explode(F.transform(around, lambda i: cell(F.col("rlat")) + i)))
+        met = todo.withColumns({"cx": cell(F.col("lon")), "cy": cell(F.col("lat"))}).join(placed, [*by, "cx", "cy"], "left")
+        met = met.withColumn("distance_km", F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")), 9))
+        best = F.min_by(F.struct("distance_km", *keep), F.when(F.col("distance_km").isNotNull(), F.struct("distance_km", *first)))
+        tried = staged(met.groupBy(*columns).agg(best.alias("best")))
+        sure = F.lit(size > 360) if size > 60 else F.col("best.distance_km") < geo.EARTH_KM * F.asin(F.cos(F.radians("lat")) * math.sin(math.radians(size))) - 1e-6
+        final = F.col("best").isNotNull() & F.coalesce(sure, F.lit(False))
+        done = tried.where(final).select(key, *by, "best.*")
+        found, todo = done if found is None else found.unionByName(done), tried.where(~final).drop("best")
+        size = size * 8 if size < 7 else 720.0
+    return found
 
 
 def radius_counts(points: DataFrame, pois: DataFrame, key: str) -> DataFrame:
@@ -54,8 +89,7 @@ def match_roads(points: DataFrame, roads: DataFrame, reach: float = 0.002, penal
     road everywhere: a best distance over ``reach`` isn't final, as a road outside the box may be nearer. What is left
     retries in boxes four times as wide, until each best distance lies within its box. Points without finite coordinates have no road.
     """
-    finite = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))  # noqa: E731 - NaN is over infinity
-    todo = points.select("id", "lon", "lat").where(finite("lon") & finite("lat"))
+    todo = points.select("id", "lon", "lat").where(_finite("lon", "lat"))
     roads = roads.where(F.size("points") > 1)
     cost = F.round(F.col("distance_deg") + R.lookup(F.col("osm_highway"), R.SNAP_PENALTY if penalties is None else penalties, 0.0), 12) if penalties != {} else F.col("distance_deg")
     tried = staged(_best_in_box(todo, roads, reach, cost))
@@ -107,13 +141,14 @@ def active_events(segments: DataFrame, hours: DataFrame, calendar: DataFrame) ->
     """
     last = F.date_trunc("hour", F.col("end_ts") - F.expr("interval 1 microsecond"))
     busy = calendar.where("end_ts > start_ts").withColumn("target_hour", F.explode(F.sequence(F.date_trunc("hour", "start_ts").cast("timestamp_ntz"), last.cast("timestamp_ntz"), F.expr("interval 1 hour"))))
-    busy = busy.join(hours.select("target_hour").distinct(), "target_hour", "left_semi")
-    pairs = segments.select("segment_id", "lat", "lon").join(F.broadcast(busy))  # every segment has an answer for every busy hour
-    pairs = pairs.withColumn("d", F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("elat"), F.col("elon")) * 1000, 6))
-    near = pairs.groupBy("segment_id", "target_hour").agg(F.count("*").alias("active_event_count"), F.min_by(F.struct("d", "venue", "label"), F.struct("d", "event_key")).alias("n"))
-    rows = segments.select("segment_id").join(F.broadcast(hours.select("target_hour").distinct())).join(near, ["segment_id", "target_hour"], "left")
-    d = F.coalesce(F.col("n.d"), F.lit(1e6))
-    return rows.select("segment_id", "target_hour", F.coalesce("active_event_count", F.lit(0)).alias("active_event_count"), d.alias("nearest_event_distance_m"), F.when(F.col("n.d").isNotNull(), event_decay(d)).otherwise(0.0).alias("event_impact"), F.col("n.venue").alias("venue"), F.col("n.label").alias("label"))
+    busy = staged(busy.join(hours.select("target_hour").distinct(), "target_hour", "left_semi"))
+    counts = busy.groupBy("target_hour").agg(F.count("*").alias("active_event_count"))
+    # every segment has an answer for every hour: the result itself has so many rows, and only busy hours are looked at
+    asked = staged(segments.select("segment_id", "lat", "lon").join(counts.select("target_hour")))
+    near = haversine_nearest(asked, busy.withColumnsRenamed({"elat": "rlat", "elon": "rlon"}), "segment_id", ["venue", "label"], ["event_key"], "target_hour")
+    rows = segments.select("segment_id").join(hours.select("target_hour").distinct()).join(near, ["segment_id", "target_hour"], "left").join(counts, "target_hour", "left")
+    d = F.coalesce(F.round(F.col("distance_km") * 1000, 6), F.lit(1e6))
+    return rows.select("segment_id", "target_hour", F.coalesce("active_event_count", F.lit(0)).alias("active_event_count"), d.alias("nearest_event_distance_m"), F.when(F.col("distance_km").isNotNull(), event_decay(d)).otherwise(0.0).alias("event_impact"), "venue", "label")
 
 
 def event_decay(metres: Column) -> Column:

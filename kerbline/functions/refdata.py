@@ -10,15 +10,33 @@ COUNTS = tuple(f"count_{c}" for c in CLASSES)
 CLASS_WIDTH = {"two_wheeler": 0.8, "car": 1.9, "auto": 1.3, "light_commercial": 2.3, "heavy": 2.6, "other": 1.9}
 FOOTPRINT = {"heavy": 2.5, "light_commercial": 1.8, "car": 1.5, "auto": 1.2, "two_wheeler": 0.8, "other": 1.0}
 OCCUPANCY = {"two_wheeler": 0.15, "car": 0.30, "auto": 0.20, "light_commercial": 0.40, "heavy": 0.50, "other": 0.25}
-VEHICLES = {
-    "two_wheeler": ("SCOOTER", "MOTOR CYCLE", "MOTORCYCLE", "MOPED"),
-    "car": ("CAR", "MAXI-CAB", "MAXI CAB", "JEEP"),
-    "auto": ("PASSENGER AUTO", "GOODS AUTO"),
-    "light_commercial": ("LGV", "VAN", "TEMPO"),
-    "heavy": ("PRIVATE BUS", "BUS (BMTC/KSRTC)", "TOURIST BUS", "SCHOOL VEHICLE", "FACTORY BUS", "HGV", "LORRY/GOODS VEHICLE", "LORRY", "TANKER", "TRACTOR", "TRAILER"),
-    "other": ("OTHERS",),
+VEHICLE_CLASS = {
+    "SCOOTER": "two_wheeler",
+    "MOTOR CYCLE": "two_wheeler",
+    "MOTORCYCLE": "two_wheeler",
+    "MOPED": "two_wheeler",
+    "CAR": "car",
+    "MAXI-CAB": "car",
+    "MAXI CAB": "car",
+    "JEEP": "car",
+    "PASSENGER AUTO": "auto",
+    "GOODS AUTO": "auto",
+    "LGV": "light_commercial",
+    "VAN": "light_commercial",
+    "TEMPO": "light_commercial",
+    "PRIVATE BUS": "heavy",
+    "BUS (BMTC/KSRTC)": "heavy",
+    "TOURIST BUS": "heavy",
+    "SCHOOL VEHICLE": "heavy",
+    "FACTORY BUS": "heavy",
+    "HGV": "heavy",
+    "LORRY/GOODS VEHICLE": "heavy",
+    "LORRY": "heavy",
+    "TANKER": "heavy",
+    "TRACTOR": "heavy",
+    "TRAILER": "heavy",
+    "OTHERS": "other",
 }
-VEHICLE_CLASS = {label: c for c, labels in VEHICLES.items() for label in labels}
 SEVERITY = {
     "DOUBLE PARKING": 2.0,
     "PARKING IN A MAIN ROAD": 1.8,
@@ -41,11 +59,10 @@ CASCADE_COUNT = {"primary": 8, "secondary": 5, "tertiary": 3, "residential": 1}
 CASCADE_SCORE = {"primary": 90, "secondary": 65, "tertiary": 40, "residential": 20}
 PEAK = (8, 9, 10, 17, 18, 19, 20)
 WEEKEND_PEAK = (10, 11, 12, 13, 17, 18, 19, 20, 21)
-HOUR_BUCKETS = {
-    "late_night": (0, 1, 2, 3, 23), "early_morning": (4, 5), "morning": (6, 7), "morning_rush": (8, 9, 10), "midday": (11, 12, 13, 14),
-    "afternoon": (15, 16), "evening_rush": (17, 18, 19, 20), "night": (21, 22),
-}
-HOUR_BUCKET = {h: name for name, hours in HOUR_BUCKETS.items() for h in hours}
+HOUR_BUCKET = {
+    0: "late_night", 1: "late_night", 2: "late_night", 3: "late_night", 4: "early_morning", 5: "early_morning", 6: "morning", 7: "morning", 8: "morning_rush", 9: "morning_rush", 10: "morning_rush", 11: "midday",
+    12: "midday", 13: "midday", 14: "midday", 15: "afternoon", 16: "afternoon", 17: "evening_rush", 18: "evening_rush", 19: "evening_rush", 20: "evening_rush", 21: "night", 22: "night", 23: "late_night",
+}
 DAMPENER = {0: 0.40, 1: 0.30, 2: 0.25, 3: 0.25, 4: 0.30, 5: 0.45, 6: 0.70, 7: 0.88, 21: 0.80, 22: 0.55, 23: 0.45}
 HOLIDAYS = ("2023-11-14", "2023-11-27", "2023-12-25", "2024-01-15", "2024-01-26", "2024-03-25", "2024-03-29", "2024-04-11", "2024-04-14")
 FESTIVALS = ("2023-11-12", "2023-11-13", "2023-12-31", "2024-01-01", "2024-01-14", "2024-01-15", "2024-01-16", "2024-03-24", "2024-03-25")
@@ -63,14 +80,46 @@ POI_GRAVITY = {
     "metro": 3.0, "railway_station": 3.0, "airport": 4.0, "commercial": 2.5, "mall": 3.5, "market": 2.5, "school": 2.0, "university": 2.5, "hospital": 2.0,
     "restaurant": 1.5, "bus_stop": 1.2, "worship": 1.5, "office": 2.5, "hotel": 2.0, "nightlife": 2.5, "park": 1.5, "stadium": 3.0,
 }
-POI_SYNONYMS = {
-    "airport": ("airport", "aeroway=aerodrome"), "mall": ("mall", "shop=mall"), "hotel": ("hotel", "tourism=hotel"), "park": ("park", "leisure=park"),
-    "stadium": ("stadium", "leisure=stadium"), "nightlife": ("nightlife", "nightclub", "bar", "pub"), "university": ("university", "college"),
-    "railway_station": ("railway_station", "station"), "metro": ("metro", "subway"), "commercial": ("commercial", "retail", "landuse_commercial", "landuse_retail"),
-    "bus_stop": ("bus_stop", "highway_bus_stop"), "school": ("school",), "hospital": ("hospital", "clinic"), "restaurant": ("restaurant", "cafe", "fast_food", "food_court"),
-    "market": ("market", "marketplace"), "worship": ("worship", "place_of_worship"), "office": ("office",),
-}
-POI_TYPE = {s: t for t, names in POI_SYNONYMS.items() for s in names}
+POI_TYPE = {
+    "airport": "airport",
+    "aeroway=aerodrome": "airport",
+    "mall": "mall",
+    "shop=mall": "mall",
+    "hotel": "hotel",
+    "tourism=hotel": "hotel",
+    "park": "park",
+    "leisure=park": "park",
+    "stadium": "stadium",
+    "leisure=stadium": "stadium",
+    "nightlife": "nightlife",
+    "nightclub": "nightlife",
+    "bar": "nightlife",
+    "pub": "nightlife",
+    "university": "university",
+    "college": "university",
+    "railway_station": "railway_station",
+    "station": "railway_station",
+    "metro": "metro",
+    "subway": "metro",
+    "commercial": "commercial",
+    "retail": "commercial",
+    "landuse_commercial": "commercial",
+    "landuse_retail": "commercial",
+    "bus_stop": "bus_stop",
+    "highway_bus_stop": "bus_stop",
+    "school": "school",
+    "hospital": "hospital",
+    "clinic": "hospital",
+    "restaurant": "restaurant",
+    "cafe": "restaurant",
+    "fast_food": "restaurant",
+    "food_court": "restaurant",
+    "market": "market",
+    "marketplace": "market",
+    "worship": "worship",
+    "place_of_worship": "worship",
+    "office": "office",
+}
 EXCLUDED_HIGHWAYS = ("footway", "path", "pedestrian", "steps", "cycleway", "bridleway", "construction", "proposed", "raceway")
 HIGHWAY_CLASS = {
     "motorway": ("motorway", "motorway_link"), "trunk": ("trunk", "trunk_link"), "primary": ("primary", "primary_link"),

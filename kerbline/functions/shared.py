@@ -44,33 +44,33 @@ def spread_join(rows: DataFrame, single: DataFrame, keys: list[str], counts: Dat
     is cut into as many parts as it holds such shares, so the broadcast table of them has fewer than ``HOT`` rows.
     """
     n = F.col("n") * HOT
-    total = counts.agg(F.sum("n").alias("total_rows"))
-    hot = counts.join(F.broadcast(total), n > F.col("total_rows")).select(*keys, F.ceil(n / F.col("total_rows")).alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    left = rows.withColumn("salted", salt).join(F.broadcast(hot), keys, "left").withColumn("part", F.pmod("salted", parts)).drop("parts", "salted")
-    right = single.join(F.broadcast(hot), keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
-    return left.join(right, [*keys, "part"], how).drop("part")
+    total = counts.agg(F.sum("n").alias("_total"))
+    hot = counts.join(F.broadcast(total), n > F.col("_total")).select(*keys, F.ceil(n / F.col("_total")).alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.withColumn("_salt", salt).join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod("_salt", parts)).drop("_parts", "_salt")
+    right = single.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, name: str, group: str | None = None) -> DataFrame:
     """``df``, staged, with ``name``: the sum of ``value`` over the rows before it by ``order`` (nulls first), within its ``group`` where one is given.
 
-    Rows are range-sorted over all tasks by group and order; the ranges' totals, as many as tasks (and groups), are summed up,
+    Names of ``df`` with a leading underscore are ours. Rows are range-sorted over all tasks by group and order; the ranges' totals, as many as tasks (and groups), are summed up,
     and each range sums its own rows. Equal rows in ``order`` come in any order.
     """
     keys = [c for c in (group, *order) if c]
     columns = df.columns
-    ranged = staged(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys]).withColumn("range", F.spark_partition_id()))
+    ranged = staged(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys]).withColumn("_range", F.spark_partition_id()))
     by = [group] if group else []
-    totals = ranged.groupBy(*by, "range").agg(F.sum(value).alias("total"))
-    before = W.partitionBy(*by).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(F.col(group).alias("g") if group else F.lit(None).cast("string").alias("g"), F.col("range").alias("r"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("ahead"))
-    same = (F.col("range") == F.col("r")) & (F.col(group).eqNullSafe(F.col("g")) if group else F.lit(True))
-    inside = W.partitionBy(*by, "range").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, -1)
-    summed = ranged.withColumn("inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(totals, same).select(*columns, (F.col("ahead") + F.col("inside")).alias(name))
+    totals = ranged.groupBy(*by, "_range").agg(F.sum(value).alias("_total"))
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(F.col(group).alias("_g") if group else F.lit(None).cast("string").alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_ahead"))
+    same = (F.col("_range") == F.col("_r")) & (F.col(group).eqNullSafe(F.col("_g")) if group else F.lit(True))
+    inside = W.partitionBy(*by, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, -1)
+    summed = ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(totals, same).select(*columns, (F.col("_ahead") + F.col("_inside")).alias(name))
 
 
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of ``df`` by the columns ``order``, which tell rows apart: for an ``n`` that grows with the data."""
-    return running_sum(df.withColumn("one", F.lit(1).cast("long")), order, "one", "ahead").where(F.col("ahead") < n).drop("one", "ahead")
+    return running_sum(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", "_n").where(F.col("_n") < n).drop("_one", "_n")

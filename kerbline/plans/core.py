@@ -131,7 +131,7 @@ def _hours_in(hs) -> str:
 _day_query("B14_calendar", {"hour": "hour", "day_of_week": "day_of_week", "month": "month(target_hour)", "day_of_year": "dayofyear(target_hour)", "is_weekend": "day_of_week >= 5", "is_peak": _hours_in(R.PEAK)})
 _day_query("B15_cycles", {f"{n}_{f}": f"{f}(2 * pi() * {v} / {p})" for n, v, p in (("hour", "hour", 24), ("dow", "day_of_week", 7), ("month", "month(target_hour)", 12)) for f in ("sin", "cos")} | {"day_of_year_norm": "dayofyear(target_hour) / 365.0::DOUBLE"}, True)
 _day_query("B16_peaks", {"is_weekday_peak": f"day_of_week < 5 AND {_hours_in(R.PEAK)}", "is_weekend_peak": f"day_of_week >= 5 AND {_hours_in(R.WEEKEND_PEAK)}"})
-_day_query("B17_hour_bucket", {"hour_bucket": "CASE " + " ".join(f"WHEN {_hours_in(hs)} THEN '{n}'" for n, hs in R.HOUR_BUCKETS.items()) + " END"})
+_day_query("B17_hour_bucket", {"hour_bucket": "CASE hour " + " ".join(f"WHEN {h} THEN '{n}'" for h, n in R.HOUR_BUCKET.items()) + " END"})
 _day_query("B18_holidays", {n: "strftime(target_hour, '%Y-%m-%d') IN ({})".format(", ".join(f"'{d}'" for d in days)) for n, days in (("is_holiday", R.HOLIDAYS), ("is_festival", R.FESTIVALS))})
 _day_query("B19_month_edges", {"is_first_week_of_month": "day(target_hour) <= 7", "is_month_end": "day(last_day(target_hour)) - day(target_hour) <= 3"})
 _day_query("B20_micro_windows", {f"is_{n}": _hours_in(hs) + (" AND day_of_week < 5" if wd else "") for n, (hs, wd) in R.WINDOWS.items()})

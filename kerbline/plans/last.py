@@ -105,13 +105,13 @@ def c3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("id", "segment_id", F.col("points")[0]["lon"].alias("lon1"), F.col("points")[1]["lat"].alias("lat2")), 9)
 
 
-_METRES = ["dist_to_metro_m", "dist_to_commercial_m"]
+_METRES = {f"dist_to_{kind}_m": kind for kind in R.POI_GRAVITY}
 
 
 @register("C23_feature_merges")
 def c23(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = core.dimension(spark, sf_dir).select("segment_id", "police_station")
-    near = more.c11(spark, sf_dir).groupBy("segment_id").agg(*[F.max(F.when(F.col("poi_type") == c.split("_")[2], F.col("distance"))).alias(c) for c in _METRES])
+    near = more.c11(spark, sf_dir).groupBy("segment_id").agg(*[F.max(F.when(F.col("poi_type") == kind, F.col("distance"))).alias(c) for c, kind in _METRES.items()])
     known = d.where("police_station != 'PS_1'").select("segment_id")
     places = known.join(near, "segment_id", "left").join(more.c12(spark, sf_dir), "segment_id", "left")
     lots = core.dimension(spark, sf_dir).where("police_station != 'PS_2'").select("segment_id", "event_count").join(more.nearest_lots(spark, sf_dir), "segment_id").join(F.broadcast(more.d13(spark, sf_dir)))
@@ -120,10 +120,11 @@ def c23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.merge_features(d, places, lots)
 
 
-ORACLES["C23_feature_merges"] = f"""SELECT d.segment_id, d.police_station, {', '.join(f"CASE WHEN d.police_station <> 'PS_1' THEN coalesce((SELECT n.distance FROM ({core.ORACLES['C11_nearest_poi']}) n WHERE n.segment_id = d.segment_id AND n.poi_type = '{c.split('_')[2]}'), 5000.0::DOUBLE) ELSE 5000.0::DOUBLE END AS {c}" for c in _METRES)},
+ORACLES["C23_feature_merges"] = f"""SELECT d.segment_id, d.police_station, {', '.join(f"coalesce(n.{c}, 5000.0::DOUBLE) AS {c}" for c in _METRES)},
  coalesce(s.poi_count_200m, 0) AS poi_count_200m, coalesce(s.poi_count_500m, 0) AS poi_count_500m, coalesce(s.poi_gravity_score, 0.0::DOUBLE) AS poi_gravity_score,
  coalesce(p.distance, 0.0::DOUBLE) AS dist_to_legal_parking_m, coalesce(p.estimated_capacity, 0.0::DOUBLE) AS legal_parking_capacity, CASE WHEN d.police_station <> 'PS_2' THEN coalesce(o.overflow_risk, 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS overflow_risk_index
  FROM ({oracle('SELECT segment_id, police_station FROM dim')}) d LEFT JOIN ({core.ORACLES['C12_radius_counts']}) s ON s.segment_id = d.segment_id AND d.police_station <> 'PS_1'
+ LEFT JOIN (SELECT segment_id, {', '.join(f"max(distance) FILTER (poi_type = '{kind}') AS {c}" for c, kind in _METRES.items())} FROM ({core.ORACLES['C11_nearest_poi']}) GROUP BY 1) n ON n.segment_id = d.segment_id AND d.police_station <> 'PS_1'
  LEFT JOIN ({core.ORACLES['C13_nearest_parking']}) p ON p.segment_id = d.segment_id AND d.police_station <> 'PS_2' LEFT JOIN ({core.ORACLES['B32_overflow_risk']}) o ON o.segment_id = d.segment_id"""
 
 

@@ -268,7 +268,7 @@ _CAL = "cal AS (SELECT *, TIMESTAMP '2024-01-01' + start_hour_offset * INTERVAL
 _EV = f"SELECT * FROM (WITH {_CAL}, hh AS (SELECT DISTINCT target_hour FROM hours), p AS (SELECT segment_id, target_hour, event_key, venue, label, round({hav('lat_center', 'lon_center', 'latitude', 'longitude')} * 1000, 6) AS d FROM seg, hh, cal WHERE start_ts < target_hour + INTERVAL 1 HOUR AND end_ts > target_hour), r AS (SELECT *, count(*) OVER (PARTITION BY segment_id, target_hour) AS c, row_number() OVER (PARTITION BY segment_id, target_hour ORDER BY d, event_key) AS n FROM p) SELECT s.segment_id, hh.target_hour, coalesce(c, 0) AS active_event_count, round(coalesce(d, 1e6), 3) AS nearest_event_distance_m, round(coalesce(exp(-d / 1000), 0), 6) AS event_impact, venue FROM seg s CROSS JOIN hh LEFT JOIN r ON r.segment_id = s.segment_id AND r.target_hour = hh.target_hour AND n = 1)"
 
 
-def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+def calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")
     at = lambda c: base + F.make_dt_interval(F.lit(0), F.col(c))
     return view(spark, sf_dir, "calendar").select("event_key", "venue", "label", F.col("latitude").alias("elat"), F.col("longitude").alias("elon"), at("start_hour_offset").alias("start_ts"), at("end_hour_offset").alias("end_ts"))
@@ -277,7 +277,7 @@ def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("C9_active_events", _EV)
 def c9(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = core.dimension(spark, sf_dir).select("segment_id", F.col("lat_center").alias("lat"), F.col("lon_center").alias("lon"))
-    r = spatial.active_events(s, core.hours(spark, sf_dir), _calendar(spark, sf_dir))
+    r = spatial.active_events(s, core.hours(spark, sf_dir), calendar_events(spark, sf_dir))
     return r.select("segment_id", "target_hour", "active_event_count", F.round("nearest_event_distance_m", 3).alias("nearest_event_distance_m"), F.round("event_impact", 6).alias("event_impact"), "venue")
 
 
@@ -296,7 +296,7 @@ def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.context import calendar_faults
 
-    return calendar_faults(_calendar(spark, sf_dir))
+    return calendar_faults(calendar_events(spark, sf_dir))
 
 
 _RAIN = "wx AS (SELECT target_hour, CASE WHEN i % 7 = 0 THEN (i % 13) / 10.0::DOUBLE ELSE 0.0::DOUBLE END AS rainfall_mm FROM (SELECT target_hour, CAST(date_diff('hour', (SELECT start_hour FROM bounds), target_hour) AS INT) AS i FROM (SELECT unnest(generate_series(start_hour, end_hour, INTERVAL 1 HOUR)) AS target_hour FROM bounds)))"

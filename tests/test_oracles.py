@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kerbline import registry
 from kerbline.functions import geo
 from kerbline.functions import refdata as R
+from kerbline.functions import shared
 from kerbline.operators import clean, scoring, spatial, tags
 from kerbline.plans import more
 from kerbline.plans.sql import case, oracle
@@ -73,6 +74,52 @@ def test_every_count_is_forecast(spark):
     assert all(r[n] is not None and 0 <= r[n] < float("inf") for r in rows.collect() for n in names)
 
 
+def test_the_next_24_hours_are_scored(spark):
+    rows = registry.QUERIES["predict_next_24h"](spark, SF).collect()
+    hours = {r.target_hour for r in rows}
+    assert len(hours) == 24 and len(rows) == 24 * len({r.segment_id for r in rows}) == registry.QUERIES["G4_future_grid"](spark, SF).count()
+    assert all(0 <= r.eps <= 100 and 0 <= r.priority <= 1 and r.predicted_total >= 0 for r in rows)
+    assert all(r.priority_band in ("Red Line", "Orange Line", "Watchlist", "Low") for r in rows)
+
+
+def test_first_rows_and_running_sums(spark):
+    rows = spark.range(500).select((F.col("id") * 37 % 101).alias("a"), F.col("id").alias("b"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"))
+    plain = sorted(tuple(r) for r in rows.select("a", "b").collect())
+    assert sorted(tuple(r)[:2] for r in shared.first_rows(rows.select("a", "b"), ["a", "b"], 77).collect()) == plain[:77]
+    got = {(r.g, r.a, r.b): r.s for r in shared.running_sum(rows, ["a", "b"], "b", "s", group="g").collect()}
+    for g in (None, 1, 2):
+        total = 0
+        for a, b in sorted((r.a, r.b) for r in rows.collect() if r.g == g):
+            assert got[g, a, b] == total
+            total += b
+
+
+def test_spread_join_of_a_hot_key(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), F.col("id"))
+    single = spark.createDataFrame([(7, "hot"), (3500, "one"), (9999, "none")], "k long, v string")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    got = shared.spread_join(rows, single, ["k"], counts, F.col("id"), "left").groupBy("v").count().rdd.collectAsMap()
+    assert got == {"hot": 3000, "one": 1, None: 999}
+
+
+def test_nearest_on_the_globe_is_brute_force(spark):
+    place = lambda k, m: (f"{k}", (k * m % 179) - 89.0, (k * m * 7 % 359) - 179.5)  # noqa: E731 - near poles and the date line, too
+    a = spark.createDataFrame([place(k, 37) for k in range(60)] + [("null", None, 1.0)], "a string, lat double, lon double")
+    b = spark.createDataFrame([place(k, 53) for k in range(25)], "b string, rlat double, rlon double")
+    got = {r.a: r.distance_km for r in spatial.haversine_nearest(a, b, "a", ["b"], ["b"]).collect()}
+    d = F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")), 9)
+    assert got == {r.a: r.d for r in a.where("lat is not null").crossJoin(b).groupBy("a").agg(F.min(d).alias("d")).collect()}
+    assert spatial.haversine_nearest(a, b.limit(0), "a", ["b"], ["b"]).count() == 0
+
+
+def test_the_first_volume_column_counts(spark):
+    from kerbline.operators import context
+
+    s = spark.createDataFrame([("x",), ("y",), ("z",)], "segment_id string")
+    v = spark.createDataFrame([("x", 9.0, 2.0, 5.0), ("y", 9.0, -2.0, 5.0)], "segment_id string, volume double, segment_total_events double, count_total double")
+    assert {r.segment_id: r.volume for r in context.attach_volume(s, v).collect()} == {"x": 2.0, "y": 0.0, "z": 0.0}
+
+
 def one(spark, **columns):
     return lambda *out: spark.range(1).select(*[v.alias(k) for k, v in columns.items()]).select(*out).first()
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import refdata as R
+from ..functions.shared import folder
 from ..operators import calendar, clean, facts, history, scoring
 from .fixtures import view
 from .sql import oracle
@@ -88,8 +89,9 @@ def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import violations
 
-    raw = view(spark, sf_dir, "violations").withColumn("created_datetime", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    return violations.typed(raw.drop("ts")).select("id", "ts", "latitude", "longitude")
+    raw, path = view(spark, sf_dir, "violations").withColumn("created_datetime", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), folder(spark, "csv")
+    raw.select(*[c.split()[0] for c in violations.SCHEMA.split(", ")]).write.csv(path, header=True, escape='"')
+    return violations.read(spark, path).select(F.col("id").cast("long").alias("id"), "ts", "latitude", "longitude")
 
 
 _columns("B1_status_filter", _every, "cleaned_all", ["id", "validation_status"])

@@ -97,11 +97,13 @@ def j3_stream_band_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j4_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, out = folder(spark), folder(spark)
     rows = core.scored(spark, sf_dir).select("segment_id", "target_hour", "eps")
-    rows.write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100000).parquet(path)
+    rows.where(F.hour("target_hour") >= 12).write.parquet(f"{path}/half=1")  # at least two batches, the later hours first
+    rows.where(F.hour("target_hour") < 12).write.parquet(f"{path}/half=2")
+    half = max(1, spark.read.schema(rows.schema).parquet(path).select(F.input_file_name()).distinct().count() // 2)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", half).option("recursiveFileLookup", "true").parquet(path)
     q = stream.writeStream.foreachBatch(live.upsert(out, "segment_id", "target_hour")).option("checkpointLocation", folder(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{out}/batch=0")
+    return live.newest(spark.read.schema(rows.schema).parquet(out).select(*rows.columns), "segment_id", "target_hour")
 
 
 QUERIES |= {"H1_poisson_chain": h1_forecast, "H2_H4_priority": h2_priority, "H3_calibration_quality": h3_calibration_quality, "H5_contributions": h5_contributions, "H6_ablations": h6_ablations, "J1_stream_counts": j1_stream_counts, "J3_stream_band_changes": j3_stream_band_changes, "J4_stream_latest": j4_stream_latest}

@@ -433,6 +433,19 @@ def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(parsed.groupBy(F.col("f.properties.segment_id").alias("segment_id")).agg(F.count("*").alias("features"), F.max("f.properties.eps").alias("eps")))
 
 
+_SHOWN = "properties struct<segment_id:string, target_hour:string, road_name:string, hotspot_probability:double, clearance_m:double, emergency_gridlock_flag:boolean, geometry_wkt:string>, geometry struct<type:string>"
+
+
+@register("A11_geojson_lines", """SELECT segment_id, strftime(target_hour, '%Y-%m-%d %H:%M:%S') AS target_hour, CASE WHEN hour % 3 = 0 THEN 'LineString' ELSE 'Point' END AS kind, '' AS road_name, 0.0::DOUBLE AS hotspot_probability, round(clearance_after_predicted_load_m, 6) AS clearance_m, emergency_gridlock_flag::BOOLEAN AS gridlock, CASE WHEN hour % 3 = 0 THEN 'LINESTRING (77.5 12.9, 77.6 12.95)' ELSE '' END AS geometry_wkt FROM scored WHERE hour % 3 <> 1""")
+def a11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import geojson
+
+    turn = F.col("hour") % 3
+    rows = core.scored(spark, sf_dir).withColumns({"geometry_wkt": F.when(turn == 0, "LINESTRING (77.5 12.9, 77.6 12.95)"), "map_matching_mode": F.when(turn == 2, "grid_fallback").otherwise("osm_overpass_nearest_road")})
+    parsed = geojson.scored_features(rows).select(F.from_json("value", _SHOWN).alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("kind"))
+    return parsed.select("segment_id", "target_hour", "kind", "road_name", "hotspot_probability", F.round("clearance_m", 6).alias("clearance_m"), F.col("emergency_gridlock_flag").alias("gridlock"), "geometry_wkt")
+
+
 @register("A14_latest_state", "SELECT segment_id, max(target_hour) AS target_hour, arg_max(eps, target_hour) AS eps FROM scored GROUP BY 1")
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.scored(spark, sf_dir).groupBy("segment_id").agg(F.max("target_hour").alias("target_hour"), F.max_by("eps", "target_hour").alias("eps"))

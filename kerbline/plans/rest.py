@@ -56,9 +56,9 @@ def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.weather_table(rows, "segment_id")
 
 
-@register("E3_keep_last", "SELECT target_hour, max(segment_id) AS segment_id FROM hours GROUP BY 1")
+@register("E3_keep_last", "SELECT target_hour, arg_max(count_total, segment_id) AS count_total FROM hours GROUP BY 1")
 def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core.hours(spark, sf_dir).groupBy("target_hour").agg(F.max_by("segment_id", "segment_id").alias("segment_id"))
+    return core.hours(spark, sf_dir).groupBy("target_hour").agg(F.max_by("count_total", "segment_id").alias("count_total"))
 
 
 @register("B34_rain_shelter", "SELECT segment_id, target_hour, CAST(hour % 2 AS INT) * CAST(count_total > 1 AS INT) AS rain_shelter FROM hours")

@@ -12,10 +12,11 @@ from ..operators.clean import road_class_of_highway
 def roads(elements: DataFrame) -> DataFrame:
     """segment_id, osm_way_id, osm_highway, road_class, road_width_m, road_name, points from rows (type, id, lat, lon, nodes, tags).
 
-    Ways of other kinds than roads, and ways with fewer than two known nodes, go; a way counts once.
+    Ways of other kinds than roads, and ways with fewer than two known nodes, go; a way and a node count once, with the least of their values.
     """
-    nodes = elements.where("type = 'node' and lat is not null and lon is not null").select(F.col("id").alias("node"), "lat", "lon").dropDuplicates(["node"])
-    ways = elements.where("type = 'way'").select("id", F.col("tags")["highway"].alias("osm_highway"), F.col("tags")["name"].alias("road_name"), "nodes").where(F.col("osm_highway").isNotNull() & ~F.col("osm_highway").isin(*R.EXCLUDED_HIGHWAYS)).dropDuplicates(["id"])
+    nodes = elements.where("type = 'node' and lat is not null and lon is not null").groupBy(F.col("id").alias("node")).agg(F.min(F.struct("lat", "lon")).alias("p")).select("node", "p.*")
+    ways = elements.where("type = 'way'").select("id", F.col("tags")["highway"].alias("osm_highway"), F.col("tags")["name"].alias("road_name"), "nodes").where(F.col("osm_highway").isNotNull() & ~F.col("osm_highway").isin(*R.EXCLUDED_HIGHWAYS))
+    ways = ways.groupBy("id").agg(F.min(F.struct("osm_highway", "road_name", "nodes")).alias("w")).select("id", "w.*")
     steps = ways.select("id", F.posexplode("nodes").alias("pos", "node")).join(nodes, "node")
     lines = steps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("p")).where(F.size("p") >= 2)  # a way's own nodes: at most 2000 by the map's rules
     out = ways.drop("nodes").join(lines, "id").withColumn("road_class", road_class_of_highway(F.col("osm_highway")))
@@ -44,13 +45,16 @@ def point_features(text: DataFrame) -> DataFrame:
 
 
 def parking(elements: DataFrame) -> DataFrame:
-    """parking_id, kind (polygon, line or point), capacity_tag from rows (type, id, lat, lon, geometry, tags): a closed ring of four points or more is a polygon, two points a line, else the own place. An id counts once."""
+    """parking_id, kind (polygon, line or point), capacity_tag from rows (type, id, lat, lon, geometry, tags): a closed ring of four points or more is a polygon, two points a line, else the own place or the center that is given. An id counts once, with its least kind and tag."""
     g = F.col("geometry")
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    if "center" in elements.columns:
+        placed = placed | F.col("center.lat").isNotNull() & F.col("center.lon").isNotNull()
     closed = (F.size(g) >= 4) & (F.element_at(g, 1) == F.element_at(g, -1))
-    kind = F.when(closed, "polygon").when(F.size(g) >= 2, "line").when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), "point")
+    kind = F.when(closed, "polygon").when(F.size(g) >= 2, "line").when(placed, "point")
     tag = F.coalesce(*[F.nullif(F.trim(F.try_element_at("tags", F.lit(k))), F.lit("")) for k in ("capacity", "capacity:car", "capacity:cars", "capacity:motorcar", "capacity:motor_vehicle")])
     rows = elements.select(F.concat_ws(":", F.lit("osm"), "type", F.col("id").cast("string")).alias("parking_id"), kind.alias("kind"), tag.alias("capacity_tag"))
-    return rows.where("kind is not null").dropDuplicates(["parking_id"])
+    return rows.where("kind is not null").groupBy("parking_id").agg(F.min(F.struct("kind", "capacity_tag")).alias("r")).select("parking_id", "r.*")
 
 
 def write_cache(rows: DataFrame, path: str, kind: str, version: str) -> None:

@@ -14,4 +14,4 @@ def typed(raw: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return typed(spark.read.csv(path, schema=SCHEMA, header=True, mode="PERMISSIVE", multiLine=False))
+    return typed(spark.read.csv(path, schema=SCHEMA, header=True, mode="PERMISSIVE", multiLine=False, escape='"'))

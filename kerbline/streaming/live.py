@@ -56,19 +56,19 @@ def feedback_accuracy(feedback: DataFrame) -> DataFrame:
 
 
 def upsert(table: str, key: str, order: str):
-    """A foreachBatch function that keeps the latest row of each key in the folder ``table``; a batch that runs again changes nothing."""
+    """A foreachBatch function that adds each batch's latest row of each key to the folder ``table``; a batch that runs again replaces its own rows, and none reads another's."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        if number > 0:
-            old = spark.read.schema(batch.schema).parquet(f"{table}/batch={number - 1}")
-            newest = old.unionByName(newest).groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        newest(batch, key, order).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return run
 
 
+def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The latest row of each key: of a batch, or of all that ``upsert`` wrote."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
+
 def rescore(table: str, live, score):
     """A foreachBatch function that joins each batch with ``live()``, read anew, and keeps ``score`` of it in ``table``; a batch that runs again replaces its own rows.
 

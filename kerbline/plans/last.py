@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import refdata as R
@@ -135,6 +136,17 @@ def e5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.haversine_nearest(s, hubs, "segment_id", ["venue"], ["venue"]).select("segment_id", "venue", "distance_km"))
 
 
+@register("B36_event_decay", f"SELECT segment_id, round(exp(-distance_km), 6) AS impact FROM ({ORACLES['E5_nearest_one']})")
+def b36(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(e5(spark, sf_dir).select("segment_id", spatial.event_decay(F.col("distance_km") * 1000).alias("impact")))
+
+
+@register("E4_rank_within_hour", "SELECT segment_id, target_hour, CAST(row_number() OVER (PARTITION BY target_hour ORDER BY count_total DESC, segment_id) AS INT) AS place FROM hours")
+def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("target_hour").orderBy(F.desc("count_total"), "segment_id"))
+    return core.hours(spark, sf_dir).select("segment_id", "target_hour", place.alias("place"))
+
+
 # --- explanations -----------------------------------------------------------------------------------
 _WEIGHTS = {c: (i % 5 - 2) / 4 or 0.5 for i, c in enumerate(R.COUNTS)} | {"count_total": 0.125, "severity_weighted_count": 0.25, "sample_weight": -0.5, "hour": 0.0625, "day_of_week": -0.125, "month": 0.5, "day_of_month": -0.0625, "day_of_year": 0.03125, "is_late": 0.25, "is_hotspot": -0.25}
 _FEATURES, _IMPACTS = ", ".join(f"'{c}'" for c in _WEIGHTS), ", ".join(f"round({w}::DOUBLE * (fr.{c} - m.{c}), 9)" for c, w in _WEIGHTS.items())

@@ -281,9 +281,6 @@ def c9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("segment_id", "target_hour", "active_event_count", F.round("nearest_event_distance_m", 3).alias("nearest_event_distance_m"), F.round("event_impact", 6).alias("event_impact"), "venue")
 
 
-QUERIES_ALIAS = {"B36_event_decay": "C9_active_events"}
-
-
 @register("C10_calendar_hubs", "SELECT event_key, venue, latitude, longitude FROM calendar")
 def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.context import join_hubs
@@ -364,7 +361,6 @@ def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.at_k(tested(spark, sf_dir), "target_hour", "count_total", "is_hotspot", "forecast", "segment_id", (3, 5), 1))
 
 
-QUERIES_ALIAS["E4_rank_within_hour"] = "D19_at_k"
 
 
 @register("D20_baselines", "SELECT 'count_total' AS feature, CAST(quantile_cont(count_total::DOUBLE, 0.5) AS DOUBLE) AS baseline, round(stddev_pop(count_total), 6) AS sigma FROM hours UNION ALL SELECT 'hour', CAST(quantile_cont(hour::DOUBLE, 0.5) AS DOUBLE), round(stddev_pop(hour), 6) FROM hours")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import core, forecast, last, live, more, rest
+from .plans import core, forecast, last, live, rest
 
 QUERIES: dict = {**core.QUERIES, **live.QUERIES, **rest.QUERIES, **last.QUERIES, **forecast.QUERIES}
 ORACLES: dict = {**core.ORACLES, **live.ORACLES, **rest.ORACLES, **last.ORACLES, **forecast.ORACLES}
-for _name, _of in more.QUERIES_ALIAS.items():
-    QUERIES[_name], ORACLES[_name] = QUERIES[_of], ORACLES[_of]

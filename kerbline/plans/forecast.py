@@ -24,10 +24,10 @@ RECURRENCE = (*learning.FEATURES, "segment_dow_hour_mean", "city_hour_mean", "ci
 def places(spark: SparkSession, sf_dir: str, hours: DataFrame, cutoff, train_hours: float) -> DataFrame:
     """What is known of a segment whatever the hour: its dimension, totals, places and parking around, and its station's work."""
     before = hours.where(F.col("target_hour") < F.lit(cutoff).cast("timestamp_ntz"))
-    d = core.dimension(spark, sf_dir).drop("lat_bin", "lon_bin", "lat_mean", "lon_mean")
-    d = d.withColumn("model_segment_id", F.when(F.col("event_count") < 10, "SPARSE_ROAD").otherwise(F.col("segment_id")))
+    whole = staged(core.dimension(spark, sf_dir))
+    d = whole.drop("lat_bin", "lon_bin", "lat_mean", "lon_mean").withColumn("model_segment_id", F.when(F.col("event_count") < 10, "SPARSE_ROAD").otherwise(F.col("segment_id")))
     d = d.join(facts.segment_totals(before, max(1, int(train_hours))), "segment_id", "left")
-    d = d.join(last.c23(spark, sf_dir).drop("police_station"), "segment_id", "left")
+    d = d.join(last.c23(spark, sf_dir, whole).drop("police_station"), "segment_id", "left")
     d = d.join(core.d24(spark, sf_dir), "police_station", "left").join(facts.approval_rates(view(spark, sf_dir, "violations")), "police_station", "left")
     return staged(d.fillna(0.0))
 

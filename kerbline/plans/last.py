@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import refdata as R
+from ..functions.shared import staged
 from ..operators import clean, context, learning, metrics, scoring, spatial, tags
 from ..sources import elements, geojson, tables
 from ..streaming import live as streams
@@ -110,12 +111,13 @@ _METRES = {f"dist_to_{kind}_m": kind for kind in R.POI_GRAVITY}
 
 
 @register("C23_feature_merges")
-def c23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = core.dimension(spark, sf_dir).select("segment_id", "police_station")
-    near = more.c11(spark, sf_dir).groupBy("segment_id").agg(*[F.max(F.when(F.col("poi_type") == kind, F.col("distance"))).alias(c) for c, kind in _METRES.items()])
+def c23(spark: SparkSession, sf_dir: str, dimension: DataFrame | None = None) -> DataFrame:
+    dimension = dimension or staged(core.dimension(spark, sf_dir))
+    d = dimension.select("segment_id", "police_station")
+    near = more.c11(spark, sf_dir, dimension).groupBy("segment_id").agg(*[F.max(F.when(F.col("poi_type") == kind, F.col("distance"))).alias(c) for c, kind in _METRES.items()])
     known = d.where("police_station != 'PS_1'").select("segment_id")
-    places = known.join(near, "segment_id", "left").join(more.c12(spark, sf_dir), "segment_id", "left")
-    lots = core.dimension(spark, sf_dir).where("police_station != 'PS_2'").select("segment_id", "event_count").join(more.nearest_lots(spark, sf_dir), "segment_id").join(F.broadcast(more.d13(spark, sf_dir)))
+    places = known.join(near, "segment_id", "left").join(more.c12(spark, sf_dir, dimension), "segment_id", "left")
+    lots = dimension.where("police_station != 'PS_2'").select("segment_id", "event_count").join(more.nearest_lots(spark, sf_dir, dimension), "segment_id").join(F.broadcast(more.d13(spark, sf_dir, dimension)))
     risk = tags.overflow_risk(F.col("event_count"), F.col("distance"), F.col("estimated_capacity"), F.col("scale"))
     lots = lots.select("segment_id", F.round("distance", 3).alias("dist_to_legal_parking_m"), F.round("estimated_capacity", 6).alias("legal_parking_capacity"), F.round(risk, 4).alias("overflow_risk_index"))
     return context.merge_features(d, places, lots)

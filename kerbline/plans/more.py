@@ -41,9 +41,9 @@ _PM = f"pm AS (SELECT poi_id, {case('lower(trim(poi_type))', R.POI_TYPE, 'none')
 _LM = f"lm AS (SELECT parking_id, {_PX} AS x, {_PY} AS y, capacity_tag, area_m2 FROM parking)"
 
 
-def segments_m(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segments_m(spark: SparkSession, sf_dir: str, dimension: DataFrame | None = None) -> DataFrame:
     x, y = geo.utm(F.col("lat_center"), F.col("lon_center"))
-    return core.dimension(spark, sf_dir).select("segment_id", x.alias("lx"), y.alias("ly"))
+    return (dimension or core.dimension(spark, sf_dir)).select("segment_id", x.alias("lx"), y.alias("ly"))
 
 
 def pois_m(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,20 +213,20 @@ def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("C11_nearest_poi", f"SELECT * FROM (WITH {_SM}, {_PM} SELECT segment_id, kind AS poi_type, round(min(sqrt((sm.x - pm.x) ** 2 + (sm.y - pm.y) ** 2)), 3) AS distance FROM sm, pm WHERE kind <> 'none' GROUP BY 1, 2)")
-def c11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.ring_nearest(segments_m(spark, sf_dir), pois_m(spark, sf_dir), "segment_id", "poi_id", 1000.0, [], "poi_type").select("segment_id", "poi_type", "distance"), 3)
+def c11(spark: SparkSession, sf_dir: str, dimension: DataFrame | None = None) -> DataFrame:
+    return rounded(spatial.ring_nearest(segments_m(spark, sf_dir, dimension), pois_m(spark, sf_dir), "segment_id", "poi_id", 1000.0, [], "poi_type").select("segment_id", "poi_type", "distance"), 3)
 
 
 @register("C12_radius_counts", f"SELECT * FROM (WITH {_SM}, {_PM} SELECT segment_id, count(d) FILTER (d <= 200) AS poi_count_200m, count(d) AS poi_count_500m, round(coalesce(1000 * sum({case('kind', R.POI_GRAVITY, 1.0)} / greatest(10.0::DOUBLE, d) ** 1.5) FILTER (d IS NOT NULL), 0), 6) AS poi_gravity_score FROM (SELECT segment_id, kind, sqrt((sm.x - pm.x) ** 2 + (sm.y - pm.y) ** 2) AS d FROM sm LEFT JOIN pm ON kind <> 'none' AND sqrt((sm.x - pm.x) ** 2 + (sm.y - pm.y) ** 2) <= 500) GROUP BY 1)")
-def c12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.radius_counts(segments_m(spark, sf_dir), pois_m(spark, sf_dir), "segment_id"))
+def c12(spark: SparkSession, sf_dir: str, dimension: DataFrame | None = None) -> DataFrame:
+    return rounded(spatial.radius_counts(segments_m(spark, sf_dir, dimension), pois_m(spark, sf_dir), "segment_id"))
 
 
 _NEAREST_LOT = f"(WITH {_SM}, {_LM} SELECT segment_id, parking_id, d AS distance FROM (SELECT segment_id, parking_id, round(sqrt((sm.x - lm.x) ** 2 + (sm.y - lm.y) ** 2), 6) AS d, row_number() OVER (PARTITION BY segment_id ORDER BY sqrt((sm.x - lm.x) ** 2 + (sm.y - lm.y) ** 2), parking_id) AS n FROM sm, lm) WHERE n = 1)"
 
 
-def nearest_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.ring_nearest(segments_m(spark, sf_dir), lots_m(spark, sf_dir), "segment_id", "parking_id", 500.0, ["estimated_capacity"])
+def nearest_lots(spark: SparkSession, sf_dir: str, dimension: DataFrame | None = None) -> DataFrame:
+    return spatial.ring_nearest(segments_m(spark, sf_dir, dimension), lots_m(spark, sf_dir), "segment_id", "parking_id", 500.0, ["estimated_capacity"])
 
 
 @register("C13_nearest_parking", f"SELECT segment_id, parking_id, round(distance, 3) AS distance, estimated_capacity FROM {_NEAREST_LOT} JOIN {_EST} USING (parking_id)")
@@ -235,8 +235,8 @@ def c13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("D13_volume_scale", "SELECT round(greatest(1.0::DOUBLE, quantile_cont(event_count::DOUBLE, 0.95)), 6) AS scale FROM seg WHERE event_count > 0")
-def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(core.dimension(spark, sf_dir).where("event_count > 0").agg(F.greatest(F.lit(1.0), F.percentile("event_count", F.lit(0.95))).alias("scale")))
+def d13(spark: SparkSession, sf_dir: str, dimension: DataFrame | None = None) -> DataFrame:
+    return rounded((dimension or core.dimension(spark, sf_dir)).where("event_count > 0").agg(F.greatest(F.lit(1.0), F.percentile("event_count", F.lit(0.95))).alias("scale")))
 
 
 @register("B32_overflow_risk", f"SELECT segment_id, round(100 * (1 - exp(-(event_count / (SELECT greatest(1.0::DOUBLE, quantile_cont(event_count::DOUBLE, 0.95)) FROM seg) * (1 + greatest(0.0::DOUBLE, least(3.0::DOUBLE, distance / 500))) / greatest(0.35::DOUBLE, sqrt(greatest(estimated_capacity, 1) / 8))))), 4) AS overflow_risk FROM seg JOIN {_NEAREST_LOT} USING (segment_id) JOIN {_EST} USING (parking_id)")

@@ -57,6 +57,7 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str, group: s
 
     Names of ``df`` with a leading underscore are ours. Rows are range-sorted over all tasks by group and order; the ranges' totals, as many as tasks (and groups), are summed up,
     and each range sums its own rows. Equal rows in ``order`` come in any order.
+    ``df`` is read twice, first for the ranges: stage one that is dear to make.
     """
     keys = [c for c in (group, *order) if c]
     columns = df.columns

@@ -82,7 +82,7 @@ def absent_pairs(segments: DataFrame, spine: DataFrame, positives: DataFrame, wa
     text = F.concat_ws(":", F.lit(str(seed)), F.lit(salt), "segment_id", F.date_format("target_hour", "yyyyMMddHH"))
     u = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
     key = F.round(-F.log(u) / F.log1p("event_count"), 9)
-    return first_rows(grid.withColumn("key", key).select("key", "segment_id", "target_hour"), ["key", "segment_id", "target_hour"], wanted).select("segment_id", "target_hour")
+    return first_rows(staged(grid.withColumn("key", key).select("key", "segment_id", "target_hour")), ["key", "segment_id", "target_hour"], wanted).select("segment_id", "target_hour")
 
 
 def with_zeros(hours: DataFrame, zeros: DataFrame, weight: float = 0.3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.shared import running_sum
+from ..functions.shared import running_sum, staged
 
 
 def regression_quality(rows: DataFrame, truth: str, forecast: str) -> DataFrame:
@@ -24,7 +24,7 @@ def binary_quality(rows: DataFrame, label: str, score: str) -> DataFrame:
     clipped = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
     plain = rows.agg(F.avg(-(y * F.log(clipped) + (1 - y) * F.log(1 - clipped))).alias("log_loss"), F.avg(F.pow(p - y, 2)).alias("brier"))
     steps = rows.groupBy(p.alias("s")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    steps = running_sum(running_sum(steps.withColumn("falling", -F.col("s")), ["falling"], "pos", "tp"), ["falling"], "neg", "fp")
+    steps = running_sum(running_sum(staged(steps.withColumn("falling", -F.col("s"))), ["falling"], "pos", "tp"), ["falling"], "neg", "fp")
     steps = steps.withColumns({"tp": F.col("tp") + F.col("pos"), "fp": F.col("fp") + F.col("neg")})
     ranks = steps.agg((F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"), (F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")).alias("average_precision"))
     return ranks.join(F.broadcast(plain))
@@ -34,7 +34,7 @@ def capture(rows: DataFrame, truth: str, score: str, keys: list[str], shares: tu
     """One row: share of all ``truth`` in the top ``shares`` of rows by score, ties by ``keys``; rows are ranked once, over range partitions."""
     total = rows.agg(F.sum(truth).alias("t"), F.count("*").alias("n")).first()
     ranked = rows.select(*keys, truth, (-F.col(score)).alias("falling"), F.lit(1).cast("long").alias("one"))
-    ranked = running_sum(ranked, ["falling", *keys], "one", "ahead")
+    ranked = running_sum(staged(ranked), ["falling", *keys], "one", "ahead")
     return ranked.agg(*[(F.sum(F.when(F.col("ahead") < max(1, int(total.n * s)), F.col(truth))) / total.t).alias(f"capture_{round(s * 100)}") for s in shares])
 
 

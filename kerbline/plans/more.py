@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import refdata as R
-from ..functions.shared import running_sum
+from ..functions.shared import running_sum, staged
 from ..operators import clean, metrics, spatial, tags
 from . import core
 from .core import register, rounded
@@ -394,7 +394,7 @@ def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = core.scored(spark, sf_dir).groupBy("segment_id").agg(F.min_by(F.struct("target_hour", "eps"), F.struct(-F.col("eps"), "target_hour")).alias("b")).select("segment_id", "b.*")  # one row a road
     rows = rows.withColumns({"falling": -F.col("eps"), "one": F.lit(1).cast("long")})
-    n = running_sum(rows, ["falling", "segment_id"], "one", "ahead").withColumn("n", (F.col("ahead") + 1).cast("int")).drop("falling", "one", "ahead")
+    n = running_sum(staged(rows), ["falling", "segment_id"], "one", "ahead").withColumn("n", (F.col("ahead") + 1).cast("int")).drop("falling", "one", "ahead")
     return n.where("eps >= 50 or n <= 40").withColumn("queued", (F.col("n") <= 15).cast("int"))
 
 

@@ -37,6 +37,14 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a ``staged`` table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def spread_join(rows: DataFrame, single: DataFrame, keys: list[str], counts: DataFrame, salt: Column, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``single`` (one row for each value of ``keys``) by null-free ``keys``, with hot keys dealt to many tasks.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clusters, html, media, mixing, packing, quality, rules, simhash, toxicity, urls, warc
+from . import clusters, html, lexical, media, mixing, packing, quality, rules, simhash, toxicity, urls, warc
 from .common import folder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,10 +68,15 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of every benchmark item."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every vector."""
     return clusters.clusters(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_simhash, op5_rules, op6_mixing, op7_warc, op8_urls, op9_html, op10_media, op13_clusters)}
-ORACLES = {"op6_mixing": mixing.SQL, "op7_warc": warc.SQL, "op13_clusters": clusters.SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_simhash, op5_rules, op6_mixing, op7_warc, op8_urls, op9_html, op10_media, op11_ranked, op13_clusters)}
+ORACLES = {"op6_mixing": mixing.SQL, "op7_warc": warc.SQL, "op11_ranked": lexical.SQL, "op13_clusters": clusters.SQL}

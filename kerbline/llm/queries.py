@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clusters, html, lexical, media, mixing, packing, quality, rules, simhash, toxicity, urls, warc
+from . import clusters, html, lexical, media, mixing, packing, quality, rules, simhash, substrings, toxicity, urls, warc
 from .common import folder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,10 +73,15 @@ def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that aren't repeated from a smaller one."""
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every vector."""
     return clusters.clusters(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_simhash, op5_rules, op6_mixing, op7_warc, op8_urls, op9_html, op10_media, op11_ranked, op13_clusters)}
-ORACLES = {"op6_mixing": mixing.SQL, "op7_warc": warc.SQL, "op11_ranked": lexical.SQL, "op13_clusters": clusters.SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality, op4_simhash, op5_rules, op6_mixing, op7_warc, op8_urls, op9_html, op10_media, op11_ranked, op12_substrings, op13_clusters)}
+ORACLES = {"op6_mixing": mixing.SQL, "op7_warc": warc.SQL, "op11_ranked": lexical.SQL, "op12_substrings": substrings.SQL, "op13_clusters": clusters.SQL}

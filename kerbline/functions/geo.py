@@ -45,6 +45,14 @@ def polyline_distance(px: Column, py: Column, points: Column) -> Column:
     return F.when(F.size(points) > 1, F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(points) - 1, F.lit(1))), piece)))
 
 
+def pieces_distance(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> Column:
+    """Planar distance of two straight pieces: 0 where they cross, else the least of an end from the other piece."""
+    side = lambda px, py, qx, qy, rx, ry: F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
+    crossed = (side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) < 0) & (side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by) < 0)
+    ends = [(ax, ay, cx, cy, dx, dy), (bx, by, cx, cy, dx, dy), (cx, cy, ax, ay, bx, by), (dx, dy, ax, ay, bx, by)]
+    return F.when(crossed, 0.0).otherwise(F.least(*[segment_distance(*e) for e in ends]))
+
+
 def wkt_points(text: Column) -> Column:
     """Array of (lon, lat) of a WKT line, or of a multi-line's first line; null for text that is neither."""
     body = F.regexp_extract(text, r"(?i)^\s*(?:MULTI)?LINESTRING\s*\(+([^()]*)\)", 1)
@@ -74,6 +82,24 @@ def cells(x: Column, y: Column, size: float) -> tuple[Column, Column]:
     return F.floor(x / size).alias("cell_x"), F.floor(y / size).alias("cell_y")
 
 
+def level(x1: str, y1: str, x2: str, y2: str, unit: float) -> Column:
+    """The level of a grid whose cells are as large as the box: ``unit`` at level 0, twice that at each next."""
+    size = F.greatest(F.col(x2) - F.col(x1), F.col(y2) - F.col(y1))
+    return F.greatest(F.lit(0), F.ceil(F.log2(size / unit))).cast("int")
+
+
+def levels(rows: DataFrame) -> list[int]:
+    """The levels that there are: a few, as each doubles the size."""
+    return sorted(r.level for r in rows.select("level").distinct().collect())
+
+
+def in_levels(rows: DataFrame, x1: str, y1: str, x2: str, y2: str, unit: float) -> DataFrame:
+    """``rows`` in each cell of their ``level`` that their box touches: four at most where the cells are as large as it; cell_x, cell_y."""
+    size = F.lit(unit) * F.pow(F.lit(2.0), F.col("level"))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
+    return rows.withColumn("cell_x", cells(x1, x2)).withColumn("cell_y", cells(y1, y2))
+
+
 def grid_join(left: DataFrame, right: DataFrame, xy_left: tuple[str, str], xy_right: tuple[str, str], radius: float, extra: list[str] | None = None) -> DataFrame:
     """Pairs of rows within ``radius`` (inclusive, planar) with their ``distance``: an equi-join on grid cells of that size.
 

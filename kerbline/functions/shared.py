@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,6 +38,26 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[tuple, tuple[str, object]] = {}
+
+
+def kept(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``, staged once for each application, name and state of the table at ``source``: what many queries start from.
+
+    It is made anew where the source has changed or the staged files have gone.
+    """
+    hadoop = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = lambda path: hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    size = files(source).getContentSummary(hadoop(source)).getLength()
+    key = spark.sparkContext.applicationId, name, source, size, files(source).getFileStatus(hadoop(source)).getModificationTime()
+    if key not in _KEPT or not files(_KEPT[key][0]).exists(hadoop(f"{_KEPT[key][0]}/_SUCCESS")):
+        df, path = make(), folder(spark, name)
+        df.write.parquet(path)
+        _KEPT[key] = path, df.schema
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def removed(df: DataFrame) -> None:
     """Deletes the files of a ``staged`` table that nothing reads any more."""
     spark = df.sparkSession

@@ -1,15 +1,14 @@
-"""Nearest, radius, map-matching, interval and ripple joins: grid cells or hour buckets first, then exact tests."""
+"""Nearest, radius, map-matching, interval and ripple joins: packed trees, grid cells or hour buckets first, then exact tests."""
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, tree
 from ..functions import refdata as R
 from ..functions.shared import staged
 
@@ -19,59 +18,54 @@ def _finite(*columns: str) -> Column:
     return reduce(and_, [F.col(c).isNotNull() & (F.abs(c) < float("inf")) for c in columns])
 
 
-def ring_nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, size: float, keep: list[str], group: str | None = None) -> DataFrame:
-    """``left``'s key with the nearest right row (planar x, y columns lx, ly and rx, ry), per ``group`` of the right side where given.
+def _unmatched(queries: DataFrame, right: DataFrame, columns: list[str], distance: str) -> DataFrame:
+    """No rows, with the columns of an answer."""
+    return queries.limit(0).join(right.limit(0).select(*columns), F.lit(True)).withColumn(distance, F.lit(None).cast("double"))
 
-    Candidates come from the 3x3 cells around and within one cell size, so the best is final. What is left, and only that,
-    retries with cells four times as wide, until none is. Rows without coordinates have no answer.
+
+def ring_nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, keep: list[str], group: str | None = None) -> DataFrame:
+    """``left``'s key with the nearest right row (planar x, y columns lx, ly and rx, ry; ties by ``right_key``), per ``group`` of the right side where given.
+
+    The right side is a packed tree for each group, without those in one place with a lesser one. Rows without coordinates have no answer.
     """
     groups = [group] if group else []
     right = right.where(_finite("rx", "ry"))
-    todo, found = left.select(key, "lx", "ly").where(_finite("lx", "ly")), None
+    places = right.groupBy(*groups, "rx", "ry").agg(F.min(F.struct(right_key, *keep)).alias("r")).select(*groups, "rx", "ry", "r.*")
+    asked = left.select(key, "lx", "ly").where(_finite("lx", "ly"))
     if group:
-        todo = todo.join(right.select(group).distinct())  # each kind is asked for
-    elif right.isEmpty():
-        todo = todo.limit(0)
-    todo = staged(todo)
-    best = F.min_by(F.struct("distance", right_key, *keep), F.struct("distance", right_key)).alias("best")
-    while found is None or not todo.isEmpty():
-        near = staged(geo.grid_join(todo, right, ("lx", "ly"), ("rx", "ry"), size, groups).groupBy(key, *groups).agg(best))
-        found = near if found is None else found.unionByName(near)
-        todo = staged(todo.join(near.select(key, *groups), [key, *groups], "left_anti"))
-        size *= 4
-    return found.select(key, *groups, "best.*")
-
-
-def haversine_nearest(left: DataFrame, right: DataFrame, key: str, keep: list[str], first: list[str], group: str | None = None, size: float = 0.125) -> DataFrame:
+        asked = asked.join(right.select(group).distinct())  # each kind is asked for
+    packed = tree.pack(places, ["rx", "ry"], ["rx", "ry"], groups, ["rx", "ry", right_key, *keep])
+    if packed is None:
+        return _unmatched(asked.select(key), right, [*groups, right_key, *keep], "distance").select(key, *groups, "distance", right_key, *keep)
+    distance = lambda k: F.sqrt(F.pow(F.col("lx") - k["rx"], 2) + F.pow(F.col("ly") - k["ry"], 2))
+    best = lambda d, k: F.struct(d.alias("distance"), *[k[c].alias(c) for c in (right_key, *keep)])
+    return tree.nearest(packed, asked, ["lx", "ly"], distance, best).select(key, *groups, "best.*")
+
+
+def haversine_nearest(left: DataFrame, right: DataFrame, key: str, keep: list[str], first: list[str], group: str | None = None) -> DataFrame:
     """Nearest row of ``right`` by great-circle distance, among those of the same ``group`` where one is given; ties by ``first``. Columns lat, lon and rlat, rlon.
 
-    A row looks into its own grid cell of ``size`` degrees, in which the other side is placed with all cells around. A best distance is final where
-    nothing outside these cells can be as near; what is left retries in cells eight times as wide, and at last in one that holds everything.
+    The right side is a packed tree of points in space, where the straight distance rises with that on the globe; so poles and the date line need no care.
     Rows without coordinates have none. The groups that ``right`` lacks have none either.
     """
     by = [group] if group else []
-    right = right.where(_finite("rlat", "rlon"))
-    todo, found = left.where(_finite("lat", "lon")), None
-    if group:
-        todo = todo.join(right.select(group).distinct(), group, "left_semi")
-    elif right.isEmpty():
-        todo = todo.limit(0)
-    columns = todo.columns
-    while found is None or not todo.isEmpty():
-        cell = lambda c: F.floor(c / size)  # noqa: E731, B023
-        round_trip = F.explode(F.filter(F.transform(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)), lambda s: F.col("rlon") + s), lambda x: F.abs(x) <= 180 + 2 * size))  # noqa: B023 - near the date line both sides
-        around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        placed = right.withColumn("at", round_trip).withColumn("cx", F.explode(F.transform(around, lambda i: cell(F.col("at")) + i))).withColumn("cy", F.explode(F.transform(around, lambda i: cell(F.col("rlat")) + i)))
-        met = todo.withColumns({"cx": cell(F.col("lon")), "cy": cell(F.col("lat"))}).join(placed, [*by, "cx", "cy"], "left")
-        met = met.withColumn("distance_km", F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")), 9))
-        best = F.min_by(F.struct("distance_km", *keep), F.when(F.col("distance_km").isNotNull(), F.struct("distance_km", *first)))
-        tried = staged(met.groupBy(*columns).agg(best.alias("best")))
-        sure = F.lit(size > 360) if size > 60 else F.col("best.distance_km") < geo.EARTH_KM * F.asin(F.cos(F.radians("lat")) * math.sin(math.radians(size))) - 1e-6
-        final = F.col("best").isNotNull() & F.coalesce(sure, F.lit(False))
-        done = tried.where(final).select(key, *by, "best.*")
-        found, todo = done if found is None else found.unionByName(done), tried.where(~final).drop("best")
-        size = size * 8 if size < 7 else 720.0
-    return found
+    right, left = right.where(_finite("rlat", "rlon")), left.where(_finite("lat", "lon")).select(key, *by, "lat", "lon")
+    more = [c for c in keep if c not in first]
+    places = right.groupBy(*by, "rlat", "rlon").agg(F.min(F.struct(*first, *more)).alias("r")).select(*by, "rlat", "rlon", "r.*", *_space("rlat", "rlon", "r"))
+    packed = tree.pack(places, ["_rx", "_ry", "_rz"], ["_rx", "_ry", "_rz"], by, ["rlat", "rlon", *first, *more])
+    if packed is None:
+        return _unmatched(left.select(key, *by), right, keep, "distance_km").select(key, *by, "distance_km", *keep)
+    distance = lambda k: F.round(geo.haversine_km(F.col("lat"), F.col("lon"), k["rlat"], k["rlon"]), 9)
+    best = lambda d, k: F.struct(d.alias("distance_km"), *[k[c].alias(c) for c in (*first, *more)])
+    asked = left.select("*", *_space("lat", "lon", "q"))
+    found = tree.nearest(packed, asked, ["_qx", "_qy", "_qz"], distance, best, slack=(1e-9, 1e-11))
+    return found.select(key, *by, "best.distance_km", *[f"best.{c}" for c in keep])
+
+
+def _space(lat: str, lon: str, name: str) -> list[Column]:
+    """A place on the globe as a point of the unit sphere."""
+    la, lo = F.radians(lat), F.radians(lon)
+    return [(F.cos(la) * F.cos(lo)).alias(f"_{name}x"), (F.cos(la) * F.sin(lo)).alias(f"_{name}y"), F.sin(la).alias(f"_{name}z")]
 
 
 def radius_counts(points: DataFrame, pois: DataFrame, key: str) -> DataFrame:
@@ -86,46 +80,41 @@ def match_roads(points: DataFrame, roads: DataFrame, reach: float = 0.002, penal
     """Each point's road: of those whose envelope meets the point's box, the one of least distance plus class penalty; where none does, the plain nearest.
 
     points: id, lon, lat. roads: segment_id, osm_highway, points (lon, lat). Without penalties (an empty dict) it is the nearest
-    road everywhere: a best distance over ``reach`` isn't final, as a road outside the box may be nearer. What is left
-    retries in boxes four times as wide, until each best distance lies within its box. Points without finite coordinates have no road.
-    """
-    todo = points.select("id", "lon", "lat").where(_finite("lon", "lat"))
-    roads = roads.where(F.size("points") > 1)
-    cost = F.round(F.col("distance_deg") + R.lookup(F.col("osm_highway"), R.SNAP_PENALTY if penalties is None else penalties, 0.0), 12) if penalties != {} else F.col("distance_deg")
-    tried = staged(_best_in_box(todo, roads, reach, cost))
-    final = F.col("m").isNotNull()
-    if penalties == {}:
-        final = final & _within(reach)
-    found = tried.where(final)
-    todo = tried.where(~final)
-    if not roads.isEmpty():
-        while not todo.isEmpty():
-            reach *= 4
-            tried = staged(_best_in_box(todo.select("id", "lon", "lat"), roads, reach, F.col("distance_deg")))
-            final = F.col("m").isNotNull() & _within(reach)
-            found, todo = found.unionByName(tried.where(final)), tried.where(~final)
-    return found.select("id", "m.*")
-
-
-def _within(reach: float) -> Column:
-    """Whether no road outside the box can be as near: its distance is over ``reach``, and distances are rounded to 12 digits."""
-    return F.coalesce(F.col("m.distance_deg") < reach - 1e-11, F.lit(False))
-
-
-def _best_in_box(points: DataFrame, roads: DataFrame, reach: float, cost: Column) -> DataFrame:
-    """id, lon, lat and the road ``m`` of least ``cost`` whose envelope meets the point's box, or null.
-
-    A road is placed in each grid cell of its envelope grown by ``reach``; a point looks into its own cell.
+    road everywhere. The box is asked of a grid with levels: an envelope is in the level whose cells are as large as it, so in four cells at most, and a
+    point asks one cell of each level that there is. The nearest is asked of a packed tree of envelopes. Points without finite coordinates have no road.
     """
+    points = points.select("id", "lon", "lat").where(_finite("lon", "lat"))
     lons, lats = F.transform("points", lambda p: p["lon"]), F.transform("points", lambda p: p["lat"])
-    box = roads.withColumns({"x1": F.array_min(lons) - reach, "x2": F.array_max(lons) + reach, "y1": F.array_min(lats) - reach, "y2": F.array_max(lats) + reach})
-    cell = lambda c: F.floor(c / reach)
-    placed = box.withColumn("cx", F.explode(F.sequence(cell(F.col("x1")), cell(F.col("x2"))))).withColumn("cy", F.explode(F.sequence(cell(F.col("y1")), cell(F.col("y2")))))
-    at = points.withColumns({"px": cell(F.col("lon")), "py": cell(F.col("lat"))})
-    met = at.join(placed, F.expr("px = cx and py = cy and lon between x1 and x2 and lat between y1 and y2"), "left")
-    met = met.withColumn("distance_deg", F.round(geo.polyline_distance(F.col("lon"), F.col("lat"), F.col("points")), 12)).withColumn("cost", cost)
-    best = F.min_by(F.struct("segment_id", "osm_highway", "distance_deg"), F.when(F.col("distance_deg").isNotNull(), F.struct("cost", "segment_id")))
-    return met.groupBy("id").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat"), best.alias("m"))
+    roads = roads.where(F.size("points") > 1).select("segment_id", "osm_highway", "points", F.array_min(lons).alias("x1"), F.array_max(lons).alias("x2"), F.array_min(lats).alias("y1"), F.array_max(lats).alias("y2"))
+    roads = roads.where(_finite("x1", "x2", "y1", "y2"))
+    if penalties == {}:
+        return _nearest_road(points, roads).select("id", "best.*")
+    tried = staged(_best_in_box(points, roads, reach, R.SNAP_PENALTY if penalties is None else penalties))
+    found, rest = tried.where("m is not null").select("id", "m.*"), tried.where("m is null").select("id", "lon", "lat")
+    return found if rest.isEmpty() else found.unionByName(_nearest_road(rest, roads).select("id", "best.*"))
+
+
+def _nearest_road(points: DataFrame, roads: DataFrame) -> DataFrame:
+    """``points`` (id, lon, lat) with ``best``: segment_id, osm_highway and distance_deg of the nearest road; ties by segment_id."""
+    packed = tree.pack(roads, ["x1", "y1"], ["x2", "y2"], keep=["segment_id", "osm_highway", "points"])
+    if packed is None:
+        return points.limit(0).withColumn("best", F.struct(F.lit("").alias("segment_id"), F.lit("").alias("osm_highway"), F.lit(0.0).alias("distance_deg")))
+    distance = lambda k: F.round(geo.polyline_distance(F.col("lon"), F.col("lat"), k["points"]), 12)
+    best = lambda d, k: F.struct(d.alias("_d"), k["segment_id"].alias("segment_id"), k["osm_highway"].alias("osm_highway"), d.alias("distance_deg"))
+    return tree.nearest(packed, points, ["lon", "lat"], distance, best).withColumn("best", F.col("best").dropFields("_d"))
+
+
+def _best_in_box(points: DataFrame, roads: DataFrame, reach: float, penalties: dict[str, float]) -> DataFrame:
+    """id, lon, lat and the road ``m`` of least distance and penalty whose envelope meets the point's box, or null."""
+    box = roads.withColumns({"x1": F.col("x1") - reach, "x2": F.col("x2") + reach, "y1": F.col("y1") - reach, "y2": F.col("y2") + reach})
+    placed = geo.in_levels(box.withColumn("level", geo.level("x1", "y1", "x2", "y2", 4 * reach)), "x1", "y1", "x2", "y2", 4 * reach)
+    at = points.withColumn("level", F.explode(F.array(*map(F.lit, geo.levels(placed))).cast("array<int>")))
+    at = geo.in_levels(at, "lon", "lat", "lon", "lat", 4 * reach)
+    met = at.join(placed, ["level", "cell_x", "cell_y"]).where("lon between x1 and x2 and lat between y1 and y2")
+    d = F.round(geo.polyline_distance(F.col("lon"), F.col("lat"), F.col("points")), 12)
+    met = met.withColumn("distance_deg", d).withColumn("cost", F.round(F.col("distance_deg") + R.lookup(F.col("osm_highway"), penalties, 0.0), 12))
+    best = F.min_by(F.struct("segment_id", "osm_highway", "distance_deg"), F.struct("cost", "segment_id"))
+    return points.join(met.groupBy("id").agg(best.alias("m")), "id", "left")
 
 
 def attach_geometry(events: DataFrame, matched: DataFrame, roads: DataFrame) -> DataFrame:
@@ -133,20 +122,18 @@ def attach_geometry(events: DataFrame, matched: DataFrame, roads: DataFrame) ->
     return events.join(matched.select("id", "segment_id"), "id", "left").join(roads.select("segment_id", "points"), "segment_id", "left")
 
 
-def active_events(segments: DataFrame, hours: DataFrame, calendar: DataFrame) -> DataFrame:
-    """For each segment and hour: events under way, and the nearest one's distance, decayed impact, venue and label.
+def active_events(asked: DataFrame, calendar: DataFrame) -> DataFrame:
+    """For each asked row (segment_id, target_hour, lat, lon): events under way, and the nearest one's distance, decayed impact, venue and label.
 
-    calendar: event_key, venue, label, elat, elon, start_ts, end_ts. An event goes to each hour it touches, so the interval
-    test is an equi-join; hours without an event keep none: count 0, distance 10**6 m, impact 0.
+    calendar: event_key, venue, label, elat, elon, start_ts, end_ts. An event goes to each hour it touches, and each hour's events are a packed tree; only
+    asked hours are looked at. Rows of hours without an event keep none: count 0, distance 10**6 m, impact 0.
     """
     last = F.date_trunc("hour", F.col("end_ts") - F.expr("interval 1 microsecond"))
     busy = calendar.where("end_ts > start_ts").withColumn("target_hour", F.explode(F.sequence(F.date_trunc("hour", "start_ts").cast("timestamp_ntz"), last.cast("timestamp_ntz"), F.expr("interval 1 hour"))))
-    busy = staged(busy.join(hours.select("target_hour").distinct(), "target_hour", "left_semi"))
+    busy = staged(busy.join(asked.select("target_hour").distinct(), "target_hour", "left_semi"))
     counts = busy.groupBy("target_hour").agg(F.count("*").alias("active_event_count"))
-    # every segment has an answer for every hour: the result itself has so many rows, and only busy hours are looked at
-    asked = staged(segments.select("segment_id", "lat", "lon").join(counts.select("target_hour")))
     near = haversine_nearest(asked, busy.withColumnsRenamed({"elat": "rlat", "elon": "rlon"}), "segment_id", ["venue", "label"], ["event_key"], "target_hour")
-    rows = segments.select("segment_id").join(hours.select("target_hour").distinct()).join(near, ["segment_id", "target_hour"], "left").join(counts, "target_hour", "left")
+    rows = asked.select("segment_id", "target_hour").join(near, ["segment_id", "target_hour"], "left").join(counts, "target_hour", "left")
     d = F.coalesce(F.round(F.col("distance_km") * 1000, 6), F.lit(1e6))
     return rows.select("segment_id", "target_hour", F.coalesce("active_event_count", F.lit(0)).alias("active_event_count"), d.alias("nearest_event_distance_m"), F.when(F.col("distance_km").isNotNull(), event_decay(d)).otherwise(0.0).alias("event_impact"), "venue", "label")
 
@@ -155,12 +142,58 @@ def event_decay(metres: Column) -> Column:
     return F.coalesce(F.exp(-metres / 1000), F.lit(0.0))
 
 
-def ripples(rows: DataFrame, least: float = 70.0, reach_m: float = 40.0, degree_m: float = 111000.0) -> DataFrame:
-    """Spill-over from rows with eps of ``least`` to the others within ``reach_m`` in the same hour. Columns segment_id, target_hour, lon, lat, eps."""
-    a = rows.where(F.col("eps") >= least).select(F.col("segment_id").alias("source_bottleneck"), "target_hour", F.col("lon").alias("slon"), F.col("lat").alias("slat"), F.col("eps").alias("source_eps"))
-    pairs = geo.grid_join(a, rows.select("segment_id", "target_hour", "lon", "lat", "eps"), ("slon", "slat"), ("lon", "lat"), reach_m / degree_m, ["target_hour"]).where("segment_id != source_bottleneck")
-    metres = geo.haversine_km(F.col("slat"), F.col("slon"), F.col("lat"), F.col("lon")) * 1000
-    return pairs.withColumn("distance_m", metres).withColumn("decay", ripple_decay(F.col("distance_m"))).select("source_bottleneck", "segment_id", "target_hour", (F.col("source_eps") * F.col("decay")).alias("eps_spillover"), "distance_m", "decay")
+def near_lines(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
+    """Pairs of lines (id, other) with different ids and a distance of ``reach`` at most, once each. a, b: id, points (lon, lat).
+
+    Lines are cut into straight pieces. A piece's box is in the level of the grid whose cells are as large as it; pieces of equal levels meet there, and a smaller one is also
+    put into the larger levels, four cells at most in each. A pair of pieces counts in the cell that has the lower left corner of what their boxes share.
+    """
+    unit = 4 * reach
+    left, right = [_pieces(x, grown).withColumn("level", geo.level("x1", "y1", "x2", "y2", unit)) for x, grown in ((a, reach), (b, 0.0))]
+    left, right = (x.select(*[F.col(c).alias(f"{side}_{c}") if c != "level" else F.col(c) for c in x.columns]) for x, side in ((left, "a"), (right, "b")))
+    pairs = None
+    for own, other, also in ((left, right, True), (right, left, False)):
+        i, j = own.columns[0][0], other.columns[0][0]
+        levels = F.array(*map(F.lit, geo.levels(own))).cast("array<int>")
+        above = F.filter(levels, lambda n: n >= F.col("level") if also else n > F.col("level"))  # noqa: B023
+        placed = geo.in_levels(own, *[f"{i}_{c}" for c in ("x1", "y1", "x2", "y2")], unit)
+        probes = geo.in_levels(other.withColumn("level", F.explode(above)), *[f"{j}_{c}" for c in ("x1", "y1", "x2", "y2")], unit)
+        met = placed.join(probes, ["level", "cell_x", "cell_y"]).where("a_id != b_id and a_x1 <= b_x2 and b_x1 <= a_x2 and a_y1 <= b_y2 and b_y1 <= a_y2")
+        size = F.lit(unit) * F.pow(F.lit(2.0), F.col("level"))
+        met = met.where((F.floor(F.greatest("a_x1", "b_x1") / size) == F.col("cell_x")) & (F.floor(F.greatest("a_y1", "b_y1") / size) == F.col("cell_y")))
+        met = met.select("a_id", "b_id", "a_piece", "b_piece")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    ends = [F.col(f"{side}_piece.{c}") for side in "ab" for c in ("px", "py", "qx", "qy")]
+    near = pairs.withColumn("d", geo.pieces_distance(*ends)).where(F.col("d") <= reach)
+    return near.groupBy(F.col("a_id").alias("id"), F.col("b_id").alias("other")).agg(F.min("d").alias("distance"))
+
+
+def _pieces(lines: DataFrame, grown: float) -> DataFrame:
+    """id, piece (its ends) and its box, grown on all sides, for each straight piece of ``lines``."""
+    p = F.col("points")
+    piece = lambda i: F.struct(p[i - 1]["lon"].alias("px"), p[i - 1]["lat"].alias("py"), p[i]["lon"].alias("qx"), p[i]["lat"].alias("qy"))
+    rows = lines.where(F.size("points") > 1).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("points") - 1), piece)).alias("piece"))
+    c = {n: F.col(f"piece.{n}") for n in ("px", "py", "qx", "qy")}
+    return rows.withColumns({"x1": F.least(c["px"], c["qx"]) - grown, "y1": F.least(c["py"], c["qy"]) - grown, "x2": F.greatest(c["px"], c["qx"]) + grown, "y2": F.greatest(c["py"], c["qy"]) + grown})
+
+
+def ripples(rows: DataFrame, lines: DataFrame, least: float = 70.0, reach_m: float = 40.0, degree_m: float = 111000.0) -> DataFrame:
+    """Spill-over from rows with eps of ``least`` to the roads that come within ``reach_m`` of theirs in the same hour.
+
+    rows: segment_id, target_hour, eps and what else goes along. lines: segment_id, points (lon, lat); each road is in it once. The decay follows the distance of the lines' centroids.
+    Which roads are near is found once for each road, not for each hour. Roads without a line neither spill nor are reached.
+    """
+    sources = rows.where(F.col("eps") >= least).select(F.col("segment_id").alias("source_bottleneck"), "target_hour", F.col("eps").alias("source_eps"))
+    known = lines.where(F.size("points") > 1).select(F.col("segment_id").alias("id"), "points")
+    pairs = near_lines(known.join(sources.select(F.col("source_bottleneck").alias("id")).distinct(), "id", "left_semi"), known, reach_m / degree_m)
+    lon, lat = geo.line_centroid(F.col("points"))
+    middle = known.select("id", lon.alias("lon"), lat.alias("lat"))
+    pairs = pairs.join(middle, "id").join(middle.select(F.col("id").alias("other"), F.col("lon").alias("olon"), F.col("lat").alias("olat")), "other")
+    metres = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon")) * 1000
+    pairs = pairs.select(F.col("id").alias("source_bottleneck"), F.col("other").alias("segment_id"), metres.alias("distance_m"))
+    met = sources.join(pairs, "source_bottleneck").join(rows.drop("eps"), ["segment_id", "target_hour"])
+    met = met.withColumn("decay", ripple_decay(F.col("distance_m")))
+    return met.withColumn("eps_spillover", F.bround(F.round(F.col("source_eps") * F.col("decay"), 9), 2)).drop("source_eps")
 
 
 def ripple_decay(metres: Column) -> Column:

@@ -45,6 +45,13 @@ VIEWS = {
         FROM customer
     """,
 }
+#: A road for each segment: an arm of one of 60 junctions, with a bend.
+LINES = """
+    SELECT segment_id, cx + dx * near AS x1, cy + dy * near AS y1, cx + dx * (near + far) / 2 + 0.00003e0 AS x2, cy + dy * (near + far) / 2 - 0.00002e0 AS y2, cx + dx * far AS x3, cy + dy * far AS y3
+    FROM (SELECT segment_id, 77.5e0 + CAST(floor(j / 8) AS DOUBLE) / 100 AS cx, 12.9e0 + CAST(j % 8 AS DOUBLE) / 100 AS cy, near, near + long AS far,
+      CASE WHEN arm IN (0, 1, 7) THEN 1e0 WHEN arm IN (3, 4, 5) THEN -1e0 ELSE 0e0 END AS dx, CASE WHEN arm IN (1, 2, 3) THEN 1e0 WHEN arm IN (5, 6, 7) THEN -1e0 ELSE 0e0 END AS dy
+     FROM (SELECT segment_id, (lat_bin * 7 + lon_bin * 3) % 60 AS j, (lat_bin * 5 + lon_bin * 11) % 8 AS arm, CAST((lat_bin + lon_bin) % 5 AS DOUBLE) / 10000 AS near, CAST((lat_bin * 3 + lon_bin) % 6 + 1 AS DOUBLE) / 10000 AS long FROM seg))
+"""
 SOURCE = {"violations": "events", "pois": "supplier", "parking": "part", "calendar": "nation", "roads": "customer"}
 
 

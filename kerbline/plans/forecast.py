@@ -45,7 +45,8 @@ def frame(spark: SparkSession, sf_dir: str, rows: DataFrame, hours: DataFrame, f
     theirs = history.spillover(out.select(*_KEY, "lag_1h_total"), history.neighbours(fixed)).drop("lag_1h_total")
     rain = more.a7(spark, sf_dir).select("target_hour", "rainfall_mm", "is_raining")
     out = out.join(theirs, _KEY).join(rain, "target_hour", "left").join(fixed, "segment_id")
-    near = spatial.active_events(fixed.select("segment_id", F.col("lat_center").alias("lat"), F.col("lon_center").alias("lon")), rows, more.calendar_events(spark, sf_dir))
+    asked = rows.select(*_KEY).join(fixed.select("segment_id", F.col("lat_center").alias("lat"), F.col("lon_center").alias("lon")), "segment_id")
+    near = spatial.active_events(asked, more.calendar_events(spark, sf_dir))
     out = out.join(near.select(*_KEY, "nearest_event_distance_m", "event_impact"), _KEY, "left")
     return staged(out.fillna(0.0))
 

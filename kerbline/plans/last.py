@@ -66,13 +66,14 @@ def a10_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("A12_ripple_sink")
 def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = live.folder(spark)
-    places = core.dimension(spark, sf_dir).select("segment_id", "lon_center", "lat_center", "road_class", F.lit("").alias("geometry_wkt"), F.lit("grid_fallback").alias("map_matching_mode"))
+    places = core.dimension(spark, sf_dir).select("segment_id", "lon_center", "lat_center", F.lit("osm_overpass_nearest_road").alias("map_matching_mode")).join(core.lines(spark, sf_dir), "segment_id")
     geojson.write(more.c16(spark, sf_dir).join(places, "segment_id"), path)
-    kinds = "properties struct<source_bottleneck: string, segment_id: string, target_hour: timestamp_ntz, eps_spillover: double>"
-    return spark.read.text(path).select(F.from_json("value", kinds).alias("f")).select("f.properties.*")
+    kinds = "geometry struct<type: string, coordinates: array<array<double>>>, properties struct<source_bottleneck: string, segment_id: string, target_hour: timestamp_ntz, eps_spillover: double>"
+    found = spark.read.text(path).select(F.from_json("value", kinds).alias("f"))
+    return rounded(found.select("f.properties.*", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates")[1][0].alias("bend_lon")))
 
 
-ORACLES["A12_ripple_sink"] = core.ORACLES["C16_ripples"]
+ORACLES["A12_ripple_sink"] = f"SELECT source_bottleneck, segment_id, target_hour, eps_spillover, 'LineString' AS kind, round(x2, 6) AS bend_lon FROM ({core.ORACLES['C16_ripples']}) JOIN ({oracle('SELECT segment_id, x2 FROM lines')}) USING (segment_id)"
 
 
 @register("A13_versioned_cache", f"SELECT poi_id, {case('lower(trim(poi_type))', R.POI_TYPE, 'none')} AS poi_type, name, lat, lon, 'v1' AS cache_version FROM pois WHERE {case('lower(trim(poi_type))', R.POI_TYPE, 'none')} <> 'none'")
@@ -179,9 +180,9 @@ def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("J5_live_ripples")
 def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = live.folder(spark)
-    rows = core.scored(spark, sf_dir).select("segment_id", "target_hour", F.col("lon_center").alias("lon"), F.col("lat_center").alias("lat"), "eps")
-    streams.run_batches(streamed(rows), streams.refresh_ripples(out, least=30.0, reach_m=4000.0), live.folder(spark))
-    return rounded(spark.read.parquet(out).select("source_bottleneck", "segment_id", "target_hour", "eps_spillover"))
+    rows, known = more.rippling(spark, sf_dir)
+    streams.run_batches(streamed(rows), streams.refresh_ripples(out, known), live.folder(spark))
+    return more.shown_ripples(spark.read.parquet(out))
 
 
 ORACLES["J5_live_ripples"] = core.ORACLES["C16_ripples"]

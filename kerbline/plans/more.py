@@ -214,7 +214,7 @@ def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("C11_nearest_poi", f"SELECT * FROM (WITH {_SM}, {_PM} SELECT segment_id, kind AS poi_type, round(min(sqrt((sm.x - pm.x) ** 2 + (sm.y - pm.y) ** 2)), 3) AS distance FROM sm, pm WHERE kind <> 'none' GROUP BY 1, 2)")
 def c11(spark: SparkSession, sf_dir: str, dimension: DataFrame | None = None) -> DataFrame:
-    return rounded(spatial.ring_nearest(segments_m(spark, sf_dir, dimension), pois_m(spark, sf_dir), "segment_id", "poi_id", 1000.0, [], "poi_type").select("segment_id", "poi_type", "distance"), 3)
+    return rounded(spatial.ring_nearest(segments_m(spark, sf_dir, dimension), pois_m(spark, sf_dir), "segment_id", "poi_id", [], "poi_type").select("segment_id", "poi_type", "distance"), 3)
 
 
 @register("C12_radius_counts", f"SELECT * FROM (WITH {_SM}, {_PM} SELECT segment_id, count(d) FILTER (d <= 200) AS poi_count_200m, count(d) AS poi_count_500m, round(coalesce(1000 * sum({case('kind', R.POI_GRAVITY, 1.0)} / greatest(10.0::DOUBLE, d) ** 1.5) FILTER (d IS NOT NULL), 0), 6) AS poi_gravity_score FROM (SELECT segment_id, kind, sqrt((sm.x - pm.x) ** 2 + (sm.y - pm.y) ** 2) AS d FROM sm LEFT JOIN pm ON kind <> 'none' AND sqrt((sm.x - pm.x) ** 2 + (sm.y - pm.y) ** 2) <= 500) GROUP BY 1)")
@@ -226,7 +226,7 @@ _NEAREST_LOT = f"(WITH {_SM}, {_LM} SELECT segment_id, parking_id, d AS distance
 
 
 def nearest_lots(spark: SparkSession, sf_dir: str, dimension: DataFrame | None = None) -> DataFrame:
-    return spatial.ring_nearest(segments_m(spark, sf_dir, dimension), lots_m(spark, sf_dir), "segment_id", "parking_id", 500.0, ["estimated_capacity"])
+    return spatial.ring_nearest(segments_m(spark, sf_dir, dimension), lots_m(spark, sf_dir), "segment_id", "parking_id", ["estimated_capacity"])
 
 
 @register("C13_nearest_parking", f"SELECT segment_id, parking_id, round(distance, 3) AS distance, estimated_capacity FROM {_NEAREST_LOT} JOIN {_EST} USING (parking_id)")
@@ -265,7 +265,7 @@ def c19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CAL = "cal AS (SELECT *, TIMESTAMP '2024-01-01' + start_hour_offset * INTERVAL 1 HOUR AS start_ts, TIMESTAMP '2024-01-01' + end_hour_offset * INTERVAL 1 HOUR AS end_ts FROM calendar)"
-_EV = f"SELECT * FROM (WITH {_CAL}, hh AS (SELECT DISTINCT target_hour FROM hours), p AS (SELECT segment_id, target_hour, event_key, venue, label, round({hav('lat_center', 'lon_center', 'latitude', 'longitude')} * 1000, 6) AS d FROM seg, hh, cal WHERE start_ts < target_hour + INTERVAL 1 HOUR AND end_ts > target_hour), r AS (SELECT *, count(*) OVER (PARTITION BY segment_id, target_hour) AS c, row_number() OVER (PARTITION BY segment_id, target_hour ORDER BY d, event_key) AS n FROM p) SELECT s.segment_id, hh.target_hour, coalesce(c, 0) AS active_event_count, round(coalesce(d, 1e6), 3) AS nearest_event_distance_m, round(coalesce(exp(-d / 1000), 0), 6) AS event_impact, venue FROM seg s CROSS JOIN hh LEFT JOIN r ON r.segment_id = s.segment_id AND r.target_hour = hh.target_hour AND n = 1)"
+_EV = f"SELECT * FROM (WITH {_CAL}, p AS (SELECT h.segment_id, target_hour, event_key, venue, label, round({hav('lat_center', 'lon_center', 'latitude', 'longitude')} * 1000, 6) AS d FROM hours h JOIN seg USING (segment_id), cal WHERE start_ts < target_hour + INTERVAL 1 HOUR AND end_ts > target_hour), r AS (SELECT *, count(*) OVER (PARTITION BY segment_id, target_hour) AS c, row_number() OVER (PARTITION BY segment_id, target_hour ORDER BY d, event_key) AS n FROM p) SELECT h.segment_id, h.target_hour, coalesce(c, 0) AS active_event_count, round(coalesce(d, 1e6), 3) AS nearest_event_distance_m, round(coalesce(exp(-d / 1000), 0), 6) AS event_impact, venue FROM hours h LEFT JOIN r ON r.segment_id = h.segment_id AND r.target_hour = h.target_hour AND n = 1)"
 
 
 def calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +277,7 @@ def calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("C9_active_events", _EV)
 def c9(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = core.dimension(spark, sf_dir).select("segment_id", F.col("lat_center").alias("lat"), F.col("lon_center").alias("lon"))
-    r = spatial.active_events(s, core.hours(spark, sf_dir), calendar_events(spark, sf_dir))
+    r = spatial.active_events(core.hours(spark, sf_dir).select("segment_id", "target_hour").join(s, "segment_id"), calendar_events(spark, sf_dir))
     return r.select("segment_id", "target_hour", "active_event_count", F.round("nearest_event_distance_m", 3).alias("nearest_event_distance_m"), F.round("event_impact", 6).alias("event_impact"), "venue")
 
 
@@ -314,10 +314,41 @@ def c8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.hours(spark, sf_dir).select("segment_id", "target_hour").join(a7(spark, sf_dir).select("target_hour", "rainfall_mm"), "target_hour", "left").fillna(0.0, ["rainfall_mm"])
 
 
-@register("C16_ripples", f"SELECT a.segment_id AS source_bottleneck, b.segment_id, a.target_hour, round(a.eps * greatest(0.65::DOUBLE, 0.97::DOUBLE - 0.32::DOUBLE * d / 40), 6) AS eps_spillover FROM (SELECT a.segment_id, b.segment_id AS other, a.target_hour, a.eps, {hav('a.lat_center', 'a.lon_center', 'b.lat_center', 'b.lon_center')} * 1000 AS d FROM scored a JOIN scored b ON a.target_hour = b.target_hour AND a.segment_id <> b.segment_id AND a.eps >= 30 AND sqrt((a.lon_center - b.lon_center) ** 2 + (a.lat_center - b.lat_center) ** 2) <= 4000.0::DOUBLE / 111000) a JOIN (SELECT DISTINCT segment_id FROM seg) b ON a.other = b.segment_id")
+def _apart(p: tuple[str, str], a: tuple[str, str], b: tuple[str, str]) -> str:
+    """Distance of a point from a straight piece in DuckDB."""
+    (px, py), (ax, ay), (bx, by) = p, a, b
+    t = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce((({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / nullif(({bx} - {ax}) ** 2 + ({by} - {ay}) ** 2, 0), 0)))"
+    return f"sqrt(({px} - ({ax} + {t} * ({bx} - {ax}))) ** 2 + ({py} - ({ay} + {t} * ({by} - {ay}))) ** 2)"
+
+
+def _turn(a: tuple[str, str], b: tuple[str, str], c: tuple[str, str]) -> str:
+    return f"sign(({b[0]} - {a[0]}) * ({c[1]} - {a[1]}) - ({b[1]} - {a[1]}) * ({c[0]} - {a[0]}))"
+
+
+_P, _Q, _R, _S = ("a.px", "a.py"), ("a.qx", "a.qy"), ("b.px", "b.py"), ("b.qx", "b.qy")
+_CROSS = f"({_turn(_P, _Q, _R)} * {_turn(_P, _Q, _S)} < 0 AND {_turn(_R, _S, _P)} * {_turn(_R, _S, _Q)} < 0)"
+_MID = {v: f"(({v}1 + {v}2) / 2 * l1 + ({v}2 + {v}3) / 2 * l2) / (l1 + l2)" for v in "xy"}
+RIPPLES = f"""WITH pc AS (SELECT segment_id, x1 AS px, y1 AS py, x2 AS qx, y2 AS qy FROM lines UNION ALL SELECT segment_id, x2, y2, x3, y3 FROM lines),
+ mid AS (SELECT segment_id, {_MID['x']} AS lon, {_MID['y']} AS lat FROM (SELECT *, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS l1, sqrt((x3 - x2) ** 2 + (y3 - y2) ** 2) AS l2 FROM lines)),
+ met AS (SELECT a.segment_id AS source, b.segment_id AS other, min(CASE WHEN {_CROSS} THEN 0.0::DOUBLE ELSE least({_apart(_P, _R, _S)}, {_apart(_Q, _R, _S)}, {_apart(_R, _P, _Q)}, {_apart(_S, _P, _Q)}) END) AS apart FROM pc a JOIN pc b ON a.segment_id <> b.segment_id GROUP BY 1, 2),
+ pr AS (SELECT source, other, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} * 1000 AS d FROM met JOIN mid a ON a.segment_id = source JOIN mid b ON b.segment_id = other WHERE apart <= 40.0::DOUBLE / 111000)
+ SELECT source AS source_bottleneck, b.segment_id, b.target_hour, round_even(round(a.eps * greatest(0.65::DOUBLE, 0.97::DOUBLE - 0.32::DOUBLE * d / 40), 9), 2) AS eps_spillover, round(d, 1) AS distance_m, round(greatest(0.65::DOUBLE, 0.97::DOUBLE - 0.32::DOUBLE * d / 40), 3) AS decay, b.road_class, b.police_station
+ FROM scored a JOIN pr ON a.segment_id = source JOIN scored b ON b.segment_id = other AND b.target_hour = a.target_hour WHERE a.eps >= 70"""
+
+
+def rippling(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(scored rows, lines of the roads)."""
+    known = core.lines(spark, sf_dir).select("segment_id", geo.wkt_points(F.col("geometry_wkt")).alias("points"))
+    return core.scored(spark, sf_dir).select("segment_id", "target_hour", "eps", "road_class", "police_station"), known
+
+
+def shown_ripples(rows: DataFrame) -> DataFrame:
+    return rows.select("source_bottleneck", "segment_id", "target_hour", "eps_spillover", F.round("distance_m", 1).alias("distance_m"), F.round("decay", 3).alias("decay"), "road_class", "police_station")
+
+
+@register("C16_ripples", f"SELECT * FROM ({RIPPLES})")
 def c16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = core.scored(spark, sf_dir).select("segment_id", "target_hour", F.col("lon_center").alias("lon"), F.col("lat_center").alias("lat"), "eps")
-    return rounded(spatial.ripples(rows, least=30.0, reach_m=4000.0).select("source_bottleneck", "segment_id", "target_hour", "eps_spillover"))
+    return shown_ripples(spatial.ripples(*rippling(spark, sf_dir)))
 
 
 # --- metrics ----------------------------------------------------------------------------------------

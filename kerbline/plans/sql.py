@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import refdata as R
-from .fixtures import VIEWS
+from .fixtures import LINES, VIEWS
 
 
 def case(column: str, table: dict, default) -> str:
@@ -55,6 +55,7 @@ STEPS["past_hour"] = "SELECT segment_id, hour AS hr, avg(count_total) AS m FROM
 STEPS["past_dow"] = "SELECT segment_id, day_of_week AS dow, hour AS hr, avg(count_total) AS m FROM hours GROUP BY 1, 2, 3"
 STEPS["lagged"] = "SELECT h.*, " + ", ".join(f"t{k}.count_total AS true_{k}" for k in (1, 2, 3, 24, 168)) + ", " + ", ".join(f"coalesce(CAST(t{k}.count_total AS DOUBLE), f{k}.m, 0.0::DOUBLE) AS lag_{k}h_total" for k in (1, 2, 3, 24, 168)) + " FROM hours h " + " ".join(f"LEFT JOIN hours t{k} ON t{k}.segment_id = h.segment_id AND t{k}.target_hour = h.target_hour - INTERVAL {k} HOUR" for k in (1, 2, 3, 24, 168)) + " " + " ".join(f"LEFT JOIN past_hour f{k} ON f{k}.segment_id = h.segment_id AND f{k}.hr = (h.hour - {k} + 24) % 24" for k in (1, 2, 3)) + " LEFT JOIN past_hour f24 ON f24.segment_id = h.segment_id AND f24.hr = h.hour LEFT JOIN past_dow f168 ON f168.segment_id = h.segment_id AND f168.dow = h.day_of_week AND f168.hr = h.hour"
 STEPS["near"] = "SELECT a.segment_id, b.segment_id AS neighbour FROM seg a JOIN seg b ON a.segment_id <> b.segment_id AND sqrt((a.lon_center - b.lon_center) ** 2 + (a.lat_center - b.lat_center) ** 2) <= 0.005::DOUBLE"
+STEPS["lines"] = LINES.strip()
 STEPS["scale"] = f"SELECT greatest(1.0::DOUBLE, quantile_cont(count_total::DOUBLE, 0.95)) AS count_p95, greatest(0.05::DOUBLE, quantile_cont((({WIDTH_SUM}) / road_width_m) ** 2, 0.95)) AS interruption_p95 FROM hours JOIN (SELECT segment_id, road_width_m FROM seg) USING (segment_id)"
 # what is scored: the facts, with a priority and a congestion multiplier drawn from the row itself
 STEPS["to_score"] = "SELECT h.*, d.road_class, d.road_width_m, d.police_station, d.lat_center, d.lon_center, CAST((h.count_total * 17 + h.hour * 5) % 100 AS DOUBLE) / 100 AS priority, 0.9::DOUBLE + CAST((h.hour * 7 + h.count_total) % 10 AS DOUBLE) / 10 AS congestion FROM hours h JOIN dim d USING (segment_id)"

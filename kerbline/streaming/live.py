@@ -82,11 +82,11 @@ def rescore(table: str, live, score):
     return run
 
 
-def refresh_ripples(table: str, **reach):
-    """A foreachBatch function that keeps the ripples of each batch, which holds whole hours, in ``table``."""
+def refresh_ripples(table: str, lines: DataFrame, **reach):
+    """A foreachBatch function that keeps the ripples of each batch, which holds whole hours, along ``lines`` in ``table``."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spatial.ripples(batch, **reach).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        spatial.ripples(batch, lines, **reach).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return run
 

@@ -8,7 +8,8 @@
 3. Each document drops the words of its windows that start in a smaller one.
 
 ``meet`` brings equal hashes together: a task sends each hash once for each stretch of documents, packed by range of hashes, so that a passage of very many documents
-is a few rows; documents of the stretch that need no answer from elsewhere are answered at once. No pairs are made, and none are lost.
+is a few rows; documents of the stretch that need no answer from elsewhere are answered at once. The answers go back by stretch, where they are
+laid out by document. No pairs are made, and none are lost.
 The three passes over the texts read one shuffle of them by document.
 """
 
@@ -29,10 +30,12 @@ from .common import short_batches
 #: Words of a window, of an anchor, and the perfect difference cover of its period: each distance modulo 7 lies between two of its places.
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
+#: Anchors only tell where to look, so 48 bits of their hashes do.
+FILTER = np.uint64(0xFFFFFFFFFFFF0000)
 #: Hashes that a task packs at a time, and about as many that a range of hashes has.
 STRETCH = 1_000_000
 
-PACKED = "part bigint, answer boolean, high binary, low binary, base bigint, docs binary"
+PACKED = "part bigint, stretch bigint, answer boolean, high binary, low binary, base bigint, docs binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -56,7 +59,7 @@ class Runs:
         """(places, hashes) of the runs of ``ANCHOR`` words at the cover's places, in texts that hold a window."""
         at = np.arange(max(0, len(self.words) - ANCHOR + 1) if len(self.words) >= WINDOW else 0)
         at = at[np.isin(at % PERIOD, COVER)]
-        return at, np.fromiter(map(xxhash.xxh3_64_intdigest, self.slices(at, ANCHOR)), np.uint64, len(at))
+        return at, np.fromiter(map(xxhash.xxh3_64_intdigest, self.slices(at, ANCHOR)), np.uint64, len(at)) & FILTER
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first 64 bits and the next 32 of the hashes of the windows that start at ``at``."""
@@ -67,14 +70,14 @@ class Runs:
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray]  # of each: 64 bits of the hash, 32 more, document
 
 
-def _sorted(stretch: list[Entries]) -> Entries:
-    """Distinct entries by hash and document."""
-    high, low, doc = (np.concatenate(x) for x in zip(*stretch, strict=True))
-    order = np.lexsort((doc, low, high))
-    high, low, doc = high[order], low[order], doc[order]
-    new = np.ones(len(high), bool)
-    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-    return high[new], low[new], doc[new]
+def _sorted(stretch: list[tuple]) -> list[np.ndarray]:
+    """Distinct entries by hash and document, with what else comes along."""
+    columns = [np.concatenate(x) for x in zip(*stretch, strict=True)]
+    order = np.lexsort(columns[2::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:3]])
+    return [c[new] for c in columns]
 
 
 def _verdict(high: np.ndarray, low: np.ndarray, doc: np.ndarray, smaller: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,51 +98,87 @@ def pack(stretch: list[Entries], parts: int, smaller: bool) -> Iterator[pa.Recor
     high, low, doc = _sorted(stretch)
     first, last, yes = _verdict(high, low, doc, smaller)
     sent = first if smaller else np.unique(np.concatenate([first, last]))
+    name = xxhash.xxh3_64_intdigest(doc.tobytes() + high.tobytes()) >> 1  # the same when a task runs again
     part = ((high[sent] >> np.uint64(32)).astype(np.int64) * parts) >> 32
     at = np.flatnonzero(np.diff(part, prepend=-1))  # hashes are sorted, and so are their ranges
-    yield _packed(part[at], False, np.split(sent, at[1:]) if len(at) else [], high, low, doc)
+    yield _packed(part[at], name, False, np.split(sent, at[1:]) if len(at) else [], high, low, doc)
     own = np.flatnonzero(yes)
-    own = own[np.argsort(doc[own], kind="stable")]
     cuts = range(0, len(own), STRETCH // 16)
-    yield _packed(np.array([int(high[own[c]]) % parts for c in cuts], np.int64), True, [own[c : c + STRETCH // 16] for c in cuts], high, low, doc)
+    yield _packed(np.array([int(high[own[c]]) % parts for c in cuts], np.int64), name, True, [own[c : c + STRETCH // 16] for c in cuts], high, low, doc)
 
 
-def _packed(part: np.ndarray, answer: bool, each: list[np.ndarray], high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+def _packed(part: np.ndarray, stretch: int, answer: bool, each: list[np.ndarray], high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     """A row for each group of entries, column by column, documents as distances from the smallest in as few bytes as hold them."""
-    base = [int(doc[e].min()) for e in each]
-    docs = []
-    for e, b in zip(each, base, strict=True):
-        far = (doc[e].astype(object) - b).astype(np.uint64) if int(doc[e].max()) - b >= 1 << 63 else (doc[e] - b).astype(np.uint64)
-        docs.append(far.astype(np.min_scalar_type(int(far.max()))).tobytes())
-    columns = [part, np.full(len(each), answer), [high[e].tobytes() for e in each], [b"" if answer else low[e].tobytes() for e in each], base, docs]
-    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+    base, docs = zip(*[_distances(doc[e]) for e in each], strict=True) if each else ((), ())
+    columns = [part, np.full(len(each), stretch), np.full(len(each), answer), [_steps(high[e]) for e in each], [b"" if answer else low[e].tobytes() for e in each], base, docs]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
 
 
-def _unpacked(rows: pa.Table) -> Entries:
-    out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: bytes that are alike lie together, and shrink when they are shuffled."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _steps(high: np.ndarray) -> bytes:
+    """Hashes as the distances from one to the next, which are small where they are sorted."""
+    return _planes(np.diff(high, prepend=np.uint64(0)))
+
+
+def _places(steps: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(steps), dtype=np.uint64)
+
+
+def _distances(doc: np.ndarray) -> tuple[int, bytes]:
+    """The smallest document, and all as unsigned distances from it."""
+    far = doc.view(np.uint64) - np.uint64(int(doc.min()) % (1 << 64))
+    return int(doc.min()), far.astype(np.min_scalar_type(int(far.max()))).tobytes()
+
+
+def _documents(base: int, docs: bytes, n: int) -> np.ndarray:
+    return (np.frombuffer(docs, f"<u{len(docs) // n}").astype(np.uint64) + np.uint64(base % (1 << 64))).view(np.int64)
+
+
+def _unpacked(rows: pa.Table) -> list[tuple]:
+    """Entries of packed rows, with the place of their stretch among ``rows``' stretches."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for r in rows.to_pylist():
-        high = np.frombuffer(r["high"], np.uint64)
-        far = np.frombuffer(r["docs"], f"<u{len(r['docs']) // len(high)}").astype(np.uint64)
+        high = _places(r["high"])
         low = np.zeros(len(high), np.uint32) if r["answer"] else np.frombuffer(r["low"], np.uint32)
-        out.append((high, low, (far + np.uint64(r["base"] % (1 << 64))).astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        out.append((high, low, _documents(r["base"], r["docs"], len(high)), np.full(len(high), r["stretch"])))
+    return out
 
 
 def meet(packed: DataFrame, smaller: bool) -> DataFrame:
-    """doc_id, hashes: each document's hashes (64 bits, concatenated in a few pieces) that are answered yes; ``packed`` are rows of ``pack``."""
+    """doc_id, hashes: each document's hashes (64 bits, as ``_planes`` in a few pieces) that are answered yes; ``packed`` are rows of ``pack``."""
 
-    def run(group: pa.Table) -> pa.Table:
-        asked = _sorted([_unpacked(group.filter(pc.invert(group["answer"])))])
-        yes = _verdict(*asked, smaller)[2]
+    def answered(group: pa.Table) -> pa.Table:
+        high, low, doc, stretch = _sorted(_unpacked(group.filter(pc.invert(group["answer"]))))
+        yes = _verdict(high, low, doc, smaller)[2]
         own = _unpacked(group.filter(group["answer"]))
-        high, doc = np.concatenate([asked[0][yes], own[0]]), np.concatenate([asked[2][yes], own[2]])
+        high, doc, stretch = (np.concatenate([x[yes], *(o[i] for o in own)]) for i, x in ((0, high), (2, doc), (3, stretch)))
+        order = np.argsort(stretch, kind="stable")
+        at = np.flatnonzero(np.append(True, np.diff(stretch[order]) != 0))[: len(order)]
+        each = np.split(order, at[1:]) if len(order) else []
+        base, docs = zip(*[_distances(doc[e]) for e in each], strict=True) if each else ((), ())
+        columns = [stretch[order][at], [_steps(high[e]) for e in each], base, docs]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["stretch", "high", "base", "docs"])
+
+    def laid_out(group: pa.Table) -> pa.Table:
+        rows = [(_places(r["high"]), r["base"], r["docs"]) for r in group.to_pylist()]
+        high, doc = np.concatenate([h for h, _, _ in rows]), np.concatenate([_documents(b, d, len(h)) for h, b, d in rows])
         order = np.argsort(doc, kind="stable")
         high, doc = high[order], doc[order]
-        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-        return pa.table([pa.array(doc[at]), pa.array([x.tobytes() for x in np.split(high, at[1:])] if len(at) else [], pa.binary())], ["doc_id", "hashes"])
+        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        return pa.table([pa.array(doc[at]), pa.array([_planes(x) for x in np.split(high, at[1:])], pa.binary())], ["doc_id", "hashes"])
 
-    return packed.groupBy("part").applyInArrow(run, "doc_id bigint, hashes binary").groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    answers = packed.groupBy("part").applyInArrow(answered, "stretch bigint, high binary, base bigint, docs binary")
+    answers = answers.groupBy("stretch").applyInArrow(laid_out, "doc_id bigint, hashes binary")
+    return answers.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
 
 
 def anchored(texts: DataFrame, parts: int) -> DataFrame:
@@ -166,7 +205,7 @@ def extended(texts: DataFrame, parts: int) -> DataFrame:
 
 
 def _hashes(pieces: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(b"".join(pieces.as_py() or []), np.uint64)
+    return np.concatenate([_numbers(b) for b in pieces.as_py() or []] or [np.zeros(0, np.uint64)])
 
 
 def _sent(texts: DataFrame, found: Callable[[str | None, np.ndarray], tuple[np.ndarray, np.ndarray]], parts: int, smaller: bool) -> DataFrame:

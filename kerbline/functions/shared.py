@@ -81,24 +81,26 @@ def spread_join(rows: DataFrame, single: DataFrame, keys: list[str], counts: Dat
     return left.join(right, [*keys, "_part"], how).drop("_part")
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, name: str, group: str | None = None) -> DataFrame:
-    """``df``, staged, with ``name``: the sum of ``value`` over the rows before it by ``order`` (nulls first), within its ``group`` where one is given.
+def running_sum(df: DataFrame, order: list[str], value: str | list[str], name: str | list[str], group: str | None = None) -> DataFrame:
+    """``df``, staged, with ``name``: the sum of ``value`` over the rows before it by ``order`` (nulls first), within its ``group`` where one is given; several values and names go together.
 
     Names of ``df`` with a leading underscore are ours. Rows are range-sorted over all tasks by group and order; the ranges' totals, as many as tasks (and groups), are summed up,
     and each range sums its own rows. Equal rows in ``order`` come in any order.
     ``df`` is read twice, first for the ranges: stage one that is dear to make.
     """
+    values, names = ([x] if isinstance(x, str) else x for x in (value, name))
     keys = [c for c in (group, *order) if c]
     columns = df.columns
     ranged = staged(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys]).withColumn("_range", F.spark_partition_id()))
     by = [group] if group else []
-    totals = ranged.groupBy(*by, "_range").agg(F.sum(value).alias("_total"))
+    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_total{i}") for i, v in enumerate(values)])
     before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(F.col(group).alias("_g") if group else F.lit(None).cast("string").alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_ahead"))
+    ahead = [F.coalesce(F.sum(f"_total{i}").over(before), F.lit(0)).alias(f"_ahead{i}") for i in range(len(values))]
+    totals = totals.select(F.col(group).alias("_g") if group else F.lit(None).cast("string").alias("_g"), F.col("_range").alias("_r"), *ahead)
     same = (F.col("_range") == F.col("_r")) & (F.col(group).eqNullSafe(F.col("_g")) if group else F.lit(True))
     inside = W.partitionBy(*by, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, -1)
-    summed = ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(totals, same).select(*columns, (F.col("_ahead") + F.col("_inside")).alias(name))
+    summed = ranged.withColumns({f"_inside{i}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for i, v in enumerate(values)})
+    return summed.join(totals, same).select(*columns, *[(F.col(f"_ahead{i}") + F.col(f"_inside{i}")).alias(n) for i, n in enumerate(names)])
 
 
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import staged
+
 
 def congestion_multiplier(travel: Column, free_travel: Column, speed: Column, free_speed: Column) -> Column:
     """Current over free travel time, else free over current speed, else 1."""
@@ -12,11 +17,21 @@ def congestion_multiplier(travel: Column, free_travel: Column, speed: Column, fr
     return F.coalesce(by_time, F.when((speed > 0) & (free_speed > 0), free_speed / speed), F.lit(1.0))
 
 
-def hourly_weather(payload: DataFrame, bounds: DataFrame, threshold: float = 0.0) -> DataFrame:
+def _rain(mm: Column, hour: Column, missing: str) -> Column:
+    """Rainfall of an hour: where there is none, 0 (``missing="zero"``), or an error that names the hour when the row is read (``"error"``)."""
+    if missing not in ("zero", "error"):
+        raise ValueError("missing is zero or error")
+    none = F.raise_error(F.concat(F.lit("no rainfall for "), hour.cast("string"))).cast("double") if missing == "error" else F.lit(0.0)
+    return F.coalesce(mm, none)
+
+
+def hourly_weather(payload: DataFrame, bounds: DataFrame, threshold: float = 0.0, missing: str = "zero") -> DataFrame:
     """target_hour, rainfall_mm, is_raining for each hour of a one-row (start_hour, end_hour), from parallel arrays time, rain, precipitation.
 
-    The last reading of an hour counts; rain stands before precipitation; missing hours are dry.
+    The last reading of an hour counts; rain stands before precipitation; hours without a reading are dry, or with ``missing="error"`` an error when the rows are read.
     """
+    if "time" not in payload.columns or not {"rain", "precipitation"} & {*payload.columns}:
+        raise ValueError("a weather payload has time, and rain or precipitation")
     none = F.array().cast("array<double>")  # arrays_zip gives nothing where one array is null
     given = lambda c: F.coalesce(F.col(c), none).alias(c) if c in payload.columns else none.alias(c)
     read = payload.select("time", given("rain"), given("precipitation")).select(F.posexplode(F.arrays_zip("time", "rain", "precipitation")).alias("i", "r"))
@@ -24,10 +39,17 @@ def hourly_weather(payload: DataFrame, bounds: DataFrame, threshold: float = 0.0
     read = read.select("i", F.date_trunc("hour", F.col("r.time").cast("timestamp_ntz")).cast("timestamp_ntz").alias("target_hour"), rain.alias("mm"))
     read = read.groupBy("target_hour").agg(F.max_by("mm", "i").alias("mm"))
     spine = bounds.select(F.explode(F.sequence("start_hour", "end_hour", F.expr("interval 1 hour"))).alias("target_hour"))
-    out = spine.join(read, "target_hour", "left").select("target_hour", F.coalesce("mm", F.lit(0.0)).alias("rainfall_mm"))
+    out = spine.join(read, "target_hour", "left").select("target_hour", _rain(F.col("mm"), F.col("target_hour"), missing).alias("rainfall_mm"))
     return out.withColumn("is_raining", (F.col("rainfall_mm") > threshold).cast("int"))
 
 
+def join_weather(rows: DataFrame, weather: DataFrame, missing: str = "zero") -> DataFrame:
+    """``rows`` with rainfall_mm and is_raining of their target_hour; rows of hours that ``weather`` lacks are dry, or with ``missing="error"`` an error when they are read."""
+    met = rows.join(weather.select("target_hour", "rainfall_mm", "is_raining"), "target_hour", "left")
+    mm = _rain(F.col("rainfall_mm"), F.col("target_hour"), missing)
+    return met.withColumns({"rainfall_mm": mm, "is_raining": F.coalesce("is_raining", F.lit(0))})
+
+
 def join_hubs(calendar: DataFrame, hubs: DataFrame) -> DataFrame:
     """Calendar rows with their hub's place; a venue that no hub has, or that two have, is an error when the rows are read."""
     one = hubs.groupBy("venue").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in hubs.columns if c != "venue"])
@@ -36,9 +58,49 @@ def join_hubs(calendar: DataFrame, hubs: DataFrame) -> DataFrame:
     return rows.withColumn("_f", fault.cast("string")).where(F.col("_f").isNull()).drop("_n", "_f")
 
 
-def calendar_faults(calendar: DataFrame) -> DataFrame:
-    """One row: blank and repeated venues, intervals that don't end after they start."""
-    return calendar.agg(F.count_if(F.trim("venue") == "").alias("blank_venues"), (F.count("*") - F.countDistinct("venue")).alias("repeated_venues"), F.count_if(~(F.col("end_ts") > F.col("start_ts"))).alias("bad_intervals"))
+def local_time(text: Column, zone: str) -> Column:
+    """Text as a time without zone: as it stands, or moved to ``zone`` where it names an offset; null where it is no time."""
+    text = F.trim(text)
+    moved = F.convert_timezone(F.current_timezone(), F.lit(zone), text.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(F.regexp_like(text, F.lit(r":.*(Z|[+-]\d\d:?\d\d)$")), moved).otherwise(text.try_cast("timestamp_ntz"))
+
+
+def _faults(**tests: Column) -> Column:
+    """The names of the tests that hold, in their order."""
+    return F.array_compact(F.array(*[F.when(t, F.lit(n.replace("_", " "))) for n, t in tests.items()]))
+
+
+def checked_hubs(rows: DataFrame) -> DataFrame:
+    """Hubs from text (venue, latitude, longitude), trimmed and as numbers, and ``faults``: blank venue, repeated venue (all of its rows), no number."""
+    number = {c: F.trim(F.col(c).cast("string")).try_cast("double") for c in ("latitude", "longitude")}
+    rows = rows.withColumns({"venue": F.trim(F.coalesce(F.col("venue").cast("string"), F.lit(""))), **number})
+    seen = rows.groupBy("venue").agg(F.count("*").alias("_n"))
+    bad = reduce(or_, [F.col(c).isNull() | F.isnan(c) for c in number])
+    return rows.join(seen, "venue").withColumn("faults", _faults(blank_venue=F.col("venue") == "", repeated_venue=(F.col("_n") > 1) & (F.col("venue") != ""), no_number=bad)).drop("_n")
+
+
+def checked_calendar(rows: DataFrame, hubs: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
+    """Events from text (venue, start_ts, end_ts, label), trimmed, as local times, with their hub's latitude and longitude, and ``faults``.
+
+    Faults: blank venue, no start, no end, end not after start, no hub (among good ones, each venue once). A missing label is empty.
+    """
+    label = F.coalesce(F.col("label").cast("string"), F.lit("")) if "label" in rows.columns else F.lit("")
+    rows = rows.withColumns({"venue": F.trim(F.coalesce(F.col("venue").cast("string"), F.lit(""))), "label": label, "start_ts": local_time(F.col("start_ts"), zone), "end_ts": local_time(F.col("end_ts"), zone)})
+    rows = rows.join(hubs.select("venue", "latitude", "longitude"), "venue", "left")
+    start, end = F.col("start_ts"), F.col("end_ts")
+    found = _faults(blank_venue=F.col("venue") == "", no_start=start.isNull(), no_end=end.isNull(), end_not_after_start=end <= start, no_hub=(F.col("venue") != "") & F.col("latitude").isNull())
+    return rows.withColumn("faults", found)
+
+
+def routed(checked: DataFrame, mode: str = "quarantine") -> tuple[DataFrame, DataFrame]:
+    """(good rows, faulty rows with their ``faults``) of a table that is gone through once; with ``mode="error"`` a faulty row is an error."""
+    if mode not in ("quarantine", "error"):
+        raise ValueError("mode is quarantine or error")
+    if mode == "error":
+        told = F.raise_error(F.concat(F.lit("faulty row: "), F.concat_ws(", ", "faults"), F.lit(" in "), F.to_json(F.struct(*checked.columns))))
+        checked = checked.withColumn("faults", F.when(F.size("faults") > 0, told.cast("array<string>")).otherwise(F.col("faults")))
+    rows = staged(checked)
+    return rows.where(F.size("faults") == 0).drop("faults"), rows.where(F.size("faults") > 0)
 
 
 def band_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

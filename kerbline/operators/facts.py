@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions import refdata as R
 from ..functions.shared import first_rows, running_sum, spread_join, staged
 
@@ -31,15 +34,29 @@ def mode_of(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     return n.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(value))
 
 
-def segment_dimension(events: DataFrame, grid: float = 0.001) -> DataFrame:
-    """Centre, modes of the text columns, means and counts of each segment."""
+#: Columns of text whose most frequent value describes a segment, where the events have them.
+TEXTS = ("police_station", "junction_name", "road_class", "junction_bucket", "map_matching_mode", "location", "road_name", "osm_highway", "geometry_wkt")
+
+
+def segment_dimension(events: DataFrame, grid: float = 0.001, texts: tuple[str, ...] = ("police_station", "junction_name", "road_class", "geometry_wkt")) -> DataFrame:
+    """Centre, modes of those of ``texts`` that the events have, means and counts of each segment.
+
+    The centre is the centroid of the segment's geometry_wkt; of text that is no line the mean place; and where there is no geometry the middle of the least grid cell.
+    """
     base = events.groupBy("segment_id").agg(
         F.count("*").alias("event_count"), F.avg("latitude").alias("lat_mean"), F.avg("longitude").alias("lon_mean"), F.min("lat_bin").alias("lat_bin"), F.min("lon_bin").alias("lon_bin"),
         F.avg("violation_severity_weight").alias("severity_mean"), F.avg("vehicle_footprint_weight").alias("footprint_mean"), F.max("road_width_m").alias("road_width_m"),
     )
-    for column in ("police_station", "junction_name", "road_class"):
-        base = base.join(mode_of(events, ["segment_id"], column), "segment_id")
-    return base.withColumns({"lat_center": (F.col("lat_bin") + 0.5) * grid, "lon_center": (F.col("lon_bin") + 0.5) * grid})
+    for column in texts:
+        if column in events.columns:
+            base = base.join(mode_of(events, ["segment_id"], column), "segment_id")
+    lat, lon = (F.col("lat_bin") + 0.5) * grid, (F.col("lon_bin") + 0.5) * grid
+    if "geometry_wkt" in base.columns and "geometry_wkt" in texts:
+        base = base.withColumn("_line", geo.wkt_points(F.col("geometry_wkt")))
+        middle_lon, middle_lat = geo.line_centroid(F.col("_line"))
+        given, drawn = F.coalesce(F.col("geometry_wkt"), F.lit("")) != "", F.size("_line") > 1
+        lat, lon = (F.when(given & drawn, m).when(given, F.col(mean)).otherwise(c) for m, mean, c in ((middle_lat, "lat_mean", lat), (middle_lon, "lon_mean", lon)))
+    return base.withColumns({"lat_center": lat, "lon_center": lon}).drop("_line")
 
 
 def approval_rates(raw: DataFrame) -> DataFrame:
@@ -72,17 +89,42 @@ def hour_spine(bounds: DataFrame, first: str, last: str, name: str = "target_hou
     return bounds.select(F.explode(F.sequence(F.col(first), F.col(last), F.expr("interval 1 hour"))).alias(name))
 
 
-def absent_pairs(segments: DataFrame, spine: DataFrame, positives: DataFrame, wanted: int, seed: int = 42, salt: str = "zero") -> DataFrame:
-    """``wanted`` absent (segment_id, target_hour) pairs, drawn without replacement with weights ln(1 + event_count).
+def absent_pairs(segments: DataFrame, first, last, positives: DataFrame, wanted: int, seed: int = 42, salt: str = "zero") -> DataFrame:
+    """``wanted`` absent (segment_id, target_hour) pairs of the hours from ``first`` to ``last``, drawn without replacement with weights ln(1 + event_count).
 
-    The least of -ln(u) / weight are kept, u from a hash of the pair: one pass, the same rows whatever
-    the partitions. The spine is a dimension of hours, so its product with the segments is the population asked for.
+    The least of -ln(u) / weight are kept, u from a hash of the pair: the same rows whatever the partitions. A segment makes its own absent hours, so their
+    product is neither joined nor written; it is gone through once. How many pairs lie below a key follows from the segments alone, and so a lower and an upper bound of
+    the cut: what is below the lower is in, what is above the upper is never kept, and only what lies between is sorted. The counts are then checked.
     """
-    grid = segments.select("segment_id", "event_count").join(F.broadcast(spine)).join(positives.select("segment_id", "target_hour"), ["segment_id", "target_hour"], "left_anti")
+    hours = F.sequence(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"), F.expr("interval 1 hour"))
+    held = positives.groupBy("segment_id").agg(F.collect_set("target_hour").alias("held"))  # an hour each, at most
+    absent = F.array_except(hours, F.coalesce("held", F.array().cast("array<timestamp_ntz>")))
+    line = staged(segments.select("segment_id", "event_count").join(held, "segment_id", "left").withColumns({"absent": F.size(absent), "weight": F.log1p("event_count")}))
+    low, high = _cut(line, wanted)
+    pairs = line.select("segment_id", "weight", F.explode(absent).alias("target_hour"))
     text = F.concat_ws(":", F.lit(str(seed)), F.lit(salt), "segment_id", F.date_format("target_hour", "yyyyMMddHH"))
     u = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    key = F.round(-F.log(u) / F.log1p("event_count"), 9)
-    return first_rows(staged(grid.withColumn("key", key).select("key", "segment_id", "target_hour")), ["key", "segment_id", "target_hour"], wanted).select("segment_id", "target_hour")
+    pairs = pairs.select(F.round(-F.log(u) / F.col("weight"), 9).alias("key"), "segment_id", "target_hour")
+    while True:
+        near = staged(pairs.where(F.col("key") <= high))
+        counts = near.agg(F.count_if(F.col("key") < low).alias("sure"), F.count("*").alias("all")).first()
+        if counts.sure > wanted:
+            low = 0.0
+        elif counts.all < wanted and high < math.inf:
+            high = math.inf
+        else:
+            break
+    columns = ["segment_id", "target_hour"]
+    return near.where(F.col("key") < low).select(columns).unionByName(first_rows(near.where(F.col("key") >= low), ["key", *columns], wanted - counts.sure).select(columns))
+
+
+def _cut(line: DataFrame, wanted: int) -> tuple[float, float]:
+    """Keys between which the ``wanted``-th least one lies but for a chance below 10**-14; a pair is below k with a chance of 1 - exp(-weight k)."""
+    keys = [10 ** (-9 + 12 * i / 400) for i in range(401)]
+    sums = line.agg(F.array(*[F.sum(F.col("absent") * (1 - F.exp(-F.col("weight") * k))) for k in keys]).alias("n")).first().n
+    slack = 8 * math.sqrt(wanted + 1) + 8
+    low = max((k for k, n in zip(keys, sums, strict=True) if n is not None and n <= wanted - slack), default=0.0)
+    return low, min((k for k, n in zip(keys, sums, strict=True) if n is not None and n >= wanted + slack), default=math.inf)
 
 
 def with_zeros(hours: DataFrame, zeros: DataFrame, weight: float = 0.3) -> DataFrame:

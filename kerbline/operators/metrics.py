@@ -24,7 +24,7 @@ def binary_quality(rows: DataFrame, label: str, score: str) -> DataFrame:
     clipped = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
     plain = rows.agg(F.avg(-(y * F.log(clipped) + (1 - y) * F.log(1 - clipped))).alias("log_loss"), F.avg(F.pow(p - y, 2)).alias("brier"))
     steps = rows.groupBy(p.alias("s")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    steps = running_sum(running_sum(staged(steps.withColumn("falling", -F.col("s"))), ["falling"], "pos", "tp"), ["falling"], "neg", "fp")
+    steps = running_sum(staged(steps.withColumn("falling", -F.col("s"))), ["falling"], ["pos", "neg"], ["tp", "fp"])
     steps = steps.withColumns({"tp": F.col("tp") + F.col("pos"), "fp": F.col("fp") + F.col("neg")})
     ranks = steps.agg((F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"), (F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")).alias("average_precision"))
     return ranks.join(F.broadcast(plain))
@@ -38,10 +38,10 @@ def capture(rows: DataFrame, truth: str, score: str, keys: list[str], shares: tu
     return ranked.agg(*[(F.sum(F.when(F.col("ahead") < max(1, int(total.n * s)), F.col(truth))) / total.t).alias(f"capture_{round(s * 100)}") for s in shares])
 
 
-def at_k(rows: DataFrame, hour: str, truth: str, label: str, score: str, key: str, ks: tuple[int, ...] = (10, 25, 50), least: int = 50) -> DataFrame:
-    """precision, ndcg (gain: the truth) and false-dispatch rate at each k, averaged over hours with ``least`` rows."""
+def at_k(rows: DataFrame, hour: str, truth: str, label: str, score: str, keys: list[str], ks: tuple[int, ...] = (10, 25, 50), least: int = 50) -> DataFrame:
+    """precision, ndcg (gain: the truth) and false-dispatch rate at each k, averaged over hours with ``least`` rows; ties by ``keys``."""
     by = W.partitionBy(hour)
-    ranked = rows.withColumns({"n": F.count("*").over(by), "r": F.row_number().over(by.orderBy(F.desc(score), key)), "i": F.row_number().over(by.orderBy(F.desc(truth), key))}).where(F.col("n") >= least)
+    ranked = rows.withColumns({"n": F.count("*").over(by), "r": F.row_number().over(by.orderBy(F.desc(score), *keys)), "i": F.row_number().over(by.orderBy(F.desc(truth), *keys))}).where(F.col("n") >= least)
     aggs = []
     for k in ks:
         top = F.col("r") <= k

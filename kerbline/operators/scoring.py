@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..functions import refdata as R
 
 BATCH_BANDS = ((80, "Red Line"), (50, "Orange Line"), (35, "Watchlist"))
@@ -33,7 +34,8 @@ def calibrate(hours: DataFrame) -> DataFrame:
     """One row: count_p95 (1 at least) and interruption_p95 (0.05 at least) of facts with road_width_m."""
     parked = _total({c: R.CLASS_WIDTH[c] * R.OCCUPANCY[c] for c in R.CLASSES})
     raw = F.pow(parked / F.coalesce(F.col("road_width_m"), F.lit(6.0)), 2)
-    return hours.agg(F.greatest(F.lit(1.0), F.percentile("count_total", F.lit(0.95))).alias("count_p95"), F.greatest(F.lit(0.05), F.percentile(raw, F.lit(0.95))).alias("interruption_p95"))
+    p = ranks.percentiles(hours, {"count_p95": F.col("count_total"), "interruption_p95": raw}, 0.95)
+    return ranks.one_row(hours, {n: max(least, p[n] or 0.0) for n, least in (("count_p95", 1.0), ("interruption_p95", 0.05))})
 
 
 def score(rows: DataFrame, scales: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..functions import refdata as R
-from ..functions.shared import folder, kept
+from ..functions.shared import folder, kept, running_sum, staged
 from ..operators import calendar, clean, facts, history, scoring
 from .fixtures import LINES, view
 from .sql import oracle
@@ -177,11 +179,9 @@ _LEVELS = "lv AS (SELECT police_station, CAST(row_number() OVER (ORDER BY police
 
 
 def levels(values: DataFrame, column: str) -> DataFrame:
-    """Distinct sorted levels with Unknown, and their positions: a dimension-sized table."""
-    from pyspark.sql import Window as W
-
-    known = values.select(column).union(values.sparkSession.range(1).select(F.lit("Unknown"))).distinct()
-    return known.withColumn("code", F.row_number().over(W.orderBy(column)) - 1)
+    """Distinct sorted levels with Unknown, and their positions, counted over range partitions."""
+    known = values.select(column).union(values.sparkSession.range(1).select(F.lit("Unknown"))).distinct().withColumn("_one", F.lit(1).cast("long"))
+    return running_sum(staged(known), [column], "_one", "code").select(column, F.col("code").cast("int").alias("code"))
 
 
 @register("D14_category_levels", f"SELECT police_station, code FROM ({'WITH ' + _LEVELS} SELECT * FROM lv)")
@@ -216,6 +216,17 @@ def d5_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dimension(spark, sf_dir).select("segment_id", "lat_mean", "lon_mean"), 9)
 
 
+@register("D5_geometry_centres", """SELECT segment_id, CASE WHEN lat_bin % 3 = 0 THEN '' WHEN lat_bin % 7 = 1 THEN 'LINESTRING (broken' ELSE 'line' END AS geometry, round(CASE WHEN lat_bin % 3 = 0 THEN lat_center WHEN lat_bin % 7 = 1 THEN lat_mean ELSE ((y1 + y2) / 2 * l1 + (y2 + y3) / 2 * l2) / (l1 + l2) END, 9) AS lat_center,
+ round(CASE WHEN lat_bin % 3 = 0 THEN lon_center WHEN lat_bin % 7 = 1 THEN lon_mean ELSE ((x1 + x2) / 2 * l1 + (x2 + x3) / 2 * l2) / (l1 + l2) END, 9) AS lon_center, junction_bucket
+ FROM dim JOIN (SELECT *, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS l1, sqrt((x3 - x2) ** 2 + (y3 - y2) ** 2) AS l2 FROM lines) USING (segment_id) JOIN mode_junction_bucket USING (segment_id)""")
+def d5_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events carry their road's line, every seventh another's; some roads have none, some an unreadable one."""
+    rows = events(spark, sf_dir).join(lines(spark, sf_dir), "segment_id")
+    wkt = F.when(F.col("lat_bin") % 3 == 0, "").when(F.col("lat_bin") % 7 == 1, "LINESTRING (broken").when(F.row_number().over(W.partitionBy("segment_id").orderBy("id")) % 7 == 0, "LINESTRING (1 2, 3 4)").otherwise(F.col("geometry_wkt"))
+    d = facts.segment_dimension(rows.withColumn("geometry_wkt", wkt), texts=facts.TEXTS)
+    return rounded(d.select("segment_id", F.regexp_replace("geometry_wkt", r"LINESTRING \([0-9].*", "line").alias("geometry"), "lat_center", "lon_center", "junction_bucket"), 9)
+
+
 @register("D6_approval_rate", "SELECT police_station, round(coalesce(count(*) FILTER (lower(trim(validation_status)) = 'approved')::DOUBLE / nullif(count(*) FILTER (lower(trim(validation_status)) IN ('approved', 'rejected')), 0), 0.5), 6) AS approval_rate FROM violations GROUP BY 1")
 def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(facts.approval_rates(view(spark, sf_dir, "violations")))
@@ -288,8 +299,8 @@ _ZERO = """zk AS (SELECT a.segment_id, s.target_hour, round(-ln((CAST('0x' || su
 
 def zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hours(spark, sf_dir)
-    spine = facts.hour_spine(bounds(spark, sf_dir), "start_hour", "end_hour")
-    return facts.absent_pairs(facts.active_segments(events(spark, sf_dir)), spine, h, max(1, h.count() // 2))
+    b = bounds(spark, sf_dir).first()
+    return facts.absent_pairs(facts.active_segments(events(spark, sf_dir)), b.start_hour, b.end_hour, h, max(1, h.count() // 2))
 
 
 @register("G3_negative_samples", f"SELECT * FROM (WITH {_ZERO} SELECT segment_id, target_hour FROM zeros)")
@@ -312,7 +323,7 @@ def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("G4_future_grid", "SELECT segment_id, (SELECT max(end_hour) FROM bounds) + (n * INTERVAL 1 HOUR) AS target_hour FROM active, generate_series(1, 24) AS g(n)")
 def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
     future = bounds(spark, sf_dir).selectExpr("end_hour + interval 1 hour AS a", "end_hour + interval 24 hours AS b")
-    return facts.active_segments(events(spark, sf_dir)).select("segment_id").join(F.broadcast(facts.hour_spine(future, "a", "b")))
+    return facts.active_segments(events(spark, sf_dir)).select("segment_id").join(facts.hour_spine(future, "a", "b"))
 
 
 @register("G5_temporal_split", "SELECT segment_id, target_hour, CASE WHEN target_hour >= (SELECT cutoff FROM bounds) THEN 'test' WHEN target_hour >= (SELECT cutoff FROM bounds) - INTERVAL 14 DAY THEN 'calibration' ELSE 'train' END AS part FROM hours")
@@ -390,7 +401,8 @@ ORACLES["C22_counts_with_widths"] = oracle("SELECT segment_id, target_hour, coun
 
 @register("D12_recalibration", "SELECT round(p, 6) AS predicted_p95, round(greatest(0.5::DOUBLE, 0.15::DOUBLE * p), 6) AS interruption_p95 FROM (SELECT quantile_cont(predicted_total, 0.95) AS p FROM s1)")
 def d12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = scored(spark, sf_dir).agg(F.percentile("predicted_total", F.lit(0.95)).alias("predicted_p95"))
+    rows = scored(spark, sf_dir)
+    p = ranks.one_row(rows, ranks.percentiles(rows, {"predicted_p95": F.col("predicted_total")}, 0.95))
     return rounded(p.withColumn("interruption_p95", F.greatest(F.lit(0.5), 0.15 * F.col("predicted_p95"))))
 
 

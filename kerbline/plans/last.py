@@ -152,14 +152,15 @@ def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- explanations -----------------------------------------------------------------------------------
 _WEIGHTS = {c: (i % 5 - 2) / 4 or 0.5 for i, c in enumerate(R.COUNTS)} | {"count_total": 0.125, "severity_weighted_count": 0.25, "sample_weight": -0.5, "hour": 0.0625, "day_of_week": -0.125, "month": 0.5, "day_of_month": -0.0625, "day_of_year": 0.03125, "is_late": 0.25, "is_hotspot": -0.25}
-_FEATURES, _IMPACTS = ", ".join(f"'{c}'" for c in _WEIGHTS), ", ".join(f"round({w}::DOUBLE * (fr.{c} - m.{c}), 9)" for c, w in _WEIGHTS.items())
+_IMPACTS = ", ".join(f"round({w}::DOUBLE * (fr.{c} - m.m_{c}), 9) AS {c}" for c, w in _WEIGHTS.items())
 
 
-@register("F5_explanation_cuts", f"""SELECT * FROM (WITH fr AS MATERIALIZED (SELECT *, month(target_hour) AS month, day(target_hour) AS day_of_month, dayofyear(target_hour) AS day_of_year, CAST(hour >= 12 AS INT) AS is_late FROM hours),
- m AS MATERIALIZED (SELECT {', '.join(f'avg({c}) AS {c}' for c in _WEIGHTS)} FROM fr),
- tall AS MATERIALIZED (SELECT * FROM (SELECT segment_id, target_hour, unnest([{_FEATURES}]) AS feature, unnest([{_IMPACTS}]) AS impact FROM fr, m) WHERE impact <> 0), rk AS (SELECT *, row_number() OVER (PARTITION BY segment_id, target_hour, impact > 0 ORDER BY abs(impact) DESC, feature) AS s, row_number() OVER (PARTITION BY segment_id, target_hour ORDER BY abs(impact) DESC, feature) AS n FROM tall),
- cut AS (SELECT segment_id, target_hour, feature, row_number() OVER (PARTITION BY segment_id, target_hour ORDER BY abs(impact) DESC, feature) AS u FROM rk WHERE s <= CASE WHEN impact > 0 THEN 5 ELSE 3 END AND impact > 0.05)
- SELECT segment_id, target_hour, feature, round(impact, 6) AS impact, CAST(s <= CASE WHEN impact > 0 THEN 5 ELSE 3 END AS INT) AS served, CAST(s <= CASE WHEN impact > 0 THEN 3 ELSE 1 END AS INT) AS told, CAST(n <= 15 AS INT) AS largest, CAST(coalesce(u <= 3, false) AS INT) AS shown FROM rk LEFT JOIN cut USING (segment_id, target_hour, feature))""")
+@register("F5_explanation_cuts", f"""SELECT * FROM (WITH fr AS (SELECT *, month(target_hour) AS month, day(target_hour) AS day_of_month, dayofyear(target_hour) AS day_of_year, CAST(hour >= 12 AS INT) AS is_late FROM hours),
+ m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in _WEIGHTS)} FROM fr),
+ wide AS (SELECT fr.segment_id, fr.target_hour, {_IMPACTS} FROM fr, m),
+ tall AS (SELECT * FROM (UNPIVOT wide ON {', '.join(_WEIGHTS)} INTO NAME feature VALUE impact) WHERE impact <> 0),
+ rk AS (SELECT *, row_number() OVER up AS s, count(*) FILTER (impact > 0.05) OVER (up ROWS UNBOUNDED PRECEDING) AS u, row_number() OVER (PARTITION BY segment_id, target_hour ORDER BY abs(impact) DESC, feature) AS n FROM tall WINDOW up AS (PARTITION BY segment_id, target_hour, impact > 0 ORDER BY abs(impact) DESC, feature))
+ SELECT segment_id, target_hour, feature, round(impact, 6) AS impact, CAST(s <= CASE WHEN impact > 0 THEN 5 ELSE 3 END AS INT) AS served, CAST(s <= CASE WHEN impact > 0 THEN 3 ELSE 1 END AS INT) AS told, CAST(n <= 15 AS INT) AS largest, CAST(impact > 0.05 AND u <= 3 AND s <= 5 AS INT) AS shown FROM rk)""")
 def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = {"month": F.month("target_hour"), "day_of_month": F.day("target_hour"), "day_of_year": F.dayofyear("target_hour"), "is_late": (F.col("hour") >= 12).cast("int")}
     tall = learning.impacts(core.hours(spark, sf_dir).withColumns(day), _WEIGHTS, ["segment_id", "target_hour"])

@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions import ranks
 from ..functions import refdata as R
 from ..functions.shared import running_sum, staged
-from ..operators import clean, metrics, spatial, tags
-from . import core
+from ..operators import clean, context, metrics, spatial, tags
+from . import core, fixtures
 from .core import register, rounded
 from .fixtures import view
 from .sql import case
@@ -236,7 +237,9 @@ def c13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("D13_volume_scale", "SELECT round(greatest(1.0::DOUBLE, quantile_cont(event_count::DOUBLE, 0.95)), 6) AS scale FROM seg WHERE event_count > 0")
 def d13(spark: SparkSession, sf_dir: str, dimension: DataFrame | None = None) -> DataFrame:
-    return rounded((dimension or core.dimension(spark, sf_dir)).where("event_count > 0").agg(F.greatest(F.lit(1.0), F.percentile("event_count", F.lit(0.95))).alias("scale")))
+    rows = (dimension or core.dimension(spark, sf_dir)).where("event_count > 0")
+    p = ranks.percentiles(rows, {"scale": F.col("event_count")}, 0.95)["scale"]
+    return rounded(ranks.one_row(rows, {"scale": max(1.0, p or 0.0)}))
 
 
 @register("B32_overflow_risk", f"SELECT segment_id, round(100 * (1 - exp(-(event_count / (SELECT greatest(1.0::DOUBLE, quantile_cont(event_count::DOUBLE, 0.95)) FROM seg) * (1 + greatest(0.0::DOUBLE, least(3.0::DOUBLE, distance / 500))) / greatest(0.35::DOUBLE, sqrt(greatest(estimated_capacity, 1) / 8))))), 4) AS overflow_risk FROM seg JOIN {_NEAREST_LOT} USING (segment_id) JOIN {_EST} USING (parking_id)")
@@ -289,11 +292,55 @@ def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_hubs(c.select("event_key", "venue"), c.select("venue", "latitude", "longitude")).select("event_key", "venue", "latitude", "longitude")
 
 
-@register("A6_calendar_faults", "SELECT count(*) FILTER (trim(venue) = '') AS blank_venues, count(*) - count(DISTINCT venue) AS repeated_venues, count(*) FILTER (end_hour_offset <= start_hour_offset) AS bad_intervals FROM calendar")
-def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.context import calendar_faults
+def _booked(spark: SparkSession, sf_dir: str, hubs: bool) -> DataFrame:
+    """Hubs or events as text, as a file has them, some of them faulty."""
+    name, key = ("supplier", "s_suppkey") if hubs else ("orders", "o_orderkey")
+    rows = fixtures.table(spark, sf_dir, name)
+    return rows.selectExpr(*(HUBS if hubs else BOOKINGS)(key))
+
+
+def HUBS(k: str) -> list[str]:  # noqa: N802
+    return [f"CASE WHEN {k} % 11 = 3 THEN '  ' WHEN {k} % 13 = 5 THEN 'Hub 1' ELSE concat(' Hub ', CAST({k} AS VARCHAR(12)), ' ') END AS venue", f"CASE WHEN {k} % 17 = 6 THEN 'north' ELSE CAST({k} % 80 AS VARCHAR(12)) END AS latitude", f"CASE WHEN {k} % 19 = 7 THEN NULL ELSE CAST({k} % 170 AS VARCHAR(12)) END AS longitude"]
+
+
+def BOOKINGS(k: str) -> list[str]:  # noqa: N802
+    day, hour = f"concat('2024-01-', CAST(10 + {k} % 20 AS VARCHAR(12)))", f"CAST(10 + {k} % 7 AS VARCHAR(12))"
+    return [f"{k} AS event_id", f"CASE WHEN {k} % 23 = 4 THEN ' ' ELSE concat('Hub ', CAST({k} % 9 AS VARCHAR(12))) END AS venue", f"CASE WHEN {k} % 29 = 8 THEN 'soon' WHEN {k} % 5 = 0 THEN concat({day}, 'T', {hour}, ':00:00Z') ELSE concat({day}, ' ', {hour}, ':30:00') END AS start_ts",
+            f"CASE WHEN {k} % 31 = 9 THEN '' WHEN {k} % 37 = 10 THEN '2024-01-01 00:00:00' ELSE concat({day}, ' 22:15:00') END AS end_ts", f"CASE WHEN {k} % 3 = 0 THEN NULL ELSE 'match' END AS label"]
+
+
+_HUBS = f"hb AS (SELECT trim(venue) AS venue, TRY_CAST(latitude AS DOUBLE) AS latitude, TRY_CAST(longitude AS DOUBLE) AS longitude, count(*) OVER (PARTITION BY trim(venue)) AS n FROM (SELECT {', '.join(HUBS('s_suppkey'))} FROM supplier)), hf AS (SELECT venue, latitude, longitude, list_filter([CASE WHEN venue = '' THEN 'blank venue' END, CASE WHEN n > 1 AND venue <> '' THEN 'repeated venue' END, CASE WHEN latitude IS NULL OR longitude IS NULL THEN 'no number' END], lambda x: x IS NOT NULL) AS f FROM hb)"
+_TIME = "CASE WHEN {c} LIKE '%Z' THEN TRY_CAST(left({c}, -1) AS TIMESTAMP) + INTERVAL 330 MINUTE ELSE TRY_CAST({c} AS TIMESTAMP) END"
+_BOOKED = f"""{_HUBS}, bk AS (SELECT event_id, trim(venue) AS venue, coalesce(label, '') AS label, {_TIME.format(c='start_ts')} AS start_ts, {_TIME.format(c='end_ts')} AS end_ts FROM (SELECT {', '.join(BOOKINGS('o_orderkey'))} FROM orders)),
+ bf AS (SELECT bk.*, h.latitude, h.longitude, list_filter([CASE WHEN bk.venue = '' THEN 'blank venue' END, CASE WHEN start_ts IS NULL THEN 'no start' END, CASE WHEN end_ts IS NULL THEN 'no end' END, CASE WHEN end_ts <= start_ts THEN 'end not after start' END, CASE WHEN bk.venue <> '' AND h.latitude IS NULL THEN 'no hub' END], lambda x: x IS NOT NULL) AS f FROM bk LEFT JOIN (SELECT * FROM hf WHERE len(f) = 0) h ON h.venue = bk.venue)"""
+
+
+def loaded_hubs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return context.routed(context.checked_hubs(_booked(spark, sf_dir, True)))
+
+
+def loaded_calendar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return context.routed(context.checked_calendar(_booked(spark, sf_dir, False), loaded_hubs(spark, sf_dir)[0]))
+
 
-    return calendar_faults(calendar_events(spark, sf_dir))
+@register("A6_hubs", f"WITH {_HUBS} SELECT venue, latitude, longitude FROM hf WHERE len(f) = 0")
+def a6_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaded_hubs(spark, sf_dir)[0]
+
+
+@register("A6_hub_faults", f"WITH {_HUBS} SELECT venue, latitude, longitude, array_to_string(f, '; ') AS faults FROM hf WHERE len(f) > 0")
+def a6_hub_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaded_hubs(spark, sf_dir)[1].withColumn("faults", F.array_join("faults", "; "))
+
+
+@register("A6_calendar", f"WITH {_BOOKED} SELECT event_id, venue, label, start_ts, end_ts, latitude, longitude FROM bf WHERE len(f) = 0")
+def a6_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaded_calendar(spark, sf_dir)[0]
+
+
+@register("A6_calendar_faults", f"WITH {_BOOKED} SELECT event_id, venue, start_ts, end_ts, array_to_string(f, '; ') AS faults FROM bf WHERE len(f) > 0")
+def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaded_calendar(spark, sf_dir)[1].select("event_id", "venue", "start_ts", "end_ts", F.array_join("faults", "; ").alias("faults"))
 
 
 _RAIN = "wx AS (SELECT target_hour, CASE WHEN i % 7 = 0 THEN (i % 13) / 10.0::DOUBLE ELSE 0.0::DOUBLE END AS rainfall_mm FROM (SELECT target_hour, CAST(date_diff('hour', (SELECT start_hour FROM bounds), target_hour) AS INT) AS i FROM (SELECT unnest(generate_series(start_hour, end_hour, INTERVAL 1 HOUR)) AS target_hour FROM bounds)))"
@@ -311,7 +358,21 @@ def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("C8_weather_join", f"SELECT * FROM (WITH {_RAIN} SELECT segment_id, h.target_hour, round(coalesce(rainfall_mm, 0), 6) AS rainfall_mm FROM hours h LEFT JOIN wx USING (target_hour))")
 def c8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core.hours(spark, sf_dir).select("segment_id", "target_hour").join(a7(spark, sf_dir).select("target_hour", "rainfall_mm"), "target_hour", "left").fillna(0.0, ["rainfall_mm"])
+    rows = core.hours(spark, sf_dir).select("segment_id", "target_hour")
+    return context.join_weather(rows, a7(spark, sf_dir)).select("segment_id", "target_hour", "rainfall_mm")
+
+
+_WET = "SELECT target_hour, count(*) / 10.0::DOUBLE AS mm FROM hours GROUP BY 1"
+
+
+@register("A7_C8_strict", f"SELECT segment_id, h.target_hour, round(mm, 6) AS rainfall_mm, 1 AS is_raining FROM hours h JOIN ({_WET}) USING (target_hour)")
+def weather_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload with a reading for each hour that is asked, loaded and joined in the modes that take a missing hour for an error."""
+    rows = core.hours(spark, sf_dir).select("segment_id", "target_hour")
+    read = rows.groupBy("target_hour").agg((F.count("*") / 10).alias("mm"))
+    spans = rows.groupBy("target_hour").agg(F.first("target_hour").alias("start_hour"), F.first("target_hour").alias("end_hour")).drop("target_hour")
+    payload = read.select(F.array(F.col("target_hour").cast("string")).alias("time"), F.array("mm").alias("rain"))
+    return rounded(context.join_weather(rows, context.hourly_weather(payload, spans, missing="error"), missing="error").select("segment_id", "target_hour", "rainfall_mm", "is_raining"))
 
 
 def _apart(p: tuple[str, str], a: tuple[str, str], b: tuple[str, str]) -> str:
@@ -384,27 +445,33 @@ def d18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.capture(tested(spark, sf_dir), "count_total", "forecast", ["segment_id", "target_hour"]))
 
 
-_K = ", ".join(f"sum(CASE WHEN r <= {k} THEN is_hotspot ELSE 0 END) / {k}.0::DOUBLE AS precision_{k}, coalesce(sum(CASE WHEN r <= {k} THEN count_total / log2(r + 1) ELSE 0 END) / nullif(sum(CASE WHEN i <= {k} THEN count_total / log2(i + 1) ELSE 0 END), 0), 0) AS ndcg_{k}, count(*) FILTER (r <= {k} AND count_total = 0) / {k}.0::DOUBLE AS fdr_{k}" for k in (3, 5))
+_K = ", ".join(f"sum(CASE WHEN r <= {k} THEN is_hotspot ELSE 0 END) / {k}.0::DOUBLE AS precision_{k}, coalesce(sum(CASE WHEN r <= {k} THEN count_total / log2(r + 1) ELSE 0 END) / nullif(sum(CASE WHEN i <= {k} THEN count_total / log2(i + 1) ELSE 0 END), 0), 0) AS ndcg_{k}, count(*) FILTER (r <= {k} AND count_total = 0) / {k}.0::DOUBLE AS fdr_{k}" for k in (10, 25, 50))
 
 
-@register("D19_at_k", f"SELECT * FROM (WITH {_TEST}, rk AS (SELECT *, count(*) OVER (PARTITION BY target_hour) AS n, row_number() OVER (PARTITION BY target_hour ORDER BY forecast DESC, segment_id) AS r, row_number() OVER (PARTITION BY target_hour ORDER BY count_total DESC, segment_id) AS i FROM tst), ph AS (SELECT target_hour, {_K} FROM rk WHERE n >= 1 GROUP BY 1) SELECT " + ", ".join(f"round(avg({m}_{k}), 6) AS {m}_{k}" for k in (3, 5) for m in ("precision", "ndcg", "fdr")) + " FROM ph)")
+# the given tables have few roads an hour: the days are ranked
+@register("D19_at_k", f"SELECT * FROM (WITH {_TEST}, dy AS (SELECT *, CAST(target_hour AS DATE) AS day FROM tst), rk AS (SELECT *, count(*) OVER (PARTITION BY day) AS n, row_number() OVER (PARTITION BY day ORDER BY forecast DESC, segment_id, target_hour) AS r, row_number() OVER (PARTITION BY day ORDER BY count_total DESC, segment_id, target_hour) AS i FROM dy), ph AS (SELECT day, {_K} FROM rk WHERE n >= 50 GROUP BY 1) SELECT " + ", ".join(f"round(avg({m}_{k}), 6) AS {m}_{k}" for k in (10, 25, 50) for m in ("precision", "ndcg", "fdr")) + " FROM ph)")
 def d19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.at_k(tested(spark, sf_dir), "target_hour", "count_total", "is_hotspot", "forecast", "segment_id", (3, 5), 1))
+    rows = tested(spark, sf_dir).withColumn("day", F.to_date("target_hour"))
+    return rounded(metrics.at_k(rows, "day", "count_total", "is_hotspot", "forecast", ["segment_id", "target_hour"]))
 
 
 
 
 @register("D20_baselines", "SELECT 'count_total' AS feature, CAST(quantile_cont(count_total::DOUBLE, 0.5) AS DOUBLE) AS baseline, round(stddev_pop(count_total), 6) AS sigma FROM hours UNION ALL SELECT 'hour', CAST(quantile_cont(hour::DOUBLE, 0.5) AS DOUBLE), round(stddev_pop(hour), 6) FROM hours")
 def d20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tall = core.hours(spark, sf_dir).selectExpr("stack(2, 'count_total', cast(count_total as double), 'hour', cast(hour as double)) AS (feature, value)")
-    return rounded(tall.groupBy("feature").agg(F.percentile("value", F.lit(0.5)).alias("baseline"), F.stddev_pop("value").alias("sigma")))
+    rows, names = core.hours(spark, sf_dir), ["count_total", "hour"]
+    middle = ranks.percentiles(rows, {n: F.col(n) for n in names}, 0.5)
+    sigma = rows.agg(*[F.stddev_pop(n).alias(n) for n in names])
+    return rounded(sigma.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(middle[n]).alias("baseline"), F.col(n).alias("sigma")) for n in names])).alias("f")).select("f.*"))
 
 
 @register("D21_deviation", "SELECT segment_id, target_hour, round((count_total - (SELECT quantile_cont(count_total::DOUBLE, 0.5) FROM hours)) / (SELECT CASE WHEN stddev_pop(count_total) <= 1e-12 THEN 1 ELSE stddev_pop(count_total) END FROM hours), 6) AS deviation FROM hours")
 def d21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = core.hours(spark, sf_dir).agg(F.percentile("count_total", F.lit(0.5)).alias("m"), F.stddev_pop("count_total").alias("s"))
+    rows = core.hours(spark, sf_dir)
+    middle = ranks.percentiles(rows, {"m": F.col("count_total")}, 0.5)["m"]
     s = F.when(F.col("s") <= 1e-12, 1.0).otherwise(F.col("s"))
-    return rounded(core.hours(spark, sf_dir).join(F.broadcast(base)).select("segment_id", "target_hour", ((F.col("count_total") - F.col("m")) / s).alias("deviation")))
+    wide = rows.join(F.broadcast(rows.agg(F.stddev_pop("count_total").alias("s"))))  # one row
+    return rounded(wide.select("segment_id", "target_hour", ((F.col("count_total") - F.lit(middle)) / s).alias("deviation")))
 
 
 @register("D22_area_summary", "SELECT police_station, count(DISTINCT segment_id) FILTER (eps >= 50) AS problem_roads, CAST(sum(count_total) AS BIGINT) AS vehicles, round(sum(economic_loss_inr), 2) AS economic_loss_inr FROM scored GROUP BY 1")
@@ -475,7 +542,16 @@ def a11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("A14_latest_state", "SELECT segment_id, max(target_hour) AS target_hour, arg_max(eps, target_hour) AS eps FROM scored GROUP BY 1")
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core.scored(spark, sf_dir).groupBy("segment_id").agg(F.max("target_hour").alias("target_hour"), F.max_by("eps", "target_hour").alias("eps"))
+    """The rows arrive in three batches, the middle one twice; each is added to the table of latest states."""
+    from ..functions.shared import folder
+    from ..streaming import live
+
+    rows, out = core.scored(spark, sf_dir).select("segment_id", "target_hour", "eps"), folder(spark, "latest")
+    add = live.upsert(out, "segment_id", "target_hour")
+    for number, part in enumerate((1, 2, 0)):
+        for _ in range(2 if number == 1 else 1):
+            add(rows.where(F.hour("target_hour") % 3 == part), number)
+    return live.newest(spark.read.schema(rows.schema).parquet(out).select(*rows.columns), "segment_id", "target_hour")
 
 
 @register("C24_live_overrides", "SELECT d.segment_id, coalesce(l.eps, 0.0) AS eps FROM dim d LEFT JOIN (SELECT segment_id, arg_max(eps, target_hour) AS eps FROM scored WHERE hour >= 12 GROUP BY 1) l USING (segment_id)")

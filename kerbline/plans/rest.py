@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import context
 from ..sources import elements
 from . import core
+from .core import rounded
 from .fixtures import view
 from .sql import oracle
 
@@ -40,14 +41,17 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.points(rows).select("poi_id", "poi_type", "lat", "lon")
 
 
-@register("A5_parking_supply", "SELECT 'osm:way:' || substr(parking_id, 5) AS parking_id, CASE CAST(substr(parking_id, 5) AS INT) % 3 WHEN 0 THEN 'polygon' WHEN 1 THEN 'line' ELSE 'point' END AS kind, capacity_tag FROM parking")
+@register("A5_parking_supply", """SELECT 'osm:way:' || n AS parking_id, CASE n % 3 WHEN 0 THEN 'polygon' WHEN 1 THEN 'line' ELSE 'point' END AS kind, round(lat + CASE n % 3 WHEN 0 THEN 0.0005::DOUBLE WHEN 1 THEN 0.0002::DOUBLE ELSE 0.0::DOUBLE END, 9) AS lat,
+ round(lon + CASE n % 3 WHEN 0 THEN 0.00075::DOUBLE WHEN 1 THEN 0.001::DOUBLE ELSE 0.0::DOUBLE END, 9) AS lon, capacity_tag, CASE WHEN capacity_tag IS NULL THEN 'parking' ELSE '' END AS amenity FROM (SELECT *, CAST(substr(parking_id, 5) AS INT) AS n FROM parking)""")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings, bent lines and centres; each element comes twice."""
     n, c = F.substring("parking_id", 5, 12).cast("int"), F.col
     at = lambda dx, dy: F.struct((c("lat") + dy).alias("lat"), (c("lon") + dx).alias("lon"))
-    ring, line = F.array(at(0, 0), at(0.001, 0), at(0.001, 0.001), at(0, 0)), F.array(at(0, 0), at(0.001, 0))
+    ring, line = F.array(at(0, 0), at(0.001, 0), at(0.001, 0.001), at(0, 0)), F.array(at(0, 0), at(0.001, 0.0002), at(0.003, 0))
     tag = F.when(c("capacity_tag").isNull(), F.create_map(F.lit("amenity"), F.lit("parking"))).otherwise(F.create_map(F.lit("capacity"), F.lit(" "), F.lit("capacity:car"), c("capacity_tag")))
-    rows = view(spark, sf_dir, "parking").select(F.lit("way").alias("type"), n.alias("id"), "lat", "lon", F.when(n % 3 == 0, ring).when(n % 3 == 1, line).alias("geometry"), tag.alias("tags"))
-    return elements.parking(rows.unionByName(rows))
+    none = F.lit(None).cast("double")
+    rows = view(spark, sf_dir, "parking").select(F.lit("way").alias("type"), n.alias("id"), none.alias("lat"), none.alias("lon"), F.when(n % 3 == 0, ring).when(n % 3 == 1, line).alias("geometry"), F.when(n % 3 == 2, at(0, 0)).alias("center"), tag.alias("tags"))
+    return rounded(elements.parking(rows.unionByName(rows)).select("parking_id", "kind", "lat", "lon", "capacity_tag", "amenity"), 9)
 
 
 @register("A8_weather_table", "SELECT target_hour, rainfall_mm, CAST(rainfall_mm > 0 AS INT) AS is_raining FROM (SELECT target_hour, CAST(arg_max(count_total, segment_id) AS DOUBLE) - 1 AS rainfall_mm FROM hours GROUP BY 1)")

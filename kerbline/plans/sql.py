@@ -45,7 +45,7 @@ STEPS["hours0"] = "SELECT segment_id, target_hour, " + ", ".join(f"count(*) FILT
 STEPS["hours"] = "SELECT *, CAST(round(severity_weighted_count, 9) >= 2 AS INT) AS is_hotspot, CAST(hour(target_hour) AS INT) AS hour, CAST(isodow(target_hour) - 1 AS INT) AS day_of_week FROM hours0"
 STEPS["seg"] = """SELECT segment_id, count(*) AS event_count, avg(latitude) AS lat_mean, avg(longitude) AS lon_mean, min(lat_bin) AS lat_bin, min(lon_bin) AS lon_bin, avg(violation_severity_weight) AS severity_mean,
   avg(vehicle_footprint_weight) AS footprint_mean, max(road_width_m) AS road_width_m, (min(lat_bin) + 0.5::DOUBLE) * 0.001::DOUBLE AS lat_center, (min(lon_bin) + 0.5::DOUBLE) * 0.001::DOUBLE AS lon_center FROM cleaned GROUP BY 1"""
-for _c in ("police_station", "junction_name", "road_class"):
+for _c in ("police_station", "junction_name", "road_class", "junction_bucket"):
     STEPS[f"mode_{_c}"] = f"SELECT segment_id, {_c} FROM (SELECT segment_id, {_c}, row_number() OVER (PARTITION BY segment_id ORDER BY count(*) DESC, {_c}) AS n FROM cleaned GROUP BY 1, 2) WHERE n = 1"
 STEPS["dim"] = "SELECT * FROM seg JOIN mode_police_station USING (segment_id) JOIN mode_junction_name USING (segment_id) JOIN mode_road_class USING (segment_id)"
 STEPS["bounds"] = "SELECT min(target_hour) AS start_hour, max(target_hour) AS end_hour, max(target_hour) - INTERVAL 7 DAY AS cutoff FROM hours"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions import refdata as R
 from ..operators.clean import road_class_of_highway
 
@@ -45,16 +46,25 @@ def point_features(text: DataFrame) -> DataFrame:
 
 
 def parking(elements: DataFrame) -> DataFrame:
-    """parking_id, kind (polygon, line or point), capacity_tag from rows (type, id, lat, lon, geometry, tags): a closed ring of four points or more is a polygon, two points a line, else the own place or the center that is given. An id counts once, with its least kind and tag."""
-    g = F.col("geometry")
-    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    if "center" in elements.columns:
-        placed = placed | F.col("center.lat").isNotNull() & F.col("center.lon").isNotNull()
-    closed = (F.size(g) >= 4) & (F.element_at(g, 1) == F.element_at(g, -1))
-    kind = F.when(closed, "polygon").when(F.size(g) >= 2, "line").when(placed, "point")
+    """parking_id, kind (polygon, line or point), lat, lon, capacity_tag, name, amenity, parking from rows (type, id, lat, lon, geometry, tags, and center where given).
+
+    A closed ring of four points or more is a polygon and lies at a point inside it, two points or more are a line and lie at a vertex; else the own place or the
+    centre counts. Points without both coordinates don't belong to a shape. An id counts once, with its least values; elements without any place go.
+    """
+    centre = {c: F.col(f"center.{c}") if "center" in elements.columns else F.lit(None).cast("double") for c in ("lat", "lon")}
+    rows = elements.withColumn("_g", F.filter(F.coalesce("geometry", F.array().cast(elements.schema["geometry"].dataType)), lambda p: p["lat"].isNotNull() & p["lon"].isNotNull()))
+    g, node = F.col("_g"), (F.col("type") == "node") & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    closed = (F.size(g) >= 4) & (F.get(g, F.lit(0)) == F.element_at(g, F.when(F.size(g) > 0, -1).otherwise(1)))
+    own = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    by_centre = centre["lat"].isNotNull() & centre["lon"].isNotNull()
+    kind = F.when(node, "point").when(closed, "polygon").when(F.size(g) >= 2, "line").when(by_centre | own, "point")
+    (ring_lon, ring_lat), (line_lon, line_lat) = geo.inside_ring(g), geo.on_line(g)
+    place = lambda ring, line, c: F.when(node, F.col(c)).when(F.col("kind") == "polygon", ring).when(F.col("kind") == "line", line).when(by_centre, centre[c]).otherwise(F.col(c)).alias(c)
     tag = F.coalesce(*[F.nullif(F.trim(F.try_element_at("tags", F.lit(k))), F.lit("")) for k in ("capacity", "capacity:car", "capacity:cars", "capacity:motorcar", "capacity:motor_vehicle")])
-    rows = elements.select(F.concat_ws(":", F.lit("osm"), "type", F.col("id").cast("string")).alias("parking_id"), kind.alias("kind"), tag.alias("capacity_tag"))
-    return rows.where("kind is not null").groupBy("parking_id").agg(F.min(F.struct("kind", "capacity_tag")).alias("r")).select("parking_id", "r.*")
+    texts = [F.coalesce(F.try_element_at("tags", F.lit(k)), F.lit("")).alias(k) for k in ("name", "amenity", "parking")]
+    rows = rows.withColumn("kind", kind).where("kind is not null")
+    rows = rows.select(F.concat_ws(":", F.lit("osm"), "type", F.col("id").cast("string")).alias("parking_id"), F.struct("kind", place(ring_lat, line_lat, "lat"), place(ring_lon, line_lon, "lon"), tag.alias("capacity_tag"), *texts).alias("r"))
+    return rows.groupBy("parking_id").agg(F.min("r").alias("r")).select("parking_id", "r.*")
 
 
 def write_cache(rows: DataFrame, path: str, kind: str, version: str) -> None:

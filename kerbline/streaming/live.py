@@ -96,6 +96,19 @@ def run_batches(stream: DataFrame, function, checkpoint: str, mode: str = "appen
     stream.writeStream.foreachBatch(function).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def resumed(spark: SparkSession, parts: list[DataFrame], make, folder: str, files: int = 100000) -> tuple[DataFrame, int]:
+    """(result, rows dropped as late) of the stream that ``make`` makes of a folder of files: ``parts`` arrive there one after the other, and after each the
+    query runs over what is new and stops. The next one starts from the checkpoint, with its watermark, state and results."""
+    dropped, stream = 0, None
+    for number, part in enumerate(parts):
+        part.write.parquet(f"{folder}/in/part={number}")
+        stream = make(spark.readStream.schema(part.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(f"{folder}/in"))
+        q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        dropped += sum(int(s["numRowsDroppedByWatermark"]) for p in q.recentProgress for s in p["stateOperators"])
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out"), dropped
+
+
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs ``stream`` over what is there, into Parquet under ``folder``, and reads the result."""
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()

@@ -1,7 +1,8 @@
 """Media columns: a payload stored as WAV, and spectral-peak pair fingerprints of what is read back.
 
-The payload becomes the 8-bit samples of a mono WAV. Frames of ``FRAME`` samples, half overlapping, go
-through a short-time Fourier transform, the samples padded with silence to whole steps so that the last frame covers the end; in each frame the strongest bin of each of ``BANDS`` bands is a
+The payload becomes the 8-bit samples of a mono WAV. The steps from sample to sample, in which a level counts for nothing, are cut into frames. Frames of ``FRAME`` samples, half overlapping, go
+through a short-time Fourier transform. Half a frame of silence comes before the samples, and half a frame or more after them, and the window is a periodic one: so each
+sample, the first and the last too, counts in full over its two frames, and the shortest payload has two frames. In each frame the strongest bin of each of ``BANDS`` bands is a
 peak where it stands out of the frame's mean. Each peak is paired with the peaks of the next ``FAN``
 frames that have the same band or its neighbour; pairs are hashes of (bin, bin, time between) with the time of the first.
 """
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 from .common import short_batches
 
 UNIT, RATE = 64, 8000
-FRAME, BANDS, FAN = 256, 4, 3
+FRAME, BANDS, FAN = 256, 8, 3
 STEP = 4096  # frames transformed at a time
 ROWS = 64  # of a batch of media
 STOP = np.linspace(1, FRAME // 2 + 1, BANDS + 1).astype(int)
-WINDOW = np.hanning(FRAME).astype(np.float32)
+WINDOW = np.hanning(FRAME + 1)[:FRAME].astype(np.float32)
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -52,9 +53,9 @@ def from_wav(media: bytes) -> bytes:
 
 def peaks(samples: bytes) -> np.ndarray:
     """Bin of each frame's peak in each band, 0 where nothing stands out; frames x BANDS."""
-    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
+    x = np.frombuffer(samples, np.uint8).astype(np.float32)
     step = FRAME // 2
-    x = np.pad(x, (0, max(FRAME, -(-len(x) // step) * step) - len(x)))
+    x = np.pad(np.diff(x, prepend=x[:1]), (step, -len(x) % step + step))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::step]
     out = np.zeros((len(frames), BANDS), np.int64)
     for at in range(0, len(frames), STEP):
@@ -63,7 +64,7 @@ def peaks(samples: bytes) -> np.ndarray:
         for k in range(BANDS):
             band = power[:, STOP[k] : STOP[k + 1]]
             top = band.argmax(1)
-            out[at : at + STEP, k] = np.where(band[np.arange(len(top)), top] > 2 * floor, top + STOP[k], 0)
+            out[at : at + STEP, k] = np.where(band[np.arange(len(top)), top] > floor, top + STOP[k], 0)
     return out
 
 

@@ -3,19 +3,22 @@
 Each page's elements are named by their path of tags (with class or id). Pages of a host are merged into a tree: for
 each path Spark counts the distinct contents and the distinct presentations (tags of the children),
 over the host's different pages. The entropy of either, over the largest that so many pages allow, tells how much differs from page to page.
+
+A host with few pages says little of that, one with a single page nothing. So trees back off, from the host to its domain and from there to all hosts that
+have the path: the entropy of a scope is the mean of its hosts' own (a menu is the same within each host, though not between hosts), and each narrower scope counts against
+the wider one by the pages it has seen, ``PRIOR`` pages of the wider one to its own. A path that no host has on two pages is taken as wholly important.
+Words of a path a page back off in the same way, by ``USUAL`` pages. There is no size at which anything else is done.
+
 A path's information is the entropy of its content times its words; a branch holds that of all paths in it.
 
 1. A branch's importance is its information relative to the largest branch beside it, and, by a tenth, the entropy of its
-   presentation. Containers below ``LIGHT`` on at least ``PAGES`` different pages go: menus, adverts and footers say little beside an article.
+   presentation; the fewer pages have told of it, the nearer it is to 1. Containers below ``LIGHT`` go: menus, adverts and footers say little beside an article.
 2. A path with content has the composite importance of its content's entropy and, by a tenth, of its parent's
-   presentation. Text directly in a path below ``LEAST`` on as many pages goes, but not what deeper elements hold; a branch where
-   all content is so goes too.
-3. Where neither holds, since a host has few pages or a branch is large beside the article, what the page itself says breaks the tie:
-   elements that state another purpose (nav, footer, aside, form, an advert's or comment's class and the like) go, and so does what lies outside
-   a marked article; but not an element with over ``MOST`` of its host's information.
-
-The inside of a marked article, without elements of another purpose, and branches with a first-level heading stay. Without its tree no page loses anything
-that it shows.
+   presentation. Text directly in a path below ``LEAST`` goes, but not what deeper elements hold; a branch where all content is so goes too.
+
+The inside of a marked article and branches with a first-level heading stay. ``purposes=True`` adds what pages say themselves: elements that state another
+purpose (nav, footer, aside, form, an advert's or comment's class and the like) go, and so does what lies outside a marked article; but not an
+element with over ``MOST`` of its host's information.
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import short_batches, spread_join, staged
 
-LEAST, LIGHT, MOST, PAGES, BLEND = 0.3, 0.15, 0.9, 8, 0.1
-#: Elements deeper than this share their ancestor's path.
+LEAST, LIGHT, MOST, BLEND = 0.3, 0.15, 0.8, 0.1
+PRIOR, USUAL = 2, 8
+#: The path of an element deeper than this is its ancestor's there and a hash of the rest.
 DEPTH = 64
 # HTML's elements by their parts in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -156,8 +160,10 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
             continue
         attributes = _attributes(m[4]) if m[4] and "=" in m[4] or "hidden" in m[4] else {}
         mark = "." + "-".join(sorted(attributes["class"].split())) if attributes.get("class") else "#" + attributes["id"] if attributes.get("id") else ""
-        mark = mark.replace("/", "|")
-        path = f"{top.path}/{tag}{mark}" if len(stack) <= DEPTH else top.path
+        mark = mark.replace("/", "|").replace("~", "|")
+        path = f"{top.path}/{tag}{mark}"
+        if len(stack) > DEPTH:
+            path = f"{top.path.partition('/~')[0]}/~{xxhash.xxh64_hexdigest(path.encode(errors='replace'))}"
         hidden = top.hidden or _hidden(tag, attributes)
         apart = top.apart or (path if _apart(tag, attributes, top.article) else "")
         if (hidden, apart) != (top.hidden, top.apart):
@@ -242,60 +248,85 @@ def merged(nodes: DataFrame) -> DataFrame:
     return sums.select("host", "path", "kind", "pages", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("own"), "words")
 
 
+def _domain(host: Column) -> Column:
+    """The last two labels of a host's name."""
+    return F.substring_index(host, ".", -2)
+
+
+def backed_off(tree: DataFrame) -> DataFrame:
+    """``merged`` with own and words backed off from the host to its domain and to all hosts, and evidence: the repeated looks at the path that all hosts had."""
+    rows = staged(tree.withColumn("domain", _domain(F.col("host"))))
+    looks = F.col("pages") - 1
+    pools = []
+    for name, keys in (("domain", ["domain", "path", "kind"]), ("every", ["path", "kind"])):
+        sums = staged(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(looks).alias(f"looks_{name}"), F.sum(looks * F.col("own")).alias(f"own_{name}"), F.sum("pages").alias(f"pages_{name}"), F.sum("words").alias(f"words_{name}")))
+        pools.append((keys, sums))
+    for keys, sums in pools:
+        rows = spread_join(rows, sums.drop("n"), keys, sums.select(*keys, "n"), F.xxhash64("host", "path"))
+    own, words = F.lit(1.0), F.try_divide("words_every", "pages_every")
+    for name in ("every", "domain"):
+        own = (F.col(f"own_{name}") + PRIOR * own) / (F.col(f"looks_{name}") + PRIOR)
+        words = (F.col(f"words_{name}") + USUAL * words) / (F.col(f"pages_{name}") + USUAL)
+    own = (looks * F.col("own") + PRIOR * own) / (looks + PRIOR)
+    words = F.col("pages") * (F.col("words") + USUAL * words) / (F.col("pages") + USUAL)
+    return rows.select("host", "path", "kind", "pages", own.alias("own"), words.alias("words"), F.col("looks_every").alias("evidence"))
+
+
 def style_tree(tree: DataFrame) -> DataFrame:
-    """(host, path, pages, importance, information, article) of the paths with content, from ``merged``."""
+    """(host, path, importance, information, evidence, article) of the paths with content, from ``backed_off``."""
     parents = tree.where("kind = 'style'").select("host", F.col("path").alias("parent"), F.col("own").alias("style"))
     content = tree.where("kind != 'style'").withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
     composite = (1 - BLEND) * F.col("own") + BLEND * F.coalesce("style", F.lit(0.0))
     importance = F.when(F.col("kind") == "article", F.greatest(composite, F.lit(1.0))).otherwise(composite)
-    rows = content.join(parents, ["host", "parent"], "left").select("host", "path", "kind", "pages", importance.alias("importance"), (F.col("own") * F.col("words")).alias("information"))
+    rows = content.join(parents, ["host", "parent"], "left").select("host", "path", "kind", "evidence", importance.alias("importance"), (F.col("own") * F.col("words")).alias("information"))
     stays = (F.col("kind") == "article") | F.col("path").rlike(r"/h1([.#/]|$)")
-    return rows.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max("importance").alias("importance"), F.sum("information").alias("information"), F.max(stays).alias("article"))
+    return rows.groupBy("host", "path").agg(F.max("evidence").alias("evidence"), F.max("importance").alias("importance"), F.sum("information").alias("information"), F.max(stays).alias("article"))
 
 
 #: A path's branches: itself and all that it lies in.
 _ABOVE = "transform(sequence(2, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))"
 
 
-def weak_paths(tree: DataFrame, least: float = LEAST, least_pages: int = PAGES) -> DataFrame:
+def weak_paths(tree: DataFrame, least: float = LEAST) -> DataFrame:
     """(host, path) whose own content is unimportant, or that lie in a branch where all content is: a branch is as important as the most important path in it."""
-    weak = (F.col("importance") < least) & (F.col("pages") >= least_pages)
+    weak = F.col("importance") < least
     tree = tree.where("path != ''")
-    placed = tree.select("host", "path", "pages", "importance", F.explode(F.expr(_ABOVE)).alias("branch"))
-    branches = placed.groupBy("host", "branch").agg(F.max("pages").alias("pages"), F.max("importance").alias("importance")).where(weak).select("host", "branch")
+    placed = tree.select("host", "path", "importance", F.explode(F.expr(_ABOVE)).alias("branch"))
+    branches = placed.groupBy("host", "branch").agg(F.max("importance").alias("importance")).where(weak).select("host", "branch")
     return tree.where(weak).select("host", "path").unionByName(placed.select("host", "path", "branch").join(branches, ["host", "branch"]).select("host", "path")).distinct()
 
 
 def branches(tree: DataFrame, styles: DataFrame) -> DataFrame:
-    """(host, branch, pages, importance, share, article): importance by information beside the largest sibling and by presentation; share of the host's information."""
-    placed = tree.where("path != ''").select("host", "pages", "information", "article", F.explode(F.expr(_ABOVE)).alias("branch"))
-    rows = placed.groupBy("host", "branch").agg(F.max("pages").alias("pages"), F.sum("information").alias("information"), F.max("article").alias("article"))
+    """(host, branch, importance, share, article): importance by information beside the largest sibling and by presentation, share of the host's information, either as far as there is evidence."""
+    placed = tree.where("path != ''").select("host", "evidence", "information", "article", F.explode(F.expr(_ABOVE)).alias("branch"))
+    rows = placed.groupBy("host", "branch").agg(F.max("evidence").alias("evidence"), F.sum("information").alias("information"), F.max("article").alias("article"))
     rows = rows.withColumn("parent", F.regexp_replace("branch", "/[^/]*$", ""))
     largest = rows.groupBy("host", "parent").agg(F.max("information").alias("largest"))
     whole = tree.groupBy("host").agg(F.sum("information").alias("whole"))
     styles = styles.where("kind = 'style'").select("host", F.col("path").alias("branch"), F.col("own").alias("style"))
     rows = rows.join(largest, ["host", "parent"]).join(whole, "host").join(styles, ["host", "branch"], "left")
     importance = (1 - BLEND) * F.coalesce(F.try_divide("information", "largest"), F.lit(1.0)) + BLEND * F.coalesce("style", F.lit(0.0))
-    return rows.select("host", "branch", "pages", importance.alias("importance"), F.coalesce(F.try_divide("information", "whole"), F.lit(0.0)).alias("share"), "article")
+    told = F.col("evidence") / (F.col("evidence") + PRIOR)
+    return rows.select("host", "branch", (told * importance + 1 - told).alias("importance"), (told * F.coalesce(F.try_divide("information", "whole"), F.lit(0.0))).alias("share"), "article")
 
 
-def decisions(nodes: DataFrame, least: float = LEAST, light: float = LIGHT, most: float = MOST, least_pages: int = PAGES) -> DataFrame:
-    """(host, path, apart) of what is removed on all pages of the host that have it: by the tree, and, where the tree leaves it open, by a stated purpose."""
-    tree_nodes = staged(merged(nodes))
+def decisions(nodes: DataFrame, least: float = LEAST, light: float = LIGHT, most: float = MOST) -> DataFrame:
+    """(host, path, apart) of what is removed on all pages of the host that have it: by the tree, and by a stated purpose where ``nodes`` tell one."""
+    tree_nodes = staged(backed_off(merged(nodes)))
     tree = staged(style_tree(tree_nodes))
     known = staged(branches(tree, tree_nodes))
     is_box = F.regexp_extract("branch", r"/([^/.#]*)[^/]*$", 1).isin(*sorted(CONTAINERS))
-    weak = known.where(is_box & ~F.col("article") & (F.col("importance") < light) & (F.col("pages") >= least_pages)).select("host", "branch")
+    weak = known.where(is_box & ~F.col("article") & (F.col("importance") < light)).select("host", "branch")
     placed = tree.where("path != ''").select("host", "path", F.explode(F.expr(_ABOVE)).alias("branch"))
-    low = weak_paths(tree, least, least_pages).unionByName(placed.join(weak, ["host", "branch"]).select("host", "path")).distinct().withColumn("low", F.lit(True))
-    great = known.where((F.col("share") >= most) & (F.col("pages") >= least_pages)).select("host", F.col("branch").alias("apart"), F.lit(True).alias("great"))
+    low = weak_paths(tree, least).unionByName(placed.join(weak, ["host", "branch"]).select("host", "path")).distinct().withColumn("low", F.lit(True))
+    great = known.where(F.col("share") >= most).select("host", F.col("branch").alias("apart"), F.lit(True).alias("great"))
     kept = nodes.where("kind != 'style'").select("host", "path", "apart").distinct()
     kept = kept.join(low, ["host", "path"], "left").join(great, ["host", "apart"], "left")
     return kept.where("low or apart != '' and great is null").select("host", "path", "apart")
 
 
-def extract(pages: DataFrame, least: float = LEAST, light: float = LIGHT, most: float = MOST, least_pages: int = PAGES, purposes: bool = True) -> DataFrame:
-    """page_id, url, text, n_chars for each row; ``purposes=False`` leaves all to the tree.
+def extract(pages: DataFrame, least: float = LEAST, light: float = LIGHT, most: float = MOST, purposes: bool = False) -> DataFrame:
+    """page_id, url, text, n_chars for each row, as the tree decides; ``purposes=True`` adds what the pages state themselves.
 
     Null and empty html give an empty text; a null url belongs to the host without a name; repeated rows give repeated results; an empty
     table gives no rows; other columns don't matter. Very long pages are read whole.
@@ -305,7 +336,7 @@ def extract(pages: DataFrame, least: float = LEAST, light: float = LIGHT, most:
     nodes = staged(page_nodes(pages))
     if not purposes:
         nodes = nodes.withColumn("apart", F.lit(""))
-    gone = decisions(nodes, least, light, most, least_pages)
+    gone = decisions(nodes, least, light, most)
     own = nodes.where("kind != 'style'").select("host", "key", "path", "apart").distinct()
     counts = staged(own.groupBy("host", "path", "apart").agg(F.count("*").alias("n")))
     own = spread_join(own, gone, ["host", "path", "apart"], counts, F.col("key"))

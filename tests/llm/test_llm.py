@@ -2,6 +2,8 @@
 
 import hashlib
 import base64
+import cmath
+import math
 import random
 import zlib
 
@@ -474,54 +476,71 @@ def test_html_keeps_what_lies_below_a_repeated_text(spark):
 
 
 def test_html_branch_goes_as_a_whole(spark):
-    tree = spark.createDataFrame([("h", "/a", 9, 0.1), ("h", "/a/b", 3, 0.0), ("h", "/c", 9, 0.1), ("h", "/c/d", 2, 1.0), ("h", "/e", 5, 0.0), ("g", "/a", 9, 0.9), ("h", "/ab", 9, 0.9)], "host string, path string, pages long, importance double")
+    tree = spark.createDataFrame([("h", "/a", 0.1), ("h", "/a/b", 0.0), ("h", "/c", 0.1), ("h", "/c/d", 1.0), ("h", "/e", 0.4), ("g", "/a", 0.9), ("h", "/ab", 0.9)], "host string, path string, importance double")
     assert {tuple(r) for r in html.weak_paths(tree).collect()} == {("h", "/a"), ("h", "/a/b"), ("h", "/c")}
 
 
 def _brute_removed(pages):
-    """(host, path) that the tree alone removes, from all pages (host, html) of small hosts at once."""
+    """(host, path) that the tree removes, from all pages (host, html) of small hosts at once."""
     from math import log
 
-    hosts, gone = {}, set()
+    seen, gone = {}, set()
     for host, page in pages:
         blocks, styles, article = html._judged(page)
-        hosts.setdefault(host, {})[tuple(t for *_, t in blocks)] = (blocks, styles, article)
-    for host, seen in hosts.items():
-        contents, presented, words, stays, is_article = {}, {}, {}, set(), set()
-        for blocks, styles, article in seen.values():
+        seen.setdefault(host, {})[tuple(t for *_, t in blocks)] = (blocks, styles, article)
+    found = {}  # (host, path, kind): contents of the different pages, words of each
+    for host, several in seen.items():
+        for blocks, styles, article in several.values():
             mine = {}
             for (path, _, t), inside in zip(blocks, article, strict=True):
-                mine.setdefault(path, []).append(t)
-                is_article |= {path} if inside else set()
-                stays |= {path} if inside or path.rsplit("/", 1)[-1].startswith("h1") else set()
-            for path, texts in mine.items():
-                contents.setdefault(path, []).append(tuple(texts))
-                words[path] = words.get(path, 0) + sum(len(t.split()) for t in texts)
-            many = {}
+                mine.setdefault((path, "article" if inside else "content"), []).append(t)
             for path, tags in styles:
-                many.setdefault(path, []).append(tags)
-            for path, tags in many.items():
-                presented.setdefault(path, []).append(tuple(tags))
-
-        def entropy(values):
-            n = len(values)
-            return 1.0 if n == 1 else -sum(values.count(v) / n * log(values.count(v) / n) for v in set(values)) / log(n)
-
-        own = {p: entropy(v) for p, v in contents.items()}
-        style = {p: entropy(v) for p, v in presented.items()}
-        told = {p: own[p] * words[p] for p in own}
-        all_branches = {"/".join(p.split("/")[:k]) for p in own for k in range(2, p.count("/") + 2)}
-        inside = {b: [p for p in own if p == b or p.startswith(b + "/")] for b in all_branches}
-        importance = {p: max(0.9 * own[p] + 0.1 * style.get(p.rsplit("/", 1)[0], 0.0), 1.0 if p in is_article else 0.0) for p in own}
-        for b, paths in inside.items():
-            often = max(len(contents[p]) for p in paths) >= html.PAGES
-            beside = max(sum(told[p] for p in inside[x]) for x in all_branches if x.rsplit("/", 1)[0] == b.rsplit("/", 1)[0])
-            mass = sum(told[p] for p in paths)
-            light = 0.9 * (mass / beside if beside else 1.0) + 0.1 * style.get(b, 0.0) < html.LIGHT
+                mine.setdefault((path, "style"), []).append(tags)
+            for where, texts in mine.items():
+                found.setdefault((host, *where), []).append((tuple(texts), sum(len(t.split()) for t in texts)))
+
+    def entropy(values):
+        n = len(values)
+        return 1.0 if n == 1 else -sum(values.count(v) / n * log(values.count(v) / n) for v in set(values)) / log(n)
+
+    def pool(of, where, scope):
+        own, looks, words, count = 0.0, 0, 0, 0
+        for (host, *rest), values in found.items():
+            if tuple(rest) == where and scope(host):
+                own += (len(values) - 1) * entropy([v for v, _ in values])
+                looks, words, count = looks + len(values) - 1, words + sum(w for _, w in values), count + len(values)
+        return own, looks, words, count
+
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    own, words, looks_all = {}, {}, {}
+    for (host, *rest), values in found.items():
+        where, n = tuple(rest), len(values)
+        every, near = pool(found, where, lambda h: True), pool(found, where, lambda h, d=domain(host): domain(h) == d)
+        o, w = 1.0, every[2] / every[3]
+        for e, looks, total, count in (every, near):
+            o, w = (e + html.PRIOR * o) / (looks + html.PRIOR), (total + html.USUAL * w) / (count + html.USUAL)
+        own[host, *where] = ((n - 1) * entropy([v for v, _ in values]) + html.PRIOR * o) / (n - 1 + html.PRIOR)
+        words[host, *where] = n * (sum(x for _, x in values) + html.USUAL * w) / (n + html.USUAL)
+        looks_all[host, *where] = every[1]
+    for host in seen:
+        kinds = {(p, k) for h, p, k in found if h == host and k != "style"}
+        paths = {p for p, _ in kinds}
+        style = {p: own[host, p, "style"] for h, p, k in found if h == host and k == "style"}
+        up = lambda p: p.rsplit("/", 1)[0] if "/" in p else p
+        importance = {p: max(max(0.9 * own[host, p, k] + 0.1 * style.get(up(p), 0.0), float(k == "article")) for q, k in kinds if q == p) for p in paths}
+        told = {p: sum(own[host, p, k] * words[host, p, k] for q, k in kinds if q == p) for p in paths}
+        stays = {p for p, k in kinds if k == "article" or p.rsplit("/", 1)[-1].split(".")[0].split("#")[0] == "h1"}
+        all_branches = {"/".join(p.split("/")[:k]) for p in paths for k in range(2, p.count("/") + 2)}
+        inside = {b: [p for p in paths if p == b or p.startswith(b + "/")] for b in all_branches}
+        for b, below in inside.items():
+            beside = max(sum(told[p] for p in inside[x]) for x in all_branches if up(x) == up(b))
+            mass, looks = sum(told[p] for p in below), max(looks_all[host, p, k] for p, k in kinds if p in below)
+            part = looks / (looks + html.PRIOR)
+            light = part * (0.9 * (mass / beside if beside else 1.0) + 0.1 * style.get(b, 0.0)) + 1 - part < html.LIGHT
             tag = b.rsplit("/", 1)[-1].split(".")[0].split("#")[0]
-            if often and (light and tag in html.CONTAINERS and not stays & set(paths) or max(importance[p] for p in paths) < html.LEAST):
-                gone |= {(host, p) for p in paths}
-        gone |= {(host, p) for p in own if importance[p] < html.LEAST and len(contents[p]) >= html.PAGES and p}
+            if light and tag in html.CONTAINERS and not stays & set(below) or max(importance[p] for p in below) < html.LEAST:
+                gone |= {(host, p) for p in below}
+        gone |= {(host, p) for p in paths if importance[p] < html.LEAST and p}
     return gone
 
 
@@ -530,36 +549,49 @@ def test_html_tree_is_brute_force(spark):
     word = lambda k: " ".join(draw.choice("abcdefghij") * draw.randint(1, 3) for _ in range(k))
     rows = []
     for i in range(60):
-        host = f"h{i % 3}"
+        host = ("h0", "h1.ex.org", "h2.ex.org")[i % 3]
         menu = "".join(f"<li>{word(1)}</li>" for _ in range(draw.randint(2, 5)))
         story = "".join(f"<p>{word(draw.randint(5, 40))}</p>" for _ in range(draw.randint(1, 6)))
         side = f"<div class=side><div class=in>{word(3 if i % 3 else 30)}</div><div>Same</div></div>" if i % 2 else ""
         rows.append((i, f"http://{host}/x", f"<body>All rights<div id=m><ul>{menu}</ul></div><div class=story>{story}</div>{side}<div class=top><h1>{word(1)}</h1></div><div class=end><p>Bye</p></div></body>"))
-    rows += [(100 + i, "http://few/x", f"<body><div>{word(5)}</div></body>") for i in range(3)] + [(200, None, None), (201, "http://h1/", "")]
+    rows += [(100 + i, f"http://few{i}.ex.org/x", f"<body>All rights<div class=story><p>{word(25)}</p></div><div class=end><p>Bye</p></div><div class=own>{word(2)}</div></body>") for i in range(3)] + [(200, None, None), (201, "http://h1.ex.org/", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    want = _brute_removed([((u or "").split("://")[-1].split("/")[0], h) for _, u, h in rows])
-    gone = html.decisions(html.staged(html.page_nodes(pages)))
-    assert {(r.host, r.path) for r in gone.collect() if not r.apart} == want and len(want) >= 9
+    of = lambda u: (u or "").split("://")[-1].split("/")[0]
+    want = _brute_removed([(of(u), h) for _, u, h in rows])
+    gone = html.decisions(html.staged(html.page_nodes(pages).withColumn("apart", F.lit(""))))
+    assert {(r.host, r.path) for r in gone.collect()} == want and len(want) >= 9
     got = {r.page_id: r.text for r in html.extract(pages).collect()}
     for i, u, h in rows:
-        host = (u or "").split("://")[-1].split("/")[0]
-        assert got[i] == "\n".join(t for path, apart, t in html._judged(h)[0] if (host, path) not in want and not apart)
+        assert got[i] == "\n".join(t for path, _, t in html._judged(h)[0] if (of(u), path) not in want)
+    assert {(f"few{i}.ex.org", "/body/div.end/p") for i in range(3)} <= want, "hosts of one page learn from others"
+    assert not {(f"few{i}.ex.org", "/body/div.own") for i in range(3)} & want, "what nothing is known of stays"
 
 
-def test_html_tree_alone_finds_the_articles_of_a_large_host(spark):
-    p = spark.read.parquet(f"{SF}/pages.parquet")
-    host = F.regexp_extract("url", "://([^/?#]*)", 1)
-    large = [r[0] for r in p.groupBy(host).count().where("count >= 9").collect()]
-    p = p.where(host.isin(large))
-    got = html.extract(p, purposes=False).collect()
-    want = {r.page_id: html.main_text(r.html) for r in p.collect()}
-    assert len(got) == len(want) > 50 and sum(r.text == want[r.page_id] for r in got) > 0.9 * len(got)
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_html_tree_alone_finds_the_articles(spark, sf):
+    """Hosts of any size: most have a page or a few."""
+    p = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    got = {r.page_id: r.text for r in html.extract(p).collect()}
+    assert got == {r.page_id: html.main_text(r.html) for r in p.collect()}
+    assert got == {r.page_id: r.text for r in html.extract(p, purposes=True).collect()}
+
+
+def test_html_keeps_deep_branches_apart():
+    page = "<div>" * 80 + "<p class=a>one</p><p class=b>two</p><section><p class=a>three</p></section>"
+    paths = [path for path, *_ in html.parse(page)[0]]
+    assert len(set(paths)) == 3 and len({p.partition("/~")[0] for p in paths}) == 1 and max(map(len, paths)) < 400
+
+
+def test_html_a_large_host_with_one_dominant_path(spark):
+    rows = [(i, "http://big.test/x", f"<body><div class=m><p>Same words here</p></div><div class=t><p>Story {i} of its own</p></div></body>") for i in range(1500)] + [(9000, "http://other.test/", "<body><div class=t><p>Alone</p></div></body>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} of its own" for i in range(1500)) and got[9000] == "Alone"
 
 
 def test_html_awkward(spark):
     long = "<div>" * 3000 + "word " * 50000
     rows = [(1, None, long), (1, None, long), (None, "u", "<p>x"), (2, "http://a/b", '<div class="w-1/2">y</div>'), (3, "", "")]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({n: F.lit("x") for n in ("host", "key", "path", "removed", "text", "n", "part", "salted")})
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({n: F.lit("x") for n in ("host", "key", "path", "removed", "text", "n", "part", "salted", "domain", "evidence")})
     got = sorted(((r.page_id or 0), r.n_chars) for r in html.extract(d).collect())
     assert got == [(0, 1), (1, 249999), (1, 249999), (2, 1), (3, 0)]
     assert html.extract(d.limit(0)).count() == 0
@@ -575,20 +607,40 @@ def test_media(docs, empty):
     assert media.media(empty).count() == 0
 
 
-def test_media_frames_cover_the_end():
-    silence = bytes([128]) * 256
-    t = np.arange(64)
-    tone = (128 + 100 * np.sin(2 * np.pi * 40 * t / media.FRAME)).astype(np.uint8).tobytes()
-    assert len(media.peaks(silence + tone)) == 2 and media.peaks(silence + tone)[-1].any()
-    other = (128 + 100 * np.sin(2 * np.pi * 90 * t / media.FRAME)).astype(np.uint8).tobytes()
-    assert (media.peaks(silence + tone) != media.peaks(silence + other)).any()
-    assert [len(media.peaks(bytes(n))) for n in (64, 256, 320, 384, 448)] == [1, 1, 2, 2, 3]
+@pytest.mark.parametrize("size", [64, 256, 320, 1000, 5000])
+def test_media_counts_every_byte(size):
+    r = random.Random(size)
+    text = " ".join("".join(r.choices("etaoinshrdlu", k=r.randrange(2, 9))) for _ in range(size // 3 + 9))[:size]
+    data = media.payload(text)[0]
+    whole = [x.tolist() for x in media.fingerprints(data)]
+    assert whole[0], "short texts have pairs, too"
+    for i in {0, 1, len(data) - 1, len(data) - 2, *r.sample(range(len(data)), 25)}:
+        other = lambda v, i=i: [x.tolist() for x in media.fingerprints(data[:i] + bytes([v]) + data[i + 1 :])]
+        assert any(other(v) != whole for v in range(0, 256, 5)), i
+
+
+def test_media_arrays_are_those_of_plain_loops():
+    for text in ("The fingerprint of a given text, by plain loops. " * 9, "short"):
+        data, n, bands = media.payload(text)[0], media.FRAME, media.BANDS
+        steps = [0.0] * (n // 2) + [float(b - a) for a, b in zip(data[:1] + data[:-1], data)] + [0.0] * (-len(data) % (n // 2) + n // 2)
+        found = []
+        for at in range(0, len(steps) - n + 1, n // 2):
+            frame = [x * (0.5 - 0.5 * math.cos(2 * math.pi * k / n)) for k, x in enumerate(steps[at : at + n])]
+            power = [abs(sum(x * cmath.exp(-2j * math.pi * f * k / n) for k, x in enumerate(frame))) for f in range(n // 2 + 1)]
+            floor, width, row = sum(power[1:]) / (n // 2), n // 2 // bands, []
+            for band in range(bands):
+                top = max(range(1 + band * width, 1 + (band + 1) * width), key=lambda f: (power[f], -f))
+                row.append(top if power[top] > floor else 0)
+            found.append(row)
+        pairs = sorted((t, a << 16 | b << 8 | gap) for gap in (1, 2, 3) for t in range(len(found) - gap) for k, a in enumerate(found[t]) for j, b in enumerate(found[t + gap]) if abs(k - j) <= 1 and a and b)
+        hashes, times = media.fingerprints(data)
+        assert pairs == list(zip(times.tolist(), hashes.tolist()))
 
 
 def test_media_peaks_of_a_tone():
     t = np.arange(4096)
     tone = (127 + 100 * np.sin(2 * np.pi * 20 * t / media.FRAME)).astype(np.uint8).tobytes()
-    assert (media.peaks(tone)[:, 0] == 20).all()
+    assert (media.peaks(tone)[1:-1, 1] == 20).all()
 
 
 # --- names that the operators use themselves

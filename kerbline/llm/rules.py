@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import short_batches, staged
 
 GRAM, BINS = 4, 1 << 16
 THRESHOLD = -0.6
 SYMBOLS = "#*$%&|<>"
 STEP = 1 << 20
+#: So many trusted ids are broadcast at most, 8 bytes each; beyond that texts are dealt out by id.
+IDS = 1_000_000
 
 
 def _hashed(text: str) -> Iterator[np.ndarray]:
@@ -35,9 +37,11 @@ def _hashed(text: str) -> Iterator[np.ndarray]:
 def ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p_target - log p_raw of each bin; all zero where nothing is trusted. Add-one smoothing.
 
-    Trusted ids have no bound, so texts are dealt out by id and meet only their share of them; each text passes once, unsorted.
+    Each text passes once. Trusted ids are counted, and go to the texts where there are at most ``IDS``, so that no text is shuffled; more have no
+    bound, so then texts are dealt out by id, unsorted, and meet only their share of them. The counts are the same.
     """
-    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
+    good = staged(labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct())
+    good = F.broadcast(good) if good.count() <= IDS else good.hint("shuffle_hash")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, BINS), np.int64)
@@ -52,7 +56,7 @@ def ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[0, seen]), pa.array(n[1, seen])], ["bin", "raw", "target"])
 
     known = F.col("doc_id").isNotNull() & (F.coalesce("doc_id", F.xxhash64("text")) == F.col("trusted_id"))  # null ids are spread and match none
-    marked = short_batches(docs).select("doc_id", "text").join(good.hint("shuffle_hash"), known, "left").select("text", F.col("trusted_id").isNotNull().alias("good"))
+    marked = short_batches(docs).select("doc_id", "text").join(good, known, "left").select("text", F.col("trusted_id").isNotNull().alias("good"))
     rows = marked.mapInArrow(count, "bin int, raw long, target long").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.ones(BINS), np.ones(BINS)
     for r in rows.collect():  # at most BINS rows

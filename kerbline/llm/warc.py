@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
@@ -27,7 +28,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from .common import spread_join, staged
 
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 ROLL = 64 << 20
+ROWS, BYTES = 1000, 16 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 HEADER_OF = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest"}
 
@@ -81,61 +84,66 @@ class _Plain:
     """Reads through one stream of records, gzip members or plain."""
 
     def __init__(self, stream, wanted):
-        self.stream, self.wanted, self.buffer, self.skipped = stream, wanted, b"", 0
+        self.stream, self.wanted, self.buffer, self.at, self.skipped = stream, wanted, b"", 0, 0
 
     def _more(self, n: int) -> bool:
-        while len(self.buffer) < n:
-            got = self.stream.read(max(1 << 20, n - len(self.buffer)))
+        """Whether ``n`` bytes from ``at`` on are in the buffer; it moves on only where it must be filled."""
+        while len(self.buffer) - self.at < n:
+            got = self.stream.read(max(1 << 20, n))
             if not got:
                 return False
-            self.buffer += got
+            self.buffer, self.at = self.buffer[self.at :] + got, 0
         return True
 
     def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
         while self._more(10):
-            if self.buffer[:3] == b"\x1f\x8b\x08":
+            if self.buffer.startswith(b"\x1f\x8b\x08", self.at):
                 yield from self._member()
             else:
                 yield from self._bare()
 
     def _member(self):
         size = None
-        if self.buffer[3] & 4 and self._more(24) and self.buffer[12:14] == b"sl":
-            size = struct.unpack_from("<I", self.buffer, 16)[0]
+        if self.buffer[self.at + 3] & 4 and self._more(24) and self.buffer[self.at + 12 : self.at + 14] == b"sl":
+            size = struct.unpack_from("<I", self.buffer, self.at + 16)[0]
         z, data, fed = zlib.decompressobj(31), b"", 0
+
+        def inflated(n: int) -> bytes:
+            nonlocal fed
+            if not self._more(fed + 1):
+                raise EOFError("a record is cut short")
+            part = self.buffer[self.at + fed : self.at + fed + n]
+            fed += len(part)
+            return z.decompress(part)
+
         while b"\r\n\r\n" not in data and not z.eof:
-            if fed >= len(self.buffer) and not self._more(fed + 1):
-                raise EOFError("a record ends within its headers")
-            part = self.buffer[fed : fed + 512]
-            data, fed = data + z.decompress(part), fed + len(part)
+            data += inflated(512)
         head, _, rest = data.partition(b"\r\n\r\n")
         headers = _headers(head)
         if size is not None and not self.wanted(headers):
             if not self._more(size):
                 raise EOFError("a record is cut short")
-            self.buffer, self.skipped = self.buffer[size:], self.skipped + 1
+            self.at, self.skipped = self.at + size, self.skipped + 1
             return
         parts = [rest]
         while not z.eof:
-            if fed >= len(self.buffer) and not self._more(fed + 1):
-                raise EOFError("a record is cut short")
-            part = self.buffer[fed : fed + (1 << 16)]
-            parts.append(z.decompress(part))
-            fed += len(part)
-        self.buffer = self.buffer[fed - len(z.unused_data) :]
+            parts.append(inflated(1 << 16))
+        self.at += fed - len(z.unused_data)
         if self.wanted(headers):
             yield headers, b"".join(parts)[: int(headers["content-length"])]
 
     def _bare(self):
-        while b"\r\n\r\n" not in self.buffer:
-            if not self._more(len(self.buffer) + 1):
+        while (end := self.buffer.find(b"\r\n\r\n", self.at)) < 0:
+            if not self._more(len(self.buffer) - self.at + 1):
                 raise EOFError("a record ends within its headers")
-        head, _, self.buffer = self.buffer.partition(b"\r\n\r\n")
-        headers = _headers(head)
-        n = int(headers["content-length"])
+        headers = _headers(self.buffer[self.at : end])
+        self.at, n = end + 4, int(headers["content-length"])
         if not self._more(n):
             raise EOFError("a record is cut short")
-        block, self.buffer = self.buffer[:n], self.buffer[n:].removeprefix(b"\r\n\r\n")
+        block = self.buffer[self.at : self.at + n]
+        self.at += n
+        if self._more(4) and self.buffer.startswith(b"\r\n\r\n", self.at):
+            self.at += 4
         if self.wanted(headers):
             yield headers, block
 
@@ -169,8 +177,18 @@ class WarcReader(DataSourceReader):
         return all(_column(headers, c) in values for c, values in self.wants)
 
     def read(self, part: FilePart):
-        if not part.path:
-            return
+        """Record batches of at most ``ROWS`` records or about ``BYTES`` of payload."""
+        rows, held = [], 0
+        for row in self._rows(part) if part.path else ():
+            rows.append(row)
+            held += len(row[-1] or b"")
+            if len(rows) == ROWS or held >= BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _rows(self, part: FilePart) -> Iterator[tuple]:
         with _fs(self.path)[0].open_input_stream(part.path, compression=None) as stream:
             for h, block in _Plain(stream, self._wanted).records():
                 payload = None
@@ -182,6 +200,11 @@ class WarcReader(DataSourceReader):
                 yield (*(_column(h, c) for c in ("record_type", "record_id", "target_uri")), _bare_id(h.get("warc-refers-to")), _column(h, "payload_digest"), int(size) if size else len(payload) if payload is not None else None, payload if self.payload else None)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], SCHEMA_NAMES)
+
+
 def _bare_id(value: str | None) -> str | None:
     return value.strip("<>") if value is not None else None
 
@@ -199,9 +222,10 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Rows in ``SCHEMA`` to files that get their names when the whole job commits: a lost task leaves none that readers list."""
+    """Rows in ``SCHEMA`` to files that get their names when the whole job commits: a lost task leaves none that readers list, and what it has left then goes."""
 
     def __init__(self, options: dict[str, str]):
+        self.job = uuid.uuid4().hex
         self.path, self.roll, self.date = options["path"], int(options.get("rollbytes", ROLL)), options.get("date", "1970-01-01T00:00:00Z")
 
     def write(self, rows):
@@ -214,7 +238,7 @@ class WarcWriter(DataSourceWriter):
             if out is None or out.tell() + len(data) > self.roll > 0 < out.tell():
                 if out is not None:
                     out.close()
-                paths.append(f"{root}/_{uuid.uuid4().hex}.warc.gz")
+                paths.append(f"{root}/_{self.job}-{uuid.uuid4().hex}.warc.gz")
                 out = system.open_output_stream(paths[-1], compression=None)
             out.write(data)
         if out is not None:
@@ -227,12 +251,19 @@ class WarcWriter(DataSourceWriter):
         for m in messages:
             for p in m.paths if m else ():
                 system.move(p, p.replace("/_", "/part-"))
+        self._clear()
 
     def abort(self, messages):
-        system, _ = _fs(self.path)
-        for m in messages:
-            for p in m.paths if m else ():
-                system.delete_file(p)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Files of this job's tasks that failed or ran twice go; other jobs' stay."""
+        from pyarrow import fs
+
+        system, root = _fs(self.path)
+        for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if f.base_name.startswith(f"_{self.job}-"):
+                system.delete_file(f.path)
 
 
 class WarcSource(DataSource):
@@ -282,9 +313,6 @@ def archive(pages: DataFrame, folder: str, least: int = 0) -> None:
     whole.select(*order).unionByName(again.select(*order)).write.format("warc").mode("append").save(folder)
 
 
-SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-
-
 def _name(column: str):
     return F.concat(F.lit("urn:page:"), F.coalesce(F.col(column).cast("string"), F.lit(""))).alias("record_id")
 
@@ -297,10 +325,14 @@ def _base32(sha):
 
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to from the archives; responses' payloads are checked against their headers."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to from the archives; responses' payloads are checked against their headers.
+
+    Either kind is asked for by its type, which the source takes over: revisits are told by their headers alone, and the blocks of all other records are skipped.
+    """
     register(spark)
-    got = spark.read.format("warc").option("verify", "true").option("payload", "false").load(folder)
+    load = lambda kind, **options: spark.read.format("warc").options(payload="false", **options).load(folder).where(F.col("record_type") == kind)
     number = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(-?\d*)$", 1), F.lit("")).cast("long")
+    got = load("response", verify="true").unionByName(load("revisit"))
     return got.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 

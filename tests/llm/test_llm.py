@@ -222,6 +222,29 @@ def test_rules_count_every_trusted_document(spark):
     assert np.allclose(rules.ratios(other, more), np.log(target / target.sum()) - np.log(raw / raw.sum()), rtol=0, atol=1e-12)
 
 
+def test_rules_verdicts_are_plain_loops(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60 or doc_id > 950")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    texts, good = {r.doc_id: r.text or "" for r in docs.collect()}, {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
+    grams = lambda t: [(int.from_bytes(b[i : i + 4], "little") * 2654435761 % 2**32) >> 16 for b in [t.encode()] for i in range(len(b) - 3)]
+    raw, target = [1] * rules.BINS, [1] * rules.BINS
+    for i, t in texts.items():
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += i in good
+    n, m = sum(raw), sum(target)
+    for bound in (rules.IDS, 0):  # trusted ids are broadcast, or texts are dealt out
+        monkeypatch.setattr(rules, "IDS", bound)
+        seen = set()
+        for r in rules.quality_rules(docs, labels).collect():
+            g = grams(texts[r.doc_id])
+            llr = sum(math.log(target[x] / m) - math.log(raw[x] / n) for x in g) / max(1, len(g))
+            assert abs(r.llr - llr) < 1e-5
+            seen.add(r.kept)
+            assert abs(llr - rules.THRESHOLD) < 1e-5 or r.kept == (not r.base_failed and llr >= rules.THRESHOLD)
+        assert seen == {True, False}
+
+
 # --- op4
 def _fingerprint(text):
     w = (text or "").encode().lower().split()
@@ -426,6 +449,34 @@ def test_warc_skips_unwanted_records_and_reads_foreign_ones(tmp_path):
     assert len(list(reader.records())) == 1 and reader.skipped == 1
 
 
+def test_warc_reads_back_through_pushed_predicates(spark, tmp_path):
+    rows = [(i, "u", f"<p>{i // 3}</p>" * 500) for i in range(30)]
+    warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}")
+    plan = warc.read_back(spark, f"{tmp_path}")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 2 and "Filter (" not in plan.split("Project")[-1]
+    read = []
+    for kind, verify in (("response", "true"), ("revisit", "false")):  # what the query's two scans do in their tasks
+        reader = warc.WarcReader({"path": f"{tmp_path}", "payload": "false", "verify": verify})
+        assert list(reader.pushFilters([warc.EqualTo(("record_type",), kind)])) == []
+        for part in reader.partitions():
+            with open(part.path, "rb") as f:
+                plain = warc._Plain(f, reader._wanted)
+                read.append((kind, len(list(plain.records())), plain.skipped))
+    assert {k: (sum(n for x, n, _ in read if x == k), sum(s for x, _, s in read if x == k)) for k in ("response", "revisit")} == {"response": (10, 20), "revisit": (20, 10)}
+
+
+def test_warc_left_over_files_go(spark, tmp_path):
+    (tmp_path / "_other-1.warc.gz").write_bytes(b"x")
+    writer = warc.WarcWriter({"path": str(tmp_path)})
+    row = lambda i: type("Row", (), {"record_type": "response", "record_id": f"urn:page:{i}", "target_uri": None, "refers_to": None, "payload_digest": None, "payload_bytes": None, "payload": b"x"})()
+    lost, kept = writer.write([row(1)]), writer.write([row(1)])  # a task that ran twice
+    writer.commit([kept, None])
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["_other", "part"] and lost.paths
+    writer.write([row(2)])
+    writer.abort([None])
+    assert len(list(tmp_path.iterdir())) == 2
+
+
 # --- op8
 def test_urls(spark):
     rows = [(1, "HTTPS://Sub.Example.COM/en/71?q#f"), (2, "http://x.com/en/1"), (3, "http://notcom/en/1"), (4, None), (5, "no scheme"), (6, "http://a.net?x"), (7, "http://q.org/es/"), (8, "")]

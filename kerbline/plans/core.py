@@ -297,6 +297,7 @@ _ZERO = """zk AS (SELECT a.segment_id, s.target_hour, round(-ln((CAST('0x' || su
  zeros AS (SELECT segment_id, target_hour FROM zk ORDER BY k, segment_id, target_hour LIMIT (SELECT greatest(1, count(*) // 2) FROM hours))"""
 
 
+@base
 def zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hours(spark, sf_dir)
     b = bounds(spark, sf_dir).first()
@@ -436,12 +437,3 @@ def i17(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("I18_live_patch", "SELECT segment_id, target_hour, round(e, 6) AS live_eps, CASE WHEN e >= 85 THEN 'Red Line' WHEN e >= 60 THEN 'Orange Line' WHEN e >= 40 THEN 'Watchlist' ELSE 'Low' END AS live_band FROM (SELECT *, CASE WHEN congestion > 1.05 THEN least(100.0::DOUBLE, eps + least(15.0::DOUBLE, 25 * (congestion - 1))) ELSE eps END AS e FROM scored)")
 def i18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.live_patch(scored(spark, sf_dir)).select("segment_id", "target_hour", "live_eps", "live_band"))
-
-
-@register("slice_top_segment_hours", "SELECT segment_id, target_hour, eps, priority_band, predicted_total, round(interruption_raw, 6) AS interruption_raw FROM scored ORDER BY eps DESC, predicted_total DESC, segment_id, target_hour LIMIT 25")
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).select("segment_id", "target_hour", "eps", "priority_band", "predicted_total", "interruption_raw")
-    return rounded(rows.orderBy(F.desc("eps"), F.desc("predicted_total"), "segment_id", "target_hour").limit(25))
-
-
-QUERIES["F1_top_k"], ORACLES["F1_top_k"] = QUERIES["slice_top_segment_hours"], ORACLES["slice_top_segment_hours"]

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import refdata as R
 from ..functions.shared import staged
-from ..operators import clean, context, learning, metrics, scoring, spatial, tags
+from ..operators import clean, context, learning, scoring, spatial, tags
 from ..sources import elements, geojson, tables
 from ..streaming import live as streams
 from . import core, live, more
@@ -84,20 +81,6 @@ def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("poi_id string, name string, lat double, lon double, cache_version string, poi_type string").parquet(path)
 
 
-@register("A15_model_artifacts")
-def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecasts of a saved and reloaded count model with the saved hold-out error beside them."""
-    path, names = live.folder(spark), ["lag_1h_total", "lag_24h_total", "segment_hour_mean"]
-    train, test = live.feature_rows(spark, sf_dir)
-    glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol="count_total", featuresCol="x", predictionCol="forecast", regParam=0.1, maxIter=15)
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), glm]).fit(train)
-    quality = metrics.regression_quality(fitted.transform(test), "count_total", "forecast")
-    tables.save_model(fitted, quality, core.dimension(spark, sf_dir), {"feature_columns": names, "target_columns": ["count_total"]}, path)
-    model, saved, segments, config = tables.load_model(spark, path)
-    rows = test.select("segment_id", "target_hour", *config["feature_columns"]).join(segments.select("segment_id", "road_class"), "segment_id")
-    return model.transform(rows).join(F.broadcast(saved.select("mae"))).select("segment_id", "target_hour", "road_class", "forecast", "mae")
-
-
 # --- joins ------------------------------------------------------------------------------------------
 @register("C3_attach_geometry", f"SELECT e.id, m.segment_id, round(r.lon1, 9) AS lon1, round(r.lat2, 9) AS lat2 FROM cleaned1 e LEFT JOIN ({more.match_sql(case('osm_highway', R.SNAP_PENALTY, 0.0))}) m ON m.id = e.id LEFT JOIN roads r ON r.segment_id = m.segment_id")
 def c3(spark: SparkSession, sf_dir: str) -> DataFrame:

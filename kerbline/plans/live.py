@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refdata as R
 from ..functions import shared
-from ..operators import calendar, facts, history, learning, metrics
+from ..operators import learning
 from ..streaming import live
 from . import core
 from .sql import oracle
@@ -23,35 +23,6 @@ def folder(spark: SparkSession) -> str:
     return shared.folder(spark, "live")
 
 
-def feature_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(training, test) facts with features."""
-    h = core.hours(spark, sf_dir)
-    means = facts.climatology(core.train(spark, sf_dir), ["segment_id", "hour"], max(1.0, core.span(spark, sf_dir)[1] / 24), "segment_hour_mean")
-    rows = history.lags_with_fallback(h, h).join(means, ["segment_id", "hour"], "left").fillna(0.0, ["segment_hour_mean"])
-    rows = calendar.calendar(rows.drop("hour", "day_of_week")).join(F.broadcast(core.bounds(spark, sf_dir).select("cutoff")))
-    n = F.col("count_total")
-    rows = rows.withColumn("relevance", F.when(n <= 2, 0).when(n <= 10, 1).when(n <= 30, 2).otherwise(3).cast("double"))
-    path = folder(spark)
-    rows.write.parquet(path)
-    rows = spark.read.parquet(path)
-    return rows.where("target_hour < cutoff").drop("cutoff"), rows.where("target_hour >= cutoff").drop("cutoff")
-
-
-def h1_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = feature_rows(spark, sf_dir)
-    out = learning.poisson_chain(train, test, list(R.COUNTS), folds=5)
-    return out.select("segment_id", "target_hour", *[f"pred_{c}" for c in R.COUNTS])
-
-
-def h2_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = feature_rows(spark, sf_dir)
-    return learning.rank_and_calibrate(train, test, cutoff_days=5).select("segment_id", "target_hour", "rank_score", "priority", "is_hotspot")
-
-
-def h3_calibration_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.binary_quality(h2_priority(spark, sf_dir), "is_hotspot", "priority")
-
-
 COEFFICIENTS = {"count_total": 0.5, "hour": -0.1, "severity_weighted_count": 0.25}
 
 
@@ -117,7 +88,7 @@ def j4_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.newest(spark.read.schema(rows.schema).parquet(out).select(*rows.columns), "segment_id", "target_hour")
 
 
-QUERIES |= {"H1_poisson_chain": h1_forecast, "H2_H4_priority": h2_priority, "H3_calibration_quality": h3_calibration_quality, "H5_contributions": h5_contributions, "H6_ablations": h6_ablations, "J1_stream_counts": j1_stream_counts, "J1_late_rows": j1_late_rows, "J3_stream_band_changes": j3_stream_band_changes, "J4_stream_latest": j4_stream_latest}
+QUERIES |= {"H5_contributions": h5_contributions, "H6_ablations": h6_ablations, "J1_stream_counts": j1_stream_counts, "J1_late_rows": j1_late_rows, "J3_stream_band_changes": j3_stream_band_changes, "J4_stream_latest": j4_stream_latest}
 _TALL = " UNION ALL ".join(f"SELECT segment_id, target_hour, '{c}' AS feature, round({w}::DOUBLE * ({c} - (SELECT avg({c}) FROM hours)), 9) AS impact FROM hours" for c, w in COEFFICIENTS.items())
 ORACLES["H5_contributions"] = oracle(f"SELECT segment_id, target_hour, feature, round(impact, 6) AS impact FROM (SELECT *, row_number() OVER (PARTITION BY segment_id, target_hour, impact > 0 ORDER BY abs(impact) DESC, feature) AS n FROM ({_TALL}) WHERE impact <> 0) WHERE n <= CASE WHEN impact > 0 THEN 5 ELSE 1 END")
 ORACLES["H6_ablations"] = oracle("SELECT segment_id, target_hour, 'count_total' AS feature, round((count_total - 1) * 0.8::DOUBLE, 6) AS impact FROM hours UNION ALL SELECT segment_id, target_hour, 'hour', CASE WHEN hour > 12 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END FROM hours")

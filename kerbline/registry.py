@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import core, forecast, last, live, rest
+from .plans import core, forecast, last, learned, live, rest
 
-QUERIES: dict = {**core.QUERIES, **live.QUERIES, **rest.QUERIES, **last.QUERIES, **forecast.QUERIES}
-ORACLES: dict = {**core.ORACLES, **live.ORACLES, **rest.ORACLES, **last.ORACLES, **forecast.ORACLES}
+QUERIES: dict = {**core.QUERIES, **live.QUERIES, **rest.QUERIES, **last.QUERIES, **learned.QUERIES, **forecast.QUERIES}
+ORACLES: dict = {**core.ORACLES, **live.ORACLES, **rest.ORACLES, **last.ORACLES, **learned.ORACLES, **forecast.ORACLES}

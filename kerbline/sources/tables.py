@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,15 +20,14 @@ def write_top(rows: DataFrame, path: str, order: list[Column], k: int) -> None:
     rows.orderBy(*order).limit(k).write.mode("overwrite").csv(path, header=True)
 
 
-def save_model(model: PipelineModel, metrics: DataFrame, segments: DataFrame, config: dict, path: str) -> None:
-    """``model``, its metrics (one row), the segment dimension and the configuration, in one folder."""
-    model.write().overwrite().save(f"{path}/model")
-    metrics.write.mode("overwrite").json(f"{path}/metrics")
+def save_model(effects: DataFrame, metrics: DataFrame, segments: DataFrame, config: dict, path: str) -> None:
+    """A model's table, its metrics (one row), the segment dimension and the configuration, in one folder."""
+    effects.write.mode("overwrite").parquet(f"{path}/effects")
+    metrics.write.mode("overwrite").parquet(f"{path}/metrics")
     segments.write.mode("overwrite").parquet(f"{path}/segments")
     segments.sparkSession.range(1).select(F.lit(json.dumps(config)).alias("value")).write.mode("overwrite").text(f"{path}/config")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame, DataFrame, dict]:
+def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
     """What ``save_model`` wrote."""
-    config = json.loads(spark.read.text(f"{path}/config").first().value)
-    return PipelineModel.load(f"{path}/model"), spark.read.json(f"{path}/metrics"), spark.read.parquet(f"{path}/segments"), config
+    return *(spark.read.parquet(f"{path}/{name}") for name in ("effects", "metrics", "segments")), json.loads(spark.read.text(f"{path}/config").first().value)

@@ -15,7 +15,7 @@ from kerbline.plans import more
 from kerbline.plans.sql import case, oracle
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["B5_violation_severity", "D2_class_counts", "C7_lags_with_fallback", "C12_radius_counts", "C9_active_events", "I13_action", "D17_binary_quality", "G3_negative_samples", "F3_publication", "C1_map_matching", "A9_stations", "A10_top_csv", "C3_attach_geometry", "F5_explanation_cuts", "J2_live_rescoring", "J6_feedback_accuracy"]
+NAMES = ["B5_violation_severity", "D2_class_counts", "C7_lags_with_fallback", "C12_radius_counts", "C9_active_events", "I13_action", "D17_binary_quality", "G3_negative_samples", "F3_publication", "C1_map_matching", "A9_stations", "A10_top_csv", "C3_attach_geometry", "F5_explanation_cuts", "J2_live_rescoring", "J6_feedback_accuracy", "C16_ripples", "A6_calendar_faults", "A5_parking_supply", "D5_geometry_centres", "D19_at_k", "J1_late_rows", "H1_poisson_chain", "H3_calibration_quality", "A15_model_artifacts", "F1_top_k"]
 
 
 def plain(v):

@@ -7,38 +7,49 @@ from pyspark.sql import functions as F
 
 from ..functions import refdata as R
 from ..functions.shared import staged
-from ..operators import calendar, facts, history, learning, scoring, spatial
+from ..operators import calendar, context, facts, history, learning, scoring, spatial, tags
 from . import core, last, more
 from .fixtures import view
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-#: Columns of text: their place among the sorted levels is the feature.
-TEXTS = ("model_segment_id", "police_station", "junction_name", "road_class", "hour_bucket")
+#: Columns of text: the mean relevance of their level is the feature, drawn to that of all rows by ``DRAWN`` rows of it.
+TEXTS, DRAWN = ("model_segment_id", "police_station", "junction_bucket", "road_class", "hour_bucket"), 5
 _KEY = ["segment_id", "target_hour"]
 #: What the count models see: recurrence. The trees see the whole frame.
 RECURRENCE = (*learning.FEATURES, "segment_dow_hour_mean", "city_hour_mean", "city_dow_hour_mean", "self_exciting", "neighbour_spillover")
 
 
 def places(spark: SparkSession, sf_dir: str, hours: DataFrame, cutoff, train_hours: float) -> DataFrame:
-    """What is known of a segment whatever the hour: its dimension, totals, places and parking around, and its station's work."""
+    """What is known of a segment whatever the hour: its dimension, totals, places and parking around, whether it is a bridge or the like, and its station's work."""
     before = hours.where(F.col("target_hour") < F.lit(cutoff).cast("timestamp_ntz"))
     whole = staged(core.dimension(spark, sf_dir))
     d = whole.drop("lat_bin", "lon_bin", "lat_mean", "lon_mean").withColumn("model_segment_id", F.when(F.col("event_count") < 10, "SPARSE_ROAD").otherwise(F.col("segment_id")))
-    d = d.join(facts.segment_totals(before, max(1, int(train_hours))), "segment_id", "left")
+    marks = core.events(spark, sf_dir)
+    kinds = marks.groupBy("segment_id").agg(F.max("is_bulk_artifact_segment").alias("is_bulk_artifact_segment"))
+    for c in ("junction_bucket", "location"):
+        kinds = kinds.join(facts.mode_of(marks, ["segment_id"], c), "segment_id")
+    kinds = kinds.withColumn("is_structure", tags.is_structure(F.create_map().cast("map<string,string>"), F.col("location")).cast("int")).drop("location")
+    d = d.join(kinds, "segment_id").join(facts.segment_totals(before, max(1, int(train_hours))), "segment_id", "left")
     d = d.join(last.c23(spark, sf_dir, whole).drop("police_station"), "segment_id", "left")
     d = d.join(core.d24(spark, sf_dir), "police_station", "left").join(facts.approval_rates(view(spark, sf_dir, "violations")), "police_station", "left")
     return staged(d.fillna(0.0))
 
 
 def frame(spark: SparkSession, sf_dir: str, rows: DataFrame, hours: DataFrame, fixed: DataFrame, cutoff, train_hours: float) -> DataFrame:
-    """``rows`` (with segment_id and target_hour) with all features; means and lags come from ``hours`` alone, and means from those before ``cutoff``."""
+    """``rows`` (with segment_id and target_hour) with all features; means and lags come from ``hours`` alone, and means from those before ``cutoff``.
+
+    A row that is one of those hours has no part in its own segment's means: its count is taken out of them.
+    """
     before = hours.where(F.col("target_hour") < F.lit(cutoff).cast("timestamp_ntz")).withColumns({"hour": F.hour("target_hour"), "day_of_week": F.weekday("target_hour")})
     out = calendar.calendar(rows)
     days, weeks, segments = max(1.0, train_hours / 24), max(1.0, train_hours / 168), fixed.count()
     for keys, periods, name in ((["segment_id", "hour"], days, "segment_hour_mean"), (["segment_id", "day_of_week", "hour"], weeks, "segment_dow_hour_mean"), (["hour"], days * segments, "city_hour_mean"), (["day_of_week", "hour"], weeks * segments, "city_dow_hour_mean")):
         out = out.join(facts.climatology(before, keys, periods, name), keys, "left").fillna(0.0, [name])
+        if "segment_id" in keys and "count_total" in rows.columns:
+            own = F.when(F.col("target_hour") < F.lit(cutoff).cast("timestamp_ntz"), F.col("count_total") / periods).otherwise(0.0)
+            out = out.withColumn(name, F.greatest(F.lit(0.0), F.col(name) - own))
     out = staged(history.class_lags(history.lags_with_fallback(out, hours), hours))
     decay = sum((F.col(f"lag_{k}h_total") * F.exp(F.lit(-k / 2)) for k in (1, 2, 3)), F.lit(0.0))
     out = out.withColumn("self_exciting", decay)
@@ -48,15 +59,19 @@ def frame(spark: SparkSession, sf_dir: str, rows: DataFrame, hours: DataFrame, f
     asked = rows.select(*_KEY).join(fixed.select("segment_id", F.col("lat_center").alias("lat"), F.col("lon_center").alias("lon")), "segment_id")
     near = spatial.active_events(asked, more.calendar_events(spark, sf_dir))
     out = out.join(near.select(*_KEY, "nearest_event_distance_m", "event_impact"), _KEY, "left")
-    return staged(out.fillna(0.0))
+    return staged(out.fillna(0.0).withColumn("rain_shelter", context.rain_shelter(F.col("is_raining"), F.col("is_structure"))))
 
 
 def coded(train: DataFrame, *frames: DataFrame) -> list[DataFrame]:
-    """``frames`` with a number for each text of ``TEXTS``: its rank among the levels of ``train``, which are dimension-sized; others are 0."""
+    """``frames`` with code_{text} for each of ``TEXTS``: the mean relevance of the level in ``train``, without the row itself where it is one of its rows; new levels have that of all."""
+    prior = train.agg(F.avg("relevance")).first()[0] or 0.0
     out = list(frames)
     for c in TEXTS:
-        known = core.levels(train.select(c), c).select(F.col(c), (F.col("code") + 1).cast("double").alias(f"code_{c}"))
-        out = [f.join(known, c, "left").fillna(0.0, [f"code_{c}"]) for f in out]
+        sums = train.groupBy(c).agg(F.sum("relevance").alias("_s"), F.count("*").alias("_n"))
+        for i, f in enumerate(out):
+            own, one = (F.col("relevance"), 1) if "relevance" in f.columns else (F.lit(0.0), 0)
+            mean = (F.col("_s") - own + DRAWN * prior) / (F.col("_n") - one + DRAWN)
+            out[i] = f.join(sums, c, "left").withColumn(f"code_{c}", F.coalesce(mean, F.lit(prior))).drop("_s", "_n")
     return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kerbline import registry
 from kerbline.operators import additive
-from kerbline.plans import learned
+from kerbline.plans import forecast, learned
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,3 +100,37 @@ def test_priority_is_calibrated_and_ranks_the_queue(spark):
     queue = registry.QUERIES["F1_top_k"](spark, SF).collect()
     assert len(queue) == 25 and [r.eps for r in queue] == sorted((r.eps for r in queue), reverse=True)
     assert {r.target_hour for r in queue} <= {r.target_hour for r in learned.framed(spark, SF).where("test").collect()}
+
+
+def test_the_frame_has_what_is_known_of_an_hour(spark):
+    """Every feature that the forecast is to see, but nothing of the hour's own count."""
+    static = "lat_center lon_center road_width_m is_bulk_artifact_segment code_model_segment_id code_police_station code_junction_bucket code_road_class code_hour_bucket"
+    time = "hour day_of_week month day_of_year is_weekend is_peak hour_sin hour_cos dow_sin dow_cos month_sin month_cos day_of_year_norm is_weekday_peak is_weekend_peak is_holiday is_festival is_first_week_of_month is_month_end"
+    windows = "is_school_dropoff is_school_pickup is_lunch_market is_office_commute_am is_office_commute_pm is_shopping_evening is_nightlife_peak"
+    past = "segment_total_events segment_event_rate segment_rank_pct segment_hour_mean segment_dow_hour_mean city_hour_mean city_dow_hour_mean self_exciting neighbour_spillover severity_mean footprint_mean"
+    lags = "lag_1h_total lag_2h_total lag_3h_total lag_24h_total lag_168h_total lag_1h_two_wheeler lag_1h_car lag_1h_auto lag_1h_light_commercial lag_1h_heavy lag_1h_other"
+    around = "rainfall_mm is_raining is_structure rain_shelter dist_to_legal_parking_m legal_parking_capacity overflow_risk_index poi_count_200m poi_count_500m poi_gravity_score station_volume approval_rate station_event_rate nearest_event_distance_m event_impact"
+    places = " ".join(f"dist_to_{k}_m" for k in "metro commercial bus_stop school hospital market restaurant worship office mall airport railway_station hotel nightlife park stadium university".split())
+    hours = learned.core.hours(spark, SF).drop("hour", "day_of_week")
+    cutoff, span = learned.core.span(spark, SF)
+    fixed = forecast.places(spark, SF, hours, cutoff, span)
+    known = forecast.frame(spark, SF, hours, hours, fixed, cutoff, span).withColumn("relevance", F.col("count_total").cast("double"))
+    known, later = forecast.coded(known, known, known.drop("relevance"))
+    named = set(forecast.features(known))
+    assert set(" ".join((static, time, windows, past, lags, around, places)).split()) <= named
+    assert not named & {"count_total", "relevance", "is_hotspot", "sample_weight"}
+    assert known.count() == later.count() == hours.count()
+    # a level of one row tells nothing of that row
+    one = spark.createDataFrame([("x", 3.0), ("y", 0.0), ("y", 1.0)], "t string, relevance double")
+    got = {(r.t, r.relevance): r.code_t for r in _coded(one)}
+    prior = 4 / 3
+    assert got == pytest.approx({("x", 3.0): prior, ("y", 0.0): (1 + 5 * prior) / 6, ("y", 1.0): 5 * prior / 6})
+
+
+def _coded(rows):
+    before = forecast.TEXTS
+    forecast.TEXTS = ("t",)
+    try:
+        return forecast.coded(rows, rows)[0].collect()
+    finally:
+        forecast.TEXTS = before

@@ -26,7 +26,7 @@ UNIT, RATE = 64, 8000
 FRAME, BANDS, FAN = 256, 8, 3
 STEP = 4096  # frames transformed at a time
 ROWS = 64  # of a batch of media
-STOP = np.linspace(1, FRAME // 2 + 1, BANDS + 1).astype(int)
+FIRST = 1 + np.arange(BANDS) * (FRAME // 2 // BANDS)  # bin of each band, all equally wide
 WINDOW = np.hanning(FRAME + 1)[:FRAME].astype(np.float32)
 
 
@@ -59,28 +59,25 @@ def peaks(samples: bytes) -> np.ndarray:
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::step]
     out = np.zeros((len(frames), BANDS), np.int64)
     for at in range(0, len(frames), STEP):
-        power = np.abs(np.fft.rfft(frames[at : at + STEP] * WINDOW, axis=1))
-        floor = power[:, 1:].mean(1)
-        for k in range(BANDS):
-            band = power[:, STOP[k] : STOP[k + 1]]
-            top = band.argmax(1)
-            out[at : at + STEP, k] = np.where(band[np.arange(len(top)), top] > floor, top + STOP[k], 0)
+        power = np.abs(np.fft.rfft(frames[at : at + STEP] * WINDOW, axis=1))[:, 1:]
+        bands = power.reshape(len(power), BANDS, -1)
+        top = bands.argmax(2)
+        strong = np.take_along_axis(bands, top[:, :, None], 2)[:, :, 0] > power.mean(1)[:, None]
+        out[at : at + STEP] = np.where(strong, top + FIRST, 0)
     return out
 
 
 def fingerprints(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, times) of the peak pairs, by time and hash: hash = bin << 16 | other bin << 8 | frames between."""
     p = peaks(samples)
-    hashes, times = [], []
+    hashes, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for gap in range(1, min(FAN, len(p) - 1) + 1):
-        for k in range(BANDS):
-            for other in range(max(0, k - 1), min(BANDS, k + 2)):
-                a, b = p[:-gap, k], p[gap:, other]
-                t = np.flatnonzero((a > 0) & (b > 0))
-                hashes.append(a[t] << 16 | b[t] << 8 | gap)
-                times.append(t)
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
-    t = np.concatenate(times) if times else np.zeros(0, np.int64)
+        for off in (-1, 0, 1):  # the band itself and its neighbours
+            a, b = p[:-gap, max(0, -off) : BANDS - max(0, off)], p[gap:, max(0, off) : BANDS - max(0, -off)]
+            t, k = np.nonzero((a > 0) & (b > 0))
+            hashes.append(a[t, k] << 16 | b[t, k] << 8 | gap)
+            times.append(t)
+    h, t = np.concatenate(hashes), np.concatenate(times)
     order = np.lexsort((h, t))
     return h[order], t[order]
 

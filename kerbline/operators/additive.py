@@ -8,7 +8,6 @@ Effects are stored, read and joined as any table is.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +34,7 @@ class Additive:
         for f in self.features:
             own = {b: e for (m, g, b), e in self.effects.items() if (m, g) == (model, f)}
             if own:
-                held = F.from_json(F.lit(json.dumps([own.get(b, 0.0) for b in range(max(own) + 1)])), "array<double>")  # a constant: folded once
+                held = F.split(F.lit(" ".join(repr(own.get(b, 0.0)) for b in range(max(own) + 1))), " ").cast("array<double>")  # a constant: folded once
                 total = total + F.coalesce(F.get(held, F.col(f).cast("int")), F.lit(0.0))
         return F.lit(self.base[model]) * F.exp(total) if self.kind == "counts" else F.lit(self.base[model]) + total
 

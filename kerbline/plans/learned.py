@@ -44,16 +44,19 @@ def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("not test"), rows.where("test")
 
 
+@base
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours past the cutoff with the counts of all classes, forecast one after the other."""
+    return additive.chain(*split(spark, sf_dir), list(R.COUNTS), FEATURES, folds=FOLDS)[0]
+
+
 def h1_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of all classes, one after the other, of the hours past the cutoff."""
-    rows, _ = additive.chain(*split(spark, sf_dir), list(R.COUNTS), FEATURES, folds=FOLDS)
-    return rounded(rows.select(*_KEY, *[f"pred_{c}" for c in R.COUNTS]))
+    return rounded(forecasts(spark, sf_dir).select(*_KEY, *[f"pred_{c}" for c in R.COUNTS]))
 
 
 def h1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain's and climatology's errors on the hours past the cutoff."""
-    rows, _ = additive.chain(*split(spark, sf_dir), list(R.COUNTS), FEATURES, folds=FOLDS)
-    rows = staged(rows.withColumn("forecast", sum((F.col(f"pred_{c}") for c in R.COUNTS), F.lit(0.0))).select("count_total", "forecast", "climate"))
+    rows = forecasts(spark, sf_dir).withColumn("forecast", sum((F.col(f"pred_{c}") for c in R.COUNTS), F.lit(0.0)))
     named = lambda name, c: metrics.regression_quality(rows, "count_total", c).withColumn("forecast", F.lit(name))
     return rounded(named("chain", "forecast").unionByName(named("climatology", "climate")))
 
@@ -73,8 +76,8 @@ def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @base
 def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hours past the cutoff, scored by their forecast counts and their calibrated priority."""
-    train, test = split(spark, sf_dir)
-    rows, _ = additive.chain(train, test, list(R.COUNTS), FEATURES, folds=FOLDS)
+    train, _ = split(spark, sf_dir)
+    rows = forecasts(spark, sf_dir)
     d = core.dimension(spark, sf_dir).select("segment_id", "road_class", "road_width_m", "police_station", "lat_center", "lon_center")
     rows = prioritised(train, rows).join(d, "segment_id").withColumns({c: F.col(f"pred_{c}") for c in R.COUNTS})
     known = core.hours(spark, sf_dir).join(d.select("segment_id", "road_width_m"), "segment_id")

@@ -11,7 +11,7 @@ TICKET = "id long, ts timestamp, latitude double, longitude double, location str
 
 
 def test_three_tickets(spark):
-    at = datetime(2024, 1, 15, 3, 40)  # 09:10 in Bengaluru, Pongal
+    at = datetime(2024, 1, 15, 3, 40)  # 09:10 local time, a holiday
     rows = [
         (1, at, 12.9716, 77.5946, "Outer Ring Road", "CAR", None, '["NO PARKING","DOUBLE PARKING"]', " Halasuru  Gate ", None, " Approved "),
         (2, at, 12.9716, 77.5946, "Some Layout", "scooter", " LORRY/GOODS  VEHICLE", "PARKING ON FOOTPATH", None, "BTP01 - Circle", None),

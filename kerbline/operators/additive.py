@@ -30,13 +30,14 @@ class Additive:
 
     def forecast(self, model: int) -> Column:
         """The forecast of a row with the features' bins in columns of their names."""
-        total = F.lit(0.0)
+        total = "0.0D"
         for f in self.features:
             own = {b: e for (m, g, b), e in self.effects.items() if (m, g) == (model, f)}
             if own:
-                held = F.split(F.lit(" ".join(repr(own.get(b, 0.0)) for b in range(max(own) + 1))), " ").cast("array<double>")  # a constant: folded once
-                total = total + F.coalesce(F.get(held, F.col(f).cast("int")), F.lit(0.0))
-        return F.lit(self.base[model]) * F.exp(total) if self.kind == "counts" else F.lit(self.base[model]) + total
+                held = " ".join(repr(own.get(b, 0.0)) for b in range(max(own) + 1))  # a constant: folded once
+                total += f" + coalesce(get(cast(split('{held}', ' ') AS array<double>), cast(`{f}` AS int)), 0.0D)"
+        base = f"cast('{self.base[model]!r}' AS double)"
+        return F.expr(f"{base} * exp({total})" if self.kind == "counts" else f"{base} + {total}")
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(m, "", 0, b) for m, b in self.base.items()] + [(m, f, b, e) for (m, f, b), e in self.effects.items()]

@@ -121,7 +121,10 @@ def absent_pairs(segments: DataFrame, first, last, positives: DataFrame, wanted:
 def _cut(line: DataFrame, wanted: int) -> tuple[float, float]:
     """Keys between which the ``wanted``-th least one lies but for a chance below 10**-14; a pair is below k with a chance of 1 - exp(-weight k)."""
     keys = [10 ** (-9 + 12 * i / 400) for i in range(401)]
-    sums = line.agg(F.array(*[F.sum(F.col("absent") * (1 - F.exp(-F.col("weight") * k))) for k in keys]).alias("n")).first().n
+    alike = line.groupBy("weight").agg(F.sum("absent").alias("absent"))  # n distinct event counts need n * n / 2 events, so these rows are few
+    below = alike.select("weight", "absent", F.posexplode(F.lit(keys))).groupBy("pos").agg(F.sum(F.col("absent") * (1 - F.exp(-F.col("weight") * F.col("col")))).alias("n"))
+    held = {r.pos: r.n for r in below.collect()}
+    sums = [held.get(i) for i in range(len(keys))]
     slack = 8 * math.sqrt(wanted + 1) + 8
     low = max((k for k, n in zip(keys, sums, strict=True) if n is not None and n <= wanted - slack), default=0.0)
     return low, min((k for k, n in zip(keys, sums, strict=True) if n is not None and n >= wanted + slack), default=math.inf)

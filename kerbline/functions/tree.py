@@ -4,7 +4,7 @@ Rows are range-sorted along a space-filling curve, and each ``FAN`` of them in t
 the next level, and so on up to one root. A hundred rows or a city of a million in one street make equal leaves; a level has a ``FAN``-th of the rows of the one below.
 
 A query starts at the root. Of the children of its nodes it keeps those whose box comes nearer than the farthest corner of the best box: usually two or
-three. At the leaves the exact distance decides. Nodes of a level are broadcast where there are at most ``SMALL``; beyond that they meet the
+three. At the leaves the rows' own boxes are compared in the same way, and of what is left the exact distance decides. Nodes of a level are broadcast where there are at most ``SMALL``; beyond that they meet the
 queries by a join that deals nodes of many queries to many tasks.
 """
 
@@ -94,18 +94,27 @@ def nearest(tree: Tree | None, queries: DataFrame, at: list[str], distance: Call
     asked = queries.withColumn("node", F.lit(0).cast("long"))
     for n in reversed(range(1, len(tree.levels))):
         met = _met(tree, n, asked)
-        met = met.withColumn("near", F.transform("kids", lambda k: F.struct(k["node"].alias("node"), spread(k)[0].alias("low"), spread(k)[1].alias("high"))))
-        met = met.withColumn("bound", F.array_min(F.transform("near", lambda k: k["high"])) * (1 + slack[0]) + slack[1])
-        kept = F.filter("near", lambda k: k["low"] <= F.col("bound"))
-        met = met.select(*columns, "bound", F.transform(kept, lambda k: F.struct(k["node"].alias("node"), k["low"].alias("low"))).alias("near"))
-        if n < len(tree.levels) - 1:  # at the root each query is one row
-            met = met.groupBy(*columns).agg(F.min("bound").alias("bound"), F.flatten(F.collect_list("near")).alias("near"))
-        asked = met.select(*columns, F.explode(F.filter("near", lambda k: k["low"] <= F.col("bound"))["node"]).alias("node"))
-    rows = _met(tree, 0, asked).select(*columns, F.explode("kids").alias("kid"))
+        near = F.transform("kids", lambda k: F.struct(k["node"].alias("node"), spread(k)[0].alias("low"), spread(k)[1].alias("high")))
+        least = lambda near: F.array_min(F.transform(near, lambda k: k["high"])) * (1 + slack[0]) + slack[1]
+        under = lambda near, b: F.transform(F.filter(near, lambda k: k["low"] <= b), lambda k: F.struct(k["node"].alias("node"), k["low"].alias("low")))
+        kept = _once(near, lambda near: _once(least(near), lambda b: F.struct(b.alias("bound"), under(near, b).alias("near"))))  # noqa: B023
+        met = met.select(*columns, kept.alias("kept"))
+        if n == len(tree.levels) - 1:  # at the root each query is one row
+            asked = met.select(*columns, F.explode("kept.near.node").alias("node"))
+        else:
+            met = met.groupBy(*columns).agg(F.min("kept.bound").alias("bound"), F.flatten(F.collect_list("kept.near")).alias("near"))
+            asked = met.select(*columns, F.explode(F.filter("near", lambda k: k["low"] <= F.col("bound"))["node"]).alias("node"))
+    bound = F.array_min(F.transform("kids", lambda k: spread(k)[1])) * (1 + slack[0]) + slack[1]
+    rows = _met(tree, 0, asked).select(*columns, F.explode(_once(bound, lambda b: F.filter("kids", lambda k: spread(k)[0] <= b))).alias("kid"))
     kept = F.col("kid.kept")
     return rows.groupBy(*columns).agg(F.min(best(distance(kept), kept)).alias("best"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once a row, also where ``use`` asks for it for each element of an array."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _met(tree: Tree, n: int, asked: DataFrame) -> DataFrame:
     level, keys = tree.levels[n].select(*tree.by, "node", "kids"), [*tree.by, "node"]
     if tree.sizes[n] <= SMALL:

@@ -19,7 +19,7 @@ DIM = 4096
 GRAMS = (3, 4)
 THRESHOLD = 0.5
 #: (host, path, verdict): a rule fits its host and all subdomains where the url's path starts with the rule's; the longest wins.
-RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 # The labelled table that the model is fitted on where no other is given.
 BLOCKED = (
     "http://casino-bonus.test/free-spins", "http://www.poker-casino.test/play/slots", "https://adserver.test/banner/click?id=3", "http://ads.tracker.test/pixel.gif",

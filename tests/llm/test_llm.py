@@ -495,6 +495,12 @@ def test_urls(spark):
     assert abs(spark.range(1).select(urls.risk(F.lit(url), w, b)).first()[0] - 1 / (1 + np.exp(-z))) < 1e-9
 
 
+def test_url_rules_are_the_contracts(spark):
+    rows = [(1, "http://a.com/en/1"), (2, "http://example.com/en/7"), (3, "http://a.net/de/1"), (4, "http://www.example.net/de/81"), (5, "http://b.example.net/de/7"), (6, "http://c.org/es/")]
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: ("com/en/", "block"), 2: ("example.com/en/7", "allow"), 3: ("net/de/", "allow"), 4: ("example.net/de/8", "block"), 5: ("net/de/", "allow"), 6: ("org/es/", "block")}
+
+
 # --- op9
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><header><h1>Site</h1></header><nav><a>Menu</a></nav>
 <div class="cookie-notice">We use cookies</div><article><header><h1>Head &amp; line</h1></header><p>One <b>two&nbsp;three<br>four<p>Five &lt;six&gt; &#233;</p><form><input value=x>Sign</form>

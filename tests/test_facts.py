@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo, ranks, shared
-from kerbline.operators import context, facts
+from kerbline.operators import context, facts, history
 from kerbline.sources import elements
 from kerbline.streaming import live
 
@@ -133,3 +133,13 @@ def test_a_stopped_stream_goes_on_and_drops_what_is_late(spark):
     out, dropped = live.resumed(spark, [spark.createDataFrame(p, schema) for p in parts], live.segment_hours, shared.folder(spark))
     got = {(r.segment_id, r.target_hour.hour): r.count_total for r in out.collect()}
     assert got == {("s", 0): 2, ("s", 5): 2, ("t", 9): 1} and dropped == 1
+
+
+def test_lags_are_not_broadcast(spark):
+    """Spark takes the exploded history for small, whatever it holds."""
+    hours = shared.staged(spark.createDataFrame([("a", datetime(2024, 1, 1, h), h + 1) for h in range(3)], "segment_id string, target_hour timestamp_ntz, count_total long"))
+    lagged = history.lags_with_fallback(hours, hours)
+    near = spark.createDataFrame([("a", "a")], "segment_id string, neighbour string")
+    plan = history.spillover(lagged.select("segment_id", "target_hour", "lag_1h_total"), near)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r.target_hour.hour, r.lag_1h_total, r.lag_2h_total, r.lag_168h_total) for r in lagged.collect()) == [(0, 0.0, 0.0, 1.0), (1, 1.0, 0.0, 2.0), (2, 2.0, 1.0, 3.0)]

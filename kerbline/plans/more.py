@@ -268,7 +268,7 @@ def c19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CAL = "cal AS (SELECT *, TIMESTAMP '2024-01-01' + start_hour_offset * INTERVAL 1 HOUR AS start_ts, TIMESTAMP '2024-01-01' + end_hour_offset * INTERVAL 1 HOUR AS end_ts FROM calendar)"
-_EV = f"SELECT * FROM (WITH {_CAL}, p AS (SELECT h.segment_id, target_hour, event_key, venue, label, round({hav('lat_center', 'lon_center', 'latitude', 'longitude')} * 1000, 6) AS d FROM hours h JOIN seg USING (segment_id), cal WHERE start_ts < target_hour + INTERVAL 1 HOUR AND end_ts > target_hour), r AS (SELECT *, count(*) OVER (PARTITION BY segment_id, target_hour) AS c, row_number() OVER (PARTITION BY segment_id, target_hour ORDER BY d, event_key) AS n FROM p) SELECT h.segment_id, h.target_hour, coalesce(c, 0) AS active_event_count, round(coalesce(d, 1e6), 3) AS nearest_event_distance_m, round(coalesce(exp(-d / 1000), 0), 6) AS event_impact, venue FROM hours h LEFT JOIN r ON r.segment_id = h.segment_id AND r.target_hour = h.target_hour AND n = 1)"
+_EV = f"SELECT * FROM (WITH {_CAL}, hh AS (SELECT DISTINCT target_hour FROM hours), p AS (SELECT segment_id, target_hour, event_key, venue, label, round({hav('lat_center', 'lon_center', 'latitude', 'longitude')} * 1000, 6) AS d FROM seg, hh, cal WHERE start_ts < target_hour + INTERVAL 1 HOUR AND end_ts > target_hour), r AS (SELECT *, count(*) OVER (PARTITION BY segment_id, target_hour) AS c, row_number() OVER (PARTITION BY segment_id, target_hour ORDER BY d, event_key) AS n FROM p) SELECT s.segment_id, hh.target_hour, coalesce(c, 0) AS active_event_count, round(coalesce(d, 1e6), 3) AS nearest_event_distance_m, round(coalesce(exp(-d / 1000), 0), 6) AS event_impact, venue FROM seg s CROSS JOIN hh LEFT JOIN r ON r.segment_id = s.segment_id AND r.target_hour = hh.target_hour AND n = 1)"
 
 
 def calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +280,8 @@ def calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("C9_active_events", _EV)
 def c9(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = core.dimension(spark, sf_dir).select("segment_id", F.col("lat_center").alias("lat"), F.col("lon_center").alias("lon"))
-    r = spatial.active_events(core.hours(spark, sf_dir).select("segment_id", "target_hour").join(s, "segment_id"), calendar_events(spark, sf_dir))
+    hours = core.hours(spark, sf_dir).select("target_hour").distinct()  # each segment is asked for at each of them
+    r = spatial.active_events(s.join(F.broadcast(hours)), calendar_events(spark, sf_dir))
     return r.select("segment_id", "target_hour", "active_event_count", F.round("nearest_event_distance_m", 3).alias("nearest_event_distance_m"), F.round("event_impact", 6).alias("event_impact"), "venue")
 
 

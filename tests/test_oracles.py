@@ -11,7 +11,7 @@ from kerbline.functions import geo
 from kerbline.functions import refdata as R
 from kerbline.functions import shared
 from kerbline.operators import clean, scoring, spatial, tags
-from kerbline.plans import more
+from kerbline.plans import core, more
 from kerbline.plans.sql import case, oracle
 
 SF = "/root/testdata/sf0.001"
@@ -57,6 +57,11 @@ def test_every_event_has_its_road(spark, name):
     assert len({r.id for r in got}) == con.execute(oracle("SELECT count(*) FROM cleaned1")).fetchone()[0]
 
 
+def test_active_events_are_told_of_every_segment_and_hour(spark):
+    hours, got = core.hours(spark, SF), registry.QUERIES["C9_active_events"](spark, SF)
+    assert got.count() == core.dimension(spark, SF).count() * hours.select("target_hour").distinct().count() > hours.count()
+
+
 def test_nearest_road_is_not_the_diagonal_one_of_the_box(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 50.0), (3, None, 0.0), (4, float("nan"), 0.0)], "id long, lon double, lat double")
     line = lambda x1, y1, x2, y2: [(x1, y1), (x2, y2)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, tree
 from ..functions import refdata as R
-from ..functions.shared import staged
+from ..functions.shared import spread_join, staged
 
 
 def _finite(*columns: str) -> Column:
@@ -82,8 +82,15 @@ def match_roads(points: DataFrame, roads: DataFrame, reach: float = 0.002, penal
     points: id, lon, lat. roads: segment_id, osm_highway, points (lon, lat). Without penalties (an empty dict) it is the nearest
     road everywhere. The box is asked of a grid with levels: an envelope is in the level whose cells are as large as it, so in four cells at most, and a
     point asks one cell of each level that there is. The nearest is asked of a packed tree of envelopes. Points without finite coordinates have no road.
+    Each place is asked once, however many points it has.
     """
     points = points.select("id", "lon", "lat").where(_finite("lon", "lat"))
+    places = staged(points.groupBy("lon", "lat").agg(F.count("*").alias("n")))
+    found = _match_places(places.select(F.struct("lon", "lat").alias("id"), "lon", "lat"), roads, reach, penalties)
+    return spread_join(points, found.select("id.lon", "id.lat", *[c for c in found.columns if c != "id"]), ["lon", "lat"], places, F.xxhash64("id")).drop("lon", "lat")
+
+
+def _match_places(points: DataFrame, roads: DataFrame, reach: float, penalties: dict[str, float] | None) -> DataFrame:
     lons, lats = F.transform("points", lambda p: p["lon"]), F.transform("points", lambda p: p["lat"])
     roads = roads.where(F.size("points") > 1).select("segment_id", "osm_highway", "points", F.array_min(lons).alias("x1"), F.array_max(lons).alias("x2"), F.array_min(lats).alias("y1"), F.array_max(lats).alias("y2"))
     roads = roads.where(_finite("x1", "x2", "y1", "y2"))

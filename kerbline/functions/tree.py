@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread_join, staged
+from .shared import once, spread_join, staged
 
 FAN_BITS = 5
 FAN = 1 << FAN_BITS
@@ -97,7 +97,7 @@ def nearest(tree: Tree | None, queries: DataFrame, at: list[str], distance: Call
         near = F.transform("kids", lambda k: F.struct(k["node"].alias("node"), spread(k)[0].alias("low"), spread(k)[1].alias("high")))
         least = lambda near: F.array_min(F.transform(near, lambda k: k["high"])) * (1 + slack[0]) + slack[1]
         under = lambda near, b: F.transform(F.filter(near, lambda k: k["low"] <= b), lambda k: F.struct(k["node"].alias("node"), k["low"].alias("low")))
-        kept = _once(near, lambda near: _once(least(near), lambda b: F.struct(b.alias("bound"), under(near, b).alias("near"))))  # noqa: B023
+        kept = once(near, lambda near: once(least(near), lambda b: F.struct(b.alias("bound"), under(near, b).alias("near"))))  # noqa: B023
         met = met.select(*columns, kept.alias("kept"))
         if n == len(tree.levels) - 1:  # at the root each query is one row
             asked = met.select(*columns, F.explode("kept.near.node").alias("node"))
@@ -105,16 +105,11 @@ def nearest(tree: Tree | None, queries: DataFrame, at: list[str], distance: Call
             met = met.groupBy(*columns).agg(F.min("kept.bound").alias("bound"), F.flatten(F.collect_list("kept.near")).alias("near"))
             asked = met.select(*columns, F.explode(F.filter("near", lambda k: k["low"] <= F.col("bound"))["node"]).alias("node"))
     bound = F.array_min(F.transform("kids", lambda k: spread(k)[1])) * (1 + slack[0]) + slack[1]
-    rows = _met(tree, 0, asked).select(*columns, F.explode(_once(bound, lambda b: F.filter("kids", lambda k: spread(k)[0] <= b))).alias("kid"))
+    rows = _met(tree, 0, asked).select(*columns, F.explode(once(bound, lambda b: F.filter("kids", lambda k: spread(k)[0] <= b))).alias("kid"))
     kept = F.col("kid.kept")
     return rows.groupBy(*columns).agg(F.min(best(distance(kept), kept)).alias("best"))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` worked out once a row, also where ``use`` asks for it for each element of an array."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _met(tree: Tree, n: int, asked: DataFrame) -> DataFrame:
     level, keys = tree.levels[n].select(*tree.by, "node", "kids"), [*tree.by, "node"]
     if tree.sizes[n] <= SMALL:

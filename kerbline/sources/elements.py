@@ -58,12 +58,12 @@ def parking(elements: DataFrame) -> DataFrame:
     own = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     by_centre = centre["lat"].isNotNull() & centre["lon"].isNotNull()
     kind = F.when(node, "point").when(closed, "polygon").when(F.size(g) >= 2, "line").when(by_centre | own, "point")
-    (ring_lon, ring_lat), (line_lon, line_lat) = geo.inside_ring(g), geo.on_line(g)
-    place = lambda ring, line, c: F.when(node, F.col(c)).when(F.col("kind") == "polygon", ring).when(F.col("kind") == "line", line).when(by_centre, centre[c]).otherwise(F.col(c)).alias(c)
+    shape = F.when(F.col("kind") == "polygon", geo.inside_ring(g)).when(F.col("kind") == "line", geo.on_line(g))
+    place = lambda c: F.when(node, F.col(c)).when(F.col("kind").isin("polygon", "line"), F.col(f"_p.{c}")).when(by_centre, centre[c]).otherwise(F.col(c)).alias(c)
     tag = F.coalesce(*[F.nullif(F.trim(F.try_element_at("tags", F.lit(k))), F.lit("")) for k in ("capacity", "capacity:car", "capacity:cars", "capacity:motorcar", "capacity:motor_vehicle")])
     texts = [F.coalesce(F.try_element_at("tags", F.lit(k)), F.lit("")).alias(k) for k in ("name", "amenity", "parking")]
-    rows = rows.withColumn("kind", kind).where("kind is not null")
-    rows = rows.select(F.concat_ws(":", F.lit("osm"), "type", F.col("id").cast("string")).alias("parking_id"), F.struct("kind", place(ring_lat, line_lat, "lat"), place(ring_lon, line_lon, "lon"), tag.alias("capacity_tag"), *texts).alias("r"))
+    rows = rows.withColumn("kind", kind).where("kind is not null").withColumn("_p", shape)
+    rows = rows.select(F.concat_ws(":", F.lit("osm"), "type", F.col("id").cast("string")).alias("parking_id"), F.struct("kind", place("lat"), place("lon"), tag.alias("capacity_tag"), *texts).alias("r"))
     return rows.groupBy("parking_id").agg(F.min("r").alias("r")).select("parking_id", "r.*")
 
 

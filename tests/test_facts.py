@@ -2,15 +2,17 @@
 
 import math
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo, ranks, shared
-from kerbline.operators import context, facts, history
-from kerbline.sources import elements
+from kerbline.operators import context, facts, history, learning
+from kerbline.sources import elements, geojson
 from kerbline.streaming import live
 
 
@@ -120,6 +122,16 @@ def test_places_of_parking(spark):
     assert got == {"osm:way:1": ("polygon", 1.5, 6.0), "osm:way:2": ("line", 4.0, 1.0), "osm:way:3": ("line", 1.0, 2.0), "osm:way:4": ("point", 6.0, 5.0), "osm:node:5": ("point", 8.0, 7.0)}
 
 
+def test_a_long_ring_takes_time_in_proportion(spark):
+    """A comb of 200 teeth: what is common to a ring's edges is worked out once, not for each edge."""
+    teeth = [(float(i), 10.0 if i % 2 else 0.0) for i in range(1, 400)]
+    ring = [{"lon": x, "lat": y} for x, y in [(0.0, -1.0), (0.0, 0.0), *teeth, (400.0, 0.0), (400.0, -1.0), (0.0, -1.0)]]
+    df = spark.createDataFrame([("way", 1, None, None, ring), ("way", 2, None, None, ring[1:-1])], "type string, id long, lat double, lon double, geometry array<struct<lon double, lat double>>").withColumn("tags", F.lit(None).cast("map<string,string>"))
+    begun = time.monotonic()
+    got = {r.parking_id: (r.kind, r.lon, r.lat) for r in elements.parking(df).collect()}
+    assert got["osm:way:1"] == ("polygon", 1.0, 5.0) and got["osm:way:2"][0] == "line" and time.monotonic() - begun < 20
+
+
 def test_pieces_that_cross_touch_or_are_dots(spark):
     f = lambda *v: round(spark.range(1).select(geo.pieces_distance(*map(F.lit, map(float, v)))).first()[0], 9)
     assert [f(0, 0, 2, 2, 0, 2, 2, 0), f(0, 0, 1, 0, 1, 0, 1, 5), f(0, 0, 4, 0, 1, 0, 9, 0), f(0, 0, 1, 0, 3, 0, 9, 0), f(0, 0, 0, 0, 3, 4, 3, 4), f(0, 0, 4, 0, 2, 1, 2, 3)] == [0, 0, 0, 2, 5, 1]

@@ -104,10 +104,13 @@ def routed(checked: DataFrame, mode: str = "quarantine") -> tuple[DataFrame, Dat
 
 
 def band_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose priority_band differs from ``old``'s; rows that ``old`` lacks have not changed."""
+    """Rows of ``new`` whose priority_band differs from ``old``'s; rows that ``old`` lacks have not changed.
+
+    Both sides grow alike: the join is a sort-merge one, or the scores could be broadcast through the driver.
+    """
     before = old.select(*keys, F.col("eps").alias("old_eps"), F.col("priority_band").alias("old_band"))
     after = new.select(*keys, F.col("eps").alias("new_eps"), F.col("priority_band").alias("new_band"))
-    rows = after.join(before, keys).where("old_band != new_band")
+    rows = after.join(before.hint("merge"), keys).where("old_band != new_band")
     return rows.withColumn("direction", F.when(F.col("new_eps") > F.col("old_eps"), "escalated").otherwise("deescalated"))
 
 

@@ -514,9 +514,11 @@ def c21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("F4_delta_lists", f"SELECT direction, segment_id, target_hour, CAST(total AS BIGINT) AS total FROM (SELECT *, count(*) OVER (PARTITION BY direction) AS total, row_number() OVER (PARTITION BY direction ORDER BY abs(new_eps - old_eps) DESC, segment_id, target_hour) AS n FROM (SELECT *, CASE WHEN new_eps > old_eps THEN 'escalated' ELSE 'deescalated' END AS direction FROM {_PAIR})) WHERE n <= 20")
 def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = W.partitionBy("direction")
-    rows = band_changes(spark, sf_dir).withColumns({"total": F.count("*").over(by), "n": F.row_number().over(by.orderBy(F.desc(F.abs(F.col("new_eps") - F.col("old_eps"))), "segment_id", "target_hour"))})
-    return rows.where("n <= 20").select("direction", "segment_id", "target_hour", "total")
+    """The totals are counted apart: with the rank alone each task keeps its first 20 rows of a direction, and only those meet."""
+    rows = staged(band_changes(spark, sf_dir).select("direction", "segment_id", "target_hour", F.abs(F.col("new_eps") - F.col("old_eps")).alias("by")))
+    n = F.row_number().over(W.partitionBy("direction").orderBy(F.desc("by"), "segment_id", "target_hour"))
+    total = rows.groupBy("direction").agg(F.count("*").alias("total"))  # two rows
+    return rows.withColumn("n", n).where("n <= 20").join(F.broadcast(total), "direction").select("direction", "segment_id", "target_hour", "total")
 
 
 @register("A11_geojson_points", "SELECT segment_id, count(*) AS features, round(max(eps), 6) AS eps FROM scored GROUP BY 1")

@@ -155,3 +155,12 @@ def test_lags_are_not_broadcast(spark):
     plan = history.spillover(lagged.select("segment_id", "target_hour", "lag_1h_total"), near)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert sorted((r.target_hour.hour, r.lag_1h_total, r.lag_2h_total, r.lag_168h_total) for r in lagged.collect()) == [(0, 0.0, 0.0, 1.0), (1, 1.0, 0.0, 2.0), (2, 2.0, 1.0, 3.0)]
+
+
+def test_band_changes_are_not_broadcast(spark):
+    rows = shared.staged(spark.createDataFrame([("s", 1, 10.0, "a"), ("t", 1, 10.0, "a")], "segment_id string, target_hour long, eps double, priority_band string"))
+    new = rows.withColumn("priority_band", F.when(F.col("segment_id") == "s", "b").otherwise("a"))
+    got = context.band_changes(rows, new, ["segment_id", "target_hour"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [(r.segment_id, r.old_band, r.new_band) for r in got.collect()] == [("s", "a", "b")]

@@ -164,3 +164,11 @@ def test_band_changes_are_not_broadcast(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert [(r.segment_id, r.old_band, r.new_band) for r in got.collect()] == [("s", "a", "b")]
+
+
+def test_explanations_are_ranked_within_their_row(spark):
+    rows = spark.createDataFrame([("s", 4.0, 1.0, 2.0, 2.0), ("t", 0.0, 3.0, 2.0, 4.0)], "id string, a double, b double, c double, d double")
+    got = learning.explanation_cuts(rows, {"a": 1.0, "b": 1.0, "c": 9.0, "d": -2.0}, ["id"], (1, 1), (1, 0), 2, 1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+    assert sorted(map(tuple, got.collect())) == [("s", "a", 2.0, 1, 1, 1, 1), ("s", "b", -1.0, 1, 0, 0, 0), ("s", "d", 2.0, 0, 0, 1, 0), ("t", "a", -2.0, 1, 0, 1, 0), ("t", "b", 1.0, 1, 1, 0, 1), ("t", "d", -2.0, 0, 0, 1, 0)]

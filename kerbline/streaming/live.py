@@ -28,13 +28,13 @@ class BandChanges(StatefulProcessor):
         self.last = handle.getValueState("last", "eps double, band string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        told = []
+        told, old = [], self.last.get()  # each call to the state goes to the JVM and back: once for all rows of a batch
         frame = pd.concat(list(rows)).sort_values("target_hour", kind="stable")
-        for r in frame.itertuples():
-            old = self.last.get() if self.last.exists() else None
-            if old is not None and old[1] != r.priority_band:
-                told.append((key[0], r.target_hour, old[0], r.eps, old[1], r.priority_band, "escalated" if r.eps > old[0] else "deescalated"))
-            self.last.update((r.eps, r.priority_band))
+        for time, eps, band in zip(frame["target_hour"], frame["eps"], frame["priority_band"], strict=True):
+            if old is not None and old[1] != band:
+                told.append((key[0], time, old[0], eps, old[1], band, "escalated" if eps > old[0] else "deescalated"))
+            old = eps, band
+        self.last.update(old)
         if told:
             yield pd.DataFrame(told, columns=["segment_id", "target_hour", "old_eps", "new_eps", "old_band", "new_band", "direction"])
 

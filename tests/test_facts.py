@@ -157,6 +157,30 @@ def test_lags_are_not_broadcast(spark):
     assert sorted((r.target_hour.hour, r.lag_1h_total, r.lag_2h_total, r.lag_168h_total) for r in lagged.collect()) == [(0, 0.0, 0.0, 1.0), (1, 1.0, 0.0, 2.0), (2, 2.0, 1.0, 3.0)]
 
 
+def test_a_batch_of_scores_asks_the_state_once():
+    class Value:
+        def __init__(self):
+            self.held, self.calls = None, 0
+
+        def exists(self):
+            self.calls += 1
+            return self.held is not None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+    state = live.BandChanges()
+    state.last = Value()
+    tell = lambda *rows: [tuple(r) for f in state.handleInputRows(("s",), iter([pd.DataFrame(rows, columns=["target_hour", "eps", "priority_band"])]), None) for r in f.itertuples(index=False)]
+    assert tell((2, 60.0, "b"), (1, 10.0, "a"), (3, 61.0, "b"), (4, 5.0, "a")) == [("s", 2, 10.0, 60.0, "a", "b", "escalated"), ("s", 4, 61.0, 5.0, "b", "a", "deescalated")]
+    assert tell((5, 90.0, "c")) == [("s", 5, 5.0, 90.0, "a", "c", "escalated")] and state.last.calls == 4
+
+
 def test_band_changes_are_not_broadcast(spark):
     rows = shared.staged(spark.createDataFrame([("s", 1, 10.0, "a"), ("t", 1, 10.0, "a")], "segment_id string, target_hour long, eps double, priority_band string"))
     new = rows.withColumn("priority_band", F.when(F.col("segment_id") == "s", "b").otherwise("a"))

@@ -67,4 +67,5 @@ def features(rows: DataFrame) -> DataFrame:
 
 
 def write(rows: DataFrame, path: str) -> None:
-    features(rows).write.text(path)
+    """Gzipped: a feature's text repeats its names and, from hour to hour, its road's points. Spark's text reader takes it as it is."""
+    features(rows).write.text(path, compression="gzip")

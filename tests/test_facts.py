@@ -196,3 +196,10 @@ def test_explanations_are_ranked_within_their_row(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "hashpartitioning" not in plan
     assert sorted(map(tuple, got.collect())) == [("s", "a", 2.0, 1, 1, 1, 1), ("s", "b", -1.0, 1, 0, 0, 0), ("s", "d", 2.0, 0, 0, 1, 0), ("t", "a", -2.0, 1, 0, 1, 0), ("t", "b", 1.0, 1, 1, 0, 1), ("t", "d", -2.0, 0, 0, 1, 0)]
+
+
+def test_features_are_written_packed(spark):
+    path = shared.folder(spark)
+    geojson.write(spark.createDataFrame([("s", "LINESTRING (1 2, 3 4)", 1.0, 2.0, "x")] * 1000, "segment_id string, geometry_wkt string, lon_center double, lat_center double, map_matching_mode string").coalesce(1), path)
+    text = spark.read.text(path)
+    assert all(f.endswith(".gz") for f in text.inputFiles()) and text.count() == 1000 and text.distinct().count() == 1

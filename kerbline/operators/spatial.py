@@ -140,7 +140,7 @@ def active_events(asked: DataFrame, calendar: DataFrame) -> DataFrame:
     busy = staged(busy.join(asked.select("target_hour").distinct(), "target_hour", "left_semi"))
     counts = busy.groupBy("target_hour").agg(F.count("*").alias("active_event_count"))
     near = haversine_nearest(asked, busy.withColumnsRenamed({"elat": "rlat", "elon": "rlon"}), "segment_id", ["venue", "label"], ["event_key"], "target_hour")
-    rows = asked.select("segment_id", "target_hour").join(near, ["segment_id", "target_hour"], "left").join(counts, "target_hour", "left")
+    rows = asked.select("segment_id", "target_hour").join(near.hint("merge"), ["segment_id", "target_hour"], "left").join(counts, "target_hour", "left")
     d = F.coalesce(F.round(F.col("distance_km") * 1000, 6), F.lit(1e6))
     return rows.select("segment_id", "target_hour", F.coalesce("active_event_count", F.lit(0)).alias("active_event_count"), d.alias("nearest_event_distance_m"), F.when(F.col("distance_km").isNotNull(), event_decay(d)).otherwise(0.0).alias("event_impact"), "venue", "label")
 

@@ -46,7 +46,8 @@ def frame(spark: SparkSession, sf_dir: str, rows: DataFrame, hours: DataFrame, f
     out = calendar.calendar(rows)
     days, weeks, segments = max(1.0, train_hours / 24), max(1.0, train_hours / 168), fixed.count()
     for keys, periods, name in ((["segment_id", "hour"], days, "segment_hour_mean"), (["segment_id", "day_of_week", "hour"], weeks, "segment_dow_hour_mean"), (["hour"], days * segments, "city_hour_mean"), (["day_of_week", "hour"], weeks * segments, "city_dow_hour_mean")):
-        out = out.join(facts.climatology(before, keys, periods, name), keys, "left").fillna(0.0, [name])
+        means = facts.climatology(before, keys, periods, name)
+        out = out.join(means.hint("merge") if "segment_id" in keys else F.broadcast(means), keys, "left").fillna(0.0, [name])  # a city's are 168 at most
         if "segment_id" in keys and "count_total" in rows.columns:
             own = F.when(F.col("target_hour") < F.lit(cutoff).cast("timestamp_ntz"), F.col("count_total") / periods).otherwise(0.0)
             out = out.withColumn(name, F.greatest(F.lit(0.0), F.col(name) - own))
@@ -55,10 +56,10 @@ def frame(spark: SparkSession, sf_dir: str, rows: DataFrame, hours: DataFrame, f
     out = out.withColumn("self_exciting", decay)
     theirs = history.spillover(out.select(*_KEY, "lag_1h_total"), history.neighbours(fixed)).drop("lag_1h_total")
     rain = more.a7(spark, sf_dir).select("target_hour", "rainfall_mm", "is_raining")
-    out = out.join(theirs, _KEY).join(rain, "target_hour", "left").join(fixed, "segment_id")
+    out = out.join(theirs.hint("merge"), _KEY).join(rain, "target_hour", "left").join(fixed, "segment_id")
     asked = rows.select(*_KEY).join(fixed.select("segment_id", F.col("lat_center").alias("lat"), F.col("lon_center").alias("lon")), "segment_id")
     near = spatial.active_events(asked, more.calendar_events(spark, sf_dir))
-    out = out.join(near.select(*_KEY, "nearest_event_distance_m", "event_impact"), _KEY, "left")
+    out = out.join(near.select(*_KEY, "nearest_event_distance_m", "event_impact").hint("merge"), _KEY, "left")
     return staged(out.fillna(0.0).withColumn("rain_shelter", context.rain_shelter(F.col("is_raining"), F.col("is_structure"))))
 
 

@@ -203,3 +203,13 @@ def test_features_are_written_packed(spark):
     geojson.write(spark.createDataFrame([("s", "LINESTRING (1 2, 3 4)", 1.0, 2.0, "x")] * 1000, "segment_id string, geometry_wkt string, lon_center double, lat_center double, map_matching_mode string").coalesce(1), path)
     text = spark.read.text(path)
     assert all(f.endswith(".gz") for f in text.inputFiles()) and text.count() == 1000 and text.distinct().count() == 1
+
+
+def test_means_of_hours_are_not_broadcast(spark):
+    """What is grouped by segment and hour grows with the facts, however small its packed files."""
+    from kerbline.plans import core
+
+    for query in ("C5_climatology_join", "C17_anti_join"):
+        plan = core.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and "segment_id" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo, ranks, shared
-from kerbline.operators import context, facts, history, learning
+from kerbline.operators import clean, context, facts, history, learning
 from kerbline.sources import elements, geojson
 from kerbline.streaming import live
 
@@ -213,3 +213,35 @@ def test_means_of_hours_are_not_broadcast(spark):
         plan = core.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         joins = [line for line in plan.splitlines() if "Join" in line and "segment_id" in line]
         assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_events_are_read_once_for_hours_and_dimension(spark):
+    """Neither joins the events; bulk entry and activity follow from the hours, modes from the sums of equal texts."""
+    from kerbline.plans import core
+
+    sf, scans = "/root/testdata/sf0.001", lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
+    assert scans(core.hours.__wrapped__(spark, sf)) == 1
+    whole = core.dimension.__wrapped__(spark, sf)
+    assert not [f for f in whole.inputFiles() if f.endswith("events.parquet")]
+
+
+def test_active_hours_are_those_of_marked_events(spark):
+    at = lambda h: datetime(2024, 1, 1, h)
+    rows = [("night", at(h % 6), "car", 1.5, 1.0) for h in range(12)] + [("night", at(9), "other", 8.5, 2.0)] * 10 + [("day", at(h), "auto", 0.3, 0.7) for h in range(22)] * 2 + [("rare", at(1), "car", 9.0, 9.0)] * 3
+    e = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, segment_id string, event_time timestamp_ntz, vehicle_class string, severity_weight double, sample_weight double").withColumn("target_hour", F.col("event_time"))
+    marked = clean.mark_bulk_entry(e)
+    want = facts.segment_hours(marked.join(facts.active_segments(marked).select("segment_id"), "segment_id", "left_semi"))
+    shown = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    got = facts.active_hours(e)
+    assert got.columns == want.columns and shown(got) == shown(want) and {r.segment_id for r in got.collect()} == {"night", "day"}
+
+
+def test_means_of_lags_join_once_a_segment(spark):
+    hours = shared.staged(spark.createDataFrame([("a", datetime(2024, 1, d, h), d + h) for d in (1, 2, 8) for h in (3, 4)], "segment_id string, target_hour timestamp_ntz, count_total long"))
+    asked = spark.createDataFrame([("a", datetime(2024, 1, 15, 4)), ("b", datetime(2024, 1, 15, 4))], "segment_id string, target_hour timestamp_ntz")
+    lagged = history.lags_with_fallback(asked, hours)
+    assert lagged._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    got = {r.segment_id: (r.lag_1h_total, r.lag_2h_total, r.lag_24h_total, r.lag_168h_total) for r in lagged.collect()}
+    assert got == {"a": (pytest.approx((4 + 5 + 11) / 3), 0.0, pytest.approx((5 + 6 + 12) / 3), 12.0), "b": (0.0, 0.0, 0.0, 0.0)}
+    later = history.lags_with_fallback(asked.withColumn("target_hour", F.expr("target_hour + interval 7 days")), hours)
+    assert {r.segment_id: r.lag_168h_total for r in later.collect()} == {"a": pytest.approx((5 + 12) / 2), "b": 0.0}

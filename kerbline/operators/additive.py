@@ -44,6 +44,16 @@ class Additive:
         return spark.createDataFrame(rows, TABLE)
 
 
+def cells(rows: DataFrame, truths: list[str], weight: str, features: list[str], also: list[str]) -> DataFrame:
+    """What fits see of ``rows``: for each combination of the features' bins and of ``also``, which tells the models' rows apart, the weight and the weighted mean of each truth.
+
+    A forecast depends on the bins alone, so a fit's sums over these, which are staged, are those over the rows.
+    """
+    w = F.col(weight).cast("double")
+    means = [F.try_divide(F.sum(w * F.col(t).cast("double")), F.sum(w)).alias(t) for t in truths]
+    return staged(rows.groupBy(*features, *also).agg(F.sum(w).alias(weight), *means))
+
+
 def fit(rows: DataFrame, truth: str, weight: str, features: list[str], models: dict[int, Column], kind: str = "counts", rate: float = RATE, rounds: int = ROUNDS) -> Additive:
     """An ``Additive`` of ``rows`` for each of ``models``, which name the rows that each may see. Features are bins, small whole numbers; ``rows`` is read once a round.
 
@@ -99,9 +109,10 @@ def fold(key: list[str], folds: int) -> Column:
 def chain(train: DataFrame, rows: DataFrame, targets: list[str], features: list[str], weight: str = "sample_weight", folds: int = 3, width: int = 10, most: int = 9) -> tuple[DataFrame, dict[str, Additive]]:
     """``rows`` with pred_{target} for each target in turn, and the models: later targets also see the bins of earlier forecasts.
 
-    ``train`` has a column fold; its own forecasts are those of the model that has not seen its fold, as a row to come would have them.
+    ``train`` has a column fold; its own forecasts are those of the model that has not seen its fold, as a row to come would have them. These too depend on
+    bins and fold alone, so all fits go over the ``cells`` of ``train``, which is read once.
     """
-    seen, models = list(features), {}
+    seen, models, train = list(features), {}, cells(train, targets, weight, features, ["fold"])
     parts = {k: F.col("fold") != k for k in range(folds)} | {folds: F.lit(True)}
     for t in targets:
         model = models[t] = fit(train, t, weight, seen, parts)

@@ -30,7 +30,8 @@ def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = core.hours(spark, sf_dir)
     rows = facts.with_zeros(h.drop("hour", "day_of_week"), core.zeros(spark, sf_dir)).withColumns({"hour": F.hour("target_hour"), "day_of_week": F.weekday("target_hour")})
     means = facts.climatology(core.train(spark, sf_dir), ["segment_id", "hour"], max(1.0, core.span(spark, sf_dir)[1] / 24), "climate")
-    rows = history.lags_with_fallback(rows, h).join(means.hint("merge"), ["segment_id", "hour"], "left").withColumn("climate", F.coalesce(F.round("climate", 9), F.lit(0.0)))
+    means = means.groupBy("segment_id").agg(F.map_from_entries(F.collect_list(F.struct("hour", "climate"))).alias("climates"))  # 24 hours at most: joined by segment, as the lags' means are
+    rows = history.lags_with_fallback(rows, h).join(means.hint("merge"), "segment_id", "left").withColumn("climate", F.coalesce(F.round(F.try_element_at("climates", "hour"), 9), F.lit(0.0))).drop("climates")
     binned = lambda c, width, most: F.least(F.lit(most), F.floor(F.round(c, 9) * width)).cast("int")
     n = F.col("count_total")
     rows = rows.withColumns({"b_hour": F.col("hour"), "b_dow": F.col("day_of_week"), "b_climate": binned("climate", 50, 39), **{f"b_lag{k}": binned(f"lag_{k}h_total", 2, 9) for k in LAGS}})

@@ -88,6 +88,18 @@ def _own(spark, df):
     return df.select("id", own.alias("pred_y")).collect()
 
 
+def test_a_chain_is_fitted_over_cells(spark, monkeypatch):
+    """Fits see a row for each combination of bins and fold, and fit what they would over the rows."""
+    rows, df = table(spark)
+    seen, fit = [], additive.fit
+    monkeypatch.setattr(additive, "fit", lambda train, *a, **k: seen.append(train.count()) or fit(train, *a, **k))
+    out, models = additive.chain(df, df, ["y"], ["a", "b"], "w")
+    assert seen == [len({(x[1], x[2], x[4]) for x in rows})] and seen[0] < len(rows)
+    want = fit(df, "y", "w", ["a", "b"], {k: F.col("fold") != k for k in range(3)} | {3: F.lit(True)})
+    assert models["y"].base == pytest.approx(want.base) and models["y"].effects == pytest.approx(want.effects)
+    assert {r.id: r.pred_y for r in out.collect()} == pytest.approx({r.id: r.p for r in df.select("id", want.forecast(3).alias("p")).collect()})
+
+
 def test_the_chain_beats_climatology(spark):
     got = {r.forecast: r.wape for r in registry.QUERIES["H1_quality"](spark, SF).collect()}
     assert got["chain"] < 0.9 * got["climatology"]

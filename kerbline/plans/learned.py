@@ -64,7 +64,7 @@ def h1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prioritised(train: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` with rank_score, of all training rows, and priority: its logistic calibration on the last training days, which its own ranker has not seen."""
-    model = additive.fit(train, "relevance", "one", FEATURES, {0: ~F.col("late"), 1: F.lit(True)}, kind="scores")
+    model = additive.fit(additive.cells(train, ["relevance"], "one", FEATURES, ["late"]), "relevance", "one", FEATURES, {0: ~F.col("late"), 1: F.lit(True)}, kind="scores")
     a, b = additive.platt(staged(train.where("late").select(model.forecast(0).alias("s"), "is_hotspot")), "s", "is_hotspot")
     rows = rows.withColumn("rank_score", model.forecast(1))
     return rows.withColumn("priority", 1 / (1 + F.exp(-(F.lit(a) * F.col("rank_score") + F.lit(b)))))
@@ -103,7 +103,7 @@ def h3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a15_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A count model saved as a table with its error, segments and configuration, read again and joined to the rows."""
     train, test = split(spark, sf_dir)
-    model = additive.fit(train, "count_total", "sample_weight", FEATURES, {0: F.lit(True)})
+    model = additive.fit(additive.cells(train, ["count_total"], "sample_weight", FEATURES, []), "count_total", "sample_weight", FEATURES, {0: F.lit(True)})
     path = folder(spark, "model")
     error = metrics.regression_quality(test.withColumn("forecast", model.forecast(0)), "count_total", "forecast")
     tables.save_model(model.table(spark), error, core.dimension(spark, sf_dir), {"features": FEATURES, "target": "count_total"}, path)

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import once, spread_join, staged
+from .shared import dealt, once, spread_join, staged
 
 FAN_BITS = 5
 FAN = 1 << FAN_BITS
@@ -91,7 +91,8 @@ def nearest(tree: Tree | None, queries: DataFrame, at: list[str], distance: Call
         _square([F.greatest(F.lit(0.0), k[f"l{i}"] - F.col(c), F.col(c) - k[f"h{i}"]) for i, c in enumerate(at)]),
         _square([F.greatest(F.abs(F.col(c) - k[f"l{i}"]), F.abs(F.col(c) - k[f"h{i}"])) for i, c in enumerate(at)]),
     )
-    asked = queries.withColumn("node", F.lit(0).cast("long"))
+    told = [c for c, kind in queries.dtypes if "double" not in kind] or columns  # numbers are made alike before they are grouped, which would shuffle again
+    asked = dealt(queries, *told).withColumn("node", F.lit(0).cast("long"))
     for n in reversed(range(1, len(tree.levels))):
         met = _met(tree, n, asked)
         near = F.transform("kids", lambda k: F.struct(k["node"].alias("node"), spread(k)[0].alias("low"), spread(k)[1].alias("high")))

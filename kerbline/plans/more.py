@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions import ranks
 from ..functions import refdata as R
-from ..functions.shared import running_sum, staged
+from ..functions.shared import dealt, running_sum, staged
 from ..operators import clean, context, metrics, spatial, tags
 from . import core, fixtures
 from .core import register, rounded
@@ -55,7 +55,8 @@ def pois_m(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lots_m(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = geo.utm(F.col("lat"), F.col("lon"))
     spaces, source = tags.capacity_estimate(tags.capacity(F.col("capacity_tag")), F.col("area_m2"))
-    return view(spark, sf_dir, "parking").select("parking_id", x.alias("rx"), y.alias("ry"), spaces.alias("estimated_capacity"), source.alias("capacity_source"))
+    rows = dealt(view(spark, sf_dir, "parking"), "parking_id").select("parking_id", x.alias("rx"), y.alias("ry"), spaces.alias("estimated_capacity"), source.alias("capacity_source"))
+    return staged(rows)  # or each filter works the places out anew, in the one or two tasks that read so small a file
 
 
 # --- tags and lookups -------------------------------------------------------------------------------

@@ -144,3 +144,15 @@ def test_only_asked_hours_have_events(spark):
     c = spark.createDataFrame(events, "event_key string, venue string, label string, elat double, elon double, s string, e string").selectExpr("*", "cast(s as timestamp_ntz) start_ts", "cast(e as timestamp_ntz) end_ts")
     got = {(r.segment_id, r.target_hour.hour): (r.active_event_count, round(r.nearest_event_distance_m), r.venue) for r in spatial.active_events(asked, c).collect()}
     assert got == {("s", 5): (2, 1112, "V2"), ("s", 7): (0, 1000000, None), ("t", 5): (2, 1000000, None)}
+
+
+def test_nearest_is_worked_out_by_many_tasks(spark):
+    """Queries and lots are few bytes: as they come they would be one task's."""
+    from kerbline.plans import more
+
+    left = spark.range(0, 40, 1, 1).select(F.col("id").cast("string").alias("k"), (F.col("id") * 7 % 40).cast("double").alias("lx"), F.lit(0.0).alias("ly"))
+    right = spark.range(0, 200, 1, 1).select(F.col("id").alias("r"), (F.col("id") / 5).alias("rx"), F.lit(1.0).alias("ry"))
+    found = spatial.ring_nearest(left, right, "k", "r", [])
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {int(r.k): r.r for r in found.collect()} == {i: i * 7 % 40 * 5 for i in range(40)}
+    assert "TAN(" not in more.lots_m(spark, "/root/testdata/sf0.001").where("rx > 0")._jdf.queryExecution().optimizedPlan().toString()

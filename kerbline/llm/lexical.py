@@ -38,6 +38,9 @@ _ONES = np.array([bin(i).count("1") for i in range(16)], np.int64)
 
 _KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
+#: A shard is megabytes: with a row group for each, neither writer nor reader holds more than one, however many a task has.
+_WRITE = {"compression": "zstd", "parquet.block.row.count.limit": "1"}
+
 INDEX = "doc_ids array<bigint>, terms array<binary>, df array<int>, depth int, quadrants binary, below binary"
 
 
@@ -128,7 +131,7 @@ def index(docs: DataFrame) -> DataFrame:
             yield closed()
 
     path = folder(docs.sparkSession, "index")
-    short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX).write.option("compression", "zstd").parquet(path)
+    short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX).write.options(**_WRITE).parquet(path)
     return docs.sparkSession.read.schema(INDEX).parquet(path)
 
 

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,14 @@ def test_search_of_empty_tables(spark):
     assert found(spark, [], [(1, "w1")]) == found(spark, [(1, "w1")], []) == found(spark, [(1, None)], [(1, "w1")]) == []
 
 
+def test_no_more_than_a_shard_is_written_or_read_at_once(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "DOCUMENTS", 37)
+    indexed = lexical.index(spark.createDataFrame(corpus(1, 400), "doc_id long, text string").repartition(1))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in indexed.inputFiles()]
+    assert [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)] == [1] * 11  # a reader's batch ends with its row group
+    assert sorted(d for r in indexed.collect() for d in r.doc_ids) == list(range(100, 500))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_treap_holds_every_cell(seed):
     r = np.random.default_rng(seed)
